@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values: patterns, limits and formats that decide the results ---
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+SPACES = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MENTION = r"(?U)@\w+"
 LINK = r"https?://[A-Za-z0-9./]+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -22,6 +22,8 @@ WORD = r"(?U)[\w&&[^\d]]+"
 WORD_LENGTHS = (2, 15)
 # --- end of fixed values ---
 
+# a run of whitespace that is not one plain space already
+UNEVEN_SPACE = f"[{SPACES}&&[^ ]][{SPACES}]*| [{SPACES}]+"
 EDGE_PUNCTUATION = r"^(\p{Punct}*)(.*?)(\p{Punct}*)$"
 
 
@@ -32,7 +34,7 @@ def stop_words(language: str) -> list[str]:
 
 def clean_whitespace(text: Column) -> Column:
     """Collapse every run of Unicode whitespace to one space and trim."""
-    return F.trim(F.regexp_replace(text, WHITESPACE, " "))
+    return F.trim(F.regexp_replace(text, UNEVEN_SPACE, " "))
 
 
 def assemble_text(title: Column, selftext: Column, body: Column) -> Column:
@@ -94,7 +96,7 @@ def _kept(tokens: Column, stop: list[str]) -> Column:
     def keep(token: Column) -> Column:
         long_enough = F.length(token) >= MIN_TOKEN_LENGTH
         in_punctuation = F.instr(F.lit(PUNCTUATION), token) > 0
-        return long_enough & ~in_punctuation & ~token.isin(stop)
+        return long_enough & ~token.isin(stop) & ~in_punctuation
 
     return F.slice(F.filter(tokens, keep), 1, MAX_TOKENS)
 
@@ -120,7 +122,12 @@ def classifier_tokens(text: Column, stop: Iterable[str]) -> Column:
     bare = F.trim(F.regexp_replace(F.lower(text), MENTION, ""))
     unlinked = F.regexp_replace(bare, LINK, " ")
     first = _kept(F.split(clean_whitespace(unlinked), " "), stop)
-    return F.when(F.size(first) >= RECUT_FROM, _kept(_cut_edges(first), stop)).otherwise(first)
+
+    def recut_if_long(kept: Column) -> Column:
+        return F.when(F.size(kept) >= RECUT_FROM, _kept(_cut_edges(kept), stop)).otherwise(kept)
+
+    # a one-element array names the first cut, so that it is made only once
+    return F.element_at(F.transform(F.array(first), recut_if_long), 1)
 
 
 def normalize_text(text: Column, stop: Iterable[str]) -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from threadloom.session import materialise
+
 # --- Fixed values: grid and bin counts ---
 GRID_EDGES = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 HISTOGRAM_BINS = 30
@@ -58,17 +61,18 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
     Only bins that hold a value are listed, each with its left edge.
     """
     values = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    low = values.select(F.min("v")).scalar()
-    high = values.select(F.max("v")).scalar()
-    width = F.when(high > low, (high - low) / bins).otherwise(F.lit(1.0 / bins))
-    start = F.when(high > low, low).otherwise(low - 0.5)
+    low, high, total = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not total:
+        low = high = 0.0
+    if low == high:
+        low, high = low - 0.5, high + 0.5
+    width = (high - low) / bins
     counts = values.groupBy(
-        F.least(F.floor((F.col("v") - start) / width), F.lit(bins - 1)).alias("bin")
+        F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1)).alias("bin")
     ).agg(F.count("*").alias("n"))
-    total = values.select(F.count("*")).scalar()
     return counts.select(
         "bin",
-        (start + F.col("bin") * width).alias("left_edge"),
+        (F.lit(low) + F.col("bin") * width).alias("left_edge"),
         "n",
         (F.col("n") / total).alias("share"),
     )
@@ -104,11 +108,10 @@ def binned_density(
             return at
         return F.when((i == 0) & (F.col("low") > 0), F.col("low")).otherwise(F.pow(F.lit(10.0), at))
 
-    if groups:
-        placed = values.drop("points").join(bounds, list(groups))
+    if groups:  # written, so that the planner sees how small it is
+        placed = values.drop("points").join(materialise(bounds, "bounds"), list(groups))
     else:
-        one = bounds.select(F.struct("low", "points", "start", "step")).scalar()
-        placed = values.select("v", one.alias("_b")).select("v", "_b.*")
+        placed = values.withColumns({name: F.lit(x) for name, x in bounds.first().asDict().items()})
     scale = F.when(F.col("v") > 0, F.log10("v")) if log else F.col("v")
     guess = F.floor((scale - F.col("start")) / F.col("step"))
     guess = F.greatest(F.lit(0), F.least(guess, F.col("points") - 2))
@@ -126,14 +129,16 @@ def binned_density(
             *[F.first(c).alias(c) for c in ("low", "start", "step")],
         )
     )
-    middle = ((edge(F.col("bin")) + edge(F.col("bin") + 1)) / 2).alias("midpoint")
-    if groups:
-        totals = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
-        shares = counts.join(totals, list(groups))
-        part = F.col("n") / F.col("total")
-    else:
-        shares, part = counts, F.col("n") / counts.select(F.sum("n")).scalar()
-    return shares.select(*groups, F.col("bin").cast("long").alias("bin"), middle, "n", part.alias("share"))
+    middle = (edge(F.col("bin")) + edge(F.col("bin") + 1)) / 2
+    # at most one row per group and bin
+    of_group = F.sum("n").over(W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0)))
+    return counts.select(
+        *groups,
+        F.col("bin").cast("long").alias("bin"),
+        middle.alias("midpoint"),
+        "n",
+        (F.col("n") / of_group).alias("share"),
+    )
 
 
 def distribution_matrix(stats: DataFrame, topics: tuple[str, ...], metrics: dict[str, int] = MATRIX_POINTS) -> DataFrame:

@@ -151,7 +151,23 @@ def _fingerprint(links: DataFrame) -> tuple:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """1 if a conversation's posts form one component, for graphs of any shape."""
+    """1 if a conversation's posts form one component.
+
+    Counting settles every conversation in which a post answers one other at
+    most; the rest, if any, have their components found.
+    """
+    counted = network_summary(edges)
+    forked = materialise(
+        edges.join(counted.where(F.col("forks") > 0), CONVERSATION, "left_semi"), "forked"
+    )
+    settled = counted.where(F.col("forks") == 0).select(CONVERSATION, "connected")
+    if forked.isEmpty():
+        return settled
+    return settled.unionByName(connected_by_components(forked))
+
+
+def connected_by_components(edges: DataFrame) -> DataFrame:
+    """The same for links of any shape: one star must hold all posts."""
     nodes = node_degrees(edges).groupBy(CONVERSATION).agg(F.count("*").alias("_nodes"))
     stars = component_stars(edges).groupBy(CONVERSATION).agg(F.count("*").alias("_links"))
     return nodes.join(stars, CONVERSATION, "left").select(

@@ -6,13 +6,14 @@ from collections.abc import Callable, Iterable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA
+from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
+from threadloom.session import materialise
 
 # --- Fixed values: model settings and label names ---
 TOPIC_COUNT = 10
@@ -40,26 +41,30 @@ def doc_bow(posts: DataFrame, key: str, tokens: Column) -> DataFrame:
     )
 
 
-def fit_topics(posts: DataFrame, stop: Iterable[str], text: str = "text", k: int = TOPIC_COUNT) -> PipelineModel:
-    """Vocabulary and topic model over the words of all posts."""
+def word_counts(posts: DataFrame, stop: Iterable[str], text: str = "text") -> DataFrame:
+    """``pid`` and its word counts over the vocabulary of all posts, written once.
+
+    The topic model reads its input in every iteration.
+    """
     words = posts.select("pid", tx.simple_tokens(F.col(text), stop).alias("words"))
-    stages = [
-        CountVectorizer(inputCol="words", outputCol="counts", vocabSize=VOCABULARY),
-        LDA(featuresCol="counts", k=k, seed=SEED, optimizer="online", maxIter=10),
-    ]
-    return Pipeline(stages=stages).fit(words)
+    words = materialise(words, "words")
+    vocabulary = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=VOCABULARY).fit(words)
+    return materialise(vocabulary.transform(words).select("pid", "counts"), "counts")
 
 
-def topic_loadings(model: PipelineModel, posts: DataFrame, stop: Iterable[str], text: str = "text") -> DataFrame:
+def fit_topics(counts: DataFrame, k: int = TOPIC_COUNT) -> LDAModel:
+    """A topic model of the word counts of all posts."""
+    return LDA(featuresCol="counts", k=k, seed=SEED, optimizer="online", maxIter=10).fit(counts)
+
+
+def topic_loadings(model: LDAModel, counts: DataFrame) -> DataFrame:
     """``pid`` and its loadings ``t0..``; those under the minimum become zero."""
-    words = posts.select("pid", tx.simple_tokens(F.col(text), stop).alias("words"))
-    k = model.stages[-1].getK()
-    loaded = model.transform(words).select("pid", vector_to_array("topicDistribution").alias("_t"))
+    loaded = model.transform(counts).select("pid", vector_to_array("topicDistribution").alias("_t"))
     return loaded.select(
         "pid",
         *[
             F.when(F.col("_t")[i] >= MIN_LOADING, F.col("_t")[i]).otherwise(0.0).alias(f"t{i}")
-            for i in range(k)
+            for i in range(model.getK())
         ],
     )
 

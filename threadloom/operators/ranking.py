@@ -85,12 +85,10 @@ def row_positions(df: DataFrame, order: list[str], out: str = "position") -> Dat
 def chunk_split(df: DataFrame, order: list[str], chunks: int = 50, out: str = "chunk") -> DataFrame:
     """Contiguous chunks of near-equal size; the first ``n % chunks`` are one larger."""
     placed = row_positions(df, order, "_position")
-    total = placed.select(F.count("*")).scalar()
-    at = F.col("_position") - 1
-    small = F.floor(total / chunks)
-    larger = total % chunks
+    small, larger = divmod(placed.count(), chunks)
     head = larger * (small + 1)
+    at = F.col("_position") - 1
     number = F.when(at < head, F.floor(at / (small + 1))).otherwise(
-        larger + F.floor((at - head) / F.greatest(small, F.lit(1)))
+        larger + F.floor((at - head) / max(small, 1))
     )
     return placed.withColumn(out, (number + 1).cast("long")).drop("_position")

@@ -248,25 +248,28 @@ def user_stats(posts: DataFrame) -> DataFrame:
     )
 
 
-def keyword_topic_mode(posts: DataFrame, order: str) -> DataFrame:
-    """The topic most posts of a conversation carry; ties go to the one seen first.
+def topic_profile(posts: DataFrame, order: str, topics: tuple[str, ...] = schemas.TOPICS) -> DataFrame:
+    """The dominant topic of each conversation, and its posts on exactly one topic.
 
-    A post without a topic votes for "missing", which comes out as null.
+    The dominant topic is the one most posts carry; ties go to the one seen
+    first. A post without a topic votes for "missing", which comes out as null.
     """
+    pieces = split_topics(F.col("topics"))
     votes = posts.select(
-        CONVERSATION, order, F.posexplode(split_topics(F.col("topics"))).alias("_at", "topic")
-    ).withColumn("topic", F.nullif(F.col("topic"), F.lit("")))
+        CONVERSATION,
+        order,
+        (F.size(pieces) == 1).cast("int").alias("_alone"),
+        F.posexplode(pieces).alias("_at", "topic"),
+    )
     tallies = votes.groupBy(CONVERSATION, "topic").agg(
-        F.count("*").alias("_n"), F.min(F.struct(order, "_at")).alias("_seen")
+        F.count("*").alias("_n"),
+        F.sum("_alone").alias("_exact"),
+        F.min(F.struct(order, "_at")).alias("_seen"),
     )
     rank = F.struct(F.col("_n"), -F.col(f"_seen.{order}"), -F.col("_seen._at"))
-    return tallies.groupBy(CONVERSATION).agg(F.max_by("topic", rank).alias("keyword_topic"))
-
-
-def topic_exact_counts(posts: DataFrame, topics: tuple[str, ...] = schemas.TOPICS) -> DataFrame:
-    """Posts whose whole serialised set is one topic, per conversation."""
-    return posts.groupBy(CONVERSATION).agg(
-        *[F.count(F.when(F.col("topics") == t, 1)).alias(t) for t in topics]
+    return tallies.groupBy(CONVERSATION).agg(
+        F.max_by(F.nullif("topic", F.lit("")), rank).alias("keyword_topic"),
+        *[F.coalesce(F.sum(F.when(F.col("topic") == t, F.col("_exact"))), F.lit(0)).alias(t) for t in topics],
     )
 
 
@@ -292,7 +295,7 @@ def conversation_label(
 
 
 def post_rollup(posts: DataFrame) -> DataFrame:
-    """User statistics, mean and maximum score and exact topic counts in one aggregation.
+    """User statistics, mean and maximum score in one aggregation.
 
     Posts are first summed per author, which keeps a very long conversation
     spread over many tasks.
@@ -302,14 +305,12 @@ def post_rollup(posts: DataFrame) -> DataFrame:
         F.sum("tox").alias("_tox"),
         F.count("tox").alias("_scored"),
         F.max("tox").alias("tox_max"),
-        *[F.count(F.when(F.col("topics") == t, 1)).alias(t) for t in schemas.TOPICS],
     )
     return per_author.groupBy(CONVERSATION).agg(
         share(F.sum("_tox"), F.sum("_scored")).alias("tox_mean"),
         F.max("tox_max").alias("tox_max"),
         F.count("*").alias("n_users"),
         F.max("_posts").alias("most_comments"),
-        *[F.sum(t).alias(t) for t in schemas.TOPICS],
     )
 
 
@@ -326,7 +327,7 @@ def convo_stats(posts: DataFrame, loadings: DataFrame, order: str) -> DataFrame:
         topic_spread(loadings)
         .join(post_rollup(posts), CONVERSATION)
         .join(median_by_key(posts, CONVERSATION, "tox"), CONVERSATION, "left")
-        .join(keyword_topic_mode(posts, order), CONVERSATION, "left")
+        .join(topic_profile(posts, order), CONVERSATION)
         .join(graph.network_summary(edges), CONVERSATION, "left")
         .join(graph.conversation_depth(edges), CONVERSATION, "left")
     )

@@ -227,12 +227,12 @@ def user_stats(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def keyword_topic_mode(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.keyword_topic_mode(fx.posts(spark, sf), "turn")
+    return ops.topic_profile(fx.posts(spark, sf), "turn").select("conversation_id", "keyword_topic")
 
 
 @query("topic_exact_counts", fx.with_views("select * from exact_fx", EXACT.strip()))
 def topic_exact_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return ops.topic_exact_counts(fx.posts(spark, sf))
+    return ops.topic_profile(fx.posts(spark, sf), "turn").drop("keyword_topic")
 
 
 @query(

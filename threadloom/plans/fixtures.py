@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,8 @@ KEYWORDS = {
 CODED = ("Childcare/parenting", "Russia/Ukraine war", "US midterm elections")
 PAGE_POSTS = 4
 THREAD_POSTS = 500
-SHEET_COLUMNS = 50
+THREADS_AT_ONCE = 50
+SHEET_ITEMS = 200
 
 
 @lru_cache(maxsize=4)
@@ -286,58 +288,76 @@ IS_INCLUDE = "case when turn % 4 = 3 then 1 else 0 end"
 HIDDEN = "(turn > 0 and (conv_id * 3 + turn) % 4 = 0 and not exists (select 1 from posts_fx k where k.parent_id = p.pid))"
 
 
-def _thread_documents(rows: pd.DataFrame) -> pd.DataFrame:
-    """One nested document for one block of a conversation."""
-    rows = rows.sort_values("turn")
-    ids = set(rows["pid"])
+def _thread_document(rows: list) -> str:
+    """One nested document for one block of a conversation, posts in order of turn."""
+    ids = {r.pid for r in rows}
     children: dict[str, list] = {}
-    for row in rows.itertuples():
+    for row in rows:
         children.setdefault(row.parent_id, []).append(row)
     hidden = {
-        r.pid for r in rows.itertuples()
-        if r.turn > 0 and (r.conv_id * 3 + r.turn) % 4 == 0 and r.pid not in children
+        r.pid for r in rows if r.turn > 0 and (r.conv_id * 3 + r.turn) % 4 == 0 and r.pid not in children
     }
-    built: dict[str, dict] = {}
-    for row in rows.iloc[::-1].itertuples():
+    nodes: dict[str, dict] = {}
+    listings: dict[str, list] = {}
+    for row in reversed(rows):
         below = children.get(row.pid, [])
-        listing = [built[c.pid] for c in below if c.pid not in hidden]
+        listing = [nodes[c.pid] for c in below if c.pid not in hidden]
         collapsed = [c.pid for c in below if c.pid in hidden]
         if collapsed:
             listing.append({"kind": "more", "data": {"parent_id": f"t1_{row.pid}", "children": collapsed}})
+        listings[row.pid] = listing
         post = {"id": row.pid, "author": row.author, "created_utc": float(row.created)}
         if row.turn == 0:
-            post |= {"title": f"Thread {row.conv_id}", "selftext": row.text, "permalink": f"/r/x/{row.pid}/",
-                     "over_18": row.conv_id % 2 == 0}
+            post |= {
+                "title": f"Thread {row.conv_id}",
+                "selftext": row.text,
+                "permalink": f"/r/x/{row.pid}/",
+                "over_18": row.conv_id % 2 == 0,
+            }
         else:
-            post |= {"parent_id": f"t1_{row.parent_id}", "body": row.text,
-                     "replies": {"data": {"children": listing}} if listing else ""}
-        built[row.pid] = {"kind": "t1", "data": post, "below": listing}
-    roots = [r for r in rows.itertuples() if r.turn == 0]
-    top = built[roots[0].pid]["below"] if roots else []
-    top = top + [built[r.pid] for r in rows.itertuples() if r.turn > 0 and r.parent_id not in ids]
-    for node in built.values():
-        del node["below"]
-    document = [
-        {"data": {"children": [built[r.pid] for r in roots]}},
-        {"data": {"children": top}},
-    ]
-    return pd.DataFrame({"value": [json.dumps(document)]})
+            post |= {
+                "parent_id": f"t1_{row.parent_id}",
+                "body": row.text,
+                "replies": {"data": {"children": listing}} if listing else "",
+            }
+        nodes[row.pid] = {"kind": "t1", "data": post}
+    roots = [r.pid for r in rows if r.turn == 0]
+    top = [node for pid in roots for node in listings[pid]]
+    top += [nodes[r.pid] for r in rows if r.turn > 0 and r.parent_id not in ids]
+    document = [{"data": {"children": [nodes[pid] for pid in roots]}}, {"data": {"children": top}}]
+    return json.dumps(document)
+
+
+def _thread_documents(rows: pd.DataFrame) -> pd.DataFrame:
+    ordered = rows.sort_values(["conv_id", "turn"]).itertuples()
+    documents = [_thread_document(list(part)) for _, part in groupby(ordered, key=lambda r: r.conv_id)]
+    return pd.DataFrame({"value": documents})
 
 
 def write_threads(spark: SparkSession, sf_dir: str, where: str = "true") -> str:
-    """Nested threads, with collapsed nodes; one document per 500 posts of a conversation."""
+    """Nested threads with collapsed nodes, one document per 500 posts of a conversation.
+
+    A task builds the documents of fifty conversations at a time.
+    """
     rows = raw_posts(spark, sf_dir).where(where).select(
-        "conv_id", "turn", "pid", "author", "parent_id", "text", created_epoch().alias("created"),
+        "conv_id",
+        "turn",
+        "pid",
+        "author",
+        "parent_id",
+        "text",
+        created_epoch().alias("created"),
         F.floor(F.col("turn") / THREAD_POSTS).alias("block"),
+        F.floor(F.col("conv_id") / THREADS_AT_ONCE).alias("batch"),
     )
     path = scratch_path(spark, "threads")
-    rows.groupBy("conv_id", "block").applyInPandas(_thread_documents, "value string").write.text(path)
+    rows.groupBy("batch", "block").applyInPandas(_thread_documents, "value string").write.text(path)
     return path
 
 
 def write_sheets(spark: SparkSession, sf_dir: str) -> str:
-    """Survey exports of 50 items each: header, two sub-headers, one row per coder."""
-    coded = coding(spark, sf_dir).withColumn("sheet", F.floor(F.col("doc_id") / SHEET_COLUMNS))
+    """Survey exports of up to 200 items each: header, two sub-headers, one row per coder."""
+    coded = coding(spark, sf_dir).withColumn("sheet", F.floor(F.col("doc_id") / SHEET_ITEMS))
     has_english = F.col("doc_id") % 4 != 0
     meta = [c for c in METADATA_COLUMNS if c != "coder"]
 

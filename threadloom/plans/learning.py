@@ -24,7 +24,8 @@ LEXICON_SQL = ", ".join(f"'{w}'" for w in LEXICON)
 @query("lda_topics")
 def lda_topics(spark: SparkSession, sf: str) -> DataFrame:
     posts = fx.raw_posts(spark, sf).select("pid", "text")
-    return ops.topic_loadings(ops.fit_topics(posts, STOP), posts, STOP)
+    counts = ops.word_counts(posts, STOP)
+    return ops.topic_loadings(ops.fit_topics(counts), counts)
 
 
 @query(
