@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values: patterns, limits and formats that decide the results ---
-SPACES = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 MENTION = r"(?U)@\w+"
 LINK = r"https?://[A-Za-z0-9./]+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -22,9 +22,8 @@ WORD = r"(?U)[\w&&[^\d]]+"
 WORD_LENGTHS = (2, 15)
 # --- end of fixed values ---
 
-# a run of whitespace that is not one plain space already
-UNEVEN_SPACE = f"[{SPACES}&&[^ ]][{SPACES}]*| [{SPACES}]+"
-EDGE_PUNCTUATION = r"^(\p{Punct}*)(.*?)(\p{Punct}*)$"
+# punctuation at the start or at the end of a word
+EDGE_PUNCTUATION = r"(?<![^ ])\p{Punct}+|\p{Punct}+(?![^ ])"
 
 
 def stop_words(language: str) -> list[str]:
@@ -34,7 +33,7 @@ def stop_words(language: str) -> list[str]:
 
 def clean_whitespace(text: Column) -> Column:
     """Collapse every run of Unicode whitespace to one space and trim."""
-    return F.trim(F.regexp_replace(text, UNEVEN_SPACE, " "))
+    return F.trim(F.regexp_replace(text, WHITESPACE, " "))
 
 
 def assemble_text(title: Column, selftext: Column, body: Column) -> Column:
@@ -103,12 +102,8 @@ def _kept(tokens: Column, stop: list[str]) -> Column:
 
 def _cut_edges(tokens: Column) -> Column:
     """Split leading and trailing punctuation off every token."""
-    return F.flatten(
-        F.transform(
-            tokens,
-            lambda t: F.array(*[F.regexp_extract(t, EDGE_PUNCTUATION, i) for i in (1, 2, 3)]),
-        )
-    )
+    apart = F.regexp_replace(F.array_join(tokens, " "), EDGE_PUNCTUATION, " $0 ")
+    return F.split(apart, " +")
 
 
 def classifier_tokens(text: Column, stop: Iterable[str]) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import materialise
+from threadloom.session import materialise, materialise_counting
 
 CONVERSATION = "conversation_id"
 
@@ -65,39 +65,35 @@ def conversation_depth(edges: DataFrame) -> DataFrame:
     popular post. Every round is written to the shared folder.
     """
     answered = edges.select(CONVERSATION, F.col("dst").alias("src")).distinct()
-    pointers = materialise(
-        edges.join(answered, [CONVERSATION, "src"], "left_semi").select(
-            CONVERSATION,
-            F.col("src").alias("node"),
-            F.col("dst").alias("ancestor"),
-            F.lit(1).cast("long").alias("steps"),
-            F.lit(True).alias("moved"),
-        ),
-        "depth",
+    pointers = edges.join(answered, [CONVERSATION, "src"], "left_semi").select(
+        CONVERSATION,
+        F.col("src").alias("node"),
+        F.col("dst").alias("ancestor"),
+        F.lit(1).cast("long").alias("steps"),
     )
-    rounds = pointers.count().bit_length() + 1
-    for _ in range(rounds):
-        if pointers.where("moved").isEmpty():
-            break
+    pointers, seen = materialise_counting(pointers, "depth", links=F.count("*"))
+    longest = seen["links"]
+    doublings = 0
+    moved = longest > 0
+    while moved:
+        if doublings > longest.bit_length():
+            raise ValueError("reply links form a cycle")
         onward = pointers.select(
             CONVERSATION,
             F.col("node").alias("ancestor"),
             F.col("ancestor").alias("_further"),
             F.col("steps").alias("_more"),
         )
-        pointers = materialise(
-            pointers.join(onward, [CONVERSATION, "ancestor"], "left").select(
-                CONVERSATION,
-                "node",
-                F.coalesce("_further", "ancestor").alias("ancestor"),
-                (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
-                F.col("_further").isNotNull().alias("moved"),
-            ),
-            "depth",
+        hopped = pointers.join(onward, [CONVERSATION, "ancestor"], "left").select(
+            CONVERSATION,
+            "node",
+            F.coalesce("_further", "ancestor").alias("ancestor"),
+            (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
         )
-    else:
-        if not pointers.where("moved").isEmpty():
-            raise ValueError("reply links form a cycle")
+        before = seen.get("steps", longest)
+        pointers, seen = materialise_counting(hopped, "depth", steps=F.sum("steps"))
+        moved = seen["steps"] > before
+        doublings += 1
     deepest_answered = pointers.groupBy(CONVERSATION).agg(F.max("steps").alias("_steps"))
     return (
         edges.select(CONVERSATION)
@@ -119,8 +115,7 @@ def component_stars(edges: DataFrame) -> DataFrame:
         F.greatest("src", "dst").alias("u"),
         F.least("src", "dst").alias("v"),
     )
-    links = materialise(links.distinct(), "components")
-    state = _fingerprint(links)
+    links, state = materialise_counting(links.distinct(), "components", **_fingerprint())
     while True:
         both = links.unionByName(links.select(CONVERSATION, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(CONVERSATION, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -131,23 +126,22 @@ def component_stars(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         least = large.groupBy(CONVERSATION, "u").agg(F.min("v").alias("m"))
-        small = large.join(least, [CONVERSATION, "u"])
-        links = materialise(
-            small.where(F.col("v") != F.col("m"))
+        small = (
+            large.join(least, [CONVERSATION, "u"])
+            .where(F.col("v") != F.col("m"))
             .select(CONVERSATION, F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select(CONVERSATION, "u", F.col("m").alias("v")))
-            .distinct(),
-            "components",
         )
-        now = _fingerprint(links)
-        if now == state:
+        stars = small.unionByName(least.select(CONVERSATION, "u", F.col("m").alias("v"))).distinct()
+        before = state
+        links, state = materialise_counting(stars, "components", **_fingerprint())
+        if state == before:
             return links
-        state = now
 
 
-def _fingerprint(links: DataFrame) -> tuple:
+def _fingerprint() -> dict[str, Column]:
+    """Two aggregates that differ when two sets of links differ."""
     total = F.sum(F.xxhash64(CONVERSATION, "u", "v").cast("decimal(38,0)"))
-    return tuple(links.select(F.count("*"), total).first())
+    return {"n": F.count("*"), "total": total}
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -81,7 +81,8 @@ def classify_topic(spark: SparkSession, sf: str) -> DataFrame:
     )
     balanced = sampling.balance_classes(labeled, "doc_id", "yes")
     train = sampling.split_sets(balanced, "doc_id").where(F.col("part") == "train")
-    model = ops.fit_classifier(train.join(documents, "doc_id").select("tokens", "label"), "label")
+    train = materialise(train.join(documents, "doc_id").select("tokens", "label"), "train")
+    model = ops.fit_classifier(train, "label")
     scored = ops.classifier_score(model, documents).select("doc_id", "score")
     return ops.threshold_label(scored, {"on_topic": "score"})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _local_roots: dict[str, str] = {}
 
@@ -60,3 +60,11 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_counting(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialise`, with aggregates over the rows taken while they are written."""
+    seen = Observation()
+    measures = [value.alias(name) for name, value in counts.items()]
+    written = materialise(df.observe(seen, *measures), label)
+    return written, seen.get
