@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,30 +133,52 @@ class Dictionary:
     def topics(self) -> list[str]:
         return sorted({topic for _, topic in self.entries})
 
-    def terms(self, text: Column, boundary: bool = False) -> Column:
-        """Sorted array of the terms found in ``text``; substrings unless ``boundary``."""
-        return F.array_compact(
-            F.array(*[F.when(_found(text, t, boundary), F.lit(t)) for t, _ in self.entries])
+    def tag(self, df: DataFrame, text: str = "text", boundary: bool = False) -> DataFrame:
+        """Add ``matched_words``, ``topics`` and one 0/1 column per topic.
+
+        A term is found anywhere in the text, or only as a whole word with
+        ``boundary``. The text is lower-cased once, in a column of its own.
+        """
+        tagged = (
+            df.withColumn("_low", F.lower(text))
+            .withColumn("matched_words", self._terms(F.col("_low"), boundary))
+            .withColumns({topic: self._flag(topic) for topic in self.topics})
         )
+        return tagged.drop("_low").withColumn("topics", flags_to_topics(self.topics))
+
+    def _flag(self, topic: str) -> Column:
+        """1 when any matched word belongs to ``topic``, else 0."""
+        own = F.array(*[F.lit(t) for t, owner in self.entries if owner == topic])
+        return F.arrays_overlap("matched_words", own).cast("int")
+
+    def _terms(self, low: Column, boundary: bool) -> Column:
+        """Sorted array of the terms found; longer terms are tried only below their root."""
+        found = [
+            F.when(
+                low.contains(root),
+                F.array(
+                    *[
+                        F.when(_whole_word(low, t) if boundary else low.contains(t), F.lit(t))
+                        for t in terms
+                    ]
+                ),
+            )
+            for root, terms in _families(t for t, _ in self.entries).items()
+        ]
+        return F.array_sort(F.array_compact(F.flatten(F.array_compact(F.array(*found)))))
 
-    def flag(self, text: Column, topic: str, boundary: bool = False) -> Column:
-        """1 when any term of ``topic`` is found, else 0 (null text: 0)."""
-        hits = [_found(text, t, boundary) for t, owner in self.entries if owner == topic]
-        return F.when(reduce(Column.__or__, hits), 1).otherwise(0) if hits else F.lit(0)
 
-    def tag(self, df: DataFrame, text: str = "text", boundary: bool = False) -> DataFrame:
-        """Add ``matched_words``, ``topics`` and one 0/1 column per topic."""
-        tagged = df.withColumn("matched_words", self.terms(F.col(text), boundary)).withColumns(
-            {topic: self.flag(F.col(text), topic, boundary) for topic in self.topics}
-        )
-        return tagged.withColumn("topics", flags_to_topics(self.topics))
+def _families(terms: Iterable[str]) -> dict[str, list[str]]:
+    """Terms by the shortest term they contain: where the root is absent, so is its family."""
+    families: dict[str, list[str]] = {}
+    for term in sorted(terms, key=lambda t: (len(t), t)):
+        root = next((r for r in families if r in term), term)
+        families.setdefault(root, []).append(term)
+    return families
 
 
-def _found(text: Column, term: str, boundary: bool) -> Column:
-    lowered = F.lower(text)
-    if not boundary:
-        return lowered.contains(term)
-    return lowered.rlike(r"(?U)(?<!\w)\Q" + term + r"\E(?!\w)")
+def _whole_word(low: Column, term: str) -> Column:
+    return low.rlike(r"(?U)(?<!\w)\Q" + term + r"\E(?!\w)")
 
 
 def flags_to_topics(topics: Iterable[str]) -> Column:

@@ -114,7 +114,7 @@ def binned_density(
         placed = values.withColumns({name: F.lit(x) for name, x in bounds.first().asDict().items()})
     scale = F.when(F.col("v") > 0, F.log10("v")) if log else F.col("v")
     guess = F.floor((scale - F.col("start")) / F.col("step"))
-    guess = F.greatest(F.lit(0), F.least(guess, F.col("points") - 2))
+    guess = F.greatest(F.lit(0), F.least(F.coalesce(guess, F.lit(0)), F.col("points") - 2))
     placed = placed.withColumn("_g", guess).withColumn(
         "bin",
         F.when(F.col("v") < edge(F.col("_g")), F.col("_g") - 1)
