@@ -14,22 +14,22 @@ def test_alpha_of_the_published_example(spark):
     ]
     rows = [("all", str(u), str(c) if c else None) for o in observers for u, c in enumerate(o)]
     df = spark.createDataFrame(rows, "scope string, unit string, code string")
-    row = coding.krippendorff_alpha(df, "scope").first()
+    row = coding.krippendorff_alpha(df, ["scope"]).first()
     assert row.alpha == pytest.approx(0.743, abs=5e-4) and row.n_codes == 40
 
 
 def test_alpha_without_variation_is_null(spark):
     df = spark.createDataFrame([("all", "1", "x"), ("all", "1", "x")], "scope string, unit string, code string")
-    assert coding.krippendorff_alpha(df, "scope").first().alpha is None
+    assert coding.krippendorff_alpha(df, ["scope"]).first().alpha is None
 
 
 def test_percent_agreement(spark):
     rows = [(1, "Yes", "Yes"), (1, "No", "Not sure"), (1, "Not sure", "Not sure"), (2, None, None), (2, "Yes", "No")]
     df = spark.createDataFrame(rows, "round int, a string, b string")
     got = {r.scope: r for r in coding.percent_agreement(df, F.col("a"), F.col("b"), F.col("round")).collect()}
-    assert (got[None].n_agree, got[None].n_items) == (2, 5)
-    sure = {r.scope: r for r in coding.percent_agreement(df, F.col("a"), F.col("b"), F.col("round"), True).collect()}
-    assert (sure[1].n_agree, sure[1].n_items, sure[2].n_items) == (2, 2, 2)
+    assert (got[None].n_agree, got[None].n_items, got[None].n_sure) == (2, 5, 4)
+    assert (got[1].n_agree, got[1].n_sure, got[2].n_sure) == (2, 2, 2)
+    assert got[1].agreement == pytest.approx(2 / 3) and got[1].agreement_sure == 1
 
 
 def test_agreement_types_use_their_argument(spark):

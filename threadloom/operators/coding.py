@@ -65,38 +65,50 @@ def open_disagreements(df: DataFrame) -> DataFrame:
     return df.withColumn("open", kind).where(F.col("open").isNotNull())
 
 
-def percent_agreement(df: DataFrame, first: Column, second: Column, by: Column, drop_not_sure: bool = False) -> DataFrame:
+def percent_agreement(df: DataFrame, first: Column, second: Column, by: Column) -> DataFrame:
     """Share of items with equal codes, per value of ``by`` and for all (``by`` null).
 
-    With ``drop_not_sure`` an item on which the coders differ and one is not
-    sure leaves the denominator.
+    ``agreement_sure`` leaves out items on which the coders differ and one is
+    not sure. A missing code never agrees.
     """
     agree = F.coalesce(first == second, F.lit(False))
     unsure = F.coalesce(first == NOT_SURE, F.lit(False)) | F.coalesce(second == NOT_SURE, F.lit(False))
-    counted = ~(~agree & unsure) if drop_not_sure else F.lit(True)
     marked = df.select(
-        by.alias("scope"), agree.cast("long").alias("agree"), counted.cast("long").alias("counted")
+        by.alias("scope"),
+        agree.cast("long").alias("agree"),
+        (agree | ~unsure).cast("long").alias("sure"),
     )
-    return marked.rollup("scope").agg(
-        F.sum("agree").alias("n_agree"),
-        F.sum("counted").alias("n_items"),
-        (F.sum("agree") / F.nullif(F.sum("counted"), F.lit(0))).alias("agreement"),
+    counts = marked.rollup("scope").agg(
+        F.sum("agree").alias("n_agree"), F.count("*").alias("n_items"), F.sum("sure").alias("n_sure")
     )
+    return counts.withColumns(
+        {
+            "agreement": F.try_divide("n_agree", "n_items"),
+            "agreement_sure": F.try_divide("n_agree", "n_sure"),
+        }
+    )
+
+
+def with_and_without_unsure(codes: DataFrame, code: str = "code") -> DataFrame:
+    """Every code for ``drop_not_sure`` false, and all but "Not sure" again for true."""
+    sure = F.when(F.col(code) != NOT_SURE, True)
+    variants = F.array_compact(F.array(F.lit(False), sure))
+    return codes.withColumn("drop_not_sure", F.explode(variants))
 
 
-def krippendorff_alpha(codes: DataFrame, scope: str, unit: str = "unit", code: str = "code") -> DataFrame:
-    """Nominal alpha per scope: ``1 - Do / De`` over units with at least two codes.
+def krippendorff_alpha(codes: DataFrame, scope: list[str], unit: str = "unit", code: str = "code") -> DataFrame:
+    """Nominal alpha per value of the ``scope`` columns: ``1 - Do / De`` over units with at least two codes.
 
     ``codes`` has one row per coder and unit. Codes are counted per unit
     first, so a unit is a handful of distinct codes however often it was coded.
     """
     per_code = (
         codes.where(F.col(code).isNotNull())
-        .groupBy(scope, unit, code)
+        .groupBy(*scope, unit, code)
         .agg(F.count("*").alias("n"))
     )
     per_unit = (
-        per_code.groupBy(scope, unit)
+        per_code.groupBy(*scope, unit)
         .agg(
             F.sum("n").alias("m"),
             F.sum(F.col("n") * F.col("n")).alias("squares"),
@@ -106,18 +118,18 @@ def krippendorff_alpha(codes: DataFrame, scope: str, unit: str = "unit", code: s
     )
     marginals = (
         per_unit.select(
-            scope,
+            *scope,
             F.posexplode("codes").alias("at", "c"),
             "m",
             ((F.col("m") * F.col("m") - F.col("squares")) / (F.col("m") - 1)).alias("_do"),
         )
-        .groupBy(scope, F.col("c.code").alias("code"))
+        .groupBy(*scope, F.col("c.code").alias("code"))
         .agg(
             F.sum("c.n").alias("n_c"),
             F.sum(F.when(F.col("at") == 0, F.col("_do")).otherwise(0.0)).alias("do_sum"),
         )
     )
-    totals = marginals.groupBy(scope).agg(
+    totals = marginals.groupBy(*scope).agg(
         F.sum("n_c").alias("n"),
         F.sum("do_sum").alias("do_sum"),
         F.sum(F.col("n_c") * F.col("n_c")).alias("c_squares"),
@@ -125,7 +137,7 @@ def krippendorff_alpha(codes: DataFrame, scope: str, unit: str = "unit", code: s
     observed = F.col("do_sum") / F.col("n")
     expected = (F.col("n") * F.col("n") - F.col("c_squares")) / (F.col("n") * (F.col("n") - 1))
     return totals.select(
-        scope,
+        *scope,
         F.col("n").alias("n_codes"),
         F.when(expected > 0, 1 - observed / expected).alias("alpha"),
     )

@@ -31,27 +31,28 @@ def density_grid(stats: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
 
     Every group gets all 100 cells; shares of a group add up to one.
     """
-    counts = (
+    side = len(GRID_EDGES) - 1
+    filled = (
         stats.select(
             *groups,
-            _cell(F.col("new_topic_spread")).alias("spread_cell"),
-            _cell(F.col("tox_mean")).alias("tox_cell"),
+            (_cell(F.col("new_topic_spread")) * side + _cell(F.col("tox_mean"))).alias("_cell"),
         )
-        .dropna(subset=["spread_cell", "tox_cell"])
-        .groupBy(*groups, "spread_cell", "tox_cell")
+        .where(F.col("_cell").isNotNull())
+        .groupBy(*groups, "_cell")
         .agg(F.count("*").alias("n"))
     )
-    cells = F.sequence(F.lit(0), F.lit(len(GRID_EDGES) - 2))
-    totals = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
-    grid = totals.select("*", F.explode(cells).alias("spread_cell")).select(
-        "*", F.explode(cells).alias("tox_cell")
+    # at most 100 counts per group
+    grids = filled.groupBy(*groups).agg(
+        F.map_from_entries(F.collect_list(F.struct("_cell", "n"))).alias("_counts"), F.sum("n").alias("_total")
     )
-    return grid.join(counts, [*groups, "spread_cell", "tox_cell"], "left").select(
+    cells = F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("_cell")
+    n = F.coalesce(F.try_element_at("_counts", F.col("_cell")), F.lit(0))
+    return grids.select(*groups, "_counts", "_total", cells).select(
         *groups,
-        "spread_cell",
-        "tox_cell",
-        F.coalesce("n", F.lit(0)).alias("n"),
-        F.try_divide(F.coalesce("n", F.lit(0)), "total").alias("density"),
+        F.floor(F.col("_cell") / side).cast("int").alias("spread_cell"),
+        (F.col("_cell") % side).alias("tox_cell"),
+        n.alias("n"),
+        F.try_divide(n, "_total").alias("density"),
     )
 
 

@@ -56,7 +56,17 @@ def network_summary(edges: DataFrame) -> DataFrame:
 
 
 def conversation_depth(edges: DataFrame) -> DataFrame:
-    """Ancestors of the deepest post of each conversation that has a link.
+    """Ancestors of the deepest post of each conversation that has a link."""
+    return (
+        edges.select(CONVERSATION)
+        .distinct()
+        .join(deepest_answered(edges), CONVERSATION, "left")
+        .select(CONVERSATION, (F.coalesce("above", F.lit(0)) + 1).alias("depth"))
+    )
+
+
+def deepest_answered(edges: DataFrame) -> DataFrame:
+    """Ancestors (``above``) of the deepest reply that was itself answered.
 
     Pointer doubling: each round replaces a post's pointer by its pointer's
     pointer, so a chain of ``d`` replies takes ``log2(d)`` rounds. Posts nobody
@@ -94,13 +104,7 @@ def conversation_depth(edges: DataFrame) -> DataFrame:
         pointers, seen = materialise_counting(hopped, "depth", steps=F.sum("steps"))
         moved = seen["steps"] > before
         doublings += 1
-    deepest_answered = pointers.groupBy(CONVERSATION).agg(F.max("steps").alias("_steps"))
-    return (
-        edges.select(CONVERSATION)
-        .distinct()
-        .join(deepest_answered, CONVERSATION, "left")
-        .select(CONVERSATION, (F.coalesce("_steps", F.lit(0)) + 1).alias("depth"))
-    )
+    return pointers.groupBy(CONVERSATION).agg(F.max("steps").alias("above"))
 
 
 def component_stars(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom import schemas
 from threadloom.functions.keywords import split_topics
 from threadloom.operators import graph
+from threadloom.session import materialise
 
 LOADINGS = tuple(f"t{i}" for i in range(10))
 CONVERSATION = "conversation_id"
@@ -68,23 +71,17 @@ def topic_outcome_share(pairs: DataFrame, **outcomes: DataFrame) -> DataFrame:
 
     The denominator is all ids of the outcome, matched to a topic or not.
     """
-    tables = None
-    for name, ids in outcomes.items():
-        ids = ids.select(CONVERSATION).distinct()
-        total = ids.select(F.count("*")).scalar()
-        part = (
-            pairs.join(ids, CONVERSATION, "left_semi")
-            .groupBy("topic")
-            .agg(F.count("*").alias("n_conversations"))
-            .select(
-                F.lit(name).alias("outcome"),
-                "topic",
-                "n_conversations",
-                share(F.col("n_conversations"), total).alias("share"),
-            )
-        )
-        tables = part if tables is None else tables.unionByName(part)
-    return tables
+    tagged = [ids.select(F.lit(name).alias("outcome"), CONVERSATION) for name, ids in outcomes.items()]
+    ids = reduce(DataFrame.unionByName, tagged).distinct()
+    totals = ids.groupBy("outcome").agg(F.count("*").alias("_total"))
+    counts = (
+        pairs.join(ids, CONVERSATION)
+        .groupBy("outcome", "topic")
+        .agg(F.count("*").alias("n_conversations"))
+    )
+    return counts.join(totals, "outcome").select(
+        "outcome", "topic", "n_conversations", share(F.col("n_conversations"), F.col("_total")).alias("share")
+    )
 
 
 def coverage_by_topic(pairs: DataFrame, collected: DataFrame, empty: DataFrame) -> DataFrame:
@@ -116,36 +113,45 @@ def funnel(seeds: DataFrame, searched: DataFrame, retrieved: DataFrame, order: l
     ``seeds`` has ``thread_id`` and ``topic``; a thread counts for the topic
     of its first seed. The overall row (topic null) counts every searched and
     retrieved thread, seeded or not, and compares with distinct seed threads.
+    Seeds and both id sets are stacked and reduced to one row per thread.
     """
-    first = F.min_by("topic", F.struct(*order))
-    threads = seeds.groupBy("thread_id").agg(first.alias("topic"), F.count("*").alias("_seeds"))
-    found = retrieved.select("thread_id").distinct().withColumn("_found", F.lit(1))
-    tried = searched.select("thread_id").distinct().withColumn("_tried", F.lit(1))
-    flags = tried.join(found, "thread_id", "full").select(
-        "thread_id", F.lit(1).alias("_tried"), "_found"
-    )
-    staged = threads.join(flags, "thread_id", "full")
-    per_topic_seeds = seeds.groupBy("topic").agg(F.count("*").alias("seeds"))
-    per_topic = (
-        staged.where(F.col("topic").isNotNull())
-        .groupBy("topic")
-        .agg(F.count("_tried").alias("searched"), F.count("_found").alias("retrieved"))
-        .join(per_topic_seeds, "topic")
-        .select("topic", "seeds", "searched", "retrieved", F.col("seeds").alias("_base"))
+    steps = [
+        seeds.select("thread_id", "topic", F.struct(*order).alias("_at"), F.lit(1).alias("_seeds")),
+        searched.select("thread_id", F.lit(1).alias("_tried")),
+        retrieved.select("thread_id", F.lit(1).alias("_tried"), F.lit(1).alias("_found")),
+    ]
+    stacked = steps[0]
+    for step in steps[1:]:
+        stacked = stacked.unionByName(step, allowMissingColumns=True)
+    threads = stacked.groupBy("thread_id").agg(
+        F.min_by("topic", "_at").alias("topic"),
+        F.sum("_seeds").alias("_seeds"),
+        F.max("_tried").alias("_tried"),
+        F.max("_found").alias("_found"),
     )
-    overall = staged.agg(
-        F.coalesce(F.sum("_seeds"), F.lit(0)).alias("seeds"),
+    counts = threads.rollup("topic").agg(
+        F.grouping("topic").alias("_all"),
+        F.sum("_seeds").alias("seeds"),
         F.count("_tried").alias("searched"),
         F.count("_found").alias("retrieved"),
-        F.count("_seeds").alias("_base"),
-    ).select(F.lit(None).cast("string").alias("topic"), "*")
-    return per_topic.unionByName(overall).select(
-        "topic",
-        "seeds",
-        "searched",
-        "retrieved",
-        share(F.col("searched"), F.col("_base")).alias("searched_share"),
-        share(F.col("retrieved"), F.col("searched")).alias("retrieved_share"),
+        F.count("_seeds").alias("_threads"),
+    )
+    own = seeds.groupBy("topic").agg(F.count("*").alias("_own"))
+    overall = F.col("_all") == 1
+    return (
+        counts.where(overall | F.col("topic").isNotNull())
+        .join(own, "topic", "left")
+        .withColumn("seeds", F.when(overall, F.col("seeds")).otherwise(F.col("_own")))
+        .select(
+            "topic",
+            F.coalesce("seeds", F.lit(0)).alias("seeds"),
+            "searched",
+            "retrieved",
+            share(F.col("searched"), F.when(overall, F.col("_threads")).otherwise(F.col("seeds"))).alias(
+                "searched_share"
+            ),
+            share(F.col("retrieved"), F.col("searched")).alias("retrieved_share"),
+        )
     )
 
 
@@ -320,16 +326,17 @@ def convo_stats(posts: DataFrame, loadings: DataFrame, order: str) -> DataFrame:
     ``posts`` has the post columns with ``tox`` and serialised ``topics``;
     ``loadings`` has ``conversation_id`` and the ten loadings. Every part is
     reduced to one row per conversation before parts are joined, all on the
-    same key.
+    same key. The links, which several parts read, are written once.
     """
-    edges = graph.reply_edges(posts)
+    edges = materialise(graph.reply_edges(posts), "edges")
     parts = (
         topic_spread(loadings)
         .join(post_rollup(posts), CONVERSATION)
         .join(median_by_key(posts, CONVERSATION, "tox"), CONVERSATION, "left")
         .join(topic_profile(posts, order), CONVERSATION)
         .join(graph.network_summary(edges), CONVERSATION, "left")
-        .join(graph.conversation_depth(edges), CONVERSATION, "left")
+        .join(graph.deepest_answered(edges), CONVERSATION, "left")
+        .withColumn("depth", F.coalesce("above", F.lit(0)) + 1)
     )
     without_links = {"size": 0, "depth": -1, "breadth": 0, "connected": 0}
     for name, value in without_links.items():

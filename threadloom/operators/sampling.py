@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.ranking import random_rank
 from threadloom.operators.rollups import CONVERSATION
+from threadloom.session import materialise
 
 # --- Fixed values: quota, seed and split ---
 QUOTA_SHARE = 0.05
@@ -24,7 +25,8 @@ def quota_sample(pairs: DataFrame, searched: DataFrame) -> DataFrame:
     conversation may be drawn for several topics.
     """
     seen = searched.select(CONVERSATION).distinct().withColumn("_seen", F.lit(1))
-    flagged = pairs.join(seen, CONVERSATION, "left")
+    # read by the counts, the ranks and the sample itself
+    flagged = materialise(pairs.join(seen, CONVERSATION, "left"), "pairs")
     needs = flagged.groupBy("topic").agg(
         (
             F.floor(F.count("*") * QUOTA_SHARE) + QUOTA_EXTRA - F.count("_seen")

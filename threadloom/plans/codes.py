@@ -152,9 +152,9 @@ scored as (select round, coalesce(c1_on_topic = c2_on_topic, false) as agree,
                   coalesce(c1_on_topic = 'Not sure', false) or coalesce(c2_on_topic = 'Not sure', false) as unsure from coding_fx)
 """
 AGREEMENT = """
-select {scope} as scope, {drop} as drop_not_sure, count(*) filter (agree) as n_agree,
-       count(*) filter (agree or not ({drop} and unsure)) as n_items,
-       count(*) filter (agree) / count(*) filter (agree or not ({drop} and unsure)) as agreement
+select {scope} as scope, count(*) filter (agree) as n_agree, count(*) as n_items,
+       count(*) filter (agree or not unsure) as n_sure, 1e0 * count(*) filter (agree) / count(*) as agreement,
+       1e0 * count(*) filter (agree) / count(*) filter (agree or not unsure) as agreement_sure
 from scored group by 1
 """
 
@@ -162,21 +162,14 @@ from scored group by 1
 @query(
     "percent_agreement",
     fx.with_views(
-        " union all ".join(
-            AGREEMENT.format(scope=scope, drop=drop) for scope in ("round", "cast(null as bigint)") for drop in ("false", "true")
-        ),
+        AGREEMENT.format(scope="round") + " union all " + AGREEMENT.format(scope="cast(null as bigint)"),
         SCORED.strip(),
     ),
 )
 def percent_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    coding = fx.coding(spark, sf)
-    results = [
-        ops.percent_agreement(
-            coding, F.col("c1_on_topic"), F.col("c2_on_topic"), F.col("round"), drop
-        ).withColumn("drop_not_sure", F.lit(drop))
-        for drop in (False, True)
-    ]
-    return results[0].unionByName(results[1])
+    return ops.percent_agreement(
+        fx.coding(spark, sf), F.col("c1_on_topic"), F.col("c2_on_topic"), F.col("round")
+    )
 
 
 def alpha_sql(source: str, scope: str, drop: str) -> str:
@@ -215,22 +208,9 @@ ALL_ROWS = "select {scope} as scope, cid as unit, code from melted where {keep}"
     ),
 )
 def krippendorff_alpha(spark: SparkSession, sf: str) -> DataFrame:
-    codes = _long(fx.coding(spark, sf), F.array(F.lit("all")))
-    return _both_alphas(codes)
-
-
-def _long(coding: DataFrame, scopes, columns=("c1_on_topic", "c2_on_topic")) -> DataFrame:
-    return (
-        coding.select(F.col("cid").alias("unit"), F.explode(scopes).alias("scope"), *columns)
-        .unpivot(["scope", "unit"], list(columns), "coder", "code")
-    )
-
-
-def _both_alphas(codes: DataFrame) -> DataFrame:
-    """Alpha over all codes and over those that are not "Not sure", in one pass each."""
-    plain = ops.krippendorff_alpha(codes, "scope").withColumn("drop_not_sure", F.lit(False))
-    sure = ops.krippendorff_alpha(codes.where(F.col("code") != ops.NOT_SURE), "scope")
-    return plain.unionByName(sure.withColumn("drop_not_sure", F.lit(True)))
+    codes = fx.coding(spark, sf).select(F.col("cid").alias("unit"), F.lit("all").alias("scope"), "c1_on_topic", "c2_on_topic")
+    long = codes.unpivot(["scope", "unit"], ["c1_on_topic", "c2_on_topic"], "coder", "code")
+    return ops.krippendorff_alpha(ops.with_and_without_unsure(long), ["scope", "drop_not_sure"])
 
 
 BY_ROUND = """
@@ -272,13 +252,10 @@ def agreement_by_round(spark: SparkSession, sf: str) -> DataFrame:
     )
     scoped = coding.select("cid", F.explode(F.array_compact(scopes)).alias("s")).select("cid", "s.*")
     codes = scoped.withColumnRenamed("cid", "unit").unpivot(["scope", "unit"], ["first", "second"], "coder", "code")
-    shares = [
-        ops.percent_agreement(scoped, F.col("first"), F.col("second"), F.col("scope"), drop)
-        .where(F.col("scope").isNotNull())
-        .select("scope", "agreement", F.lit(drop).alias("drop_not_sure"))
-        for drop in (False, True)
-    ]
-    return _both_alphas(codes).join(shares[0].unionByName(shares[1]), ["scope", "drop_not_sure"])
+    alphas = ops.krippendorff_alpha(ops.with_and_without_unsure(codes), ["scope", "drop_not_sure"])
+    shares = ops.percent_agreement(scoped, F.col("first"), F.col("second"), F.col("scope"))
+    agreement = F.when(F.col("drop_not_sure"), F.col("agreement_sure")).otherwise(F.col("agreement"))
+    return alphas.join(shares, "scope").select("scope", "drop_not_sure", "n_codes", "alpha", agreement.alias("agreement"))
 
 
 @query(
