@@ -25,7 +25,7 @@ def test_scratch_paths_are_never_reused(spark):
     assert session.shared_root(spark) == session.shared_root(spark)
 
 
-def test_counts_are_taken_while_writing(spark):
+def test_counts_of_a_written_table(spark):
     from pyspark.sql import functions as F
 
     written, seen = session.materialise_counting(spark.range(7), "t", n=F.count("*"), top=F.max("id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.session import materialise, materialise_counting
 
 CONVERSATION = "conversation_id"
+HOPS_PER_ROUND = 2
 
 
 def reply_edges(posts: DataFrame) -> DataFrame:
@@ -68,8 +69,8 @@ def conversation_depth(edges: DataFrame) -> DataFrame:
 def deepest_answered(edges: DataFrame) -> DataFrame:
     """Ancestors (``above``) of the deepest reply that was itself answered.
 
-    Pointer doubling: each round replaces a post's pointer by its pointer's
-    pointer, so a chain of ``d`` replies takes ``log2(d)`` rounds. Posts nobody
+    Pointer jumping: each round moves a post's pointer two pointers onward, so
+    a chain of ``d`` replies takes ``log3(d)`` rounds. Posts nobody
     answered are left out first, since the deepest of them is one below the
     deepest answered post; that also removes the bulk of the replies to a very
     popular post. Every round is written to the shared folder.
@@ -82,11 +83,10 @@ def deepest_answered(edges: DataFrame) -> DataFrame:
         F.lit(1).cast("long").alias("steps"),
     )
     pointers, seen = materialise_counting(pointers, "depth", links=F.count("*"))
-    longest = seen["links"]
-    doublings = 0
-    moved = longest > 0
-    while moved:
-        if doublings > longest.bit_length():
+    links = seen["links"]
+    rounds, unfinished = 0, links > 0
+    while unfinished:
+        if rounds > links.bit_length():
             raise ValueError("reply links form a cycle")
         onward = pointers.select(
             CONVERSATION,
@@ -94,16 +94,17 @@ def deepest_answered(edges: DataFrame) -> DataFrame:
             F.col("ancestor").alias("_further"),
             F.col("steps").alias("_more"),
         )
-        hopped = pointers.join(onward, [CONVERSATION, "ancestor"], "left").select(
-            CONVERSATION,
-            "node",
-            F.coalesce("_further", "ancestor").alias("ancestor"),
-            (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
-        )
-        before = seen.get("steps", longest)
-        pointers, seen = materialise_counting(hopped, "depth", steps=F.sum("steps"))
-        moved = seen["steps"] > before
-        doublings += 1
+        for _ in range(HOPS_PER_ROUND):
+            pointers = pointers.join(onward, [CONVERSATION, "ancestor"], "left").select(
+                CONVERSATION,
+                "node",
+                F.coalesce("_further", "ancestor").alias("ancestor"),
+                (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
+                F.col("_further").isNotNull().alias("open"),
+            )
+        pointers, seen = materialise_counting(pointers, "depth", open=F.max("open"))
+        unfinished = seen["open"]
+        rounds += 1
     return pointers.groupBy(CONVERSATION).agg(F.max("steps").alias("above"))
 
 

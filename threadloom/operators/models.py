@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.session import materialise
+from threadloom.session import materialise, spread
 
 # --- Fixed values: model settings and label names ---
 TOPIC_COUNT = 10
@@ -46,8 +46,10 @@ def word_counts(posts: DataFrame, stop: Iterable[str], text: str = "text") -> Da
 
     The topic model reads its input in every iteration.
     """
-    words = posts.select("pid", tx.simple_tokens(F.col(text), stop).alias("words"))
-    words = materialise(words, "words")
+    posts = spread(posts.select("pid", text))
+    words = materialise(
+        posts.select("pid", tx.simple_tokens(F.col(text), stop).alias("words")), "words"
+    )
     vocabulary = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=VOCABULARY).fit(words)
     return materialise(vocabulary.transform(words).select("pid", "counts"), "counts")
 

@@ -15,7 +15,7 @@ from threadloom.plans.registry import query, table
 from threadloom.plans.scans import clean_sql
 from threadloom.plans.tables import CODED, coded_conversations
 from threadloom.plans.texts import STOP
-from threadloom.session import materialise
+from threadloom.session import materialise, spread
 
 LEXICON = ("the", "that", "dans", "nicht", "was", "eine")
 LEXICON_SQL = ", ".join(f"'{w}'" for w in LEXICON)
@@ -71,7 +71,7 @@ def label_onehot(spark: SparkSession, sf: str) -> DataFrame:
 def classify_topic(spark: SparkSession, sf: str) -> DataFrame:
     """Trained on a balanced 80%, every document scored and thresholded."""
     documents = materialise(
-        table(spark, sf, "documents").select(
+        spread(table(spark, sf, "documents").select("doc_id", "text")).select(
             "doc_id", tx.classifier_tokens(F.col("text"), STOP).alias("tokens")
         ),
         "tokens",

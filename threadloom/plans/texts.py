@@ -11,6 +11,7 @@ from threadloom.operators import models, rollups
 from threadloom.plans import fixtures as fx
 from threadloom.plans.registry import query, table
 from threadloom.plans.scans import clean_sql
+from threadloom.session import spread
 from threadloom.sources import pages
 
 STOP = ("that", "with", "this", "there", "where", "dans", "nicht", "eine", "para", "the", "and", "thand")
@@ -236,9 +237,8 @@ recut as (select doc_id, first, flatten(list_transform(first, lambda t: [
         from recut""",
 )
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(
-        "doc_id", tx.normalize_text(F.col("text"), STOP).alias("clean_text")
-    )
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", tx.normalize_text(F.col("text"), STOP).alias("clean_text"))
 
 
 TOKENS_SQL = (
