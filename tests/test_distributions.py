@@ -22,22 +22,29 @@ def numpy_bins(values, points, log):
     return [(i, pytest.approx(m), c, pytest.approx(c / n.sum())) for i, (m, c) in enumerate(zip(mid, n)) if c]
 
 
-@pytest.mark.parametrize("log", [True, False])
-@pytest.mark.parametrize("points", [10, 20, 50])
-@pytest.mark.parametrize("values", [[1, 1, 2, 3, 5, 8, 13, 400], [0, 1, 2, 50], [7], list(range(2, 500)), [-1, 0, 0.5, 3, 90]])
-def test_bins_equal_numpy(spark, values, points, log):
-    got = sorted(tuple(r) for r in dist.binned_density(frame(spark, values), "v", points, log=log).collect())
-    assert got == numpy_bins(values, points, log)
+VALUES = {
+    "skewed": [1, 1, 2, 3, 5, 8, 13, 400],
+    "zero": [0, 1, 2, 50],
+    "single": [7],
+    "range": list(range(2, 500)),
+    "negative": [-1, 0, 0.5, 3, 90],
+}
 
 
-def test_grouped_bins_have_their_own_edges(spark):
-    rows = [("a", float(v)) for v in range(1, 40)] + [("b", float(v)) for v in (100, 200, 900)]
+@pytest.mark.parametrize("log", [True, False])
+@pytest.mark.parametrize("points", [10, 50])
+def test_bins_of_every_group_equal_numpy(spark, points, log):
+    rows = [(name, float(v)) for name, values in VALUES.items() for v in values]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = dist.binned_density(df, "v", 20, ("g",)).collect()
-    for group in "ab":
-        values = [v for g, v in rows if g == group]
-        mine = sorted((r.bin, r.midpoint, r.n, r.share) for r in got if r.g == group)
-        assert mine == numpy_bins(values, 20, True)
+    got = dist.binned_density(df, "v", points, ("g",), log=log).collect()
+    for name, values in VALUES.items():
+        assert sorted((r.bin, r.midpoint, r.n, r.share) for r in got if r.g == name) == numpy_bins(values, points, log)
+
+
+@pytest.mark.parametrize("name", ["skewed", "negative"])
+def test_bins_without_groups_equal_numpy(spark, name):
+    got = sorted(tuple(r) for r in dist.binned_density(frame(spark, VALUES[name]), "v", 20).collect())
+    assert got == numpy_bins(VALUES[name], 20, True)
 
 
 def test_histogram_equals_numpy(spark):

@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-from threadloom.operators import graph, rollups
 from threadloom import schemas
+from threadloom.operators import graph, rollups
 
 POST = "conversation_id string, pid string, parent_id string"
 
@@ -110,7 +110,7 @@ def test_statistics_of_a_conversation_without_replies(spark):
         [("c", *[0.1] * 10), ("d", 1.0, *[0.0] * 9), ("d", 1.0, *[0.0] * 9)], f"conversation_id string, {names}"
     )
     stats = rollups.convo_stats(posts, loadings, "turn")
-    assert stats.schema == schemas.CONVO_STATS or [f.name for f in stats.schema] == [f.name for f in schemas.CONVO_STATS]
+    assert [(f.name, f.dataType) for f in stats.schema] == [(f.name, f.dataType) for f in schemas.CONVO_STATS]
     rows = {r.conversation_id: r for r in stats.collect()}
     c, d = rows["c"], rows["d"]
     assert (c["size"], c.depth, c.breadth, c.connected, c.keyword_topic) == (0, -1, 0, 0, None)

@@ -80,11 +80,17 @@ def arriving_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_dedup", "select event_id, event_type as keyword from events")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event arrives three times; the horizon spans the month the events cover."""
+    """Every event arrives three times; the horizon spans all the days the events cover."""
+    first, last = table(spark, sf, "events").agg(
+        F.min(F.col("ts").cast("date")), F.max(F.col("ts").cast("date"))
+    ).first()
     arrivals = arriving_events(spark, sf)
     copies = arrivals.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     once = streams.dedup_within(
-        copies.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", "31 days"
+        copies.withColumn("ts", F.col("ts").cast("timestamp")),
+        "event_id",
+        "ts",
+        f"{(last - first).days + 2} days",
     )
     return streams.run_append(
         once.select("event_id", "keyword"), scratch_path(spark, "posts"), scratch_path(spark, "state")
