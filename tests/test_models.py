@@ -55,6 +55,19 @@ def test_off_topic_recoding(spark):
     assert [r.final_topic for r in post_ops.recode_off_topic(df).collect()] == ["x"] + ["Off_topic"] * 4
 
 
+def test_classifiers_tell_topics_apart(spark):
+    kinds = {"war": ["tank", "front"], "vote": ["ballot", "poll"], "none": ["cake", "tree"]}
+    rows = [(i, kind, [kinds[kind][i % 2], "common"]) for i in range(90) for kind in [list(kinds)[i % 3]]]
+    df = spark.createDataFrame(rows, "id long, kind string, tokens array<string>")
+    weights = models.word_weights(df, "id", features=1 << 10)
+    topics = {t: F.col("kind") == t for t in ("war", "vote")}
+    fitted = models.fit_topic_classifiers(df.select("id", "kind"), weights, "id", topics)
+    got = models.classify(fitted, weights, "id").join(df, "id").collect()
+    assert len(got) == 90
+    assert all((r.war, r.vote) == (int(r.kind == "war"), int(r.kind == "vote")) for r in got)
+    assert all((r.score_war > 0.8) == bool(r.war) for r in got)
+
+
 def test_topic_model_is_repeatable(spark):
     texts = ["apple banana fruit", "banana fruit apple", "engine wheel motor", "motor wheel engine"] * 5
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "pid string, text string")

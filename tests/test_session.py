@@ -12,7 +12,7 @@ def fake(named, master):
 
 def test_the_cluster_names_the_shared_folder():
     assert session.shared_root(fake("/shared/ck", "yarn")) == "/shared/ck"
-    assert session.scratch_path(fake("/shared/ck/", "yarn"), "t").startswith("/shared/ck/threadloom/t-")
+    assert session.scratch_path(fake("/shared/ck/", "yarn"), "t").startswith("/shared/ck/threadloom/x/t-")
 
 
 def test_a_cluster_without_a_shared_folder_is_refused():

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
+from threadloom.operators import sampling
 from threadloom.session import materialise, spread
 
 # --- Fixed values: model settings and label names ---
@@ -112,20 +112,38 @@ def label_binary(labeled: DataFrame, value: str, topic: str = "final_topic") ->
     return labeled.withColumns({"on_topic": hit.cast("int"), "not_topic": (~hit).cast("int")})
 
 
-def fit_classifier(train: DataFrame, label: str, tokens: str = "tokens", features: int = 1 << 15) -> PipelineModel:
-    """A binary classifier on single words."""
-    stages = [
-        HashingTF(inputCol=tokens, outputCol="counts", numFeatures=features),
-        IDF(inputCol="counts", outputCol="weights"),
-        LogisticRegression(featuresCol="weights", labelCol=label, maxIter=20, regParam=0.01),
-    ]
-    return Pipeline(stages=stages).fit(train)
+def word_weights(rows: DataFrame, key: str, tokens: str = "tokens", features: int = 1 << 15) -> DataFrame:
+    """``key`` and its weighted single-word counts, written once for all classifiers."""
+    hashed = HashingTF(inputCol=tokens, outputCol="counts", numFeatures=features).transform(rows)
+    counts = materialise(hashed.select(key, "counts"), "counts")
+    weighted = IDF(inputCol="counts", outputCol="weights").fit(counts).transform(counts)
+    return materialise(weighted.select(key, "weights"), "weights")
 
 
-def classifier_score(model: PipelineModel, rows: DataFrame, out: str = "score") -> DataFrame:
-    """Probability of the positive class."""
-    scored = model.transform(rows).withColumn(out, vector_to_array("probability")[1])
-    return scored.select(*rows.columns, out)
+def fit_topic_classifiers(
+    labeled: DataFrame, weights: DataFrame, key: str, topics: dict[str, Column]
+) -> dict[str, LogisticRegressionModel]:
+    """One binary classifier per topic, trained on the larger part of a balanced sample.
+
+    ``topics`` gives the condition under which a labelled row is on the topic.
+    """
+    fitted = {}
+    for topic, on_topic in topics.items():
+        balanced = sampling.balance_classes(labeled.select(key, on_topic.alias("yes")), key, "yes")
+        train = sampling.split_sets(balanced, key).where(F.col("part") == "train")
+        examples = train.join(weights, key).select("weights", F.col("yes").cast("double").alias("label"))
+        learner = LogisticRegression(featuresCol="weights", maxIter=20, regParam=0.01)
+        fitted[topic] = learner.fit(examples)
+    return fitted
+
+
+def classify(models: dict[str, LogisticRegressionModel], weights: DataFrame, key: str) -> DataFrame:
+    """``key``, the score of every topic, and 1 where a score exceeds the limit."""
+    scored = weights
+    for topic, model in models.items():
+        scored = model.transform(scored).withColumn(f"score_{topic}", vector_to_array("probability")[1])
+        scored = scored.drop("rawPrediction", "probability", "prediction")
+    return threshold_label(scored.drop("weights"), {topic: f"score_{topic}" for topic in models})
 
 
 def threshold_label(rows: DataFrame, scores: dict[str, str], limit: float = SCORE_THRESHOLD) -> DataFrame:

@@ -9,13 +9,12 @@ from threadloom.functions import text as tx
 from threadloom.operators import models as ops
 from threadloom.operators import posts as post_ops
 from threadloom.operators import relational as rel
-from threadloom.operators import sampling
 from threadloom.plans import fixtures as fx
 from threadloom.plans.registry import query, table
 from threadloom.plans.scans import clean_sql
 from threadloom.plans.tables import CODED, coded_conversations
 from threadloom.plans.texts import STOP
-from threadloom.session import materialise, spread
+from threadloom.session import spread
 
 LEXICON = ("the", "that", "dans", "nicht", "was", "eine")
 LEXICON_SQL = ", ".join(f"'{w}'" for w in LEXICON)
@@ -69,22 +68,13 @@ def label_onehot(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("classify_topic")
 def classify_topic(spark: SparkSession, sf: str) -> DataFrame:
-    """Trained on a balanced 80%, every document scored and thresholded."""
-    documents = materialise(
-        spread(table(spark, sf, "documents").select("doc_id", "text")).select(
-            "doc_id", tx.classifier_tokens(F.col("text"), STOP).alias("tokens")
-        ),
-        "tokens",
-    )
-    labeled = table(spark, sf, "labels").select(
-        "doc_id", (F.col("quality") == 0).alias("yes"), (F.col("quality") == 0).cast("int").alias("label")
-    )
-    balanced = sampling.balance_classes(labeled, "doc_id", "yes")
-    train = sampling.split_sets(balanced, "doc_id").where(F.col("part") == "train")
-    train = materialise(train.join(documents, "doc_id").select("tokens", "label"), "train")
-    model = ops.fit_classifier(train, "label")
-    scored = ops.classifier_score(model, documents).select("doc_id", "score")
-    return ops.threshold_label(scored, {"on_topic": "score"})
+    """One classifier per label, trained on a balanced 80%; every document scored and thresholded."""
+    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    tokens = documents.select("doc_id", tx.classifier_tokens(F.col("text"), STOP).alias("tokens"))
+    weights = ops.word_weights(tokens, "doc_id")
+    topics = {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    models = ops.fit_topic_classifiers(table(spark, sf, "labels"), weights, "doc_id", topics)
+    return ops.classify(models, weights, "doc_id")
 
 
 @query(

@@ -46,8 +46,12 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; never reused, so never overwritten."""
-    return f"{shared_root(spark).rstrip('/')}/threadloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; never reused, so never overwritten.
+
+    Paths of one application share a folder, which may go when it has ended.
+    """
+    root = shared_root(spark).rstrip("/")
+    return f"{root}/threadloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str = "table") -> DataFrame:
