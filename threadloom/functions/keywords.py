@@ -153,16 +153,14 @@ class Dictionary:
 
     def _terms(self, low: Column, boundary: bool) -> Column:
         """Sorted array of the terms found; longer terms are tried only below their root."""
+
+        def one(term: str, root: str) -> Column:
+            if boundary:
+                return F.when(_whole_word(low, term), F.lit(term))
+            return F.lit(term) if term == root else F.when(low.contains(term), F.lit(term))
+
         found = [
-            F.when(
-                low.contains(root),
-                F.array(
-                    *[
-                        F.when(_whole_word(low, t) if boundary else low.contains(t), F.lit(t))
-                        for t in terms
-                    ]
-                ),
-            )
+            F.when(low.contains(root), F.array(*[one(t, root) for t in terms]))
             for root, terms in _families(t for t, _ in self.entries).items()
         ]
         return F.array_sort(F.array_compact(F.flatten(F.array_compact(F.array(*found)))))

@@ -15,13 +15,17 @@ LOG_POINTS = 50
 MATRIX_POINTS = {"size": 20, "posts_per_user": 20, "breadth": 50, "depth": 20}
 # --- end of fixed values ---
 
+SCORE_DIGITS = 9
+
 
 def _cell(value: Column) -> Column:
     """Index of the half-open grid cell holding ``value``; null outside the grid.
 
     Compared with the edges themselves: scaling by ten misplaces values such
-    as 0.29.
+    as 0.29. Means are rounded first, since the last digits of a sum depend on
+    the order in which tasks add up.
     """
+    value = F.round(value, SCORE_DIGITS)
     reached = sum(((value >= edge).cast("int") for edge in GRID_EDGES), F.lit(0))
     return F.when(value.isNotNull() & reached.between(1, len(GRID_EDGES) - 1), reached - 1)
 
