@@ -59,7 +59,8 @@ def _hashed(texts: DataFrame, *keys: str) -> DataFrame:
 def fingerprints(texts: DataFrame, keys: list[str], window: int, gram: int) -> DataFrame:
     """``p, f``: places and hashes of the pieces that are minimal in some window."""
     pieces = _hashed(texts, *keys).select(*keys, _pieces(gram).alias("g"))
-    posted = pieces.select(*keys, "g", F.posexplode("g").alias("p", "f"))
+    # The outer form: for the other one Spark adds a filter that evaluates the pieces again.
+    posted = pieces.select(*keys, "g", F.posexplode_outer("g").alias("p", "f"))
     around = window - gram
 
     def reach(sign: int) -> Column:
@@ -77,7 +78,7 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
     """``item, len, win``: the windows of every item as strings."""
     words = items.select("item", lowered_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     length = F.least(F.size("w"), F.lit(window))
-    placed = words.select("item", "w", length.alias("len"), F.explode(_upto(F.size("w") - length)).alias("s"))
+    placed = words.select("item", "w", length.alias("len"), F.explode_outer(_upto(F.size("w") - length)).alias("s"))
     return placed.select("item", "len", _joined().alias("win")).distinct()
 
 
@@ -120,7 +121,7 @@ def occurrences(
     shorter = windows.filter(F.col("len") < window)
     # At most window - 1 lengths.
     for (length,) in sorted(shorter.select("len").distinct().collect()):
-        pieces = _hashed(texts, *keys).select(*keys, F.posexplode(_pieces(length)).alias("p", "f"))
+        pieces = _hashed(texts, *keys).select(*keys, F.posexplode_outer(_pieces(length)).alias("p", "f"))
         whole = F.split("win", " ")
         own = shorter.filter(F.col("len") == length).select(
             F.xxhash64(*[F.xxhash64(F.get(whole, j)) for j in range(length)]).alias("f")
@@ -134,7 +135,8 @@ def occurrences(
     touched = texts.join(hits, same).select(
         hits["doc"], hits["key"], "ps", lowered_words(F.col("text")).alias("w")
     )
-    touched = touched.select(*keys, "w", F.explode(_starts(window, gram)).alias("x"))
+    touched = touched.select(*keys, "w", F.explode_outer(_starts(window, gram)).alias("x"))
+    touched = touched.filter("x is not null")
     around = touched.select(*keys, "w", "x.s", "x.len").select(*keys, "s", "len", _joined().alias("win"))
     found = around.join(windows.select("len", "win").distinct(), ["len", "win"], "left_semi")
     return materialise(found.distinct(), "occurrences"), windows
