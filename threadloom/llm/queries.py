@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontam, neardup, packing, substrings
+from threadloom.llm import decontam, neardup, packing, secrets, substrings
 from threadloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,29 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _span_list(spans: Column) -> Column:
+    """``kind:start:end`` of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+
+
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kinds = [rule.kind for rule in secrets.BASE_RULES]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    counts = [
+        F.size(F.filter("spans", _of_kind(kind))).cast("long").alias(f"n_{kind}")
+        for kind in kinds
+    ]
+    return secrets.scan(docs).select(
+        "doc_id",
+        *counts,
+        F.sha2(_span_list(base), 256).alias("base_sha256"),
+        _span_list(F.col("spans")).alias("spans"),
+    )
