@@ -38,7 +38,7 @@ SLACK_PART = 32
 #: Pieces numbered by one task.
 SLICE_PIECES = 200_000
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Characters tokenised at once; a longer text is tokenised alone.
 BATCH_BYTES = 8 << 20
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontam, neardup, packing, secrets, substrings
+from threadloom.llm import decontam, langid, neardup, packing, secrets, substrings
 from threadloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,17 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_span_list(base), 256).alias("base_sha256"),
         _span_list(F.col("spans")).alias("spans"),
     )
+
+
+def _held_out() -> Column:
+    """Rows that no model of a language may learn from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_held_out(), F.lit(False))
+    model = langid.train(docs, ~held_out)
+    found = langid.identify(docs, model).withColumn("held_out", held_out)
+    return found.select("doc_id", "held_out", "lang_pred", "score")

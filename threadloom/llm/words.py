@@ -27,8 +27,8 @@ def _random_words(n: int, seed: int) -> np.ndarray:
 _BYTE_VALUES = _random_words(256, 7)
 _LOWERED_VALUES = _BYTE_VALUES.copy()
 _LOWERED_VALUES[65:91] = _BYTE_VALUES[97:123]
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lowered: bool):
         self.data, self.offsets = data, offsets
-        solid = ~_BLANK[data]
+        solid = ~BLANK[data]
         begins, ends = solid.copy(), solid.copy()
         begins[1:] &= ~solid[:-1]
         ends[:-1] &= ~solid[1:]
@@ -85,7 +85,9 @@ class Texts:
         #: Word ``first[i]`` is the first of text ``i``; ``first[-1]`` is the number of words.
         self.first = np.searchsorted(self.starts, offsets)
         table = _LOWERED_VALUES if lowered else _BYTE_VALUES
-        self.hashes = Windows(table[data]).at(self.starts, self.ends)
+        #: Hashes of byte spans.
+        self.spans = Windows(table[data])
+        self.hashes = self.spans.at(self.starts, self.ends)
 
     @property
     def n_words(self) -> np.ndarray:
