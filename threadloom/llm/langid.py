@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from threadloom.llm import words
 
@@ -262,7 +263,9 @@ def training_sample(
     return sorted((r[0], r[1]) for r in chosen.limit(2 * TRAIN_TEXTS * len(counts)).collect())
 
 
-def _label(model: Model):
+def _label(model: Model, rows: bool = False):
+    """Predictions per text, with the runs of words, or with the whole row in ``row``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
         names = pa.array([*model.labels, UNKNOWN])
@@ -300,11 +303,15 @@ def _label(model: Model):
                     fields=list(kind),
                 )
                 ends = np.concatenate([[0], np.cumsum(np.bincount(of[begin], minlength=n))])
+                found = [names.take(pa.array(best)), pa.array(np.clip(score, 0.0, 1.0))]
+                if rows:
+                    own = batch.column("row").slice(base, n)
+                    yield pa.RecordBatch.from_arrays([own, *found], ["row", "lang_pred", "score"])
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").slice(base, n),
-                        names.take(pa.array(best)),
-                        pa.array(np.clip(score, 0.0, 1.0)),
+                        *found,
                         pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), spans),
                     ],
                     ["doc_id", "lang_pred", "score", "spans"],
@@ -334,3 +341,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         )
     schema = "doc_id long, lang_pred string, score double, spans array<struct<begin:long,end:long,lang:string>>"
     return texts.mapInArrow(_label(model), schema)
+
+
+def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``row, lang_pred, score``: every row of ``docs`` as a struct, with its language."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    if not model.labels:
+        return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(_label(model, rows=True), schema)

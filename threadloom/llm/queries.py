@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontam, langid, neardup, neighbours, packing, secrets, substrings
+from threadloom.llm import (
+    chat,
+    decontam,
+    langid,
+    licenses,
+    neardup,
+    neighbours,
+    packing,
+    secrets,
+    substrings,
+    urls,
+)
 from threadloom.plans.registry import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +132,23 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     formatted = chat.format_turns(turns.unionByName(spoof), vocabulary)
     return chat.summaries(chat.read_back(formatted, vocabulary))
+
+
+@query("op6_url_templates")
+def op6_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "license",
+        "begin",
+        "end",
+        F.round("reduction", 6).alias("reduction"),
+        "exact",
+        F.array_join("missing", " ").alias("missing"),
+        F.array_join("extra", " ").alias("extra"),
+    )
