@@ -1,0 +1,338 @@
+"""Languages, licenses, packing, chat, vectors, urls and the pipeline."""
+
+import hashlib
+import random
+import re
+
+import brute
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import zstandard
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from threadloom.llm import chat, langid, licenses, neighbours, packing, queries, urls
+
+SF = "/root/testdata/sf0.01"
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def test_forward_backward_is_that_of_whole_texts():
+    rng = np.random.default_rng(0)
+    k, first = 3, np.array([0, 0, 5, 5, 200, 201, 460])
+    scores, transitions = rng.normal(size=(460, k)) * 2, rng.normal(size=(k, k))
+    got, pairs = langid.marginals(scores, first, transitions, pairs=True)
+    expected, joint = np.zeros_like(got), np.zeros((k, k))
+    move = np.exp(transitions)
+    for a, b in zip(first, first[1:], strict=False):
+        emit, ahead, behind = np.exp(scores[a:b]), np.zeros((b - a, k)), np.ones((b - a, k))
+        before = np.ones(k) / k
+        for t in range(b - a):
+            before = (before @ move) * emit[t]
+            ahead[t] = before = before / before.sum()
+        for t in range(b - a - 2, -1, -1):
+            behind[t] = move @ (emit[t + 1] * behind[t + 1])
+            behind[t] /= behind[t].sum()
+        product = ahead * behind
+        expected[a:b] = product / product.sum(axis=1, keepdims=True)
+        for t in range(b - a):
+            left = ahead[t - 1] if t else np.ones(k) / k
+            pair = left[:, None] * move * (emit[t] * behind[t])[None]
+            joint += pair / pair.sum()
+    assert np.allclose(got, expected) and np.allclose(pairs, joint)
+
+
+def test_language_of_held_out_texts(spark):
+    got = queries.QUERIES["op2_language_id"](spark, SF)
+    true = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
+    rows = got.filter("held_out").join(true, "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.97
+    assert got.count() == true.count()
+    held = got.agg(F.avg(F.col("held_out").cast("int"))).first()[0]
+    assert 0.2 < held < 0.3
+
+
+def test_words_of_a_mixed_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs, F.lit(True))
+    part = {r.lang: r.text.split()[:60] for r in docs.filter("n_chars > 900").collect()}
+    mixed = " ".join(part["en"] + part["fr"])
+    rows = [(1, mixed), (2, None), (None, ""), (2, "12 ."), (3, "—"), (4, "日本")]
+    found = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x"))
+    got = {(r.doc_id, r.lang_pred): r for r in langid.identify(found, model).collect()}
+    spans = [s for r in got.values() if r.doc_id == 1 for s in r.spans]
+    label = [s.lang for s in spans for _ in range(s.end - s.begin)]
+    truth = ["en"] * 60 + ["fr"] * 60
+    assert sum(a == b for a, b in zip(label, truth, strict=True)) > 110
+    unknown = [key for key in got if key[1] == langid.UNKNOWN]
+    assert sorted(unknown, key=str) == [(2, "und"), (3, "und"), (None, "und")]
+    untaught = langid.train(found.limit(0), F.lit(True))
+    assert {r.lang_pred for r in langid.identify(found, untaught).collect()} == {"und"}
+
+
+def test_licenses(spark):
+    prose = " of the and onhe re" * 80
+    texts = {
+        1: "Foo. Licensed under CC BY-NC 4.0." + prose,
+        2: prose + "\nThis work is licensed under the GNU General Public License, version 3.",
+        3: "Licensed under the Apache License,\nVersion 2.0. Released under the MIT License.",
+        4: "Released under the XYZ License." + prose,
+        5: "license " * 3000,
+        6: None,
+        7: "",
+    }
+    rows = [*texts.items(), (None, texts[1]), (1, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("license", F.lit(1))
+    got = licenses.scan(docs)
+    assert brute.rows_of(got, "doc_id", "license", "exact") == sorted(
+        [
+            (1, "CC-BY-NC-4.0", True), (1, "CC-BY-NC-4.0", True), (None, "CC-BY-NC-4.0", True),
+            (2, "GPL-3.0", True), (3, "Apache-2.0", True), (3, "MIT", True),
+        ],
+        key=str,
+    )
+    for row in got.filter("doc_id is not null").collect():
+        assert re.match("Licensed|Released|This work", texts[row.doc_id][row.begin :])
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+def test_license_wording_differences():
+    prepared, plain = licenses.prepare(licenses.TEMPLATES), zstandard.ZstdCompressor(level=9)
+    long = licenses.TEMPLATES["Apache-2.0"][1]
+    changed = long.replace("except in compliance", "except in accordance")
+    (finding,) = licenses.findings(changed, prepared, plain)
+    assert (finding.license, finding.missing, finding.extra) == ("Apache-2.0", ["compliance"], ["accordance"])
+    rewritten = " ".join(w for i, w in enumerate(long.split()) if i % 3)
+    assert not [f for f in licenses.findings(rewritten, prepared, plain) if f.begin == 0 and f.exact]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    odd = [
+        "", None, " a  b\n", "It's don't. 'll we've...", "A.B,c 1.5 x2. é. É! İstanbul ΣΑΣ. Σ",
+        "<|endoftext|> <|ENDOFTEXT|>x", "é. É K K", "a b\u0085c", "日本語。 ok.", "\x1c\x1d x\x1f",
+        "!!! ?! a?! <|a", "¨.", "İ.", "²., ½.", "x'S. y'll. don't.", "a̸. ≮", "a" * 3000,
+    ]
+    plain = Tokenizer.from_file(WORDS)
+    ids, counts = packing.Encoder(WORDS).ids(pa.array(odd))
+    parts = [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])]
+    assert parts == [plain.encode(t or "", add_special_tokens=False).ids for t in odd]
+
+
+def test_cuts_fill_classes():
+    for total in [1, 2, 127, 128, 129, 1000, 2048, 3000, 4095, 4096, 4097, 9999, 50_000]:
+        pieces = packing.cuts(total)
+        assert [p[0] for p in pieces] == np.cumsum([0, *(p[1] for p in pieces[:-1])]).tolist()
+        assert sum(p[1] for p in pieces) == total
+        assert all(4096 // (k + 1) < length <= 4096 // k for _, length, k in pieces)
+
+
+def test_packing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(None, None), (None, ""), (5000, "x " * 30_000)], docs.schema)
+    rows = docs.unionByName(extra).withColumn("start", F.lit(1)).withColumn("k", F.lit(1))
+    got = packing.pack(rows, WORDS).toPandas()
+    by_sequence = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert (by_sequence.length.cumsum() - got.length == got.offset).all()
+    filled = by_sequence.length.sum()
+    assert filled.max() <= 4096 and set(filled.index) == set(range(len(filled)))
+    assert 1 - filled.sum() / (4096 * len(filled)) < 0.03
+    known = got[got.doc_id.notna()].sort_values(["doc_id", "start"])
+    assert (known.groupby("doc_id").length.cumsum() - known.length == known.start).all()
+    assert (known.groupby("doc_id").length.sum() == known.groupby("doc_id").doc_tokens.first()).all()
+    assert len(got[got.doc_id.isna()]) == 2
+    import zlib
+
+    text = {r.doc_id: r.text for r in docs.limit(20).collect()}
+    plain = Tokenizer.from_file(WORDS)
+    for doc, own in known[known.doc_id.isin(text)].groupby("doc_id"):
+        ids = np.array([*plain.encode(text[doc], add_special_tokens=False).ids, 2], "<u4")
+        for piece in own.itertuples():
+            part = ids[piece.start : piece.start + piece.length]
+            assert zlib.crc32(part.tobytes()) == piece.ids_crc32
+    assert packing.pack(rows.limit(0), WORDS).count() == 0
+
+
+def test_marks_in_texts_are_escaped():
+    draw = random.Random(0)
+    bits = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "<", "s>", "/s>", "INST]", "[", "é😀", " ", "\n", "<\\s>"]
+    for _ in range(2000):
+        text = "".join(draw.choice(bits) for _ in range(draw.randrange(9)))
+        escaped = chat.escape(text)
+        assert chat.unescape(escaped) == text
+        assert not any(mark in escaped for mark in chat.MARKS)
+
+
+def test_chat(spark):
+    rows = [
+        (1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a"),
+        (2, None, None, None), (None, 3, "assistant", "x"), (2, 5, "[INST]", "é\n"),
+        (3, 0, "assistant", ""), (1, 1, "assistant", "a"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = turns.withColumn("ids", F.lit(1)).withColumn("learned", F.lit(1))
+    formatted = chat.format_turns(turns, BYTES)
+    got = {r.conv_id: r for r in chat.summaries(chat.read_back(formatted, BYTES)).collect()}
+    for conv in {r[0] for r in rows}:
+        own = sorted((-1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c == conv)
+        whole = "".join(f"{r}\n{x}\n" for _, r, x in own)
+        learned = "".join(x for _, r, x in own if r == "assistant")
+        text = "".join(f"<s>{chat.escape(r)}[INST]{chat.escape(x)}[/INST]" for _, r, x in own)
+        found = got[conv]
+        assert (found.n_turns, found.turns_sha256) == (len(own), hashlib.sha256(whole.encode()).hexdigest())
+        assert found.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+        assert (found.loss_chars, found.formatted_chars) == (len(learned), len(text))
+    placed = chat.assemble(formatted).filter("conv_id = 1").toPandas()
+    assert (placed.ids.map(len).cumsum() - placed.ids.map(len) == placed.offset).all()
+    codec = chat.Codec.of(BYTES)
+    ids = [i for own in placed.ids for i in own]
+    masks = placed.sort_values("offset")[["loss_begin", "loss_end"]].to_numpy()
+    learned = sorted(codec.coding.decode(ids[a:b]) for a, b in masks if b > a)
+    assert learned == sorted([chat.escape("</s>[INST] ok [/INST]"), "a", "a"])
+    assert chat.summaries(chat.read_back(chat.format_turns(turns.limit(0), BYTES), BYTES)).count() == 0
+
+
+def _nearest(rows, k=20):
+    usable = [
+        (i, np.array(v, float))
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
+    ]
+    matrix, ids = np.array([v for _, v in usable]), np.array([i for i, _ in usable])
+    result = []
+    for query in sorted({int(i) for i in ids if i % 20 == 0}):
+        own = min((list(v) for i, v in usable if i == query))
+        score = np.zeros(len(ids))
+        for d, x in enumerate(own):
+            score += x * matrix[:, d]
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != query][:k]
+        result += [(query, n + 1, int(ids[j]), float(score[j])) for n, j in enumerate(order)]
+    return result
+
+
+def test_nearest_vectors(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = brute.rows_of(queries.QUERIES["op5_nearest_vectors"](spark, SF), "query_id", "rank", "vec_id", "score")
+    expected = _nearest([(r.vec_id, r.embedding) for r in vectors.collect()])
+    assert len(got) == len(expected)
+    found, true = ({(q, v) for q, _, v, _ in rows} for rows in (got, expected))
+    assert len(found & true) / len(true) > 0.99
+
+
+def test_nearest_of_odd_vectors(spark):
+    rows = [
+        (None, [1.0, 2.0, 3.0]), (0, None), (20, [0.0, 0.0, 0.0]), (40, [1.0, None, 2.0]),
+        (60, [1.0, float("nan"), 2.0]), (80, [1.0, 2.0]), (100, [1.0, 2.0, 3.0]), (100, [1.0, 2.0, 3.0]),
+        (120, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0]), (2, [1.0, 2.0, 3.0]),
+        (3, [float("inf"), 1.0, 1.0]), (4, [-1.0, 0.0, 0.0]),
+    ]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = vectors.withColumn("id", F.lit(1)).withColumn("v", F.lit(1))
+    got = neighbours.nearest(vectors, F.col("vec_id") % 20 == 0)
+    kept = [r for r in rows if r[0] != 80]
+    assert brute.rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(_nearest(kept), key=str)
+    assert neighbours.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_error_bounds_choose_the_best():
+    """Few vectors are ranked exactly, and the true best are among them."""
+    rng = np.random.default_rng(2)
+    dim, k = 64, 20
+    vectors, asked = rng.normal(size=(2000, dim)), rng.normal(size=(40, dim))
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(2000), "v": list(vectors)})
+    centre = vectors.mean(axis=0)
+    (block,) = neighbours._encode(dim, centre)(iter([batch]))
+    assert len(block.column("codes")[0].as_py()) == 2000 * dim // 8
+
+    def read(name, kind):
+        return np.frombuffer(block.column(name)[0].as_py(), kind)
+
+    query, found, score = neighbours.search_block(
+        asked, np.arange(40) - 100, vectors, np.arange(2000), read("codes", "u1").reshape(-1, dim // 8),
+        read("lengths", "<f8"), read("agreements", "<f8"), centre, neighbours.rotation(dim), k,
+    )
+    true = np.argsort(-(asked @ vectors.T), axis=1)[:, :k]
+    hits = sum(len(set(found[query == i - 100]) & set(true[i])) for i in range(40))
+    assert hits / (40 * k) > 0.98
+
+
+def test_urls(spark):
+    given = [
+        None, "", "http://", "x://A.NET", "x://A.NET/", "http://example.net/en/",
+        "https://É.Example.net/en/1?x", "a://b.example.com/de/5#x", "a://org/fr/", "a://xorg/fr/",
+        "a://b//c/d/e/f/g", "://x.org/fr/\n1", "a://b?c://d.net/", "http://net/en",
+    ]
+    rows = [*enumerate(given), (None, "a://b/c"), (3, "a://b/c"), (3, "a://b/c")]
+    rows += [(100 + i, f"http://h.com/item/x{'abcdefghij'[i % 10]}y/z") for i in range(10)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(1))
+
+    def expected(url):
+        if url is None or "://" not in url:
+            return "", "", None
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate(brute.ASCII_LOWER)
+        fits = [
+            r.text for r in urls.RULES if ("." + host).endswith("." + r.host) and path.startswith(r.path)
+        ]
+        return host, path, max(fits, key=len, default=None)
+
+    got = urls.judge(pages)
+    assert brute.rows_of(got, "page_id", "host", "path", "rule") == sorted(
+        ((i, *expected(u)) for i, u in rows), key=str
+    )
+    of_rule = {r.text: r.verdict for r in urls.RULES}
+    assert all(r.verdict == of_rule[r.rule] for r in got.filter("rule is not null").collect())
+    assert {r.template for r in got.filter("host = 'h.com'").collect()} == {"/item/*/z"}
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_labelled_templates_are_rejected(spark):
+    rules = tuple(urls.UrlRule("block", f"shop.com/offer/{i}") for i in range(1, 10))
+    rows = [(i, f"http://shop.com/offer/{i}0.html") for i in range(1, 40)]
+    rows += [(100 + i, f"http://shop.com/about/{i}") for i in range(5)]
+    pages = spark.createDataFrame([*rows, (99, "http://shop.com/offer/0.html")], "page_id long, url string")
+    verdict = {r.page_id: (r.verdict, r.rule) for r in urls.judge(pages, rules).collect()}
+    assert verdict[99] == ("block", None)
+    assert verdict[100] == ("allow", None)
+
+
+def test_pipeline(spark, tmp_path):
+    """Stage by stage against plain versions, each on its own input."""
+    sample = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None, None, None, None), (7001, "1 2 3", "en", "s", 5), (7002, "", None, "s", 0)]
+    copies = sample.limit(2)
+    docs = sample.unionByName(copies).unionByName(spark.createDataFrame(odd, sample.schema))
+    docs = docs.repartition(2)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = str(tmp_path / name)
+        stage(spark, docs, SF).write.parquet(out)
+        kept[name] = (docs, spark.read.parquet(out))
+        docs = kept[name][1]
+    assert list(stages) == ["language", "near_duplicates", "decontamination", "secret_scan", "packing"]
+
+    def pairs(frame):
+        return [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+
+    before, after = map(pairs, kept["language"])
+    assert sorted(after) == sorted(p for p in before if any(map(str.isalpha, p[1] or "")))
+    before, after = map(pairs, kept["near_duplicates"])
+    judged = brute.near_duplicates(before, corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
+    assert sorted(d for d, _ in after) == sorted({d for d, _, _, own in judged if own})
+    before, after = map(pairs, kept["decontamination"])
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = {d for d, _, _, _, hit in brute.contamination(before, items, 10) if not hit}
+    assert {d for d, _ in after} == clean
+    from threadloom.llm import secrets
+
+    before, after = map(pairs, kept["secret_scan"])
+    assert sorted(after) == sorted((d, brute.masked(t, secrets.MORE_RULES)) for d, t in before)
+    packed = kept["packing"][1].toPandas()
+    assert set(packed.doc_id) == {d for d, _ in after}
+    for name in list(stages)[:-1]:
+        assert kept[name][1].columns == sample.columns

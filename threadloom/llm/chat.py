@@ -249,7 +249,10 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def assemble(formatted: DataFrame) -> DataFrame:
-    """Turns in order with the place of their tokens, and of those learned, in the conversation."""
+    """Turns in order with the place of their tokens, and of those learned, in the conversation.
+
+    Turns of one number are in the order of their ids here.
+    """
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids")
     schema = "conv_id long, turn long, ids array<int>, offset long, loss_begin long, loss_end long"
     return ordered.mapInArrow(_placed, schema)

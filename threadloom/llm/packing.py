@@ -46,6 +46,14 @@ _MARKS = tuple(".,;:!?")
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _stays_alone(character: str) -> bool:
+    """Whether a mark behind this character is a token of its own.
+
+    True of Latin letters and digits that normalising does not take apart.
+    """
+    return "" < character <= "\u024f" and character.isalnum() and len(character.lower()) == 1
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that splits at blanks, with a memory of words.
 
@@ -83,8 +91,7 @@ class Encoder:
         marked = []
         for i in missing:
             word = asked[i]
-            # A mark at the end is a token of its own behind a letter or digit.
-            if word.endswith(_MARKS) and word[-2:-1].isalnum():
+            if word.endswith(_MARKS) and _stays_alone(word[-2:-1]):
                 marked.append(i)
                 fresh.update((w, None) for w in (word[:-1], word[-1]) if w not in known)
             else:
