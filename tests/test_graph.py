@@ -74,10 +74,42 @@ def test_star_is_one_deep_and_as_broad_as_its_replies(spark):
     assert (row["size"], row.breadth, row.connected) == (51, 50, 1)
 
 
-def test_cycle_is_reported(spark):
-    links = [("c", "a", "b"), ("c", "b", "a")]
-    with pytest.raises(ValueError, match="cycle"):
-        graph.conversation_depth(edges(spark, links))
+def brute_ancestors(links):
+    """Most other posts that any post's links lead to."""
+    parents = {}
+    for c, s, d in links:
+        parents.setdefault((c, s), set()).add(d)
+    deepest = {}
+    for c, s, _ in links:
+        seen, todo = set(), [s]
+        while todo:
+            for d in parents.get((c, todo.pop()), ()):
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        deepest[c] = max(deepest.get(c, 0), len(seen - {s}))
+    return deepest
+
+
+def test_cycles_forks_and_self_links_do_not_stop_the_others(spark):
+    links = [
+        ("two", "a", "b"), ("two", "b", "a"),
+        ("self", "a", "a"),
+        ("both", "a", "a"), ("both", "a", "b"), ("both", "b", "c"),
+        ("tail", "a", "b"), ("tail", "b", "c"), ("tail", "c", "d"), ("tail", "d", "b"),
+        ("fork", "a", "b"), ("fork", "a", "c"), ("fork", "c", "d"), ("fork", "e", "a"),
+        ("apart", "a", "b"), ("apart", "x", "y"), ("apart", "y", "x"),
+        ("plain", "a", "b"), ("plain", "b", "c"),
+    ]
+    df = edges(spark, links)
+    depth = {r[0]: r[1] for r in graph.conversation_depth(df).collect()}
+    assert depth == brute_ancestors(links) | {"self": 0}
+    assert {r[0]: r[1] for r in graph.connected(df).collect()} == brute_connected(links)
+    rng = random.Random(3)
+    links = sorted({(f"c{c}", f"p{rng.randrange(9)}", f"p{rng.randrange(9)}") for c in range(12) for _ in range(7)})
+    df = edges(spark, links)
+    assert {r[0]: r[1] for r in graph.conversation_depth(df).collect()} == brute_ancestors(links)
+    assert {r[0]: r[1] for r in graph.connected(df).collect()} == brute_connected(links)
 
 
 def test_graphs_with_forks(spark):
@@ -119,3 +151,20 @@ def test_statistics_of_a_conversation_without_replies(spark):
     assert (d["size"], d.depth, d.breadth, d.connected, d.keyword_topic) == (2, 1, 1, 1, "russia")
     assert (d.tox_mean, d.tox_median, d.tox_max, d.russia, d.n_users) == (None, None, None, 1, 2)
     assert d.old_topic_spread == pytest.approx(0) and d.new_topic_spread == pytest.approx(0.9)
+
+
+def test_null_topics_vote_as_missing_and_no_conversation_is_lost(spark):
+    rows = [
+        ("c", "1", None, "u", None, None, "2022-01-01"), ("c", "2", "1", "u", 0.2, None, "2022-01-02"),
+        ("c", "3", "1", "u", 0.2, ["russia"], "2022-01-03"), ("d", "4", "4", "v", None, None, "2022-01-01"),
+        ("e", "5", None, "v", None, [], "2022-01-01"), ("e", "6", "5", "v", None, ["russia"], None),
+        ("e", "6", "7", "v", None, ["childcare"], "2022-01-02"),
+    ]
+    posts = spark.createDataFrame(rows, POST + ", author string, tox double, topics array<string>, created_at string")
+    names = ", ".join(f"{t} double" for t in rollups.LOADINGS)
+    loadings = spark.createDataFrame([("c", *[0.1] * 10)], f"conversation_id string, {names}")
+    got = {r.conversation_id: r for r in rollups.convo_stats(posts, loadings, "created_at").collect()}
+    assert set(got) == {"c", "d", "e"}
+    assert (got["c"].keyword_topic, got["c"].russia, got["c"].old_topic_spread) == (None, 1, pytest.approx(1))
+    assert (got["d"]["size"], got["d"].depth, got["d"].connected, got["d"].old_topic_spread) == (1, 0, 1, None)
+    assert (got["e"].depth, got["e"].connected, got["e"].keyword_topic) == (2, 1, "russia")

@@ -21,15 +21,28 @@ def reply_edges(posts: DataFrame) -> DataFrame:
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:
-    """One row per post that replies or is replied to, with both degrees."""
+    """One row per post that replies or is replied to, with both degrees.
+
+    ``links`` leaves out links of a post with itself, which ``self_links`` counts.
+    """
+    own = (F.col("src") == F.col("dst")).cast("int")
     ends = F.array(
-        F.struct(F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")),
-        F.struct(F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")),
+        F.struct(
+            F.col("src").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"), own.alias("self")
+        ),
+        F.struct(
+            F.col("dst").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in"), F.lit(0).alias("self")
+        ),
     )
     return (
         edges.select(CONVERSATION, F.explode(ends).alias("_e"))
         .groupBy(CONVERSATION, "_e.node")
-        .agg(F.sum("_e.out").alias("out_degree"), F.sum("_e.in").alias("in_degree"))
+        .agg(
+            F.sum("_e.out").alias("out_degree"),
+            F.sum("_e.in").alias("in_degree"),
+            F.sum("_e.self").alias("self_links"),
+        )
+        .withColumn("links", F.col("out_degree") - F.col("self_links"))
     )
 
 
@@ -38,7 +51,9 @@ def network_summary(edges: DataFrame) -> DataFrame:
 
     A forest of ``n`` posts with ``k`` links has ``n - k`` trees. Posts with two
     parents (``forks``) break that rule; their conversations get a null and
-    belong to :func:`connected`.
+    belong to :func:`connected`, and so do those whose links form a cycle,
+    which counts do not show. Links of a post with itself count for size and
+    breadth only.
     """
     return (
         node_degrees(edges)
@@ -46,8 +61,8 @@ def network_summary(edges: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("size"),
             F.max("in_degree").alias("breadth"),
-            F.sum("out_degree").alias("n_links"),
-            F.sum(F.when(F.col("out_degree") > 1, 1).otherwise(0)).alias("forks"),
+            F.sum("links").alias("n_links"),
+            F.sum(F.when(F.col("links") > 1, 1).otherwise(0)).alias("forks"),
         )
         .withColumn(
             "connected",
@@ -57,55 +72,100 @@ def network_summary(edges: DataFrame) -> DataFrame:
 
 
 def conversation_depth(edges: DataFrame) -> DataFrame:
-    """Ancestors of the deepest post of each conversation that has a link."""
-    return (
-        edges.select(CONVERSATION)
-        .distinct()
-        .join(deepest_answered(edges), CONVERSATION, "left")
-        .select(CONVERSATION, (F.coalesce("above", F.lit(0)) + 1).alias("depth"))
+    """Most ancestors of any post, for each conversation that has a link.
+
+    An ancestor is any other post that the links lead to; on forks and cycles
+    it counts once.
+    """
+    return reply_walks(edges)[0]
+
+
+def reply_walks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``conversation_id, depth`` and the conversations that are no forest of replies."""
+    links = edges.where(F.col("src") != F.col("dst")).distinct()
+    forks = links.groupBy(CONVERSATION, "src").count().where("count > 1")
+    forked = materialise(forks.select(CONVERSATION).distinct(), "forked")
+    above, cyclic = deepest_answered(links.join(forked, CONVERSATION, "left_anti"))
+    irregular = materialise(forked.unionByName(cyclic), "irregular")
+    linked = edges.groupBy(CONVERSATION).agg(F.max((F.col("src") != F.col("dst")).cast("int")).alias("_real"))
+    by_jumps = (
+        linked.join(irregular, CONVERSATION, "left_anti")
+        .join(above, CONVERSATION, "left")
+        .select(CONVERSATION, (F.coalesce("above", F.lit(0)) + F.col("_real")).alias("depth"))
     )
+    if irregular.isEmpty():
+        return by_jumps, irregular
+    by_sets = most_ancestors(links.join(irregular, CONVERSATION, "left_semi"))
+    return by_jumps.unionByName(by_sets), irregular
 
 
-def deepest_answered(edges: DataFrame) -> DataFrame:
-    """Ancestors (``above``) of the deepest reply that was itself answered.
+def most_ancestors(links: DataFrame) -> DataFrame:
+    """``conversation_id, depth`` for links of any shape.
 
-    Pointer jumping: each round moves a post's pointer two pointers onward, so
-    a chain of ``d`` replies takes ``log3(d)`` rounds. Posts nobody
-    answered are left out first, since the deepest of them is one below the
-    deepest answered post; that also removes the bulk of the replies to a very
-    popular post. Every round is written to the shared folder.
+    The pairs of a post and an ancestor are kept once; each round joins them
+    with themselves, which doubles the length of the walks they stand for.
+    """
+    pairs = links.select(CONVERSATION, F.col("src").alias("node"), F.col("dst").alias("ancestor"))
+    pairs, seen = materialise_counting(pairs.distinct(), "ancestors", n=F.count("*"))
+    known = 0
+    while seen["n"] > known:
+        known = seen["n"]
+        onward = pairs.select(
+            CONVERSATION, F.col("node").alias("ancestor"), F.col("ancestor").alias("_further")
+        )
+        longer = pairs.join(onward, [CONVERSATION, "ancestor"]).select(
+            CONVERSATION, "node", F.col("_further").alias("ancestor")
+        )
+        wider = pairs.unionByName(longer.where(F.col("node") != F.col("ancestor"))).distinct()
+        pairs, seen = materialise_counting(wider, "ancestors", n=F.count("*"))
+    counts = pairs.groupBy(CONVERSATION, "node").agg(F.count("*").alias("_n"))
+    return counts.groupBy(CONVERSATION).agg(F.max("_n").alias("depth"))
+
+
+def deepest_answered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ancestors (``above``) of the deepest reply that was itself answered, and cyclic conversations.
+
+    ``links`` have one parent per post. Pointer jumping: each round moves a
+    post's pointer two pointers onward, so a chain of ``d`` replies takes
+    ``log3(d)`` rounds. Posts nobody answered are left out first, since the
+    deepest of them is one below the deepest answered post; that also removes
+    the bulk of the replies to a very popular post. Only pointers that can
+    still move are written again. Those that can after the last round any
+    chain may need are on the way to a cycle.
     """
-    answered = edges.select(CONVERSATION, F.col("dst").alias("src")).distinct()
-    pointers = edges.join(answered, [CONVERSATION, "src"], "left_semi").select(
+    answered = links.select(CONVERSATION, F.col("dst").alias("src")).distinct()
+    pointers = links.join(answered, [CONVERSATION, "src"], "left_semi").select(
         CONVERSATION,
         F.col("src").alias("node"),
         F.col("dst").alias("ancestor"),
         F.lit(1).cast("long").alias("steps"),
     )
-    pointers, seen = materialise_counting(pointers, "depth", links=F.count("*"))
-    links = seen["links"]
-    rounds, unfinished = 0, links > 0
-    while unfinished:
-        if rounds > links.bit_length():
-            raise ValueError("reply links form a cycle")
-        onward = pointers.select(
+    moving, seen = materialise_counting(pointers, "depth", n=F.count("*"))
+    rounds, bound = 0, seen["n"].bit_length()
+    finished = moving.limit(0)
+    while seen["n"] and rounds <= bound:
+        onward = finished.unionByName(moving).select(
             CONVERSATION,
             F.col("node").alias("ancestor"),
             F.col("ancestor").alias("_further"),
             F.col("steps").alias("_more"),
         )
+        moved = moving
         for _ in range(HOPS_PER_ROUND):
-            pointers = pointers.join(onward, [CONVERSATION, "ancestor"], "left").select(
+            moved = moved.join(onward, [CONVERSATION, "ancestor"], "left").select(
                 CONVERSATION,
                 "node",
                 F.coalesce("_further", "ancestor").alias("ancestor"),
                 (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"),
                 F.col("_further").isNotNull().alias("open"),
             )
-        pointers, seen = materialise_counting(pointers, "depth", open=F.max("open"))
-        unfinished = seen["open"]
+        moved, seen = materialise_counting(moved, "depth", n=F.count_if("open"))
+        finished = finished.unionByName(moved.where(~F.col("open")).drop("open"))
+        moving = moved.where("open").drop("open")
         rounds += 1
-    return pointers.groupBy(CONVERSATION).agg(F.max("steps").alias("above"))
+    cyclic = moving.select(CONVERSATION).distinct()
+    above = finished.join(cyclic, CONVERSATION, "left_anti") if seen["n"] else finished
+    return above.groupBy(CONVERSATION).agg(F.max("steps").alias("above")), cyclic
 
 
 def component_stars(edges: DataFrame) -> DataFrame:
@@ -149,20 +209,20 @@ def _fingerprint() -> dict[str, Column]:
     return {"n": F.count("*"), "total": total}
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, irregular: DataFrame | None = None) -> DataFrame:
     """1 if a conversation's posts form one component.
 
-    Counting settles every conversation in which a post answers one other at
-    most; the rest, if any, have their components found.
+    Counting settles every forest of replies; the conversations that are none
+    (``irregular``, found here if not given) have their components found.
     """
-    counted = network_summary(edges)
-    forked = materialise(
-        edges.join(counted.where(F.col("forks") > 0), CONVERSATION, "left_semi"), "forked"
-    )
-    settled = counted.where(F.col("forks") == 0).select(CONVERSATION, "connected")
-    if forked.isEmpty():
-        return settled
-    return settled.unionByName(connected_by_components(forked))
+    if irregular is None:
+        irregular = reply_walks(edges)[1]
+    counted = network_summary(edges).select(CONVERSATION, "connected")
+    if irregular.isEmpty():
+        return counted
+    odd = materialise(edges.join(irregular, CONVERSATION, "left_semi"), "irregular-edges")
+    settled = counted.join(irregular, CONVERSATION, "left_anti")
+    return settled.unionByName(connected_by_components(odd))
 
 
 def connected_by_components(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from threadloom import schemas
 from threadloom.functions.keywords import split_topics
@@ -260,7 +261,7 @@ def topic_profile(posts: DataFrame, order: str, topics: tuple[str, ...] = schema
     The dominant topic is the one most posts carry; ties go to the one seen
     first. A post without a topic votes for "missing", which comes out as null.
     """
-    pieces = split_topics(F.col("topics"))
+    pieces = topic_pieces(posts)
     votes = posts.select(
         CONVERSATION,
         order,
@@ -272,13 +273,21 @@ def topic_profile(posts: DataFrame, order: str, topics: tuple[str, ...] = schema
         F.sum("_alone").alias("_exact"),
         F.min(F.struct(order, "_at")).alias("_seen"),
     )
-    rank = F.struct(F.col("_n"), -F.col(f"_seen.{order}"), -F.col("_seen._at"))
+    rank = F.struct(-F.col("_n"), "_seen")
     return tallies.groupBy(CONVERSATION).agg(
-        F.max_by(F.nullif("topic", F.lit("")), rank).alias("keyword_topic"),
+        F.min_by(F.nullif("topic", F.lit("")), rank).alias("keyword_topic"),
         *[F.coalesce(F.sum(F.when(F.col("topic") == t, F.col("_exact"))), F.lit(0)).alias(t) for t in topics],
     )
 
 
+def topic_pieces(posts: DataFrame, topics: str = "topics") -> Column:
+    """The topics of a post, serialised or an array; one empty piece if it has none."""
+    none = F.array(F.lit(""))
+    if isinstance(posts.schema[topics].dataType, ArrayType):
+        return F.when(F.size(F.coalesce(topics, F.array().cast("array<string>"))) > 0, F.col(topics)).otherwise(none)
+    return split_topics(F.coalesce(F.col(topics), F.lit("")))
+
+
 def posts_per_user(stats: DataFrame) -> DataFrame:
     return stats.select(
         CONVERSATION, share(F.col("size"), F.col("n_users")).alias("posts_per_user")
@@ -323,20 +332,29 @@ def post_rollup(posts: DataFrame) -> DataFrame:
 def convo_stats(posts: DataFrame, loadings: DataFrame, order: str) -> DataFrame:
     """One row per conversation: spread, toxicity, reply network, users and topics.
 
-    ``posts`` has the post columns with ``tox`` and serialised ``topics``;
-    ``loadings`` has ``conversation_id`` and the ten loadings. Every part is
-    reduced to one row per conversation before parts are joined, all on the
-    same key. The links, which several parts read, are written once.
+    ``posts`` has the post columns with ``tox`` and ``topics``, serialised or an
+    array; ``order`` is any column that can be ordered. ``loadings`` has
+    ``conversation_id`` and the ten loadings. Every conversation of ``posts``
+    gets a row, with or without loadings and links. Every part is reduced to
+    one row per conversation before parts are joined, all on the same key. The
+    columns that several parts read are written once, and so are the links.
     """
+    columns = [CONVERSATION, "pid", "parent_id", "author", "tox", "topics", order]
+    posts = materialise(posts.select(*dict.fromkeys(columns)), "posts")
     edges = materialise(graph.reply_edges(posts), "edges")
+    depth, irregular = graph.reply_walks(edges)
+    links = (
+        graph.network_summary(edges)
+        .drop("connected")
+        .join(graph.connected(edges, irregular), CONVERSATION)
+        .join(depth, CONVERSATION)
+    )
     parts = (
-        topic_spread(loadings)
-        .join(post_rollup(posts), CONVERSATION)
+        post_rollup(posts)
+        .join(topic_spread(loadings), CONVERSATION, "left")
         .join(median_by_key(posts, CONVERSATION, "tox"), CONVERSATION, "left")
-        .join(topic_profile(posts, order), CONVERSATION)
-        .join(graph.network_summary(edges), CONVERSATION, "left")
-        .join(graph.deepest_answered(edges), CONVERSATION, "left")
-        .withColumn("depth", F.coalesce("above", F.lit(0)) + 1)
+        .join(topic_profile(posts, order), CONVERSATION, "left")
+        .join(links, CONVERSATION, "left")
     )
     without_links = {"size": 0, "depth": -1, "breadth": 0, "connected": 0}
     for name, value in without_links.items():
