@@ -26,25 +26,23 @@ def test_substring_and_boundary_matching(spark):
     assert strict == [["c++", "war"], [], []]
 
 
-def test_matching_by_join_equals_matching_inline(spark):
+def test_long_lists_give_the_columns_of_short_ones(spark):
     terms = kw.expand_keywords(kw.keyword_rows(spark))
-    texts = ["Ukraine war and #Kids vote", "nothing", "STANDWITHUKRAINE", "a", ""]
+    texts = ["Ukraine war and #Kids vote", "nothing", "STANDWITHUKRAINE", "a", "", None, "Ünïted #kids\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    inline = kw.Dictionary.from_rows(terms).tag(df)
-    expected = {(r.id, t) for r in inline.collect() for t in r.matched_words}
-    joined = kw.match_terms_by_join(df, terms, "id").collect()
-    assert {(r.id, r.term) for r in joined} == expected
-    assert len(joined) == len(expected)
-
-
-def test_too_long_a_dictionary_is_refused(spark):
-    rows = spark.range(kw.MAX_INLINE_TERMS + 1).select(F.col("id").cast("string").alias("term"), F.lit("t").alias("topic"))
-    try:
-        kw.Dictionary.from_rows(rows)
-    except ValueError as error:
-        assert "match_terms_by_join" in str(error)
-    else:
-        raise AssertionError("expected a refusal")
+    inline = kw.Dictionary.from_rows(terms).tag(df.na.fill("", ["text"]))
+    joined = kw.tag_terms(df, terms, "id")
+    columns = ["id", "matched_words", "topics", *sorted({t for t in kw.KEYWORDS})]
+    assert sorted(joined.select(columns).collect()) == sorted(inline.select(columns).collect())
+
+
+def test_long_lists_of_any_length(spark):
+    rows = [(str(n), "number") for n in range(3000)] + [("é", "letter"), ("c++", "code")]
+    df = spark.createDataFrame([(1, "12 C++ 2999 é"), (2, "x")], "id long, text string")
+    got = {r.id: r for r in kw.tag_terms(df, spark.createDataFrame(rows, "term string, topic string"), "id").collect()}
+    held = {str(n) for n in range(3000) if str(n) in "12 C++ 2999 é"}
+    assert set(got[1].matched_words) == held | {"é", "c++"}
+    assert (got[1].topics, got[2].topics, got[2].number) == (["code", "letter", "number"], [], 0)
 
 
 def test_serialised_sets_round_trip(spark):

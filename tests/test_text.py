@@ -23,7 +23,7 @@ def test_punctuation_is_the_ascii_set():
 @pytest.mark.parametrize(
     "value, expected",
     [
-        ("Hello @user_1 THERE http://a.b/c?d=1 friends", "hello there ?d=1 friends"),
+        ("Hello @user_1 THERE http://a.b/c?d=1 friends", "hello there friends"),
         ("the That abcd ab !\"#$ !!!!", "abcd !!!!"),
         ("   ", ""),
     ],
@@ -32,20 +32,17 @@ def test_classifier_text(spark, value, expected):
     assert one(spark, value, lambda c: tx.normalize_text(c, ["that"])) == expected
 
 
-def test_long_texts_are_cut_again_and_whole_texts_are_read(spark):
-    long = " ".join(f'"word{i}",' for i in range(312))
-    assert one(spark, long, lambda c: tx.normalize_text(c, [])) == " ".join(f"word{i}" for i in range(312))
-    short = " ".join(f'"word{i}",' for i in range(311))
-    assert one(spark, short, lambda c: tx.normalize_text(c, [])) == short
-    limit = " ".join(f"word{i}" for i in range(700))
-    assert len(one(spark, limit, lambda c: tx.classifier_tokens(c, []))) == 512
+def test_texts_of_any_length_have_one_rule_and_no_limit(spark):
+    for n in (3, 311, 312, 3000):
+        text = " ".join(f'"word{i}",' for i in range(n))
+        assert one(spark, text, lambda c: tx.normalize_text(c, [])) == " ".join(f"word{i}" for i in range(n))
     late = " ".join(["a"] * 5000 + ["ending"])
     assert one(spark, late, lambda c: tx.normalize_text(c, [])) == "ending"
 
 
 def test_edges_are_cut_but_not_cores(spark):
-    words = ["--well-known--"] * 312
-    assert one(spark, " ".join(words), lambda c: tx.classifier_tokens(c, [])) == ["well-known"] * 312
+    words = ["--well-known--"] * 3
+    assert one(spark, " ".join(words), lambda c: tx.classifier_tokens(c, [])) == ["well-known"] * 3
 
 
 def test_simple_tokens(spark):

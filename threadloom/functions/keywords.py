@@ -54,7 +54,8 @@ EXTRA_TERMS = {
 TOPIC_SEPARATOR = " | "
 # --- end of fixed values ---
 
-MAX_INLINE_TERMS = 1000
+#: First characters by which terms of a long list are looked up.
+SEED_LENGTH = 3
 
 
 def keyword_rows(spark: SparkSession, keywords: Mapping[str, Iterable[str]] = KEYWORDS) -> DataFrame:
@@ -111,19 +112,17 @@ def lookup_topic(rows: DataFrame, dictionary: DataFrame, keyword: str = "keyword
 
 @dataclass(frozen=True)
 class Dictionary:
-    """A curated term list, small enough to live inside the plan as literals."""
+    """A curated term list that lives inside the plan as literals.
+
+    :func:`tag_terms` gives the same columns for lists of any length.
+    """
 
     entries: tuple[tuple[str, str], ...]
 
     @classmethod
     def from_rows(cls, terms: DataFrame) -> Dictionary:
-        """Read ``(term, topic)`` rows, refusing a list too long to inline."""
-        rows = terms.select("term", "topic").limit(MAX_INLINE_TERMS + 1).collect()
-        if len(rows) > MAX_INLINE_TERMS:
-            raise ValueError(
-                f"more than {MAX_INLINE_TERMS} terms: match them with match_terms_by_join"
-            )
-        return cls(tuple(sorted((r.term, r.topic) for r in rows)))
+        """Read the ``(term, topic)`` rows of a curated list."""
+        return cls(tuple(sorted((r.term, r.topic) for r in terms.select("term", "topic").collect())))
 
     @classmethod
     def of(cls, spark: SparkSession, keywords: Mapping[str, Iterable[str]] = KEYWORDS) -> Dictionary:
@@ -200,28 +199,35 @@ def split_topics(serialised: Column) -> Column:
     return F.transform(F.split(serialised, r"\|"), lambda piece: F.trim(piece))
 
 
-def match_terms_by_join(df: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, term, topic)`` for every term found, for dictionaries too long to inline.
+def tag_terms(df: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The columns of :meth:`Dictionary.tag` for ``(term, topic)`` rows of any number.
 
-    Every substring of a length that some term has is joined to the terms, so
-    the dictionary may be of any size and is never broadcast by force.
+    Terms are looked up by their first characters: the distinct pieces of a
+    text of that length are joined with the terms, and the few terms that begin
+    like one are searched in the text. ``key`` tells the rows of ``df`` apart.
+    Topics become columns, so they must be few.
     """
-    lengths = terms.select(F.collect_set(F.length("term"))).scalar()
-    spans = df.select(key, F.lower(text).alias("_t")).select(
-        key, "_t", F.explode(lengths).alias("_n")
+    seed = F.least(F.length("term"), F.lit(SEED_LENGTH))
+    seeds = terms.where(seed > 0).select("term", "topic", F.substring("term", F.lit(1), seed).alias("_gram"))
+    topics = sorted(r.topic for r in terms.select("topic").distinct().collect())
+    texts = df.select(key, F.lower(text).alias("_low"))
+    letters = texts.select(key, F.regexp_extract_all("_low", F.lit("(?s)."), F.lit(0)).alias("_c"))
+
+    def pieces(length: int) -> Column:
+        last = F.size("_c") - length
+        starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_c", i, length), ""))
+
+    every = F.array_distinct(F.concat(*[pieces(n) for n in range(1, SEED_LENGTH + 1)]))
+    grams = letters.select(key, F.explode_outer(every).alias("_gram"))
+    likely = grams.join(seeds, "_gram").select(key, "term", "topic")
+    hits = likely.join(texts, key).where(F.contains("_low", "term"))
+    found = hits.groupBy(key).agg(
+        F.array_sort(F.collect_set("term")).alias("matched_words"),
+        F.array_sort(F.collect_set("topic")).alias("topics"),
     )
-    grams = (
-        spans.where(F.length("_t") >= F.col("_n"))
-        .select(
-            key,
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("_t") - F.col("_n") + 1),
-                        lambda i: F.substring(F.col("_t"), i, F.col("_n")),
-                    )
-                )
-            ).alias("term"),
-        )
+    none = F.array().cast("array<string>")
+    tagged = df.join(found, key, "left").withColumns(
+        {c: F.coalesce(c, none) for c in ("matched_words", "topics")}
     )
-    return grams.join(terms, "term").select(key, "term", "topic")
+    return topic_flags(tagged, topics)

@@ -10,14 +10,12 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- Fixed values: patterns, limits and formats that decide the results ---
+# --- Fixed values: patterns and formats that decide the results ---
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 MENTION = r"(?U)@\w+"
 LINK = r"https?://[A-Za-z0-9./]+"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MIN_TOKEN_LENGTH = 4
-MAX_TOKENS = 512
-RECUT_FROM = 312
 WORD = r"(?U)[\w&&[^\d]]+"
 WORD_LENGTHS = (2, 15)
 # --- end of fixed values ---
@@ -97,32 +95,20 @@ def _kept(tokens: Column, stop: list[str]) -> Column:
         in_punctuation = F.instr(F.lit(PUNCTUATION), token) > 0
         return long_enough & ~token.isin(stop) & ~in_punctuation
 
-    return F.slice(F.filter(tokens, keep), 1, MAX_TOKENS)
-
-
-def _cut_edges(tokens: Column) -> Column:
-    """Split leading and trailing punctuation off every token."""
-    apart = F.regexp_replace(F.array_join(tokens, " "), EDGE_PUNCTUATION, " $0 ")
-    return F.split(apart, " +")
+    return F.filter(tokens, keep)
 
 
 def classifier_tokens(text: Column, stop: Iterable[str]) -> Column:
     """Tokens kept for the classifier.
 
-    Lower-case, without mentions and links, stop words, punctuation and tokens
-    of three characters or fewer, at most 512; a text that still has 312 or
-    more is cut again at the punctuation around its words.
+    Lower-case, without mentions and links, cut at the punctuation around
+    words, without stop words, punctuation and tokens of three characters or
+    fewer. One rule for texts of any length, and no limit.
     """
-    stop = list(stop)
     bare = F.trim(F.regexp_replace(F.lower(text), MENTION, ""))
-    unlinked = F.regexp_replace(bare, LINK, " ")
-    first = _kept(F.split(clean_whitespace(unlinked), " "), stop)
-
-    def recut_if_long(kept: Column) -> Column:
-        return F.when(F.size(kept) >= RECUT_FROM, _kept(_cut_edges(kept), stop)).otherwise(kept)
-
-    # a one-element array names the first cut, so that it is made only once
-    return F.element_at(F.transform(F.array(first), recut_if_long), 1)
+    unlinked = clean_whitespace(F.regexp_replace(bare, LINK, " "))
+    apart = F.regexp_replace(unlinked, EDGE_PUNCTUATION, " $0 ")
+    return _kept(F.split(apart, " +"), list(stop))
 
 
 def normalize_text(text: Column, stop: Iterable[str]) -> Column:

@@ -6,14 +6,14 @@ from collections.abc import Callable, Iterable
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
+from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.operators import sampling
-from threadloom.session import materialise, spread
+from threadloom.session import materialise
 
 # --- Fixed values: model settings and label names ---
 TOPIC_COUNT = 10
@@ -29,7 +29,8 @@ CLASS_LABELS = {
 CODED_TOPICS = ("Childcare/parenting", "Russia/Ukraine war", "US midterm elections")
 # --- end of fixed values ---
 
-VOCABULARY = 1 << 16
+#: Cells that words are hashed to; no word is left out, and the topic matrix has a known size.
+WORD_CELLS = 1 << 16
 
 
 def doc_bow(posts: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -42,21 +43,19 @@ def doc_bow(posts: DataFrame, key: str, tokens: Column) -> DataFrame:
 
 
 def word_counts(posts: DataFrame, stop: Iterable[str], text: str = "text") -> DataFrame:
-    """``pid`` and its word counts over the vocabulary of all posts, written once.
+    """``pid`` and the hashed counts of all its words, written once.
 
     The topic model reads its input in every iteration.
     """
-    posts = spread(posts.select("pid", text))
-    words = materialise(
-        posts.select("pid", tx.simple_tokens(F.col(text), stop).alias("words")), "words"
-    )
-    vocabulary = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=VOCABULARY).fit(words)
-    return materialise(vocabulary.transform(words).select("pid", "counts"), "counts")
+    words = posts.select("pid", tx.simple_tokens(F.col(text), stop).alias("words"))
+    hashed = HashingTF(inputCol="words", outputCol="counts", numFeatures=WORD_CELLS).transform(words)
+    return materialise(hashed.select("pid", "counts"), "counts")
 
 
 def fit_topics(counts: DataFrame, k: int = TOPIC_COUNT) -> LDAModel:
-    """A topic model of the word counts of all posts."""
-    return LDA(featuresCol="counts", k=k, seed=SEED, optimizer="online", maxIter=10).fit(counts)
+    """A topic model of the word counts of all posts, every one of which is used in each pass."""
+    learner = LDA(featuresCol="counts", k=k, seed=SEED, optimizer="online", maxIter=10, subsamplingRate=1.0)
+    return learner.fit(counts)
 
 
 def topic_loadings(model: LDAModel, counts: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from threadloom.plans.registry import query, table
 from threadloom.plans.scans import clean_sql
 from threadloom.plans.tables import CODED, coded_conversations
 from threadloom.plans.texts import STOP
-from threadloom.session import spread
 
 LEXICON = ("the", "that", "dans", "nicht", "was", "eine")
 LEXICON_SQL = ", ".join(f"'{w}'" for w in LEXICON)
@@ -69,7 +68,7 @@ def label_onehot(spark: SparkSession, sf: str) -> DataFrame:
 @query("classify_topic")
 def classify_topic(spark: SparkSession, sf: str) -> DataFrame:
     """One classifier per label, trained on a balanced 80%; every document scored and thresholded."""
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     tokens = documents.select("doc_id", tx.classifier_tokens(F.col("text"), STOP).alias("tokens"))
     weights = ops.word_weights(tokens, "doc_id")
     topics = {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}

@@ -11,7 +11,6 @@ from threadloom.operators import models, rollups
 from threadloom.plans import fixtures as fx
 from threadloom.plans.registry import query, table
 from threadloom.plans.scans import clean_sql
-from threadloom.session import spread
 from threadloom.sources import pages
 
 STOP = ("that", "with", "this", "there", "where", "dans", "nicht", "eine", "para", "the", "and", "thand")
@@ -104,6 +103,39 @@ def match_terms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Every word of a part's name and its last three letters, with the least of its types.
+PART_TERMS = """
+words as (select unnest(string_split(lower(p_name), ' ')) as word, lower(p_type) as topic from part),
+terms as (select term, min(topic) as topic
+          from (select word as term, topic from words union all select right(word, 3), topic from words) w group by term)
+"""
+
+
+def part_terms(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "part").select(
+        F.explode(F.split(F.lower("p_name"), " ")).alias("word"), F.lower("p_type").alias("topic")
+    )
+    terms = words.select(F.explode(F.array("word", F.expr("right(word, 3)"))).alias("term"), "topic")
+    return terms.groupBy("term").agg(F.min("topic").alias("topic"))
+
+
+@query(
+    "match_terms_large",
+    f"""with {PART_TERMS.strip()}
+        select doc_id, coalesce(string_agg(term, ' | ' order by term), '') as matched_words,
+               coalesce(string_agg(distinct topic, ' | ' order by topic), '') as topics
+        from documents left join terms on contains(lower(text), term) group by doc_id""",
+)
+def match_terms_large(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    tagged = kw.tag_terms(documents, part_terms(spark, sf), "doc_id")
+    return tagged.select(
+        "doc_id",
+        kw.join_topics(F.col("matched_words")).alias("matched_words"),
+        kw.join_topics(F.col("topics")).alias("topics"),
+    )
+
+
 @query("topic_flags", fx.with_views("select pid, russia, midterms, childcare from posts_fx"))
 def topic_flags(spark: SparkSession, sf: str) -> DataFrame:
     tagged = fx.dictionary(spark).tag(fx.raw_posts(spark, sf).select("pid", "text"))
@@ -215,15 +247,15 @@ def kept_sql(tokens: str) -> str:
     mark = tx.PUNCTUATION.replace("'", "''")
     return (
         f"list_filter({tokens}, lambda t: length(t) >= 4 and not contains('{mark}', t)"
-        f" and not list_contains([{STOP_SQL}], t))[1:512]"
+        f" and not list_contains([{STOP_SQL}], t))"
     )
 
 
 NORMALIZED = f"""
-cut as (select doc_id, {kept_sql("string_split(" + clean_sql(
+cut as (select doc_id, string_split({clean_sql(
     "regexp_replace(trim(regexp_replace(lower(text), '@[\\pL\\pM\\p{Nd}\\p{Pc}]+', '', 'g')), 'https?://[A-Za-z0-9./]+', ' ', 'g')"
-) + ", ' ')")} as first from documents),
-recut as (select doc_id, first, flatten(list_transform(first, lambda t: [
+)}, ' ') as first from documents),
+recut as (select doc_id, flatten(list_transform(first, lambda t: [
     regexp_extract(t, '^([[:punct:]]*)(.*?)([[:punct:]]*)$', 1),
     regexp_extract(t, '^([[:punct:]]*)(.*?)([[:punct:]]*)$', 2),
     regexp_extract(t, '^([[:punct:]]*)(.*?)([[:punct:]]*)$', 3)])) as edges from cut)
@@ -233,11 +265,11 @@ recut as (select doc_id, first, flatten(list_transform(first, lambda t: [
 @query(
     "normalize_text",
     f"""with {NORMALIZED.strip()}
-        select doc_id, array_to_string(case when len(first) >= 312 then {kept_sql('edges')} else first end, ' ') as clean_text
+        select doc_id, array_to_string({kept_sql('edges')}, ' ') as clean_text
         from recut""",
 )
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    documents = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     return documents.select("doc_id", tx.normalize_text(F.col("text"), STOP).alias("clean_text"))
 
 

@@ -66,16 +66,6 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of an input that has fewer partitions than there are cores.
-
-    For per-row work that costs far more than moving the row. A large input
-    has partitions enough and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def materialise_counting(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict]:
     """:func:`materialise`, with aggregates over the written rows."""
     written = materialise(df, label)
