@@ -8,10 +8,11 @@ and the long lists among them, are skipped when collisions are counted. Pairs th
 of all coordinates are confirmed on the full sets.
 
 Documents of one set are one class and take part once. Within a posting list a leader, the document
-of the least id, is compared with the rest; members of its component are merged and need no further
-comparison, so a group of near copies costs one pair per document, not all pairs. After a few such
-rounds the pairs left over, those across components only, are compared in full: no link between
-different components of a list goes unchecked.
+of the least id, is compared with the rest, and those it is linked with take its label, so a group
+of near copies costs one pair per document, not all pairs. Lists whose members then have different
+labels are settled by a prefix join on the full sets, between members of different labels only: no
+link that could join two components goes unchecked, and members that no set can be similar to, such
+as copies with too many changes of their own, drop out before any pair is made.
 
 Defined results: a document without words has no set and links with nothing. Rows of a null id take
 part; a component takes its least id, and is kept whole only if no row of it has an id.
@@ -34,7 +35,6 @@ from threadloom.session import materialise
 COORDINATES = 64
 #: Share of pairs at the similarity bound that the signatures may miss.
 MISSED = 1e-6
-LEADER_ROUNDS = 3
 
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, 4096, dtype=np.uint64)
 _SEEDS = _SEEDS * np.uint64(2) + np.uint64(1)
@@ -86,15 +86,14 @@ def _signatures(k: int, coordinates: int):
                 signature = pa.ListArray.from_arrays(
                     pa.array(ends), pa.array(lowest.T.reshape(-1).view(np.int32))
                 )
-                node = [f"{a:016x}{b:016x}" if s else None for a, b, s in zip(*keys, size)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(base, n) for c in ("doc", "key")),
                         pa.array(size.astype(np.int64)),
-                        pa.array(node, pa.string()),
+                        *map(words.signed, keys),
                         signature,
                     ],
-                    ["doc", "key", "n", "node", "signature"],
+                    ["doc", "key", "n", "k1", "k2", "signature"],
                 )
 
     return run
@@ -165,7 +164,7 @@ class _Join:
             F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
         )
         agreed = sized.select("a", "b", "sa", "sb").mapInArrow(
-            _agreeing(self.matches), "a string, b string"
+            _agreeing(self.matches), "a long, b long"
         )
         members = {
             end: self.sets.select(F.col("node").alias(end), F.col("members").alias(f"m{end}"))
@@ -173,7 +172,7 @@ class _Join:
         }
         both = agreed.join(members["a"], "a").join(members["b"], "b")
         return both.select("a", "b", "ma", "mb").mapInArrow(
-            _similar(self.percent), "a string, b string"
+            _similar(self.percent), "a long, b long"
         )
 
 
@@ -183,28 +182,80 @@ def _components(links: DataFrame) -> DataFrame:
     return component_stars(edges).select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def _labelled(posts: DataFrame, stars: DataFrame) -> DataFrame:
-    """The posts of lists in which two components or more still meet."""
-    named = posts.drop("label").join(stars, "node", "left")
-    named = named.withColumn("label", F.coalesce("label", "node"))
-    meeting = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    return named.join(meeting.filter("x < y").select("token"), "token", "left_semi")
-
-
 def _led(posts: DataFrame) -> DataFrame:
-    """Each list's leader with every member of another component."""
+    """Each list's leader ``a`` with every other member ``b``, distinct over all lists."""
     rank = F.struct(F.col("least").isNull(), "least", "node")
-    leaders = posts.filter("not led").groupBy("token").agg(
-        F.min(F.struct(rank.alias("rank"), "label")).alias("l")
+    leaders = posts.groupBy("token").agg(F.min(rank).alias("l"), F.count("*").alias("size"))
+    leaders = leaders.filter("size > 1").select("token", F.col("l.node").alias("a"))
+    return posts.join(leaders, "token").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
+def _unlike(posts: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` of the members of lists that do not have one label.
+
+    A label is a leader that the node is linked with, or that leader's own leader: always a member
+    of the node's component, if not the same one throughout.
+    """
+    up = links.groupBy("b").agg(F.min("a").alias("above"))
+    further = up.select(F.col("b").alias("above"), F.col("above").alias("top"))
+    label = up.join(further, "above", "left").select(
+        F.col("b").alias("node"), F.coalesce("top", "above").alias("label")
     )
-    leaders = leaders.select("token", F.col("l.rank.node").alias("leader"), F.col("l.label").alias("own"))
-    return posts.join(leaders, "token")
+    label = materialise(label, "labels")
+    named = posts.select("token", "node").join(label, "node", "left").select(
+        "token", "node", F.coalesce("label", "node").alias("label")
+    )
+    meeting = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"))
+    unlike = named.join(meeting.filter("x < y").select("token"), "token", "left_semi")
+    return materialise(unlike.select("node", "label").distinct(), "unlike")
 
 
 def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
     return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
 
+def _postings(classes: DataFrame, coordinates: int) -> DataFrame:
+    """``token, node``: a class under each of its first coordinate-value pairs."""
+    signature = F.slice("signature", 1, coordinates)
+    each = classes.select("node", F.posexplode(signature).alias("c", "value"))
+    return each.select("node", (F.col("c") * F.lit(1 << 32) + F.col("value")).alias("token"))
+
+
+def _rest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of unlike labels that may be similar, by a prefix join on full sets.
+
+    Similar sets share ``percent`` of either one, hence one of the rarest members that a set may not
+    do without. Members found in one set only are the rarest of all, and rule out most sets.
+    """
+    each = sets.join(nodes, "node").select("node", "label", F.size("members").alias("n"), F.explode("members").alias("h"))
+    several = each.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
+    ranked = each.join(several, "h").groupBy("node", "label", "n").agg(
+        F.array_sort(F.collect_list(F.struct("size", "h"))).alias("t")
+    )
+    needed = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
+    ranked = ranked.withColumn("m", F.size("t")).filter(F.col("m") >= needed)
+    prefix = ranked.select(
+        "node", "label", "n", "m", F.posexplode(F.slice("t", F.lit(1), F.col("m") - needed + 1)).alias("i", "p")
+    )
+    # No more than `left` members can be shared if this is the first one that is.
+    left = (F.col("m") - F.col("i")).alias("left")
+    held = materialise(prefix.select("node", "label", "n", left, F.col("p.h").alias("h")), "prefix")
+    # Within a list only those outside its largest label look for partners.
+    sizes = held.groupBy("h", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("h").agg(
+        F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels")
+    )
+    largest = largest.filter("labels > 1").select("h", F.col("m.label").alias("main"))
+    outside = held.join(largest, "h").filter("label <> main").drop("main")
+    other = held.select(
+        "h", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "left"))
+    )
+    close = (F.col("label") != F.col("label_b")) & (
+        F.least("left", "left_b") * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+    )
+    return _pairs(outside.join(other, "h").filter(close), "node", "node_b")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -222,67 +273,50 @@ def near_duplicates(
     base = materialise(
         texts.mapInArrow(
             _signatures(shingle, coordinates),
-            "doc long, key long, n long, node string, signature array<int>",
+            "doc long, key long, n long, k1 long, k2 long, signature array<int>",
         ),
         "signatures",
     )
     filled = base.filter("n > 0")
-    least = filled.groupBy("node").agg(F.min("doc").alias("least"))
-    classes = filled.dropDuplicates(["node"]).select("node", "n", "signature", "key", "doc")
-    classes = materialise(classes.join(least, "node"), "classes")
-
-    postings = classes.select("node", "least", F.posexplode("signature").alias("c", "value"))
-    postings = postings.select(
-        "node", "least", (F.col("c") * F.lit(1 << 32) + F.col("value")).alias("token")
-    )
+    same_set = ["k1", "k2"]
+    least = filled.groupBy(*same_set).agg(F.min("doc").alias("least"))
+    first = filled.dropDuplicates(same_set).join(least, same_set)
+    classes = materialise(first.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    # Documents that agree on `matches` coordinates agree on one of any `coordinates - matches + 1`.
+    some = _postings(classes, coordinates - matches + 1)
+    met = some.join(some.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "token")
+    met = classes.join(met.select("node").distinct(), "node", "left_semi")
+    postings = _postings(materialise(met, "met"), coordinates)
     lists = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = postings.join(lists, "token").groupBy("node", "least").agg(
+    shared = postings.join(lists, "token").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("size", "token"))).alias("t")
     )
     prefix = shared.filter(F.size("t") >= matches).select(
-        "node", "least", F.explode(F.slice("t", F.lit(1), F.size("t") - (matches - 1))).alias("p")
-    )
-    posts = prefix.select(
-        F.col("p.token").alias("token"), "node", "least", F.col("node").alias("label"),
-        F.lit(False).alias("led"),
+        "node", F.explode(F.slice("t", F.lit(1), F.size("t") - (matches - 1))).alias("p")
     )
-    posts = materialise(posts, "posts")
-
-    posted = posts.select("node").distinct()
-    chosen = classes.join(posted, "node", "left_semi").select("node", "doc", "key")
-    first = texts.dropDuplicates(["doc", "key"])
-    same_doc = first["doc"].eqNullSafe(chosen["doc"]) & (first["key"] == chosen["key"])
-    wanted = first.join(chosen, same_doc).select(chosen["node"], first["text"])
-    sets = materialise(wanted.mapInArrow(_sets(shingle), "node string, members array<long>"), "sets")
-
-    lookup = _Join(classes, sets, matches, percent)
-    stars = None
-    for _ in range(LEADER_ROUNDS):
-        led = _led(posts)
-        pairs = _pairs(led.filter("label <> own"), "leader", "node") if stars is not None else (
-            _pairs(led.filter("node <> leader"), "leader", "node")
-        )
-        links = lookup.links(pairs)
-        if stars is not None:
-            links = links.unionByName(stars.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        stars = _components(links)
-        led = led.withColumn("led", F.col("led") | (F.col("label") == F.col("own")))
-        posts = materialise(_labelled(led.drop("leader", "own"), stars), "posts")
-        if posts.isEmpty():
-            break
-    else:
-        other = posts.select("token", F.col("node").alias("other"), F.col("label").alias("theirs"))
-        rest = posts.join(other, "token").filter("label < theirs")
-        links = lookup.links(_pairs(rest, "node", "other"))
-        stars = _components(
-            links.unionByName(stars.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        )
-
-    named = classes.select("node", "least").join(stars, "node", "left")
+    posts = prefix.select(F.col("p.token").alias("token"), "node")
+    posts = materialise(posts.join(classes.select("node", "least"), "node"), "posts")
+
+    posted = materialise(classes.join(posts.select("node").distinct(), "node", "left_semi"), "posted")
+    named = F.coalesce("doc", F.lit(0)).alias("id")
+    chosen = posted.select("node", named, "key")
+    wanted = texts.select(named, "key", "text").join(chosen, ["id", "key"]).dropDuplicates(["node"])
+    members = wanted.select("node", "text").mapInArrow(_sets(shingle), "node long, members array<long>")
+    sets = materialise(members, "sets")
+
+    lookup = _Join(posted, sets, matches, percent)
+    links = materialise(lookup.links(_led(posts)), "links")
+    rest = _unlike(posts, links)
+    if not rest.isEmpty():
+        links = links.unionByName(lookup.links(_rest(rest, sets, percent)))
+    stars = _components(links)
+
+    named = classes.select("node", "least", *same_set).join(stars, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = named.join(lowest, "label").select("node", "component_id")
-    rows = base.drop("signature").join(known, "node", "left")
+    known = named.join(lowest, "label").select(*same_set, "component_id")
+    rows = base.drop("signature").join(known, same_set, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
     rows = rows.select(
         F.col("doc").alias("doc_id"),
