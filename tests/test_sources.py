@@ -132,3 +132,27 @@ def test_overwriting_one_platform_leaves_the_other(spark, tmp_path):
     sinks.write_posts(posts.where("platform = 'b'").withColumn("pid", F.lit("3")), path, "overwrite")
     got = spark.read.schema(schemas.POSTS).parquet(path)
     assert sorted(r.pid for r in got.collect()) == ["1", "3"]
+
+
+def test_files_hold_sorted_ranges_of_conversations(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    rows = spark.range(3000).selectExpr(
+        "'a' as platform", "cast(id as string) as pid", "concat('c', id * 7919 % 500) as conversation_id"
+    )
+    sinks.write_posts(post_ops.conform(rows.repartition(8)), path)
+    spans = []
+    for file in sorted((tmp_path / "posts" / "platform=a").glob("*.parquet")):
+        ids = [r[0] for r in spark.read.parquet(str(file)).select("conversation_id").collect()]
+        assert ids == sorted(ids)
+        spans.append((ids[0], ids[-1]))
+    spans.sort()
+    assert all(before[1] <= after[0] for before, after in zip(spans, spans[1:]))
+
+
+def test_blanks_in_text_do_not_break_cells(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = [("1", "c", "two\tcells\nand \r\n lines"), ("2", "c\td", None)]
+    sinks.write_tsv(spark.createDataFrame(rows, "pid string, conversation_id string, text string"), path)
+    schema = schemas.T.StructType([f for f in schemas.POSTS_TSV if f.name in ("pid", "conversation_id", "text")])
+    got = sorted(tuple(r) for r in tables.read_tsv(spark, path, schema).collect())
+    assert got == [("1", "c", "two cells and lines"), ("2", "c d", None)]

@@ -150,7 +150,8 @@ def distribution_matrix(stats: DataFrame, topics: tuple[str, ...], metrics: dict
     """Log-binned density of every metric, per platform, for all and for each topic.
 
     One grouped job: metrics are unpivoted, and a conversation counts once for
-    "all" and once for its topic.
+    "all" and once for its topic. The long table is written once, since the
+    bounds and the bins both read it.
     """
     scopes = F.array_compact(
         F.array(F.lit("all"), F.when(F.col("classified_topic").isin(*topics), F.col("classified_topic")))
@@ -164,4 +165,4 @@ def distribution_matrix(stats: DataFrame, topics: tuple[str, ...], metrics: dict
     points = F.lit(None)
     for metric, count in metrics.items():
         points = F.when(F.col("metric") == metric, count).otherwise(points)
-    return binned_density(long, "v", points, ("metric", "platform", "scope"))
+    return binned_density(materialise(long, "metrics"), "v", points, ("metric", "platform", "scope"))

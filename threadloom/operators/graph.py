@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import materialise, materialise_counting
+from threadloom.session import discard, materialise, materialise_counting
 
 CONVERSATION = "conversation_id"
 HOPS_PER_ROUND = 2
@@ -117,7 +117,9 @@ def most_ancestors(links: DataFrame) -> DataFrame:
             CONVERSATION, "node", F.col("_further").alias("ancestor")
         )
         wider = pairs.unionByName(longer.where(F.col("node") != F.col("ancestor"))).distinct()
+        before = pairs
         pairs, seen = materialise_counting(wider, "ancestors", n=F.count("*"))
+        discard(before)
     counts = pairs.groupBy(CONVERSATION, "node").agg(F.count("*").alias("_n"))
     return counts.groupBy(CONVERSATION).agg(F.max("_n").alias("depth"))
 
@@ -197,9 +199,10 @@ def component_stars(edges: DataFrame) -> DataFrame:
             .select(CONVERSATION, F.col("v").alias("u"), F.col("m").alias("v"))
         )
         stars = small.unionByName(least.select(CONVERSATION, "u", F.col("m").alias("v"))).distinct()
-        before = state
+        before, last = links, state
         links, state = materialise_counting(stars, "components", **_fingerprint())
-        if state == before:
+        discard(before)
+        if state == last:
             return links
 
 

@@ -40,10 +40,25 @@ def topic_pairs(posts: DataFrame) -> DataFrame:
 
 
 def topic_counts(posts: DataFrame) -> DataFrame:
-    """Posts per topic and their share of all posts."""
-    total = posts.select(F.count("*")).scalar()
-    counts = explode_topics(posts).groupBy("topic").agg(F.count("*").alias("n_posts"))
-    return counts.select("topic", "n_posts", share(F.col("n_posts"), total).alias("share"))
+    """Posts per topic and their share of all posts.
+
+    Every post counts once more under no topic, which gives the total.
+    """
+    named = F.filter(topic_pieces(posts), lambda t: t != "")
+    rows = posts.select(F.explode(F.concat(_total(), named)).alias("topic"))
+    return _shares(rows.groupBy("topic").agg(F.count("*").alias("n_posts")), "n_posts")
+
+
+def _total() -> Column:
+    """The entry that stands for all rows where topics are counted."""
+    return F.array(F.lit(None).cast("string"))
+
+
+def _shares(counts: DataFrame, n: str) -> DataFrame:
+    """Counts per topic with their share of the row without a topic; one row per topic."""
+    total = F.max(F.when(F.col("topic").isNull(), F.col(n))).over(W.partitionBy(F.lit(0)))
+    shares = counts.select("topic", n, share(F.col(n), total).alias("share"))
+    return shares.where(F.col("topic").isNotNull())
 
 
 def topic_contains(posts: DataFrame, topics: tuple[str, ...] = schemas.TOPICS) -> DataFrame:
@@ -60,11 +75,9 @@ def topic_contains(posts: DataFrame, topics: tuple[str, ...] = schemas.TOPICS) -
 
 def topic_conversations(pairs: DataFrame) -> DataFrame:
     """Distinct conversations per topic and their share of all conversations with a topic."""
-    total = pairs.select(CONVERSATION).distinct().select(F.count("*")).scalar()
-    counts = pairs.groupBy("topic").agg(F.count("*").alias("n_conversations"))
-    return counts.select(
-        "topic", "n_conversations", share(F.col("n_conversations"), total).alias("share")
-    )
+    topics = pairs.groupBy(CONVERSATION).agg(F.collect_set("topic").alias("_topics"))
+    rows = topics.select(F.explode(F.concat(_total(), "_topics")).alias("topic"))
+    return _shares(rows.groupBy("topic").agg(F.count("*").alias("n_conversations")), "n_conversations")
 
 
 def topic_outcome_share(pairs: DataFrame, **outcomes: DataFrame) -> DataFrame:
@@ -197,13 +210,20 @@ def median_by_key(df: DataFrame, key: str, value: str, low: float = 0.0, high: f
     the at most 4,096 cells tell which one or two cells hold the middle, and
     only their values are put in order.
     """
+    return _median(score_counts(df, key, value, low, high), key, value)
+
+
+def score_counts(df: DataFrame, key: str, value: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """``_n`` rows per key, cell and value ``_v``; missing values have no cell. Written once."""
     scaled = F.floor((F.col(value) - low) / (high - low) * SCORE_CELLS).cast("long")
     cell = F.greatest(F.lit(0), F.least(F.lit(SCORE_CELLS - 1), scaled))
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(key, cell.alias("_cell"), F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
-    )
+    cell = F.when(F.col(value).isNotNull(), cell)
+    counts = df.groupBy(key, cell.alias("_cell"), F.col(value).alias("_v"))
+    return materialise(counts.agg(F.count("*").alias("_n")), "scores")
+
+
+def _median(counts: DataFrame, key: str, value: str) -> DataFrame:
+    counts = counts.where(F.col("_v").isNotNull())
     cells = W.partitionBy(key)
     earlier = cells.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     middle = (
@@ -239,10 +259,13 @@ def median_by_key(df: DataFrame, key: str, value: str, low: float = 0.0, high: f
 
 def tox_summary(posts: DataFrame) -> DataFrame:
     """Mean, median and maximum score per conversation, missing scores skipped."""
-    plain = posts.groupBy(CONVERSATION).agg(
-        F.avg("tox").alias("tox_mean"), F.max("tox").alias("tox_max")
+    counts = score_counts(posts, CONVERSATION, "tox")
+    known = F.when(F.col("_v").isNotNull(), F.col("_n"))
+    plain = counts.groupBy(CONVERSATION).agg(
+        share(F.sum(F.col("_v") * F.col("_n")), F.sum(known)).alias("tox_mean"),
+        F.max("_v").alias("tox_max"),
     )
-    return plain.join(median_by_key(posts, CONVERSATION, "tox"), CONVERSATION, "left").select(
+    return plain.join(_median(counts, CONVERSATION, "tox"), CONVERSATION, "left").select(
         CONVERSATION, "tox_mean", "tox_median", "tox_max"
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.operators.ranking import random_rank
 from threadloom.operators.rollups import CONVERSATION
-from threadloom.session import materialise
+from threadloom.session import materialise, materialise_counting
 
 # --- Fixed values: quota, seed and split ---
 QUOTA_SHARE = 0.05
@@ -42,11 +42,11 @@ def quota_sample(pairs: DataFrame, searched: DataFrame) -> DataFrame:
 def balance_classes(rows: DataFrame, identifier: str, positive: str, seed: int = SEED) -> DataFrame:
     """All rows where ``positive`` holds and as many random others.
 
-    Fewer others than positives are all kept.
+    Fewer others than positives are all kept. The rows are written once.
     """
+    rows, seen = materialise_counting(rows, "classes", positives=F.count_if(positive))
     yes = rows.where(F.col(positive))
-    need = yes.select(F.count("*")).scalar()
-    no = rows.where(~F.col(positive)).withColumn("_need", need)
+    no = rows.where(~F.col(positive)).withColumn("_need", F.lit(seen["positives"]))
     return yes.unionByName(
         random_rank(no, identifier, (), seed, "_rank", at_most="_need").drop("_rank", "_need")
     )
@@ -59,10 +59,10 @@ def split_sets(
     names: tuple[str, ...] = ("train", "test"),
     seed: int = SEED,
 ) -> DataFrame:
-    """Shuffle and cut at the given cumulative shares; sizes are exact."""
-    total = rows.select(F.count("*")).scalar()
+    """Shuffle and cut at the given cumulative shares; sizes are exact. The rows are written once."""
+    rows, seen = materialise_counting(rows, "rows", total=F.count("*"))
     ranked = random_rank(rows, identifier, (), seed, "_rank")
     part = F.lit(names[-1])
     for cut, name in reversed(list(zip(shares, names))):
-        part = F.when(F.col("_rank") <= F.floor(total * cut), name).otherwise(part)
+        part = F.when(F.col("_rank") <= F.floor(F.lit(seen["total"]) * cut), name).otherwise(part)
     return ranked.withColumn("part", part).drop("_rank")

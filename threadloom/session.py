@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_written: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def local_session(cpus: int | str = "*", app: str = "threadloom", **conf: str) -> SparkSession:
@@ -63,7 +65,19 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _written[id(written)] = (weakref.ref(written), path)
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete a table of :func:`materialise` that nothing reads any more; others are left alone."""
+    reference, path = _written.pop(id(written), (None, None))
+    if reference is None or reference() is not written:
+        return
+    sc = written.sparkSession.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise_counting(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict]:

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions.keywords import join_topics
+from threadloom.functions.text import clean_whitespace
 
 
 def write_posts(posts: DataFrame, path: str, mode: str = "append") -> None:
-    """Write posts by platform, clustered by conversation.
+    """Write posts by platform, in ranges of conversations.
 
-    Rows of one conversation end up together so that a reader of few
-    conversations can skip most files; ``rebalance`` lets the runtime split a
-    conversation too large for one task. ``overwrite`` replaces only the
+    Files hold consecutive ranges and are sorted, so that a reader of few
+    conversations skips most files and most of the rest; a conversation too
+    large for one file may span neighbours. ``overwrite`` replaces only the
     platforms present in ``posts``.
     """
+    order = ["platform", "conversation_id", "pid"]
     (
-        posts.hint("rebalance", F.col("conversation_id"))
-        .sortWithinPartitions("conversation_id")
+        posts.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("platform")
@@ -28,15 +30,11 @@ def write_posts(posts: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Tab-separated export, header in every file, sets joined, nothing quoted."""
-    flat = df.select(
-        *[
-            join_topics(F.col(f.name)).alias(f.name)
-            if isinstance(f.dataType, T.ArrayType)
-            else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+    """Tab-separated export, header in every file, sets joined, nothing quoted.
+
+    Blanks in strings are collapsed, since a tab or line break would end a cell.
+    """
+    flat = df.select(*[_cell(f).alias(f.name) for f in df.schema])
     (
         flat.write.mode(mode)
         .option("sep", "\t")
@@ -48,6 +46,15 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     )
 
 
+def _cell(field: T.StructField) -> Column:
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.ArrayType):
+        column = join_topics(column)
+    elif not isinstance(field.dataType, T.StringType):
+        return column
+    return clean_whitespace(column)
+
+
 def write_topic_map(pairs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``topic -> ids`` as JSON lines in one folder per topic.
 
