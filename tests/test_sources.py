@@ -84,10 +84,14 @@ def test_collapsed_nodes_at_both_levels(spark, tmp_path):
     assert rows["c1"].conversation_id == "r" and rows["c1"].russia == 0 and len(rows) == 6
 
 
-def test_unreadable_thread_is_left_out(spark, tmp_path):
+def test_unreadable_threads_are_reported(spark, tmp_path):
     put(tmp_path / "a.json", json.dumps(thread([])))
     put(tmp_path / "b.json", "[{")
+    put(tmp_path / "c.json", "{}")
+    put(tmp_path / "d.json", "\n")
     assert threads.read_threads(spark, str(tmp_path)).count() == 1
+    left_out = {r.filename[-6:]: (r.length, r.reason) for r in threads.unreadable_threads(spark, str(tmp_path)).collect()}
+    assert left_out == {"b.json": (2, "no JSON array of listings"), "c.json": (2, "no posts")}
 
 
 def test_tsv_keeps_long_ids_and_stray_quotes(spark, tmp_path):

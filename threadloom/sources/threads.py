@@ -10,88 +10,75 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as tx
 from threadloom.session import materialise
 
-LEVELS_PER_PASS = 10
-
-_NODE_FIELDS = {
-    "id": "string",
-    "author": "string",
-    "created_utc": "double",
-    "parent_id": "string",
-    "permalink": "string",
-    "over_18": "boolean",
-    "title": "string",
-    "selftext": "string",
-    "body": "string",
-    "children": "array<string>",
-}
+_POST = (
+    "id string, author string, created_utc double, parent_id string, permalink string, "
+    "over_18 boolean, title string, selftext string, body string, children array<string>, "
+    # an object comes as its text, so that a level is parsed when it is reached
+    "replies string"
+)
+_LISTING = f"struct<data: struct<children: array<struct<data: struct<{_POST.replace(' ', ':').replace(',:', ',')}>>>>>"
+_FIELDS = [field.split()[0] for field in _POST.split(", ")]
+
+
+def _documents(spark: SparkSession, path: str, whole_file: bool) -> DataFrame:
+    """Every document with its text, and null or its first level."""
+    lines = spark.read.text(path, wholetext=whole_file).where(F.trim("value") != "")
+    return lines.select(
+        F.col("_metadata.file_path").alias("filename"),
+        "value",
+        F.from_json("value", f"array<{_LISTING}>").alias("doc"),
+    )
 
 
-def read_threads(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """Thread documents as ``(filename, doc variant)``, one per line or per file."""
-    return (
-        spark.read.text(path, wholetext=whole_file)
-        .select(
-            F.col("_metadata.file_path").alias("filename"),
-            F.try_parse_json("value").alias("doc"),
-        )
-        .where(F.col("doc").isNotNull())
-    )
+def _top(doc: Column) -> Column:
+    """The nodes of the first level: the root post and the comments on it."""
+    none = F.get(doc, F.lit(0))["data"]["children"]
+    none = F.slice(none, 1, 0)
+    listings = [F.coalesce(F.get(doc, F.lit(i))["data"]["children"], none) for i in range(2)]
+    return F.concat(*listings)
 
 
-def _nodes(variant: Column, path: str) -> Column:
-    return F.coalesce(
-        F.try_variant_get(variant, path, "array<variant>"), F.array().cast("array<variant>")
-    )
+def _is_thread() -> Column:
+    return F.coalesce(F.size(_top(F.col("doc"))) > 0, F.lit(False))
+
 
+def read_threads(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """Thread documents as ``(filename, doc)``, one per line or per file.
 
-def _replies(nodes: Column) -> Column:
-    return F.flatten(F.transform(nodes, lambda n: _nodes(n, "$.data.replies.data.children")))
+    Those that are no thread are left out here and listed by :func:`unreadable_threads`.
+    """
+    return _documents(spark, path, whole_file).where(_is_thread()).select("filename", "doc")
+
+
+def unreadable_threads(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """``filename, length, reason`` of the documents that :func:`read_threads` leaves out."""
+    reason = F.when(F.col("doc").isNull(), "no JSON array of listings").otherwise("no posts")
+    return _documents(spark, path, whole_file).where(~_is_thread()).select(
+        "filename", F.length("value").alias("length"), reason.alias("reason")
+    )
 
 
 def thread_nodes(threads: DataFrame) -> DataFrame:
     """One row per node of every thread, at any depth of nesting.
 
-    Ten levels are unrolled in one projection, without a shuffle. Replies
-    nested deeper are taken up by another pass over those subtrees only.
+    One level of nesting at a time: the replies of a node are a text until
+    their level is reached, and then become rows of their own, so that no row
+    holds more than one subtree. Every level is written once.
     """
-    levels = [f"_l{i}" for i in range(LEVELS_PER_PASS + 1)]
-    frontier = threads.select(
-        "filename",
-        F.try_variant_get("doc", "$[0].data.children[0].data.id", "string").alias("root_id"),
-        F.concat(
-            _nodes(F.col("doc"), "$[0].data.children"), _nodes(F.col("doc"), "$[1].data.children")
-        ).alias(levels[0]),
-    )
-    passes = []
+    root = F.get(F.get("doc", F.lit(0))["data"]["children"], F.lit(0))["data"]["id"]
+    level = threads.select("filename", root.alias("root_id"), F.explode(_top(F.col("doc"))).alias("_n"))
+    levels = []
     while True:
-        for below, above in zip(levels[1:], levels):
-            frontier = frontier.withColumn(below, _replies(F.col(above)))
-        exploded = frontier.select(
-            "filename",
-            "root_id",
-            F.explode(F.concat(_marked(F.concat(*levels[:-1]), False), _marked(F.col(levels[-1]), True))).alias("_row"),
-        )
         written = materialise(
-            exploded.select(
-                "filename",
-                "root_id",
-                *[
-                    F.try_variant_get("_row.node", f"$.data.{name}", kind).alias(name)
-                    for name, kind in _NODE_FIELDS.items()
-                ],
-                F.when(F.col("_row.pending"), F.col("_row.node")).alias("subtree"),
-            ),
+            level.select("filename", "root_id", *[F.col("_n.data")[f].alias(f) for f in _FIELDS]),
             "thread-nodes",
         )
-        passes.append(written.where(F.col("subtree").isNull()).drop("subtree"))
-        rest = written.where(F.col("subtree").isNotNull())
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, passes)
-        frontier = rest.select("filename", "root_id", F.array("subtree").alias(levels[0]))
-
-
-def _marked(nodes: Column, pending: bool) -> Column:
-    return F.transform(nodes, lambda n: F.struct(n.alias("node"), F.lit(pending).alias("pending")))
+        levels.append(written.drop("replies"))
+        answered = written.where(F.col("replies") != "")
+        if answered.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        below = F.from_json("replies", _LISTING)["data"]["children"]
+        level = answered.select("filename", "root_id", F.explode(below).alias("_n"))
 
 
 def is_collapsed(author: str = "author") -> Column:
