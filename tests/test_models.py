@@ -62,7 +62,11 @@ def test_classifiers_tell_topics_apart(spark):
     weights = models.word_weights(df, "id", features=1 << 10)
     topics = {t: F.col("kind") == t for t in ("war", "vote")}
     fitted = models.fit_topic_classifiers(df.select("id", "kind"), weights, "id", topics)
-    got = models.classify(fitted, weights, "id").join(df, "id").collect()
+    got = fitted.classify().join(df, "id").collect()
+    report = {(r.topic, r.label): r for r in fitted.held_out_report().collect()}
+    assert all(report[topic, "accuracy"].f1 > 0.9 for topic in topics)
+    loose = fitted.classify(models.MULTILABEL_THRESHOLD).join(df, "id").collect()
+    assert sum(sum(r[t] for t in topics) for r in loose) >= sum(sum(r[t] for t in topics) for r in got)
     assert len(got) == 90
     assert all((r.war, r.vote) == (int(r.kind == "war"), int(r.kind == "vote")) for r in got)
     assert all((r.score_war > 0.8) == bool(r.war) for r in got)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import LDA, LDAModel
@@ -20,6 +22,7 @@ TOPIC_COUNT = 10
 SEED = 42
 MIN_LOADING = 0.01
 SCORE_THRESHOLD = 0.8
+MULTILABEL_THRESHOLD = 0.5
 CLASS_LABELS = {
     "none": "Off_topic",
     "children": "Childcare/parenting",
@@ -119,30 +122,58 @@ def word_weights(rows: DataFrame, key: str, tokens: str = "tokens", features: in
     return materialise(weighted.select(key, "weights"), "weights")
 
 
+@dataclass(frozen=True)
+class Trained:
+    """Binary classifiers by topic, the rows they can score, and their held-out examples."""
+
+    key: str
+    weights: DataFrame
+    models: dict[str, LogisticRegressionModel]
+    held_out: dict[str, DataFrame]
+
+    def classify(self, limit: float = SCORE_THRESHOLD) -> DataFrame:
+        """``key``, the score of every topic, and 1 where a score exceeds the limit."""
+        scored = self.weights
+        for topic, model in self.models.items():
+            scored = _scored(model, scored, f"score_{topic}")
+        return threshold_label(
+            scored.drop("weights"), {topic: f"score_{topic}" for topic in self.models}, limit
+        )
+
+    def held_out_report(self, limit: float = MULTILABEL_THRESHOLD) -> DataFrame:
+        """:func:`class_report` of every topic's classifier on its held-out examples."""
+        reports = []
+        for topic, model in self.models.items():
+            rows = _scored(model, self.held_out[topic], "score")
+            guessed = rows.withColumn("predicted", (F.col("score") > limit).cast("int"))
+            report = class_report(guessed, "label", "predicted")
+            reports.append(report.select(F.lit(topic).alias("topic"), "*"))
+        return reduce(DataFrame.unionByName, reports)
+
+
+def _scored(model: LogisticRegressionModel, rows: DataFrame, score: str) -> DataFrame:
+    scored = model.transform(rows).withColumn(score, vector_to_array("probability")[1])
+    return scored.drop("rawPrediction", "probability", "prediction")
+
+
 def fit_topic_classifiers(
     labeled: DataFrame, weights: DataFrame, key: str, topics: dict[str, Column]
-) -> dict[str, LogisticRegressionModel]:
+) -> Trained:
     """One binary classifier per topic, trained on the larger part of a balanced sample.
 
     ``topics`` gives the condition under which a labelled row is on the topic.
+    The examples of a topic are written once with their part.
     """
-    fitted = {}
+    fitted, held_out = {}, {}
     for topic, on_topic in topics.items():
         balanced = sampling.balance_classes(labeled.select(key, on_topic.alias("yes")), key, "yes")
-        train = sampling.split_sets(balanced, key).where(F.col("part") == "train")
-        examples = train.join(weights, key).select("weights", F.col("yes").cast("double").alias("label"))
+        parts = sampling.split_sets(balanced, key)
+        label = F.col("yes").cast("int").alias("label")
+        examples = materialise(parts.join(weights, key).select("weights", label, "part"), "examples")
         learner = LogisticRegression(featuresCol="weights", maxIter=20, regParam=0.01)
-        fitted[topic] = learner.fit(examples)
-    return fitted
-
-
-def classify(models: dict[str, LogisticRegressionModel], weights: DataFrame, key: str) -> DataFrame:
-    """``key``, the score of every topic, and 1 where a score exceeds the limit."""
-    scored = weights
-    for topic, model in models.items():
-        scored = model.transform(scored).withColumn(f"score_{topic}", vector_to_array("probability")[1])
-        scored = scored.drop("rawPrediction", "probability", "prediction")
-    return threshold_label(scored.drop("weights"), {topic: f"score_{topic}" for topic in models})
+        fitted[topic] = learner.fit(examples.where(F.col("part") == "train"))
+        held_out[topic] = examples.where(F.col("part") == "test")
+    return Trained(key, weights, fitted, held_out)
 
 
 def threshold_label(rows: DataFrame, scores: dict[str, str], limit: float = SCORE_THRESHOLD) -> DataFrame:

@@ -39,6 +39,11 @@ def quota_sample(pairs: DataFrame, searched: DataFrame) -> DataFrame:
     )
 
 
+def quota_union(sample: DataFrame) -> DataFrame:
+    """The conversations of a quota sample, each once."""
+    return sample.select(CONVERSATION).distinct()
+
+
 def balance_classes(rows: DataFrame, identifier: str, positive: str, seed: int = SEED) -> DataFrame:
     """All rows where ``positive`` holds and as many random others.
 

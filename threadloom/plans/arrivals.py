@@ -78,19 +78,17 @@ def arriving_events(spark: SparkSession, sf: str) -> DataFrame:
     return raw.select("event_id", "ts", F.col("event_type").alias("keyword"))
 
 
+#: Time within which a post may arrive again.
+DEDUP_HORIZON = "2 days"
+
+
 @query("stream_dedup", "select event_id, event_type as keyword from events")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Every event arrives three times; the horizon spans all the days the events cover."""
-    first, last = table(spark, sf, "events").agg(
-        F.min(F.col("ts").cast("date")), F.max(F.col("ts").cast("date"))
-    ).first()
+    """Every event arrives three times, the copies well within the horizon."""
     arrivals = arriving_events(spark, sf)
     copies = arrivals.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(3)])))
     once = streams.dedup_within(
-        copies.withColumn("ts", F.col("ts").cast("timestamp")),
-        "event_id",
-        "ts",
-        f"{(last - first).days + 2} days",
+        copies.withColumn("ts", F.col("ts").cast("timestamp")), "event_id", "ts", DEDUP_HORIZON
     )
     return streams.run_append(
         once.select("event_id", "keyword"), scratch_path(spark, "posts"), scratch_path(spark, "state")
@@ -104,7 +102,7 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
        group by 1, 2""",
 )
 def stream_volume_6h(spark: SparkSession, sf: str) -> DataFrame:
-    counted = streams.run_complete(
-        streams.volume(arriving_events(spark, sf)), scratch_path(spark, "volume"), scratch_path(spark, "state")
+    counted = streams.run_volume(
+        arriving_events(spark, sf), scratch_path(spark, "volume"), scratch_path(spark, "state")
     )
     return counted.select("keyword", tx.epoch_seconds(F.col("slot_start")).alias("slot_start"), "n")

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom import schemas
 from threadloom.functions import keywords as kw
-from threadloom.operators import graph
+from threadloom.operators import graph, models
+from threadloom.operators import posts as post_ops
 from threadloom.operators import relational as rel
 from threadloom.operators import rollups as ops
 from threadloom.plans import fixtures as fx
 from threadloom.plans.registry import query, table
-from threadloom.plans.scans import PAIRS
+from threadloom.plans.scans import PAIRS, clean_sql
 from threadloom.plans.tables import coded_conversations
+from threadloom.session import scratch_path
+from threadloom.sources import pages, sinks
 
 EXPLODED = """
 exploded as (select pid, conversation_id, turn, pos, trim(parts[pos]) as topic
@@ -351,6 +355,62 @@ def convo_stats(spark: SparkSession, sf: str) -> DataFrame:
     return stats(spark, sf)
 
 
+# turn 0 of some conversations answers itself, turn 3 of others has a second parent
+ODD = """
+posts_odd as (select * replace (case when turn = 0 and conv_id % 5 = 0 then pid else parent_id end as parent_id) from posts_fx
+              union all select * replace (concat(conv_id, '-0') as parent_id) from posts_fx where turn = 3 and conv_id % 4 = 1)
+"""
+REACHED = """
+walks as (select conversation_id, src, dst from edges_fx where src <> dst
+          union select w.conversation_id, w.src, e.dst
+          from walks w join edges_fx e on e.conversation_id = w.conversation_id and e.src = w.dst where e.dst <> w.src),
+depth_fx as (select conversation_id, coalesce(max(n), 0) as depth
+             from (select distinct conversation_id from edges_fx) c
+             left join (select conversation_id, src, count(*) as n from walks group by 1, 2) a using (conversation_id) group by 1)
+"""
+
+
+def views_over(posts: str, view: str, depth: str = DEPTH) -> list[str]:
+    """The views of the flagship over another view of posts."""
+    swapped = [depth if v == DEPTH.strip() else v for v in STATS_VIEWS]
+    return [view.strip(), *(v.replace("posts_fx", posts).strip() for v in swapped)]
+
+
+@query(
+    "convo_stats_odd",
+    fx.with_views("select * from stats_fx", *views_over("posts_odd", ODD, REACHED), recursive=True),
+)
+def convo_stats_odd(spark: SparkSession, sf: str) -> DataFrame:
+    """Null topics, posts with two parents and posts that answer themselves."""
+    posts = fx.posts(spark, sf)
+    conv, turn = F.col("conv_id"), F.col("turn")
+    own = F.when((turn == 0) & (conv % 5 == 0), F.col("pid")).otherwise(F.col("parent_id"))
+    second = posts.where((turn == 3) & (conv % 4 == 1)).withColumn("parent_id", F.concat(conv, F.lit("-0")))
+    odd = posts.withColumn("parent_id", own).unionByName(second)
+    return ops.convo_stats(odd.withColumn("topics", F.nullif("topics", F.lit(""))), fx.loadings(spark, sf), "turn")
+
+
+SCORED = f"""
+posts_scored as (select * replace (1e0 * len(list_filter(words, lambda w: list_contains([{fx.LEXICON_SQL}], w))) / nullif(len(words), 0) as tox)
+                 from (select *, list_filter(string_split({clean_sql('lower(text)')}, ' '), lambda w: w <> '') as words from posts_fx) w)
+"""
+
+
+@query(
+    "pipeline_stats",
+    fx.with_views("select * from stats_fx", *views_over("posts_scored", SCORED), recursive=True),
+)
+def pipeline_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """From raw pages to the flagship: read, project, score, write, read again, roll up."""
+    read = pages.page_posts(pages.read_pages(spark, fx.write_pages(spark, sf)))
+    table = post_ops.project_page_posts(read, fx.dictionary(spark)).drop("tox")
+    scored = models.score_missing(table, models.lexicon_scorer(fx.LEXICON))
+    path = scratch_path(spark, "posts")
+    sinks.write_posts(post_ops.conform(scored), path)
+    stored = spark.read.schema(schemas.POSTS).parquet(path)
+    return ops.convo_stats(stored, fx.loadings(spark, sf), "created_at")
+
+
 @query(
     "posts_per_user",
     fx.with_views(

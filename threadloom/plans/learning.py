@@ -15,8 +15,7 @@ from threadloom.plans.scans import clean_sql
 from threadloom.plans.tables import CODED, coded_conversations
 from threadloom.plans.texts import STOP
 
-LEXICON = ("the", "that", "dans", "nicht", "was", "eine")
-LEXICON_SQL = ", ".join(f"'{w}'" for w in LEXICON)
+LEXICON, LEXICON_SQL = fx.LEXICON, fx.LEXICON_SQL
 
 
 @query("lda_topics")
@@ -65,15 +64,31 @@ def label_onehot(spark: SparkSession, sf: str) -> DataFrame:
     return ops.label_binary(ops.label_onehot(labeled), "Russia/Ukraine war")
 
 
-@query("classify_topic")
-def classify_topic(spark: SparkSession, sf: str) -> DataFrame:
-    """One classifier per label, trained on a balanced 80%; every document scored and thresholded."""
+def trained(spark: SparkSession, sf: str) -> ops.Trained:
+    """One classifier per label over all documents, trained on a balanced 80%."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
     tokens = documents.select("doc_id", tx.classifier_tokens(F.col("text"), STOP).alias("tokens"))
     weights = ops.word_weights(tokens, "doc_id")
     topics = {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
-    models = ops.fit_topic_classifiers(table(spark, sf, "labels"), weights, "doc_id", topics)
-    return ops.classify(models, weights, "doc_id")
+    return ops.fit_topic_classifiers(table(spark, sf, "labels"), weights, "doc_id", topics)
+
+
+@query("classify_topic")
+def classify_topic(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document scored and thresholded as by exclusive classifiers."""
+    return trained(spark, sf).classify()
+
+
+@query("classify_multilabel")
+def classify_multilabel(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as independent labels, any number of which a document may have."""
+    return trained(spark, sf).classify(ops.MULTILABEL_THRESHOLD)
+
+
+@query("classify_report")
+def classify_report(spark: SparkSession, sf: str) -> DataFrame:
+    """How the classifiers do on the held-out part of their balanced samples."""
+    return trained(spark, sf).held_out_report()
 
 
 @query(

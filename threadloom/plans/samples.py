@@ -39,6 +39,26 @@ def quota_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.quota_sample(rollups.topic_pairs(fx.posts(spark, sf)), searched)
 
 
+@query(
+    "quota_union",
+    fx.with_views(
+        """select distinct conversation_id from (
+             select topic, conversation_id, need,
+                    row_number() over (partition by topic order by md5(concat('42:', conversation_id)), conversation_id) as rank
+             from pairs join (select topic, cast(floor(count(*) * 0.05e0) as bigint) + 1
+                                     - count(*) filter (conversation_id in (from searched_fx)) as need
+                              from pairs group by topic) q using (topic)
+             where conversation_id not in (from searched_fx)) r
+           where rank <= need""",
+        PAIRS.strip(),
+        SEARCHED,
+    ),
+)
+def quota_union(spark: SparkSession, sf: str) -> DataFrame:
+    """The list to search: conversations drawn for any topic, once."""
+    return sampling.quota_union(quota_sample(spark, sf))
+
+
 HASHED = "row_number() over (order by md5(concat('42:', doc_id)), doc_id)"
 BALANCED = f"""
 balanced as (select doc_id, quality, true as yes from labels where quality = 0
@@ -97,6 +117,26 @@ def density_grid(spark: SparkSession, sf: str) -> DataFrame:
     return dist.density_grid(scores, ("platform",))
 
 
+@query(
+    "density_grid_topic",
+    fx.with_views(
+        """select classified_topic, cast(i as integer) as spread_cell, cast(j as integer) as tox_cell, n, n / sum(n) over (partition by classified_topic) as density
+           from (select p.classified_topic, i, j, (select count(*) from cells c where c.classified_topic = p.classified_topic and c.spread_cell = i and c.tox_cell = j) as n
+                 from (select distinct classified_topic from cells) p, range(10) a(i), range(10) b(j)) g""",
+        conv.TOX.strip(),
+        conv.SPREAD.strip(),
+        conv.CLASSIFIED.strip(),
+        SCORES.replace("platform", "classified_topic")
+        .replace("case when conv_id % 3 = 0 then 'b' else 'a' end as classified_topic", "classified_topic")
+        .replace("(select distinct conversation_id, conv_id from posts_fx) c", "classified")
+        .strip(),
+    ),
+)
+def density_grid_topic(spark: SparkSession, sf: str) -> DataFrame:
+    scores = conv.spread_and_tox(spark, sf).join(conv.classified(spark, sf), "conversation_id")
+    return dist.density_grid(scores, ("classified_topic",))
+
+
 @query(
     "histogram_eqw",
     """select bin, low + bin * (high - low) / 30e0 as left_edge, count(*) as n, 1e0 * count(*) / total as share

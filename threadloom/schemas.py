@@ -51,6 +51,7 @@ POSTS = _struct(
     midterms=_I,
     childcare=_I,
     is_stub=_B,
+    tox=_D,
 )
 POSTS_TSV = _struct(
     pid=_S,
@@ -65,8 +66,6 @@ POSTS_TSV = _struct(
     childcare=_I,
     tox=_D,
 )
-SEED_COMMENTS = _struct(thread_id=_S, keyword=_S, permalink=_S)
-CODES = _struct(sheet=_S, coder=_S, cid=_S, field=_S, code=_S)
 CONVO_STATS = _struct(
     conversation_id=_S,
     old_topic_spread=_D,

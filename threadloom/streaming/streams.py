@@ -38,7 +38,7 @@ def dedup_within(rows: DataFrame, key: str, at: str, horizon: str) -> DataFrame:
 
 
 def volume(rows: DataFrame, at: str = "ts", by: str = "keyword", width: str = "6 hours") -> DataFrame:
-    """Posts per keyword and slot; state is one counter per keyword and slot."""
+    """Posts per keyword and slot."""
     return (
         rows.groupBy(by, F.window(at, width).alias("slot"))
         .agg(F.count("*").alias("n"))
@@ -59,24 +59,25 @@ def run_append(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def run_complete(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Process everything available now; every trigger writes the full result anew.
+def run_volume(
+    rows: DataFrame, out: str, checkpoint: str, at: str = "ts", by: str = "keyword", width: str = "6 hours"
+) -> DataFrame:
+    """:func:`volume` of everything that has arrived, over any number of runs.
 
-    Each trigger has its own folder, replaced as a whole if it is retried, and
-    readers take the latest.
+    Each trigger counts what it brought and adds these counts to a table; they
+    are summed when the table is read. The stream keeps no state, a late post
+    counts like any other, and a trigger that is retried replaces its own part.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        volume(batch, at, by, width).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     query = (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(write)
+        rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    written = stream.sparkSession.read.parquet(out)
-    latest = written.select(F.max("epoch")).scalar()
-    return written.where(F.col("epoch") == latest).drop("epoch")
+    parts = rows.sparkSession.read.parquet(out)
+    return parts.groupBy(by, "slot_start").agg(F.sum("n").alias("n"))
