@@ -81,8 +81,8 @@ def fitting_rule(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Colu
 
 def _lexical(segment: Column) -> Column:
     """A segment with its digits and long hexadecimal runs as placeholders."""
-    hexed = F.regexp_replace(segment, r"(?=[0-9a-f-]*[0-9])[0-9a-f]{8,}(-[0-9a-f]{4,})*", "{h}")
-    return F.regexp_replace(hexed, r"[0-9]+", "{n}")
+    hexed = F.regexp_replace(segment, r"[0-9a-f]{8,}(-[0-9a-f]{4,})*", "{h}")
+    return F.when(segment.rlike("[0-9]"), F.regexp_replace(hexed, r"[0-9]+", "{n}")).otherwise(segment)
 
 
 def _form(segment: Column) -> Column:
