@@ -231,6 +231,11 @@ def test_nearest_of_odd_vectors(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     vectors = vectors.withColumn("id", F.lit(1)).withColumn("v", F.lit(1))
     got = neighbours.nearest(vectors, F.col("vec_id") % 20 == 0)
+    copies = [(i, [1.0, 2.0]) for i in range(60)] + [(60, [2.0, 2.0]), (61, [0.0, 1.0])]
+    many = spark.createDataFrame(copies, "vec_id long, embedding array<double>")
+    assert brute.rows_of(
+        neighbours.nearest(many, F.col("vec_id") % 20 == 0), "query_id", "rank", "vec_id", "score"
+    ) == sorted(_nearest(copies), key=str)
     kept = [r for r in rows if r[0] != 80]
     assert brute.rows_of(got, "query_id", "rank", "vec_id", "score") == sorted(_nearest(kept), key=str)
     assert neighbours.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
@@ -243,18 +248,21 @@ def test_error_bounds_choose_the_best():
     vectors, asked = rng.normal(size=(2000, dim)), rng.normal(size=(40, dim))
     batch = pa.RecordBatch.from_pydict({"id": np.arange(2000), "v": list(vectors)})
     centre = vectors.mean(axis=0)
-    (block,) = neighbours._encode(dim, centre)(iter([batch]))
+    (block,) = neighbours._encode(dim, centre, k)(iter([batch]))
     assert len(block.column("codes")[0].as_py()) == 2000 * dim // 8
 
     def read(name, kind):
         return np.frombuffer(block.column(name)[0].as_py(), kind)
 
-    query, found, score = neighbours.search_block(
-        asked, np.arange(40) - 100, vectors, np.arange(2000), read("codes", "u1").reshape(-1, dim // 8),
-        read("lengths", "<f8"), read("agreements", "<f8"), centre, neighbours.rotation(dim), k,
+    search = neighbours.Search(asked, np.arange(40) - 100, centre, k)
+    search.meet(
+        vectors, np.arange(2000), read("codes", "u1").reshape(-1, dim // 8),
+        read("lengths", "<f8"), read("agreements", "<f8"),
     )
+    assert search.ranked < 0.9 * 40 * 2000  # independent coordinates are the worst case
+    query, found, _ = search.best
     true = np.argsort(-(asked @ vectors.T), axis=1)[:, :k]
-    hits = sum(len(set(found[query == i - 100]) & set(true[i])) for i in range(40))
+    hits = sum(len(set(found[query == i]) & set(true[i])) for i in range(40))
     assert hits / (40 * k) > 0.98
 
 

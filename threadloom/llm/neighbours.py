@@ -3,11 +3,13 @@
 Vectors are taken relative to a centre, turned by a random rotation and kept as one sign bit per
 coordinate. The inner product of a query with a vector is estimated from the bits and two scalars of
 the vector, its length and the agreement of its code with itself, and the estimate comes with an
-error bound. In each block the vectors whose upper bound reaches the k-th best lower bound are
-chosen and ranked by their exact inner products; the best of all blocks are merged.
+error bound. Blocks of codes stream past a group of queries, which keep their best vectors so far.
+Those whose upper bound reaches the k-th best known are chosen and ranked by their inner products.
 
-Every query meets every block of codes. The centre is the mean of a sample of :data:`SAMPLE_VALUES`
-numbers at most; every vector is coded. Exact inner products are summed in the order of coordinates.
+Every query meets every block of codes. Of equal vectors in one block, the ``k + 1`` of least id are
+kept, since no other can be in a result. The centre is the mean of a sample of
+:data:`SAMPLE_VALUES` numbers at most; every vector is coded. The inner products returned are summed
+in the order of coordinates.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite numbers take no part, nor do rows without an id. Rows that repeat are candidates each.
@@ -23,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.session import materialise, materialise_counting
+from threadloom.session import materialise_counting
 
 K = 20
 #: Standard errors that a bound allows for.
 BOUND = 2.5
 SAMPLE_VALUES = 1 << 20
-#: Bytes of vectors in one block of candidates, and of queries.
+#: Bytes of vectors in one block of candidates, and in one group of queries.
 BLOCK_BYTES = 1 << 20
-QUERY_BYTES = 1 << 17
+QUERY_BYTES = 1 << 18
+#: Blocks that one task lets stream past a group of queries.
+SHARD_BLOCKS = 4096
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -51,20 +55,31 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _encode(dim: int, centre: np.ndarray):
+def _least_copies(vectors: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of all vectors but those of which ``most`` equal ones have a smaller id."""
+    _, kind = np.unique(vectors, axis=0, return_inverse=True)
+    order = np.lexsort((ids, kind))
+    kind = kind[order]
+    rank = np.arange(len(kind)) - np.searchsorted(kind, kind)
+    return np.sort(order[rank < most])
+
+
+def _encode(dim: int, centre: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dim)
         size = max(1, BLOCK_BYTES // (8 * dim))
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                vectors = _matrix(part.column("v"), dim)
+                vectors, ids = _matrix(part.column("v"), dim), part.column("id").to_numpy()
+                kept = _least_copies(vectors, ids, k + 1)
+                vectors, ids = vectors[kept], ids[kept]
                 away = (vectors - centre) @ turn.T
                 length = np.sqrt((away**2).sum(axis=1))
                 unit = away / np.where(length > 0, length, 1)[:, None]
                 agreement = np.abs(unit).sum(axis=1) / np.sqrt(dim)
                 values = {
-                    "ids": part.column("id").to_numpy().astype("<i8"),
+                    "ids": ids.astype("<i8"),
                     "vectors": vectors.astype("<f8"),
                     "codes": np.packbits(unit > 0, axis=1),
                     "lengths": length.astype("<f8"),
@@ -88,76 +103,99 @@ def _gather(dim: int):
                     _matrix(part.column("v"), dim).astype("<f8").tobytes(),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.binary()) for b in blobs], ["query_ids", "queries"]
+                    [pa.array([b], pa.binary()) for b in blobs], ["ids", "vectors"]
                 )
 
     return run
 
 
-def search_block(
-    queries: np.ndarray,
-    query_ids: np.ndarray,
-    vectors: np.ndarray,
-    ids: np.ndarray,
-    codes: np.ndarray,
-    lengths: np.ndarray,
-    agreements: np.ndarray,
-    centre: np.ndarray,
-    turn: np.ndarray,
-    k: int,
-    bound: float = BOUND,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, vector and inner product of the ``k`` best of one block, and how many were ranked."""
-    dim = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float64) * 2 - 1
-    turned = queries @ turn.T
-    estimate = (turned @ signs.T) / np.sqrt(dim) * (lengths / agreements)
-    estimate += (queries @ centre)[:, None]
-    norms = np.sqrt((queries**2).sum(axis=1))
-    spread = lengths * np.sqrt(np.maximum(1 - agreements**2, 0)) / agreements
-    error = norms[:, None] * (spread * bound / np.sqrt(max(dim - 1, 1)))
-    error += 1e-9 * norms[:, None] * (lengths + np.sqrt(centre @ centre))
-    low = np.where(query_ids[:, None] == ids, -np.inf, estimate - error)
-    if low.shape[1] > k:
-        limit = -np.partition(-low, k - 1, axis=1)[:, k - 1]
-    else:
-        limit = np.full(len(queries), -np.inf)
-    chosen = (estimate + error >= limit[:, None]) & (query_ids[:, None] != ids)
-    q, c = np.nonzero(chosen)
-    exact = np.zeros(len(q))
-    for d in range(dim):
-        exact += queries[q, d] * vectors[c, d]
-    order = np.lexsort((ids[c], -exact, q))
-    q, c, exact = q[order], c[order], exact[order]
-    rank = np.arange(len(q)) - np.searchsorted(q, q)
-    best = rank < k
-    return query_ids[q[best]], ids[c[best]], exact[best]
+class Search:
+    """The best vectors so far of a group of queries."""
+
+    def __init__(self, queries: np.ndarray, ids: np.ndarray, centre: np.ndarray, k: int):
+        self.queries, self.ids, self.centre, self.k = queries, ids, centre, k
+        self.turned = queries @ rotation(queries.shape[1]).T
+        self.norms = np.sqrt((queries**2).sum(axis=1))
+        self.limit = np.full(len(queries), -np.inf)
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        #: Pairs that the bounds let through.
+        self.ranked = 0
+
+    def _kth(self, scores: np.ndarray) -> np.ndarray:
+        """The k-th largest of each row, if there are so many, or the limit if that is more."""
+        if scores.shape[1] < self.k:
+            return self.limit
+        return np.maximum(self.limit, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
+
+    def meet(
+        self,
+        vectors: np.ndarray,
+        ids: np.ndarray,
+        codes: np.ndarray,
+        lengths: np.ndarray,
+        agreements: np.ndarray,
+    ) -> None:
+        """Let one block of codes compete."""
+        dim = vectors.shape[1]
+        signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float64) * 2 - 1
+        estimate = (self.turned @ signs.T) / np.sqrt(dim) * (lengths / agreements)
+        estimate += (self.queries @ self.centre)[:, None]
+        spread = lengths * np.sqrt(np.maximum(1 - agreements**2, 0)) / agreements
+        rounding = 1e-9 * self.norms[:, None] * (lengths + np.sqrt(self.centre @ self.centre))
+        error = self.norms[:, None] * (spread * BOUND / np.sqrt(max(dim - 1, 1))) + rounding
+        own = self.ids[:, None] == ids
+        estimate[own] = -np.inf
+        chosen = (estimate + error >= self._kth(estimate - error)[:, None]) & ~own
+        self.ranked += int(chosen.sum())
+        some = np.flatnonzero(chosen.any(axis=0))
+        if not len(some):
+            return
+        scores = np.where(chosen[:, some], self.queries @ vectors[some].T, -np.inf)
+        q, c = np.nonzero(scores >= self._kth(scores)[:, None] - rounding[:, some])
+        finite = np.isfinite(scores[q, c])
+        q, c = q[finite], some[c[finite]]
+        exact = np.zeros(len(q))
+        for d in range(dim):
+            exact += self.queries[q, d] * vectors[c, d]
+        merged = [np.concatenate(x) for x in zip(self.best, (q, ids[c], exact), strict=True)]
+        order = np.lexsort((merged[1], -merged[2], merged[0]))
+        merged = [x[order] for x in merged]
+        rank = np.arange(len(order)) - np.searchsorted(merged[0], merged[0])
+        self.best = tuple(x[rank < self.k] for x in merged)
+        last = merged[2][rank == self.k - 1]
+        self.limit[merged[0][rank == self.k - 1]] = last
+
+    def results(self) -> pa.RecordBatch:
+        q, vectors, scores = self.best
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.ids[q]), pa.array(vectors), pa.array(scores)], ["query_id", "vec_id", "score"]
+        )
+
+
+_BLOCK_KINDS = {"vectors": "<f8", "ids": "<i8", "codes": "u1", "lengths": "<f8", "agreements": "<f8"}
 
 
 def _search(dim: int, centre: np.ndarray, k: int):
+    """Rows come by group: first its queries, then the blocks of codes."""
+    width = {"vectors": dim, "codes": -(-dim // 8)}
+
+    def read(row: dict, name: str, kind: str) -> np.ndarray:
+        found = np.frombuffer(row[name], kind)
+        return found.reshape(-1, width[name]) if name in width else found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(dim)
+        search = None
         for batch in batches:
-            for row in range(batch.num_rows):
-
-                def read(name: str, kind: str, row=row, batch=batch) -> np.ndarray:
-                    return np.frombuffer(batch.column(name)[row].as_py(), kind)
-
-                found = search_block(
-                    read("queries", "<f8").reshape(-1, dim),
-                    read("query_ids", "<i8"),
-                    read("vectors", "<f8").reshape(-1, dim),
-                    read("ids", "<i8"),
-                    read("codes", "u1").reshape(-1, -(-dim // 8)),
-                    read("lengths", "<f8"),
-                    read("agreements", "<f8"),
-                    centre,
-                    turn,
-                    k,
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in found], ["query_id", "vec_id", "score"]
-                )
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                if row["place"] == 0:
+                    if search is not None:
+                        yield search.results()
+                    search = Search(read(row, "vectors", "<f8"), read(row, "ids", "<i8"), centre, k)
+                else:
+                    search.meet(**{name: read(row, name, kind) for name, kind in _BLOCK_KINDS.items()})
+        if search is not None:
+            yield search.results()
 
     return run
 
@@ -188,18 +226,26 @@ def nearest(
 
     schema = "ids binary, vectors binary, codes binary, lengths binary, agreements binary"
     blocks, seen = materialise_counting(
-        own.select("id", "v").mapInArrow(_encode(dim, centre), schema), "codes", n=F.count("*")
+        own.select("id", "v").mapInArrow(_encode(dim, centre, k), schema), "codes", n=F.count("*")
     )
-    cells = max(1, seen["n"])
+    shards = -(-max(1, seen["n"]) // SHARD_BLOCKS)
     asked = own.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
-    asked = asked.mapInArrow(_gather(dim), "query_ids binary, queries binary")
-    asked = materialise(asked, "queries")
-    every = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    placed = blocks.withColumn(
-        "cell", F.pmod(F.xxhash64("ids", "vectors"), F.lit(cells)).cast("int")
+    asked = asked.mapInArrow(_gather(dim), "ids binary, vectors binary")
+    asked, groups = materialise_counting(asked, "queries", n=F.count("*"))
+    if not groups["n"]:
+        return vectors.sparkSession.createDataFrame([], empty)
+    # Queries are numbered by a window over one row per group of them.
+    numbered = asked.withColumn("group", F.row_number().over(Window.orderBy(F.xxhash64("ids"))) - 1)
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    first = numbered.select("*", F.lit(0).alias("place")).select("*", every)
+    shard = F.pmod(F.xxhash64("ids", "vectors"), F.lit(shards)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(groups["n"] - 1))).alias("group")
+    later = blocks.select("*", shard.alias("shard"), F.lit(1).alias("place")).select("*", each)
+    met = first.unionByName(later, allowMissingColumns=True).repartition("group", "shard")
+    met = met.sortWithinPartitions("group", "shard", "place")
+    found = met.select("place", *_BLOCK_KINDS).mapInArrow(
+        _search(dim, centre, k), "query_id long, vec_id long, score double"
     )
-    met = placed.join(every, "cell").drop("cell")
-    found = met.mapInArrow(_search(dim, centre, k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
