@@ -138,20 +138,19 @@ def _read(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(path)
         head, tail = codec.marks[1], codec.marks[2]
+        marks = sum(map(len, MARKS[:3]))
         for batch in batches:
             rows = []
             for ids, begin, end in zip(
                 *(batch.column(c).to_pylist() for c in ("ids", "loss_begin", "loss_end")), strict=True
             ):
-                at, last = ids.index(head), ids.index(tail)
-                rows.append(
-                    (
-                        unescape(codec.coding.decode(ids[1:at])),
-                        unescape(codec.coding.decode(ids[at + 1 : last])),
-                        unescape(codec.coding.decode(ids[begin:end])),
-                        len(codec.text(ids)),
-                    )
-                )
+                at, last = ids.index(head), len(ids) - 1
+                if ids[last] != tail:
+                    raise ValueError("a turn without its last mark")
+                role, text = codec.coding.decode(ids[1:at]), codec.coding.decode(ids[at + 1 : last])
+                learned = text if (begin, end) == (at + 1, last) else codec.coding.decode(ids[begin:end])
+                chars = marks + len(role) + len(text)
+                rows.append((unescape(role), unescape(text), unescape(learned), chars))
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [
