@@ -31,9 +31,10 @@ K = 20
 #: Standard errors that a bound allows for.
 BOUND = 2.5
 SAMPLE_VALUES = 1 << 20
-#: Bytes of vectors in one block of candidates, and in one group of queries.
+#: Bytes of vectors in one block of candidates, and in one of queries, about four of which are a group.
 BLOCK_BYTES = 1 << 20
-QUERY_BYTES = 1 << 18
+QUERY_BYTES = 1 << 16
+GROUP_BLOCKS = 4
 #: Blocks that one task lets stream past a group of queries.
 SHARD_BLOCKS = 4096
 
@@ -176,7 +177,7 @@ _BLOCK_KINDS = {"vectors": "<f8", "ids": "<i8", "codes": "u1", "lengths": "<f8",
 
 
 def _search(dim: int, centre: np.ndarray, k: int):
-    """Rows come by group: first its queries, then the blocks of codes."""
+    """Rows come by group and shard: first the queries, then the blocks of codes."""
     width = {"vectors": dim, "codes": -(-dim // 8)}
 
     def read(row: dict, name: str, kind: str) -> np.ndarray:
@@ -184,15 +185,21 @@ def _search(dim: int, centre: np.ndarray, k: int):
         return found.reshape(-1, width[name]) if name in width else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = None
+        group, asked, search = None, [], None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                if row["place"] == 0:
+                if group != (row["group"], row["shard"]):
                     if search is not None:
                         yield search.results()
-                    search = Search(read(row, "vectors", "<f8"), read(row, "ids", "<i8"), centre, k)
-                else:
+                    group, asked, search = (row["group"], row["shard"]), [], None
+                if row["place"] == 0:
+                    asked.append((read(row, "vectors", "<f8"), read(row, "ids", "<i8")))
+                    continue
+                if search is None and asked:
+                    queries, ids = (np.concatenate(x) for x in zip(*asked, strict=True))
+                    search = Search(queries, ids, centre, k)
+                if search is not None:
                     search.meet(**{name: read(row, name, kind) for name, kind in _BLOCK_KINDS.items()})
         if search is not None:
             yield search.results()
@@ -231,19 +238,20 @@ def nearest(
     shards = -(-max(1, seen["n"]) // SHARD_BLOCKS)
     asked = own.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
     asked = asked.mapInArrow(_gather(dim), "ids binary, vectors binary")
-    asked, groups = materialise_counting(asked, "queries", n=F.count("*"))
-    if not groups["n"]:
-        return vectors.sparkSession.createDataFrame([], empty)
-    # Queries are numbered by a window over one row per group of them.
-    numbered = asked.withColumn("group", F.row_number().over(Window.orderBy(F.xxhash64("ids"))) - 1)
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    first = numbered.select("*", F.lit(0).alias("place")).select("*", every)
-    shard = F.pmod(F.xxhash64("ids", "vectors"), F.lit(shards)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(groups["n"] - 1))).alias("group")
-    later = blocks.select("*", shard.alias("shard"), F.lit(1).alias("place")).select("*", each)
+    asked, counted = materialise_counting(asked, "queries", n=F.count("*"))
+    groups = -(-max(1, counted["n"]) // GROUP_BLOCKS)
+
+    def dealt(n: int) -> Column:
+        return F.pmod(F.xxhash64("ids", "vectors"), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    first = asked.select("*", F.lit(0).alias("place"), dealt(groups).alias("group"), every(shards).alias("shard"))
+    later = blocks.select("*", F.lit(1).alias("place"), every(groups).alias("group"), dealt(shards).alias("shard"))
     met = first.unionByName(later, allowMissingColumns=True).repartition("group", "shard")
     met = met.sortWithinPartitions("group", "shard", "place")
-    found = met.select("place", *_BLOCK_KINDS).mapInArrow(
+    found = met.select("group", "shard", "place", *_BLOCK_KINDS).mapInArrow(
         _search(dim, centre, k), "query_id long, vec_id long, score double"
     )
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
