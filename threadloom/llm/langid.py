@@ -263,16 +263,17 @@ def training_sample(
     return sorted((r[0], r[1]) for r in chosen.limit(2 * TRAIN_TEXTS * len(counts)).collect())
 
 
-def _label(model: Model, rows: bool = False):
+def _label(model: Model, rows: bool = False, text_col: str = "text"):
     """Predictions per text, with the runs of words, or with the whole row in ``row``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
         names = pa.array([*model.labels, UNKNOWN])
         for batch in batches:
-            texts = pc.utf8_lower(batch.column("text").fill_null(""))
-            for base, text in words.chunks(texts, lowered=True):
-                n = len(text.n_words)
+            column = pc.struct_field(batch.column("row"), text_col) if rows else batch.column("text")
+            for base, stop in words.slices(column):
+                n = stop - base
+                text = words.texts(pc.utf8_lower(column.slice(base, n).fill_null("")), lowered=True)
                 lettered = _LETTER[text.data]
                 letters = np.add.reduceat(lettered, text.starts) > 0 if len(text.starts) else lettered[:0]
                 odd = letters.copy()
@@ -345,8 +346,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def annotate(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``row, lang_pred, score``: every row of ``docs`` as a struct, with its language."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
     if not model.labels:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(_label(model, rows=True), schema)
+    return rows.mapInArrow(_label(model, True, text_col), schema)

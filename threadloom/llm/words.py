@@ -8,13 +8,12 @@ length. A word is a run of bytes other than the ASCII blanks 0x20 and 0x09 to 0x
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -40,17 +39,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
-def _power_table(size: int, base: int) -> np.ndarray:
-    powers = np.full(size, _U(base))
-    powers[0] = 1
-    return np.cumprod(powers, dtype=np.uint64)
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _power_table(n: int, base: int) -> np.ndarray:
+    """At least ``n`` powers of ``base``; a table only ever grows."""
+    table = _TABLES.get(base)
+    if table is None or len(table) < n:
+        powers = np.full(1 << max(19, int(n - 1).bit_length()), _U(base))
+        powers[0] = 1
+        table = _TABLES[base] = np.cumprod(powers, dtype=np.uint64)
+    return table
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(20, int(n).bit_length())
-    inverse = pow(_MULTIPLIER, -1, 2**64)
-    return _power_table(size, _MULTIPLIER), _power_table(size, inverse)
+    return _power_table(n, _MULTIPLIER), _power_table(n, pow(_MULTIPLIER, -1, 2**64))
 
 
 class Windows:
@@ -121,17 +124,26 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[ends[0] : ends[-1]], ends - ends[0]
 
 
-def chunks(column: pa.Array, lowered: bool, size: int = CHUNK_BYTES) -> Iterator[tuple[int, Texts]]:
-    """Number of the first text and words of consecutive texts of about ``size`` bytes."""
-    data, offsets = string_buffers(column)
+def slices(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Begin and end of consecutive rows whose texts have about ``size`` bytes."""
+    _, offsets = string_buffers(column)
     row, n = 0, len(offsets) - 1
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
-        part = data[offsets[row] : offsets[end]]
-        yield row, Texts(part, offsets[row : end + 1] - offsets[row], lowered)
+        yield row, end
         row = end
 
 
+def texts(column: pa.Array, lowered: bool) -> Texts:
+    return Texts(*string_buffers(column), lowered)
+
+
+def chunks(column: pa.Array, lowered: bool, size: int = CHUNK_BYTES) -> Iterator[tuple[int, Texts]]:
+    """Number of the first text and words of consecutive texts of about ``size`` bytes."""
+    for row, end in slices(column, size):
+        yield row, texts(column.slice(row, end - row), lowered)
+
+
 def signed(x: np.ndarray) -> pa.Array:
     """64-bit hashes as the signed longs Spark has."""
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
