@@ -37,10 +37,12 @@ SHORT_PART = 32
 SLACK_PART = 32
 #: Pieces numbered by one task.
 SLICE_PIECES = 200_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 500_000
-#: Characters tokenised at once; a longer text is tokenised alone.
-BATCH_BYTES = 8 << 20
+#: Words that a worker remembers at most before it forgets those not met since it last did.
+REMEMBERED = 100_000
+#: Words given to the tokenizer at once; its results are large.
+ENCODED_AT_ONCE = 2048
+#: Bytes tokenised at once; a longer text is tokenised alone.
+BATCH_BYTES = 4 << 20
 
 _MARKS = tuple(".,;:!?")
 _ENCODERS: dict[str, Encoder] = {}
@@ -69,7 +71,9 @@ class Encoder:
         self.tokenizer.no_truncation()
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.marks = [token.content for token in added]
+        #: Ids of the words met lately, and of those met before.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -78,27 +82,38 @@ class Encoder:
         return _ENCODERS[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        encode, ids = self.tokenizer.encode_batch_fast, []
+        for at in range(0, len(texts), ENCODED_AT_ONCE):
+            found = encode(texts[at : at + ENCODED_AT_ONCE], add_special_tokens=False)
+            ids += [array("I", e.ids).tobytes() for e in found]
+        return ids
 
     def _words(self, asked: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         found = list(map(known.get, asked))
-        missing = [i for i, ids in enumerate(found) if ids is None]
         fresh: dict[str, None] = {}
-        marked = []
-        for i in missing:
+        marked, missing = [], []
+        for i, ids in enumerate(found):
+            if ids is not None:
+                continue
             word = asked[i]
+            if word in older:
+                known[word] = found[i] = older[word]
+                continue
+            missing.append(i)
             if word.endswith(_MARKS) and _stays_alone(word[-2:-1]):
-                marked.append(i)
-                fresh.update((w, None) for w in (word[:-1], word[-1]) if w not in known)
+                marked.append(word)
+                for part in (word[:-1], word[-1]):
+                    if part in older:
+                        known[part] = older[part]
+                    elif part not in known:
+                        fresh[part] = None
             else:
                 fresh[word] = None
         known.update(zip(fresh, self._encode(list(fresh)), strict=True))
-        for i in marked:
-            word = asked[i]
+        for word in marked:
             known[word] = known[word[:-1]] + known[word[-1]]
         for i in missing:
             found[i] = known[asked[i]]
@@ -180,6 +195,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                     names,
                 )
                 row = end
+        pa.default_memory_pool().release_unused()
 
     return run
 
