@@ -132,9 +132,12 @@ def _window_hashes(window: int):
 
 
 def _in_two(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys found in documents of two ids or more, with the smallest id."""
+    """The keys found in documents of two ids or more, with the smallest id.
+
+    Written, so that a join with it is dealt anew and its hot keys can be split.
+    """
     found = rows.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    return found.filter("least < most").drop("most")
+    return materialise(found.filter("least < most").drop("most"), "repeated")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,7 +167,7 @@ def repeated_spans(
     runs = materialise(runs.drop("h2r", "h2l").join(kept, ["doc", "key", "run"]), "extended")
 
     same = ["h1", "whole", "size"]
-    classes = runs.groupBy(*same).agg(F.min("doc").alias("least"))
+    classes = materialise(runs.groupBy(*same).agg(F.min("doc").alias("least")), "classes")
     copies = runs.join(classes, same).filter("doc > least")
     by_copy = copies.select("doc", "key", "run", (F.col("run") + F.col("size") - 1).alias("last"))
 
