@@ -186,7 +186,7 @@ def _led(posts: DataFrame) -> DataFrame:
     """Each list's leader ``a`` with every other member ``b``, distinct over all lists."""
     rank = F.struct(F.col("least").isNull(), "least", "node")
     leaders = posts.groupBy("token").agg(F.min(rank).alias("l"), F.count("*").alias("size"))
-    leaders = leaders.filter("size > 1").select("token", F.col("l.node").alias("a"))
+    leaders = materialise(leaders.filter("size > 1").select("token", F.col("l.node").alias("a")), "leaders")
     return posts.join(leaders, "token").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
@@ -206,7 +206,8 @@ def _unlike(posts: DataFrame, links: DataFrame) -> DataFrame:
         "token", "node", F.coalesce("label", "node").alias("label")
     )
     meeting = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    unlike = named.join(meeting.filter("x < y").select("token"), "token", "left_semi")
+    meeting = materialise(meeting.filter("x < y").select("token"), "meeting")
+    unlike = named.join(meeting, "token", "left_semi")
     return materialise(unlike.select("node", "label").distinct(), "unlike")
 
 
@@ -214,6 +215,15 @@ def _pairs(rows: DataFrame, one: str, other: str) -> DataFrame:
     return rows.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()
 
 
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of two rows or more, with their number.
+
+    Written, so that a join with it is dealt anew and its hot keys can be split.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
+    return materialise(sizes.filter("size > 1"), "shared")
+
+
 def _postings(classes: DataFrame, coordinates: int) -> DataFrame:
     """``token, node``: a class under each of its first coordinate-value pairs."""
     signature = F.slice("signature", 1, coordinates)
@@ -228,8 +238,7 @@ def _rest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     do without. Members found in one set only are the rarest of all, and rule out most sets.
     """
     each = sets.join(nodes, "node").select("node", "label", F.size("members").alias("n"), F.explode("members").alias("h"))
-    several = each.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
-    ranked = each.join(several, "h").groupBy("node", "label", "n").agg(
+    ranked = each.join(_shared(each, "h"), "h").groupBy("node", "label", "n").agg(
         F.array_sort(F.collect_list(F.struct("size", "h"))).alias("t")
     )
     needed = F.ceil(F.col("n") * percent / F.lit(100)).cast("int")
@@ -245,7 +254,7 @@ def _rest(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     largest = sizes.groupBy("h").agg(
         F.max(F.struct("size", "label")).alias("m"), F.count("*").alias("labels")
     )
-    largest = largest.filter("labels > 1").select("h", F.col("m.label").alias("main"))
+    largest = materialise(largest.filter("labels > 1").select("h", F.col("m.label").alias("main")), "main")
     outside = held.join(largest, "h").filter("label <> main").drop("main")
     other = held.select(
         "h", *(F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "left"))
@@ -285,11 +294,10 @@ def near_duplicates(
 
     # Documents that agree on `matches` coordinates agree on one of any `coordinates - matches + 1`.
     some = _postings(classes, coordinates - matches + 1)
-    met = some.join(some.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1"), "token")
+    met = some.join(_shared(some, "token"), "token")
     met = classes.join(met.select("node").distinct(), "node", "left_semi")
     postings = _postings(materialise(met, "met"), coordinates)
-    lists = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = postings.join(lists, "token").groupBy("node").agg(
+    shared = postings.join(_shared(postings, "token"), "token").groupBy("node").agg(
         F.array_sort(F.collect_list(F.struct("size", "token"))).alias("t")
     )
     prefix = shared.filter(F.size("t") >= matches).select(
