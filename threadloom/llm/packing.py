@@ -16,6 +16,7 @@ packed as often as they occur.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,9 +39,9 @@ SLACK_PART = 32
 #: Pieces numbered by one task.
 SLICE_PIECES = 200_000
 #: Words that a worker remembers at most before it forgets those not met since it last did.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 #: Words given to the tokenizer at once; its results are large.
-ENCODED_AT_ONCE = 2048
+ENCODED_AT_ONCE = 4096
 #: Bytes tokenised at once; a longer text is tokenised alone.
 BATCH_BYTES = 4 << 20
 
@@ -64,6 +65,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core, and threads that wait for work cost as much as those that work.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
