@@ -69,6 +69,47 @@ def test_threads_of_any_depth(spark, tmp_path, depth):
     assert (rows["c0"].text, rows["c0"].parent_id, rows["c0"].conversation_id, rows["c0"].over18) == ("b0", "r", "r", False)
 
 
+@pytest.mark.parametrize("depth", [198, 205, 250, 2000])
+def test_threads_deeper_than_the_parser(spark, tmp_path, depth):
+    stub = json.dumps({"kind": "more", "data": {"parent_id": f"t1_c{depth - 1}", "children": ["h1", "h2"]}})
+    text = stub
+    for i in reversed(range(depth)):
+        above = comment(i, "@", parent_id=f"t1_c{i - 1}" if i else "t3_r", body=f'b{i} " \\ {{[\n')
+        text = json.dumps(above).replace('"@"', f'{{"data": {{"children": [{text}]}}}}')
+    flat = json.dumps(thread(["@", comment("x", extra={"replies": [1, {"a": None}]})]))
+    put(tmp_path / "deep.json", flat.replace('"@"', text))
+    put(tmp_path / "cut.json", flat.replace('"@"', text)[:-2])
+    read = threads.read_threads(spark, str(tmp_path))
+    assert [r.filename[-9:] for r in read.collect()] == ["deep.json"]
+    nodes = threads.thread_nodes(read)
+    rows = [tuple(r) for r in threads.thread_posts(nodes).select("pid", "conversation_id", "parent_id", "text").collect()]
+    below = [(f"c{i}", "r", f"c{i - 1}" if i else "r", f'b{i} " \\ {{[') for i in range(depth)]
+    assert sorted(rows, key=str) == sorted([("r", "r", None, "T S"), ("cx", "r", "r", "bx"), *below], key=str)
+    stubs = {(r.pid, r.parent_id, r.conversation_id) for r in threads.thread_stubs(nodes).collect()}
+    assert stubs == {("h1", f"c{depth - 1}", "r"), ("h2", f"c{depth - 1}", "r")}
+    assert [r.filename[-8:] for r in threads.unreadable_threads(spark, str(tmp_path)).collect()] == ["cut.json"]
+
+
+def test_both_ways_of_reading_threads_agree(spark, tmp_path):
+    odd = {"data": {"id": 7, "author": None, "created_utc": "x", "body": {"a": [1, "b"]}, "replies": [3]}}
+    more = {"kind": "more", "data": {"parent_id": "t1_c0", "children": ["h1", "h2"]}}
+    documents = [
+        thread([nested(5), odd, {"kind": "t1"}, comment("y", json.dumps({"data": {"children": [comment("z")]}}))]),
+        thread([comment(0, {"data": {"children": [comment(1), more]}}), comment("q", {"data": 3}), comment("p", {})]),
+        [{"data": {"children": []}}, {"data": {"children": [comment("x")]}}, {"data": {"children": [comment("n")]}}],
+        {"data": {"children": [comment("only")]}},
+    ]
+    put(tmp_path / "a.json", "\n".join(json.dumps(d) for d in documents) + "\n[{'data': {'children': [{'data': {'id': 'q'}}]}}]")
+    first = threads.read_threads(spark, str(tmp_path))
+    lines = spark.read.text(str(tmp_path)).select(F.col("_metadata.file_path").alias("filename"), "value")
+    flat = F.udf(threads._flat, threads._FLAT)
+    second = lines.select("filename", F.lit(None).cast(first.schema["doc"].dataType).alias("doc"), flat("value").alias("flat"))
+    both = [sorted(map(str, threads.thread_nodes(way).collect())) for way in (first, second)]
+    assert both[0] == both[1] and len(both[0]) == 19
+    for text in ("", "[{", "[1,]", '{"a" 1}', '{"a":1,}', "[1 2]", "{]", "]", ",", "7", '["a\\x"]', '{"a":}'):
+        assert threads._flat(text) is None
+
+
 def test_collapsed_nodes_at_both_levels(spark, tmp_path):
     more = {"kind": "more", "data": {"parent_id": "t1_c0", "children": ["h1", "h2"]}}
     top = {"kind": "more", "data": {"parent_id": "t3_r", "children": ["h3"]}}

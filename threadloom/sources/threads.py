@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,18 +18,148 @@ _POST = (
     # an object comes as its text, so that a level is parsed when it is reached
     "replies string"
 )
-_LISTING = f"struct<data: struct<children: array<struct<data: struct<{_POST.replace(' ', ':').replace(',:', ',')}>>>>>"
+_NODE = f"struct<data: struct<{_POST.replace(' ', ':').replace(',:', ',')}>>"
+_LISTING = f"struct<data: struct<children: array<{_NODE}>>>"
 _FIELDS = [field.split()[0] for field in _POST.split(", ")]
+_FLAT = "struct<root: string, nodes: array<string>>"
+
+#: A token of JSON as the parser of Spark reads it: quotes may be single, numbers not finite.
+_TOKEN = re.compile(
+    r"""[ \t\r\n]*([{}\[\],:]
+    |"[^"\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*"
+    |'[^'\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^'\\\x00-\x1f]*)*'
+    |true|false|null|NaN|[+-]?INF(?:inity)?|[+-]?Infinity
+    |-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)""",
+    re.VERBOSE,
+)
+#: What an object or array holds by what holds it; the rest is read over.
+_INSIDE = {
+    ("document", None): "listing",
+    ("listing", "data"): "listing data",
+    ("listing data", "children"): "nodes",
+    ("nodes", None): "node",
+    ("node", "data"): "post",
+    ("post", "replies"): "listing",
+}
+_ARRAYS = {"document", "nodes"}
+
+
+def _name(token: str) -> str:
+    return json.loads(token) if token[0] == '"' else json.loads('"' + token[1:-1].replace('"', '\\"') + '"')
+
+
+def _parsed(text: str) -> list | None:
+    """The listings of a document, read without recursion, or null if it is no JSON.
+
+    Of every object only the fields of the schema are kept: a listing and its data as dicts, the
+    fields of a post as their JSON text. Later fields of the same name replace earlier ones.
+    """
+    at, stack = 0, []
+    # one frame per open object or array: its role, its value, where it begins, the field it is at
+    while True:
+        token = _TOKEN.match(text, at)
+        if token is None:
+            return None
+        begin, at = token.start(1), token.end(1)
+        mark = token[1]
+        if stack and mark in "}]":
+            role, value, opened, field, is_array, state = stack.pop()
+            if (mark == "]") != is_array or state not in ("first", "after"):
+                return None
+            raw, here = text[opened:at], role
+        elif stack and mark == ",":
+            if stack[-1][5] != "after":
+                return None
+            stack[-1][5] = "next"
+            continue
+        elif stack and mark == ":":
+            if stack[-1][5] != "colon":
+                return None
+            stack[-1][5] = "value"
+            continue
+        elif stack and not stack[-1][4] and stack[-1][5] in ("first", "next"):
+            if mark[0] not in "\"'":
+                return None
+            stack[-1][3], stack[-1][5] = _name(mark), "colon"
+            continue
+        elif mark in "}],:" or (stack and stack[-1][5] not in ("first", "next", "value")):
+            return None
+        elif mark in "{[":
+            if stack:
+                role = _INSIDE.get((stack[-1][0], stack[-1][3]))
+            else:
+                role = "document" if mark == "[" else "listing"
+            if (mark == "[") != (role in _ARRAYS):
+                role = None
+            stack.append([role, [] if mark == "[" else {}, begin, None, mark == "[", "first"])
+            continue
+        else:
+            value, raw, here = None, mark, None
+        if not stack:
+            # what follows the document is not read, as in the parser of Spark
+            return None if here is None else value if here == "document" else [value]
+        holder = stack[-1]
+        holder[5] = "after"
+        if holder[0] in _ARRAYS:
+            holder[1].append(value if here else None)
+        elif holder[0] == "post" and holder[3] in _FIELDS:
+            holder[1][holder[3]] = value if here else _text_field(holder[3], raw)
+        elif (holder[0], holder[3]) in _INSIDE:
+            holder[1][holder[3]] = value if here else None
+
+
+def _text_field(field: str, raw: str) -> str:
+    """The JSON of a field; an object in place of a text is its text, at any depth."""
+    if raw[0] not in "[{" or field == "children":
+        return raw
+    if field == "replies":
+        return "null"
+    return json.dumps("".join(m[1] for m in _TOKEN.finditer(raw)), ensure_ascii=False)
+
+
+def _flat(text: str | None) -> tuple[str | None, list[str]] | None:
+    """The root and all nodes of a document, each as JSON of its own; null if it is no JSON."""
+    listings = None if text is None else _parsed(text)
+    if listings is None:
+        return None
+
+    def children(listing: dict | None) -> list:
+        return ((listing or {}).get("data") or {}).get("children") or []
+
+    def node(value: dict | None) -> str:
+        post = (value or {}).get("data")
+        if post is None:
+            return "{}"
+        fields = [f'"{k}":{v}' for k, v in post.items() if isinstance(v, str)]
+        return '{"data":{' + ",".join(fields) + "}}"
+
+    waiting = [n for listing in listings[:2] for n in children(listing)]
+    root = next((node(n) for n in children(listings[0])[:1]), None) if listings else None
+    nodes = []
+    while waiting:
+        value = waiting.pop()
+        nodes.append(node(value))
+        replies = ((value or {}).get("data") or {}).get("replies")
+        if isinstance(replies, dict):
+            waiting.extend(children(replies))
+    return root, nodes
 
 
 def _documents(spark: SparkSession, path: str, whole_file: bool) -> DataFrame:
-    """Every document with its text, and null or its first level."""
+    """Every document with its text, and its first level or, if that is null, all its nodes.
+
+    The parser of Spark gives null for JSON of more than 1000 levels, about 200 of replies. Such
+    documents are read a second way, without recursion, into the texts of their nodes.
+    """
     lines = spark.read.text(path, wholetext=whole_file).where(F.trim("value") != "")
-    return lines.select(
+    parsed = lines.select(
         F.col("_metadata.file_path").alias("filename"),
         "value",
         F.from_json("value", f"array<{_LISTING}>").alias("doc"),
     )
+    # not deterministic for the planner, so that it is not called again by every filter
+    flat = F.udf(_flat, _FLAT).asNondeterministic()
+    return parsed.withColumn("flat", flat(F.when(F.col("doc").isNull(), F.col("value"))))
 
 
 def _top(doc: Column) -> Column:
@@ -39,20 +171,23 @@ def _top(doc: Column) -> Column:
 
 
 def _is_thread() -> Column:
-    return F.coalesce(F.size(_top(F.col("doc"))) > 0, F.lit(False))
+    any_node = (F.size(_top(F.col("doc"))) > 0) | (F.size("flat.nodes") > 0)
+    return F.coalesce(any_node, F.lit(False))
 
 
 def read_threads(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """Thread documents as ``(filename, doc)``, one per line or per file.
+    """Thread documents as ``(filename, doc, flat)``, one per line or per file.
 
-    Those that are no thread are left out here and listed by :func:`unreadable_threads`.
+    ``flat`` has the nodes of those too deep for ``doc``, and is null for the others. Documents that
+    are no thread are left out here and listed by :func:`unreadable_threads`.
     """
-    return _documents(spark, path, whole_file).where(_is_thread()).select("filename", "doc")
+    return _documents(spark, path, whole_file).where(_is_thread()).select("filename", "doc", "flat")
 
 
 def unreadable_threads(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """``filename, length, reason`` of the documents that :func:`read_threads` leaves out."""
-    reason = F.when(F.col("doc").isNull(), "no JSON array of listings").otherwise("no posts")
+    unread = F.col("doc").isNull() & F.col("flat").isNull()
+    reason = F.when(unread, "no JSON array of listings").otherwise("no posts")
     return _documents(spark, path, whole_file).where(~_is_thread()).select(
         "filename", F.length("value").alias("length"), reason.alias("reason")
     )
@@ -63,10 +198,14 @@ def thread_nodes(threads: DataFrame) -> DataFrame:
 
     One level of nesting at a time: the replies of a node are a text until
     their level is reached, and then become rows of their own, so that no row
-    holds more than one subtree. Every level is written once.
+    holds more than one subtree. Every level is written once. Documents too
+    deep for the parser have all their nodes at the first level.
     """
     root = F.get(F.get("doc", F.lit(0))["data"]["children"], F.lit(0))["data"]["id"]
-    level = threads.select("filename", root.alias("root_id"), F.explode(_top(F.col("doc"))).alias("_n"))
+    root = F.coalesce(root, F.from_json("flat.root", _NODE)["data"]["id"])
+    nodes = F.transform("flat.nodes", lambda n: F.from_json(n, _NODE))
+    nodes = F.when(F.col("doc").isNull(), nodes).otherwise(_top(F.col("doc")))
+    level = threads.select("filename", root.alias("root_id"), F.explode(nodes).alias("_n"))
     levels = []
     while True:
         written = materialise(
