@@ -308,6 +308,76 @@ def test_labelled_templates_are_rejected(spark):
     assert verdict[100] == ("allow", None)
 
 
+def plain_templates(paths):
+    """Templates of ``{(host, path): ruled}`` level by level, every path at every level of all."""
+    split = {k: [s for s in k[1].split("/") if s] for k in paths}
+    prefix = dict.fromkeys(paths, "")
+
+    def lexical(segment):
+        hexed = re.sub(r"[0-9a-f]{8,}(-[0-9a-f]{4,})*", "{h}", segment)
+        return re.sub("[0-9]+", "{n}", hexed) if re.search("[0-9]", segment) else segment
+
+    def form(segments, at):
+        if at >= len(segments):
+            return 0
+        return 1 if re.fullmatch(r"[0-9]+(\.[a-z]+)?", segments[at]) else 2 if re.search("[0-9]", segments[at]) else 3
+
+    for depth in range(max(map(len, split.values()))):
+        nodes = {}
+        for key, segments in split.items():
+            if depth < len(segments):
+                node = nodes.setdefault((key[0], prefix[key]), {})
+                node.setdefault(lexical(segments[depth]), []).append(key)
+        for (_, before), branches in nodes.items():
+            under = sum(map(len, branches.values()))
+            wild = len(branches) >= urls.WILD_CHILDREN and len(branches) * 2 >= under
+            least, profiles = {}, {}
+            for child, keys in sorted(branches.items()):
+                forms = [form(split[k], depth + 1) for k in keys]
+                bad, good = (sum(paths[k] == v for k in keys) for v in ("block", "allow"))
+                shares = [int(forms.count(f) * 4 / len(keys) + 0.5) for f in range(4)]
+                profiles[child] = (*shares, int((bad + 1) / (bad + good + 2) * 3))
+                if len(keys) >= urls.MERGE_PATHS:
+                    least.setdefault(profiles[child], child)
+            for child, keys in branches.items():
+                merged = least.get(profiles[child], child) if len(keys) >= urls.MERGE_PATHS else child
+                for key in keys:
+                    prefix[key] = before + "/" + ("*" if wild else merged)
+    return prefix
+
+
+def test_templates_of_deep_paths(spark):
+    draw = random.Random(6)
+    tops = [["a", "b", "7"], ["en", "de"], ["x", "y", "z"], ["p1", "q2"]]
+    rows = {f"http://h{draw.randrange(2)}.com/" + "/".join(
+        [draw.choice(tops[i % 4]) if draw.random() < 0.8 else str(draw.randrange(30)) + "w" * draw.randrange(9) for i in range(n)]
+        + [draw.choice(["spam", "ok"])] + [str(draw.randrange(99))] * draw.randrange(2)
+    ) for n in (draw.randrange(11) for _ in range(1500))}
+    rows |= {f"http://h0.com/{'s/' * 12}{w}{'/t' * 3}/{n}" for w in "abcdefghijkl" for n in range(3)}
+    rows |= {"http://h0.com/" + "/".join(map(str, range(300))), "http://h0.com", "http://h0.com//"}
+    rules = tuple(urls.UrlRule(v, f"h{h}.com{t}") for h in (0, 1) for v, t in (("block", "/a/en/x"), ("allow", "/b")))
+    pages = spark.createDataFrame(list(enumerate(sorted(rows))), "page_id long, url string")
+    got = urls.judge(pages, rules).collect()
+    paths = {(r.host, r.path): r.rule and {x.text: x.verdict for x in rules}[r.rule] for r in got}
+    expected, labels = plain_templates(paths), {}
+    assert len(got) == len(rows) and {(r.host, r.path): r.template for r in got} == expected
+    for (host, path), ruled in paths.items():
+        labels.setdefault((host, expected[host, path]), []).append(ruled)
+    for r in got:
+        of = labels[r.host, r.template]
+        share = (of.count("block") + 1) / (of.count("block") + of.count("allow") + 4)
+        assert r.verdict == (paths[r.host, r.path] or ("block" if share > 0.5 else "allow"))
+
+
+def test_branches_are_judged_apart_below_four_segments(spark):
+    rules = tuple(urls.UrlRule("block", f"shop.com/a/b/c/d/spam/{i}") for i in range(1, 10))
+    rows = [(i, f"http://shop.com/a/b/c/d/spam/{i}") for i in range(1, 40)]
+    rows += [(99, "http://shop.com/a/b/c/d/spam/0"), (100, "http://shop.com/a/b/c/d/ok/7"), (101, "http://shop.com/a/b/c/d/ok")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    verdict = {r.page_id: r.verdict for r in urls.judge(pages, rules).collect()}
+    assert (verdict[99], verdict[100], verdict[101]) == ("block", "allow", "allow")
+
+
 def test_pipeline(spark, tmp_path):
     """Stage by stage against plain versions, each on its own input."""
     sample = spark.read.parquet(f"{SF}/documents.parquet")

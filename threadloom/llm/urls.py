@@ -6,10 +6,12 @@ hexadecimal runs are placeholders. Below a node with many different segments, fe
 again, the segments are a wildcard. Other branches of a node are merged if they are alike: the same
 shares, in quarters, of each form of the segments below, and the same third of labelled purity. A
 template, a host with the generalised segments of a path, is rejected if the smoothed share of block
-among its labelled urls is above a limit. Everything below :data:`DEPTH` segments is one tail.
+among its labelled urls is above a limit. Paths of any number of segments are judged whole.
 
 Paths are counted before they are grouped, so that a host with a third of all urls costs one row
-per path, and one per node further on.
+per path, and one per node further on. A level has only the paths that have a segment there and
+share their node with enough others for a wildcard or a merge; the rest of a path that does not is
+generalised by form in one step, so that the number of levels is that of the shared segments.
 
 Defined results: the host and path of a null url, or of one without ``://``, are empty; it fits no
 rule. Repeated rows are judged alike.
@@ -18,12 +20,14 @@ rule. Repeated rows are judged alike.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.session import materialise
 
+#: Levels that the SQL of the query spells out; it agrees where no path has more segments.
 DEPTH = 4
 #: Below a node with so many different segments, half or more of all paths, they are a wildcard.
 WILD_CHILDREN = 8
@@ -126,28 +130,40 @@ def _level(state: DataFrame, depth: int) -> DataFrame:
         .when(F.col("wild"), "/*")
         .otherwise(F.concat(F.lit("/"), F.coalesce("least", "child")))
     )
-    names = named.select(*node, "child", name.alias("name"))
+    names = named.select(*node, "child", name.alias("name"), (F.col("paths") - F.col("n_end")).alias("longer"))
+    going_on = names.groupBy(*node, "name").agg(F.sum("longer").alias("going_on"))
+    names = names.join(going_on, [*node, "name"]).drop("longer")
     longer = rows.join(names, [*node, "child"])
     return longer.select(
-        "host", "path", "ruled", "segments", "bad", "good", F.concat("prefix", "name").alias("prefix")
+        "host", "path", "ruled", "segments", "bad", "good", F.concat("prefix", "name").alias("prefix"), "going_on"
     )
 
 
-def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(paths: DataFrame) -> DataFrame:
     """Each of the distinct ``host, path, ruled, bad, good`` with its ``template``."""
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     state = paths.withColumn("segments", parts).withColumn("prefix", F.lit(""))
     state = materialise(state, "paths")
-    for level in range(depth):
-        state = materialise(_level(state, level), "level")
-    tail = F.when(F.size("segments") > depth, "/**").otherwise("")
-    return state.withColumn("template", F.concat("prefix", tail))
+    columns = ["host", "path", "ruled", "bad", "good"]
+    ended = [state.filter(F.size("segments") <= 0).select(*columns, F.col("prefix").alias("template"))]
+    state = state.filter(F.size("segments") > 0)
+    depth = 0
+    while not state.isEmpty():
+        written = materialise(_level(state, depth), "level")
+        depth += 1
+        left = F.size("segments") - depth
+        # fewer paths are neither a wildcard nor merged, at this level or below
+        further = (left > 0) & (F.col("going_on") >= min(MERGE_PATHS, WILD_CHILDREN))
+        rest = F.slice("segments", F.lit(depth + 1), F.greatest(left, F.lit(0)))
+        tail = F.array_join(F.transform(rest, lambda s: F.concat(F.lit("/"), _lexical(s))), "")
+        ended.append(written.filter(~further).select(*columns, F.concat("prefix", tail).alias("template")))
+        state = written.filter(further).drop("going_on")
+    return reduce(DataFrame.unionByName, ended)
 
 
 def judge(
     pages: DataFrame,
     rules: tuple[UrlRule, ...] = RULES,
-    depth: int = DEPTH,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
@@ -161,7 +177,7 @@ def judge(
         for verdict, name in (("block", "bad"), ("allow", "good"))
     ]
     paths = rows.groupBy("host", "path").agg(F.first("ruled").alias("ruled"), *label)
-    known = templates(paths, depth)
+    known = templates(paths)
     smoothed = (F.sum("bad") + PRIOR * PRIOR_WEIGHT) / (F.sum("bad") + F.sum("good") + PRIOR_WEIGHT)
     leaves = known.groupBy("host", "template").agg((smoothed > LIMIT).alias("rejected"))
     judged = known.join(leaves, ["host", "template"]).select("host", "path", "template", "rejected")
