@@ -109,6 +109,61 @@ def test_license_wording_differences():
     assert not [f for f in licenses.findings(rewritten, prepared, plain) if f.begin == 0 and f.exact]
 
 
+def names(text, templates=licenses.TEMPLATES):
+    found = licenses.findings(text, licenses.prepare(templates), zstandard.ZstdCompressor(level=9))
+    return [(f.license, f.exact) for f in found]
+
+
+def test_license_texts_of_any_length():
+    draw = random.Random(1)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randrange(2, 9))) for _ in range(1200)]
+    words[600] = "license"
+    templates = {"Long": [" ".join(words)], **licenses.TEMPLATES}
+    prose = " ".join(draw.choices(words, k=800)).replace("license", "")
+    notice = licenses.TEMPLATES["MIT"][1]
+    text = f"{prose} {'   '.join(words)} {prose} {notice} {prose}"
+    assert names(text, templates) == [("Long", True), ("MIT", True)]
+    changed = " ".join(w if i % 24 else "other" for i, w in enumerate(words, 6))
+    assert names(f"{prose}\n{changed} {prose} {changed} {notice}", templates) == [("Long", False)] * 2 + [("MIT", True)]
+
+
+def test_licenses_of_like_wording_are_told_apart():
+    conditions = licenses._BSD_CONDITIONS
+    end = licenses._BSD_END + " AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."
+    for mark in ("{}. ", "{}) ", "* "):
+        listed = [mark.format(i) + c for i, c in enumerate(conditions, 1)]
+        for n in (2, 3):
+            text = "Copyright (c) 2001, A. Body\n" + "\n".join([licenses._BSD, *listed[:n], end])
+            assert [name for name, _ in names(text)] == [f"BSD-{n}-Clause"]
+    assert names(licenses._BSD) == [("BSD-2-Clause OR BSD-3-Clause", True)]
+    free = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+    by = " as published by the Free Software Foundation; "
+    later = "either version {} of the License, or (at your option) any later version."
+    for kind, name in (("General", "GPL"), ("Lesser General", "LGPL"), ("Affero General", "AGPL"), ("Library General", "LGPL")):
+        for version in {"GPL": "23", "AGPL": "3", "LGPL": "3"}[name] if kind[:3] != "Lib" else "2":
+            text = f"{free}{kind} Public License{by}"
+            assert [n for n, _ in names(text + later.format(version))] == [f"{name}-{version}.0-or-later"]
+            assert [n for n, _ in names(f"{text}version {version}.")] == [f"{name}-{version}.0"]
+    assert names(f"{free}General Public License{by}{later.format(7)}") == []
+    work = "This work is licensed under the GNU General Public License, version 2"
+    assert names(work + ".") == [("GPL-2.0", True)]
+    assert names(work + ", or (at your option) any later version.") == [("GPL-2.0-or-later", True)]
+    moved = licenses.TEMPLATES["Apache-2.0"][1] + ".txt"
+    assert names(moved) == [("Apache-2.0", False)]
+    assert names(moved.replace("2.0", "1.1")) == []
+
+
+def test_all_templates_are_compared():
+    text = licenses.TEMPLATES["MIT"][1]
+    templates = {f"A{i}": [f"{text} a{i} license of b{i}, c{i}, d{i}, e{i} and f{i}"] for i in range(30)}
+    assert names(text, {**templates, "MIT": [text]}) == [("MIT", True)]
+
+
+def test_every_template_is_found_in_its_own_text():
+    for name, texts in licenses.TEMPLATES.items():
+        assert [names(f"Of the {t} And so on. " * 3) for t in texts] == [[(name, True)] * 3] * len(texts)
+
+
 def test_ids_are_those_of_the_tokenizer():
     odd = [
         "", None, " a  b\n", "It's don't. 'll we've...", "A.B,c 1.5 x2. é. É! İstanbul ΣΑΣ. Σ",
