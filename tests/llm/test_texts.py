@@ -155,6 +155,12 @@ def test_secret_spans_and_masks(spark):
     assert secrets.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_url_logins_of_any_length(spark):
+    rows = [(n, f"at x://{'u' * n}-:{'-p' * n}@host, x://a:b/c@d") for n in (1, 64, 65, 20000)]
+    masked = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    assert len(set(masked.values())) == 1 and "u-" not in masked[1] and masked[1].endswith("host, x://a:b/c@d")
+
+
 def test_trigram_queries():
     query = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
     assert query["hex"] == []
