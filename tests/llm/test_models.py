@@ -276,6 +276,13 @@ def test_nearest_vectors(spark):
     assert len(found & true) / len(true) > 0.99
 
 
+def test_nearest_of_a_repeated_query_row(spark):
+    rows = [(0, [1.0, 2.0])] * 15 + [(i, [1.0, 2.0]) for i in range(1, 61)] + [(70, [2.0, -1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = neighbours.nearest(vectors, F.col("vec_id") == 0)
+    assert sorted({(r["rank"], r.vec_id) for r in got.collect()}) == [(i, i) for i in range(1, 21)]
+
+
 def test_nearest_of_odd_vectors(spark):
     rows = [
         (None, [1.0, 2.0, 3.0]), (0, None), (20, [0.0, 0.0, 0.0]), (40, [1.0, None, 2.0]),

@@ -56,13 +56,21 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _least_copies(vectors: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Places of all vectors but those of which ``most`` equal ones have a smaller id."""
+def _least_copies(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the vectors that may be among ``k`` nearest.
+
+    Of equal ones these are the rows of the k + 1 least ids, since those of the query's own id do
+    not count, and k rows of each id at most.
+    """
     _, kind = np.unique(vectors, axis=0, return_inverse=True)
     order = np.lexsort((ids, kind))
-    kind = kind[order]
-    rank = np.arange(len(kind)) - np.searchsorted(kind, kind)
-    return np.sort(order[rank < most])
+    kind, own = kind[order], ids[order]
+    new = np.ones(len(kind), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (own[1:] != own[:-1])
+    group = np.cumsum(new) - 1
+    distinct = group - group[np.searchsorted(kind, kind)]
+    copy = np.arange(len(kind)) - np.flatnonzero(new)[group]
+    return np.sort(order[(distinct <= k) & (copy < k)])
 
 
 def _encode(dim: int, centre: np.ndarray, k: int):
@@ -73,7 +81,7 @@ def _encode(dim: int, centre: np.ndarray, k: int):
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
                 vectors, ids = _matrix(part.column("v"), dim), part.column("id").to_numpy()
-                kept = _least_copies(vectors, ids, k + 1)
+                kept = _least_copies(vectors, ids, k)
                 vectors, ids = vectors[kept], ids[kept]
                 away = (vectors - centre) @ turn.T
                 length = np.sqrt((away**2).sum(axis=1))
