@@ -172,3 +172,35 @@ leaves as (select host, template,
 select page_id, host, path, rule, coalesce(j.ruled, case when rejected then 'block' else 'allow' end) as verdict, template
 from judged j join known k using (host, path) join leaves using (host, template)
 """
+
+
+#: One byte of the checksum that zip files use, by its polynomial with reversed bits.
+_CRC_STEP = "case when {c} & 1 = 1 then xor({c} >> 1, 3988292384) else {c} >> 1 end"
+_UTF8 = (
+    "flatten(list_transform(string_split({text}, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint]"
+    " else [(192 | (unicode(x) >> 6))::bigint, (128 | (unicode(x) & 63))::bigint] end))"
+)
+
+SPELLING = f"""
+with recursive bits as (select n, 0 as step, n::bigint as c from range(256) r(n)
+              union all select n, step + 1, {_CRC_STEP.format(c="c")} from bits where step < 8),
+crcs as (select list(c order by n) as crc from bits where step = 8),
+runs as (select doc_id, unnest(regexp_extract_all({_LOWERED.format(text="coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]+')) as run from documents),
+counted as (select coalesce(cast(doc_id as varchar), 'null') as doc, run, count(*) as n from runs group by all),
+hashed as (select run, n, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, {_UTF8.format(text="concat(doc, ':', run)")}),
+               lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) as h from counted, crcs),
+slipped as (select case when h % 97 = 0 then concat(run[1:h % length(run)], run[h % length(run) + 2:]) else run end as word, n from hashed),
+words as (select word, cast(sum(n) as bigint) as n from slipped where length(word) >= 5 group by word having sum(n) >= 3),
+gaps as (select word, n, i, concat(word[1:i-1], word[i+1:]) as rest from words, lateral (select unnest(generate_series(1, length(word))) as i)),
+replaced as (select a.word as a, b.word as b from gaps a join gaps b on a.i = b.i and a.rest = b.rest and a.word <> b.word),
+inserted as (select distinct g.word as a, w.word as b from gaps g join words w on g.rest = w.word),
+near as (select a, b from replaced union select a, b from inserted union select b, a from inserted),
+best as (select a as word, count(*) as n_near, arg_min(b, (-n, b)) as best, max(n) as best_n
+         from near join words on words.word = b group by a),
+judged as (select word, words.n, coalesce(n_near, 0) as n_near, case when best_n >= 2 * n then best end as form,
+                  case when best_n >= 2 * n then best_n end as form_n from words left join best using (word)),
+led as (select word, word as root, form as next from judged
+        union all select led.word, led.next, judged.form from led join judged on judged.word = led.next),
+last as (select word, root from led where next is null)
+select word, form, root, n, n_near, form_n from judged join last using (word)
+"""

@@ -18,8 +18,11 @@ from threadloom.llm import (
     oracles,
     packing,
     secrets,
+    spelling,
     substrings,
+    tokens,
     urls,
+    whitening,
 )
 from threadloom.plans.registry import table
 
@@ -153,3 +156,19 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("missing", " ").alias("missing"),
         F.array_join("extra", " ").alias("extra"),
     )
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op13_spelling_variants", oracles.SPELLING)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
