@@ -45,6 +45,24 @@ def test_long_lists_of_any_length(spark):
     assert (got[1].topics, got[2].topics, got[2].number) == (["code", "letter", "number"], [], 0)
 
 
+def test_long_lists_in_slices(spark):
+    words = [f"{a}{b}" for a in ("war", "ukr", "é", "日", "c+") for b in range(40)] + ["ar", "r1", "日本"]
+    rows = [(w, f"t{i % 3}") for i, w in enumerate(words)] + [("ar", "t2"), ("", "t0"), (None, "t1")]
+    terms = spark.createDataFrame(rows, "term string, topic string")
+    texts = ["WAR12 ukr3", "é39é4 日本日7", "", None, "C+1c+11 " * 3000, "none"]
+    df = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "id long, text string, term string")
+    one, many = kw.tag_terms(df, terms, "id"), kw.tag_terms(df, terms, "id", slice_bytes=200)
+    columns = ["id", "term", "matched_words", "topics", "t0", "t1", "t2"]
+    got = sorted(one.select(columns).collect())
+    assert sorted(many.select(columns).collect()) == got
+    for row, text in zip(got, texts, strict=True):
+        held = sorted(w for w in words if w in (text or "").lower())
+        owned = sorted({t for w, t in rows if w in held})
+        assert (row.matched_words, row.topics) == (held, owned)
+        assert [row.t0, row.t1, row.t2] == [int(t in owned) for t in ("t0", "t1", "t2")]
+    assert {tuple(r.topics) for r in kw.tag_terms(df, terms.limit(0), "id").collect()} == {()}
+
+
 def test_serialised_sets_round_trip(spark):
     df = spark.createDataFrame([(["b", "a"],), ([],)], "topics array<string>")
     out = df.select(kw.join_topics(F.col("topics"), "None").alias("s")).collect()

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.session import materialise, materialise_counting
+
 # --- Fixed values: the published keyword lists and word lists, as given ---
 KEYWORDS = {
     "russia": [
@@ -54,8 +59,9 @@ EXTRA_TERMS = {
 TOPIC_SEPARATOR = " | "
 # --- end of fixed values ---
 
-#: First characters by which terms of a long list are looked up.
-SEED_LENGTH = 3
+#: Bytes of terms in one automaton, each term counting for so many more. A worker needs about a
+#: hundred times as much memory for it.
+AUTOMATON_BYTES, TERM_BYTES = 2 << 20, 8
 
 
 def keyword_rows(spark: SparkSession, keywords: Mapping[str, Iterable[str]] = KEYWORDS) -> DataFrame:
@@ -199,35 +205,77 @@ def split_topics(serialised: Column) -> Column:
     return F.transform(F.split(serialised, r"\|"), lambda piece: F.trim(piece))
 
 
-def tag_terms(df: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
+def tag_terms(
+    df: DataFrame, terms: DataFrame, key: str, text: str = "text", slice_bytes: int = AUTOMATON_BYTES
+) -> DataFrame:
     """The columns of :meth:`Dictionary.tag` for ``(term, topic)`` rows of any number.
 
-    Terms are looked up by their first characters: the distinct pieces of a
-    text of that length are joined with the terms, and the few terms that begin
-    like one are searched in the text. ``key`` tells the rows of ``df`` apart.
-    Topics become columns, so they must be few.
+    An automaton finds all terms in one pass over a text, whatever their number; a worker builds it
+    once. It holds ``slice_bytes`` of terms at most: a longer list is dealt by hash into slices, each
+    with an automaton and a pass of its own, whose finds are put together by ``key``, which tells the
+    rows of ``df`` apart. Topics become columns, so they must be few. Terms are searched as they are,
+    in the lower-cased text; empty and null terms are left out, and a null text holds none.
     """
-    seed = F.least(F.length("term"), F.lit(SEED_LENGTH))
-    seeds = terms.where(seed > 0).select("term", "topic", F.substring("term", F.lit(1), seed).alias("_gram"))
-    topics = sorted(r.topic for r in terms.select("topic").distinct().collect())
-    texts = df.select(key, F.lower(text).alias("_low"))
-    letters = texts.select(key, F.regexp_extract_all("_low", F.lit("(?s)."), F.lit(0)).alias("_c"))
-
-    def pieces(length: int) -> Column:
-        last = F.size("_c") - length
-        starts = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_c", i, length), ""))
-
-    every = F.array_distinct(F.concat(*[pieces(n) for n in range(1, SEED_LENGTH + 1)]))
-    grams = letters.select(key, F.explode_outer(every).alias("_gram"))
-    likely = grams.join(seeds, "_gram").select(key, "term", "topic")
-    hits = likely.join(texts, key).where(F.contains("_low", "term"))
-    found = hits.groupBy(key).agg(
-        F.array_sort(F.collect_set("term")).alias("matched_words"),
-        F.array_sort(F.collect_set("topic")).alias("topics"),
-    )
-    none = F.array().cast("array<string>")
-    tagged = df.join(found, key, "left").withColumns(
-        {c: F.coalesce(c, none) for c in ("matched_words", "topics")}
+    named = terms.where(F.length("term") > 0).groupBy("term").agg(F.collect_set("topic").alias("topics"))
+    size = F.sum(F.octet_length("term") + F.lit(TERM_BYTES))
+    named, seen = materialise_counting(named, "terms", size=size)
+    slices = max(1, -(-(seen["size"] or 0) // slice_bytes))
+    topics = sorted(r.topic for r in named.select(F.explode("topics").alias("topic")).distinct().collect())
+    if slices == 1:
+        tagged = df.withColumn("_found", _finder(named)(F.lower(text)))
+        tagged = tagged.withColumns({c: F.col("_found")[c] for c in _FOUND})
+        return topic_flags(tagged.drop("_found"), topics)
+    texts = materialise(df.select(key, F.lower(text).alias("_low")), "texts")
+    parts = []
+    for i in range(slices):
+        own = named.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == i)
+        part = texts.select(key, _finder(own)("_low").alias("_found"))
+        parts.append(materialise(part.select(key, "_found.*"), "found"))
+    found = reduce(DataFrame.unionByName, parts).groupBy(key).agg(
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in _FOUND]
     )
-    return topic_flags(tagged, topics)
+    found = found.withColumnRenamed(key, "_key")
+    return topic_flags(df.join(found, df[key].eqNullSafe(F.col("_key"))).drop("_key"), topics)
+
+
+_FOUND = ("matched_words", "topics")
+#: The automaton that a worker used last, with the terms it is made of.
+_LAST: list = [None, None]
+
+
+def _automaton(terms: tuple[str, ...]):
+    if _LAST[0] != terms:
+        import ahocorasick
+
+        built = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            built.add_word(term, i)
+        built.make_automaton()
+        _LAST[:] = terms, built
+    return _LAST[1]
+
+
+def _finder(named: DataFrame) -> Callable[..., Column]:
+    """A function of a lower-cased text to the sorted terms in it and their topics.
+
+    ``named`` has ``term, topics`` and is one slice, so that it may be held by the driver and by
+    every worker.
+    """
+    rows = sorted((r.term, tuple(sorted(t for t in r.topics))) for r in named.collect())
+    terms = tuple(term for term, _ in rows)
+    topics = sorted({t for _, own in rows for t in own})
+    owners = [frozenset(topics.index(t) for t in own) for _, own in rows]
+
+    def lists(places: list[list[int]], values: list[str] | tuple[str, ...]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, places)]).astype(np.int32)
+        flat = pa.array([i for own in places for i in own], pa.int32())
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.string()).take(flat))
+
+    @F.arrow_udf("matched_words array<string>, topics array<string>")
+    def find(low: pa.Array) -> pa.Array:
+        search = _automaton(terms).iter if terms else lambda text: ()
+        held = [sorted({i for _, i in search(text)}) if text else [] for text in low.to_pylist()]
+        named = [sorted(frozenset().union(*[owners[i] for i in own])) for own in held]
+        return pa.StructArray.from_arrays([lists(held, terms), lists(named, topics)], _FOUND)
+
+    return find
