@@ -112,6 +112,40 @@ def test_cycles_forks_and_self_links_do_not_stop_the_others(spark):
     assert {r[0]: r[1] for r in graph.connected(df).collect()} == brute_connected(links)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ancestors_of_links_of_any_shape(spark, seed):
+    """Trees with some more links, dense graphs, and cycles with tails and exits, against a search."""
+    rng, links = random.Random(seed), set()
+    for c in range(25):
+        n = rng.randrange(2, 26)
+        for i in range(1, n):
+            links.add((f"tree{c}", f"p{i}", f"p{rng.randrange(max(0, i - rng.choice([1, 4, 30])), i)}"))
+        for _ in range(rng.randrange(4)):
+            links.add((f"tree{c}", f"p{rng.randrange(n)}", f"p{rng.randrange(n)}"))
+        for _ in range(rng.randrange(1, 14)):
+            links.add((f"any{c}", f"p{rng.randrange(8)}", f"p{rng.randrange(8)}"))
+        size = rng.randrange(2, 7)
+        for i in range(size):
+            links.add((f"cycle{c}", f"p{i}", f"p{(i + 1) % size}"))
+        for i in range(size, size + rng.randrange(9)):
+            links.add((f"cycle{c}", f"p{i}", f"p{rng.randrange(i)}"))
+        if c % 2:
+            links.add((f"cycle{c}", f"p{rng.randrange(size)}", "exit"))
+            links.add((f"cycle{c}", "exit", "top"))
+    links = sorted(x for x in links if x[1] != x[2])
+    got = {r[0]: r[1] for r in graph.most_ancestors(edges(spark, links)).collect()}
+    assert got == brute_ancestors(links)
+
+
+def test_one_fork_above_a_long_chain(spark):
+    n = 20_000
+    links = [("c", f"p{i}", f"p{i - 1}") for i in range(1, n)]
+    links += [("c", "p7000", "q0"), ("c", "q0", "q1"), ("c", "q1", "p100")]
+    links += [("d", f"p{i}", f"p{(i + 1) % 3000}") for i in range(3000)] + [("d", "tail", "p5")]
+    got = {r[0]: r[1] for r in graph.conversation_depth(edges(spark, links)).collect()}
+    assert got == {"c": n - 1 + 2, "d": 3000}
+
+
 def test_graphs_with_forks(spark):
     rng = random.Random(7)
     links = [

@@ -102,26 +102,190 @@ def reply_walks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 def most_ancestors(links: DataFrame) -> DataFrame:
     """``conversation_id, depth`` for links of any shape.
 
-    The pairs of a post and an ancestor are kept once; each round joins them
-    with themselves, which doubles the length of the walks they stand for.
+    Each post keeps one link upward, which leaves a tree or a cycle; the other
+    links of forks are few. Posts that a fork or a cycle leads to make up the
+    upper part, where walks may meet again. Of these only *keys* matter: forks,
+    one post of each cycle, posts where walks meet, and posts without a link.
+    Between keys lie plain runs of posts, which are measured by pointer jumping,
+    and only keys have their sets of ancestors found, so that the work grows
+    with the posts and with the pairs of keys, not with the pairs of posts.
     """
-    pairs = links.select(CONVERSATION, F.col("src").alias("node"), F.col("dst").alias("ancestor"))
-    pairs, seen = materialise_counting(pairs.distinct(), "ancestors", n=F.count("*"))
+    parent = links.groupBy(CONVERSATION, F.col("src").alias("node")).agg(
+        F.min("dst").alias("up"), F.count("*").alias("_n")
+    )
+    parent = materialise(parent, "parents")
+    forks = parent.where("_n > 1").select(CONVERSATION, "node")
+    extra = links.join(
+        forks.withColumnRenamed("node", "src"), [CONVERSATION, "src"], "left_semi"
+    ).select(CONVERSATION, F.col("src").alias("node"), F.col("dst").alias("up"))
+    extra = extra.join(parent.drop("_n"), [CONVERSATION, "node", "up"], "left_anti")
+    extra = materialise(extra, "fork-links")
+    jumps, cycles = _jumps(parent.drop("_n"))
+    seeds = forks.unionByName(cycles).unionByName(extra.select(CONVERSATION, F.col("up").alias("node")))
+    upper = _marked(seeds.distinct(), jumps)
+
+    inner = parent.drop("_n").join(upper, [CONVERSATION, "node"], "left_semi").unionByName(extra)
+    inner = materialise(inner, "upper-links")
+    ends = inner.groupBy(CONVERSATION, F.col("up").alias("node")).agg(F.count("*").alias("_in"))
+    met = ends.where("_in > 1").select(CONVERSATION, "node")
+    tops = upper.join(inner.select(CONVERSATION, "node"), [CONVERSATION, "node"], "left_anti")
+    keys = forks.unionByName(cycles).unionByName(met).unionByName(tops).distinct()
+    keys = materialise(keys, "keys")
+
+    # Runs of plain posts between keys; `last` is a run's post below its upper key, and names it.
+    plain = inner.join(keys, [CONVERSATION, "node"], "left_anti")
+    plain = materialise(plain, "plain")
+    steps = plain.join(
+        keys.withColumnRenamed("node", "up").withColumn("_key", F.lit(True)), [CONVERSATION, "up"], "left"
+    )
+    runs = _run_ends(steps.select(CONVERSATION, "node", F.when(F.col("_key").isNull(), F.col("up")).alias("up")))
+    above = plain.select(CONVERSATION, F.col("node").alias("last"), F.col("up").alias("key"))
+    # `hops` from a plain post to its upper key, which is also the number of plain posts on the way.
+    runs = runs.join(above, [CONVERSATION, "last"]).select(
+        CONVERSATION, "node", "last", "key", (F.col("hops") + 1).alias("hops")
+    )
+    runs = materialise(runs, "runs")
+    out = inner.join(keys, [CONVERSATION, "node"], "left_semi")
+    first = runs.select(CONVERSATION, F.col("node").alias("up"), "last", "key", "hops")
+    out = out.join(first, [CONVERSATION, "up"], "left").select(
+        CONVERSATION,
+        F.col("node").alias("lower"),
+        F.coalesce("key", "up").alias("upper"),
+        F.coalesce("hops", F.lit(0)).alias("between"),
+        "last",
+    )
+    out = materialise(out, "key-links")
+    reach = _reached(keys, out)
+
+    # Posts above a key are those of its set, and the runs that begin at it or at one of the set.
+    between = out.groupBy(CONVERSATION, F.col("lower").alias("ancestor")).agg(F.sum("between").alias("_between"))
+    counted = reach.join(between, [CONVERSATION, "ancestor"], "left").groupBy(CONVERSATION, "node").agg(
+        F.sum((F.col("node") != F.col("ancestor")).cast("long") + F.coalesce("_between", F.lit(0))).alias("_above")
+    )
+    counted = materialise(counted, "above-keys")
+
+    # A plain post has as many as its upper key if that leads back to it, else those on the way too.
+    lower = out.where("last is not null").select(CONVERSATION, "last", "lower")
+    back = reach.select(CONVERSATION, F.col("node").alias("key"), F.col("ancestor").alias("lower"), F.lit(True).alias("_back"))
+    inside = (
+        runs.join(lower, [CONVERSATION, "last"], "left")
+        .join(back, [CONVERSATION, "key", "lower"], "left")
+        .join(counted.withColumnRenamed("node", "key"), [CONVERSATION, "key"])
+        .select(
+            CONVERSATION,
+            "node",
+            (F.col("_above") + F.when(F.col("_back").isNull(), F.col("hops")).otherwise(0)).alias("_above"),
+        )
+    )
+    known = materialise(counted.select(CONVERSATION, "node", "_above").unionByName(inside), "above-upper")
+
+    # The other posts lead to one of the upper part, or to a post without a link, by a plain run.
+    outer = parent.drop("_n").join(upper, [CONVERSATION, "node"], "left_anti")
+    entered = upper.withColumnRenamed("node", "up").withColumn("_in", F.lit(True))
+    outer = materialise(outer.join(entered, [CONVERSATION, "up"], "left"), "outer")
+    own = outer.select(CONVERSATION, F.col("node").alias("last"), F.col("up").alias("entry"))
+    below = _run_ends(outer.select(CONVERSATION, "node", F.when(F.col("_in").isNull(), F.col("up")).alias("up")))
+    # A run that enters nothing ends at a post without a link, which has no row of its own.
+    longest = below.join(own, [CONVERSATION, "last"], "left").groupBy(
+        CONVERSATION, F.coalesce("entry", "last").alias("node")
+    ).agg(F.max(F.col("hops") + F.col("entry").isNotNull().cast("long")).alias("_hops"))
+    outside = longest.join(known, [CONVERSATION, "node"], "left").select(
+        CONVERSATION, (F.col("_hops") + F.coalesce("_above", F.lit(0))).alias("_above")
+    )
+    every = known.select(CONVERSATION, "_above").unionByName(outside)
+    return every.groupBy(CONVERSATION).agg(F.max("_above").alias("depth"))
+
+
+def _jumps(parent: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables ``node, up`` of ever doubled distance, and the least post of each cycle.
+
+    The last table has the posts that go on for longer than there are posts,
+    hence lead to a cycle; its ends are the posts of cycles.
+    """
+    step = parent.select(CONVERSATION, "node", "up", F.col("up").alias("least"))
+    step, seen = materialise_counting(step, "jumps", n=F.count("*"))
+    tables, bound = [step], seen["n"]
+    while seen["n"] and 1 << (len(tables) - 1) <= bound:
+        onward = step.select(
+            CONVERSATION, F.col("node").alias("up"), F.col("up").alias("_to"), F.col("least").alias("_least")
+        )
+        step = step.join(onward, [CONVERSATION, "up"]).select(
+            CONVERSATION, "node", F.col("_to").alias("up"), F.least("least", "_least").alias("least")
+        )
+        step, seen = materialise_counting(step, "jumps", n=F.count("*"))
+        tables.append(step)
+    on_cycle = step.select(CONVERSATION, F.col("up").alias("node")).distinct()
+    cycles = step.join(on_cycle, [CONVERSATION, "node"], "left_semi")
+    return tables, materialise(cycles.select(CONVERSATION, F.col("least").alias("node")).distinct(), "cycles")
+
+
+def _marked(seeds: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """The seeds and all that their kept links lead to, however far."""
+    marked = materialise(seeds, "marked")
+    for jump in jumps:
+        further = jump.join(marked, [CONVERSATION, "node"], "left_semi")
+        both = marked.unionByName(further.select(CONVERSATION, F.col("up").alias("node"))).distinct()
+        before = marked
+        marked = materialise(both, "marked")
+        discard(before)
+        discard(jump)
+    return marked
+
+
+def _run_ends(steps: DataFrame) -> DataFrame:
+    """``node, last, hops``: the end of the run that each post is on, by pointer jumping.
+
+    ``steps`` has the next post of a run as ``up``, null at its end; runs have no cycle. What ``up``
+    names without a row of its own ends a run too.
+    """
+    first = steps.select(
+        CONVERSATION,
+        "node",
+        F.coalesce("up", "node").alias("last"),
+        F.col("up").isNotNull().cast("long").alias("hops"),
+        F.col("up").isNotNull().alias("open"),
+    )
+    moving, seen = materialise_counting(first, "runs", n=F.count_if("open"))
+    finished = moving.where("not open").drop("open")
+    moving = moving.where("open").drop("open")
+    while seen["n"]:
+        onward = finished.unionByName(moving).select(
+            CONVERSATION, F.col("node").alias("last"), F.col("last").alias("_to"), F.col("hops").alias("_more")
+        )
+        moved = moving.join(onward, [CONVERSATION, "last"], "left").select(
+            CONVERSATION,
+            "node",
+            F.coalesce("_to", "last").alias("last"),
+            (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"),
+            (F.coalesce("_more", F.lit(0)) > 0).alias("open"),
+        )
+        moved, seen = materialise_counting(moved, "runs", n=F.count_if("open"))
+        finished = finished.unionByName(moved.where("not open").drop("open"))
+        moving = moved.where("open").drop("open")
+    return finished
+
+
+def _reached(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """Pairs of a key and each key that it leads to, and of every key with itself.
+
+    Each round joins the pairs with themselves, which doubles the length of the walks they stand for.
+    """
+    own = keys.select(CONVERSATION, "node", F.col("node").alias("ancestor"))
+    pairs = links.select(CONVERSATION, F.col("lower").alias("node"), F.col("upper").alias("ancestor"))
+    pairs, seen = materialise_counting(own.unionByName(pairs).distinct(), "reached", n=F.count("*"))
     known = 0
     while seen["n"] > known:
         known = seen["n"]
         onward = pairs.select(
             CONVERSATION, F.col("node").alias("ancestor"), F.col("ancestor").alias("_further")
         )
-        longer = pairs.join(onward, [CONVERSATION, "ancestor"]).select(
+        wider = pairs.join(onward, [CONVERSATION, "ancestor"]).select(
             CONVERSATION, "node", F.col("_further").alias("ancestor")
         )
-        wider = pairs.unionByName(longer.where(F.col("node") != F.col("ancestor"))).distinct()
         before = pairs
-        pairs, seen = materialise_counting(wider, "ancestors", n=F.count("*"))
+        pairs, seen = materialise_counting(wider.distinct(), "reached", n=F.count("*"))
         discard(before)
-    counts = pairs.groupBy(CONVERSATION, "node").agg(F.count("*").alias("_n"))
-    return counts.groupBy(CONVERSATION).agg(F.max("_n").alias("depth"))
+    return pairs
 
 
 def deepest_answered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
