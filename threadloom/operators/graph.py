@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from threadloom.session import discard, materialise, materialise_counting
 
 CONVERSATION = "conversation_id"
 HOPS_PER_ROUND = 2
+#: Links of a conversation that one task may hold with the sets of ancestors, 50 MB of bits at most.
+SMALL_LINKS = 10_000
 
 
 def reply_edges(posts: DataFrame) -> DataFrame:
@@ -99,9 +102,80 @@ def reply_walks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return by_jumps.unionByName(by_sets), irregular
 
 
-def most_ancestors(links: DataFrame) -> DataFrame:
+def most_ancestors(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
     """``conversation_id, depth`` for links of any shape.
 
+    A conversation of ``small`` links at most is settled by one task, which holds its sets of
+    ancestors as bits; larger ones by :func:`ancestors_by_keys`.
+    """
+    few, large = _by_size(links, small)
+    depth = few.groupBy(CONVERSATION).applyInArrow(_deepest_of, f"{CONVERSATION} string, depth long")
+    if large.isEmpty():
+        return depth
+    return depth.unionByName(ancestors_by_keys(links.join(large, CONVERSATION, "left_semi")))
+
+
+def _by_size(links: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """The links of conversations that one task may hold, and the ids of the others."""
+    sizes = links.groupBy(CONVERSATION).agg(F.count("*").alias("_links"))
+    large = materialise(sizes.where(F.col("_links") > small).select(CONVERSATION), "large")
+    return links.join(large, CONVERSATION, "left_anti").select(CONVERSATION, "src", "dst"), large
+
+
+def _deepest_of(links: pa.Table) -> pa.Table:
+    ends = [links.column(c).to_pylist() for c in ("src", "dst")]
+    return pa.table({CONVERSATION: links.column(CONVERSATION)[:1], "depth": [_largest_reach(*ends)]})
+
+
+def _largest_reach(sources: list[str], targets: list[str]) -> int:
+    """Most other nodes that any node leads to.
+
+    A walk through the graph closes one strongly connected part at a time, after all parts that it
+    leads to; a part's set is its own nodes and the sets of those.
+    """
+    number = {node: i for i, node in enumerate(dict.fromkeys([*sources, *targets]))}
+    onward: list[list[int]] = [[] for _ in number]
+    for a, b in zip(sources, targets, strict=True):
+        onward[number[a]].append(number[b])
+    order, low, reach = [-1] * len(number), [0] * len(number), [0] * len(number)
+    open_nodes: list[int] = []
+    seen, most = 0, 0
+    for start in range(len(number)):
+        walk = [(start, 0)] if order[start] < 0 else []
+        while walk:
+            node, at = walk.pop()
+            if at == 0:
+                order[node] = low[node] = seen
+                seen += 1
+                open_nodes.append(node)
+            else:
+                low[node] = min(low[node], low[onward[node][at - 1]])
+            while at < len(onward[node]):
+                next_node = onward[node][at]
+                at += 1
+                if order[next_node] < 0:
+                    walk += [(node, at), (next_node, 0)]
+                    break
+                if not reach[next_node]:  # still open: on the way here, or in a part that is
+                    low[node] = min(low[node], order[next_node])
+            else:
+                if low[node] == order[node]:
+                    part, held = [open_nodes.pop()], 0
+                    while part[-1] != node:
+                        part.append(open_nodes.pop())
+                    for member in part:
+                        held |= 1 << member
+                        for next_node in onward[member]:
+                            held |= reach[next_node]
+                    for member in part:
+                        reach[member] = held
+                    most = max(most, held.bit_count() - 1)
+    return most
+
+
+def ancestors_by_keys(links: DataFrame) -> DataFrame:
+    """:func:`most_ancestors` of conversations of any size.
+
     Each post keeps one link upward, which leaves a tree or a cycle; the other
     links of forks are few. Posts that a fork or a cycle leads to make up the
     upper part, where walks may meet again. Of these only *keys* matter: forks,
@@ -296,8 +370,8 @@ def deepest_answered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``log3(d)`` rounds. Posts nobody answered are left out first, since the
     deepest of them is one below the deepest answered post; that also removes
     the bulk of the replies to a very popular post. Only pointers that can
-    still move are written again. Those that can after the last round any
-    chain may need are on the way to a cycle.
+    still move are written again. Those that can after as many steps as any
+    conversation has answered posts are on the way to a cycle.
     """
     answered = links.select(CONVERSATION, F.col("dst").alias("src")).distinct()
     pointers = links.join(answered, [CONVERSATION, "src"], "left_semi").select(
@@ -307,9 +381,12 @@ def deepest_answered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit(1).cast("long").alias("steps"),
     )
     moving, seen = materialise_counting(pointers, "depth", n=F.count("*"))
-    rounds, bound = 0, seen["n"].bit_length()
+    sizes = moving.groupBy(CONVERSATION).agg(F.count("*").alias("_posts"))
+    most = sizes.agg(F.max("_posts")).first()[0] or 0
+    reached = 1
     finished = moving.limit(0)
-    while seen["n"] and rounds <= bound:
+    # One round more, in which a pointer that has just come to its end is seen not to move.
+    while seen["n"] and reached <= most * (HOPS_PER_ROUND + 1):
         onward = finished.unionByName(moving).select(
             CONVERSATION,
             F.col("node").alias("ancestor"),
@@ -328,7 +405,7 @@ def deepest_answered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         moved, seen = materialise_counting(moved, "depth", n=F.count_if("open"))
         finished = finished.unionByName(moved.where(~F.col("open")).drop("open"))
         moving = moved.where("open").drop("open")
-        rounds += 1
+        reached *= HOPS_PER_ROUND + 1
     cyclic = moving.select(CONVERSATION).distinct()
     above = finished.join(cyclic, CONVERSATION, "left_anti") if seen["n"] else finished
     return above.groupBy(CONVERSATION).agg(F.max("steps").alias("above")), cyclic
@@ -392,8 +469,35 @@ def connected(edges: DataFrame, irregular: DataFrame | None = None) -> DataFrame
     return settled.unionByName(connected_by_components(odd))
 
 
-def connected_by_components(edges: DataFrame) -> DataFrame:
-    """The same for links of any shape: one star must hold all posts."""
+def _joined_of(links: pa.Table) -> pa.Table:
+    """Whether the links of one conversation join all their posts."""
+    above: dict[str, str] = {}
+
+    def root(node: str) -> str:
+        while above.setdefault(node, node) != node:
+            above[node] = node = above[above[node]]
+        return node
+
+    for a, b in zip(*[links.column(c).to_pylist() for c in ("src", "dst")], strict=True):
+        above[root(a)] = root(b)
+    parts = len({root(node) for node in list(above)})
+    one = pa.array([int(parts == 1)], pa.int32())
+    return pa.table({CONVERSATION: links.column(CONVERSATION)[:1], "connected": one})
+
+
+def connected_by_components(edges: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
+    """The same for links of any shape: one star must hold all posts.
+
+    A conversation of ``small`` links at most is settled by one task.
+    """
+    few, large = _by_size(edges, small)
+    joined = few.groupBy(CONVERSATION).applyInArrow(_joined_of, f"{CONVERSATION} string, connected int")
+    if large.isEmpty():
+        return joined
+    return joined.unionByName(_one_star(edges.join(large, CONVERSATION, "left_semi")))
+
+
+def _one_star(edges: DataFrame) -> DataFrame:
     nodes = node_degrees(edges).groupBy(CONVERSATION).agg(F.count("*").alias("_nodes"))
     stars = component_stars(edges).groupBy(CONVERSATION).agg(F.count("*").alias("_links"))
     return nodes.join(stars, CONVERSATION, "left").select(
