@@ -1,5 +1,6 @@
 import gzip
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,7 +91,7 @@ def test_threads_deeper_than_the_parser(spark, tmp_path, depth):
     assert [r.filename[-8:] for r in threads.unreadable_threads(spark, str(tmp_path)).collect()] == ["cut.json"]
 
 
-def test_both_ways_of_reading_threads_agree(spark, tmp_path):
+def test_both_ways_of_reading_threads_agree(spark, tmp_path, monkeypatch):
     odd = {"data": {"id": 7, "author": None, "created_utc": "x", "body": {"a": [1, "b"]}, "replies": [3]}}
     more = {"kind": "more", "data": {"parent_id": "t1_c0", "children": ["h1", "h2"]}}
     documents = [
@@ -101,15 +102,30 @@ def test_both_ways_of_reading_threads_agree(spark, tmp_path):
     ]
     put(tmp_path / "a.json", "\n".join(json.dumps(d) for d in documents) + "\n[{'data': {'children': [{'data': {'id': 'q'}}]}}]")
     first = threads.read_threads(spark, str(tmp_path))
-    lines = spark.read.text(str(tmp_path)).select(F.col("_metadata.file_path").alias("filename"), "value")
-    flat = F.udf(threads._flat, threads._FLAT)
-    second = lines.select("filename", F.lit(None).cast(first.schema["doc"].dataType).alias("doc"), flat("value").alias("flat"))
+
+    def fails(text):
+        raise RecursionError
+
+    monkeypatch.setattr(threads, "_DECODER", SimpleNamespace(raw_decode=fails, decode=fails))
+    read = [(r.filename, *threads._flat(r.value)) for r in spark.read.text(str(tmp_path)).select(F.col("_metadata.file_path").alias("filename"), "value").collect()]
+    second = spark.createDataFrame(read, first.schema)
     both = [sorted(map(str, threads.thread_nodes(way).collect())) for way in (first, second)]
     assert both[0] == both[1] and len(both[0]) == 19
+    monkeypatch.undo()
     for text in ("", "[{", "[1,]", '{"a" 1}', '{"a":1,}', "[1 2]", "{]", "]", ",", "7", '["a\\x"]', '{"a":}'):
         assert threads._flat(text) is None
 
 
+def test_threads_are_read_in_one_pass(spark, tmp_path, monkeypatch):
+    """Nothing is written on the way, however deep; numbers stay as they were written."""
+    text = json.dumps(thread([nested(150), comment("n", body=12.50)])).replace('"body": 12.5', '"body": 12.50')
+    put(tmp_path / "deep.json", text)
+    monkeypatch.setattr("threadloom.session.materialise", lambda *a: pytest.fail("written"))
+    nodes = threads.thread_nodes(threads.read_threads(spark, str(tmp_path)))
+    posts = {r.pid: r.text for r in threads.thread_posts(nodes).collect()}
+    assert len(posts) == 152 and posts["cn"] == "12.50"
+
+
 def test_collapsed_nodes_at_both_levels(spark, tmp_path):
     more = {"kind": "more", "data": {"parent_id": "t1_c0", "children": ["h1", "h2"]}}
     top = {"kind": "more", "data": {"parent_id": "t3_r", "children": ["h3"]}}

@@ -4,22 +4,18 @@ from __future__ import annotations
 
 import json
 import re
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
-from threadloom.session import materialise
 
 _POST = (
     "id string, author string, created_utc double, parent_id string, permalink string, "
-    "over_18 boolean, title string, selftext string, body string, children array<string>, "
-    # an object comes as its text, so that a level is parsed when it is reached
-    "replies string"
+    "over_18 boolean, title string, selftext string, body string, children array<string>"
 )
 _NODE = f"struct<data: struct<{_POST.replace(' ', ':').replace(',:', ',')}>>"
-_LISTING = f"struct<data: struct<children: array<{_NODE}>>>"
 _FIELDS = [field.split()[0] for field in _POST.split(", ")]
 _FLAT = "struct<root: string, nodes: array<string>>"
 
@@ -102,7 +98,7 @@ def _parsed(text: str) -> list | None:
         holder[5] = "after"
         if holder[0] in _ARRAYS:
             holder[1].append(value if here else None)
-        elif holder[0] == "post" and holder[3] in _FIELDS:
+        elif holder[0] == "post" and holder[3] in (*_FIELDS, "replies"):
             holder[1][holder[3]] = value if here else _text_field(holder[3], raw)
         elif (holder[0], holder[3]) in _INSIDE:
             holder[1][holder[3]] = value if here else None
@@ -117,20 +113,77 @@ def _text_field(field: str, raw: str) -> str:
     return json.dumps("".join(m[1] for m in _TOKEN.finditer(raw)), ensure_ascii=False)
 
 
+class _Number(str):
+    """The digits of a number as written."""
+
+
+_DECODER = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_Number)
+_quoted = json.encoder.encode_basestring
+
+
+def _written(value) -> str:
+    """The JSON of a decoded value, without blanks."""
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, str):
+        return _quoted(value)
+    if isinstance(value, list):
+        return "[" + ",".join(map(_written, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_quoted(k)}:{_written(v)}" for k, v in value.items()) + "}"
+    return {None: "null", True: "true", False: "false"}[value]
+
+
+def _decoded_field(field: str, value) -> str:
+    """The JSON of a field; an object in place of a text is its text."""
+    if isinstance(value, dict) or (isinstance(value, list) and field != "children"):
+        return _quoted(_written(value))
+    return _written(value)
+
+
+def _held(value, name: str, kind: type):
+    """Field ``name`` of an object if it is of this kind, else an empty one."""
+    found = value.get(name) if isinstance(value, dict) else None
+    return found if isinstance(found, kind) else kind()
+
+
+def _quoted_listing(text: str):
+    """Replies that came as a text: the JSON in it, if any."""
+    try:
+        return _DECODER.decode(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def _parsed_listing(token: str):
+    listings = _parsed(_name(token)) if token[:1] in ("'", '"') and len(token) > 2 else None
+    return listings[0] if listings else None
+
+
 def _flat(text: str | None) -> tuple[str | None, list[str]] | None:
-    """The root and all nodes of a document, each as JSON of its own; null if it is no JSON."""
-    listings = None if text is None else _parsed(text)
-    if listings is None:
+    """The root and all nodes of a document, each as JSON of its own; null if it is no JSON.
+
+    Documents nested deeper than the standard decoder goes, or that only the parser of Spark takes
+    for JSON, are read token by token.
+    """
+    if text is None:
         return None
+    try:
+        value = _DECODER.raw_decode(text.lstrip(" \t\r\n"))[0]
+        if not isinstance(value, (list, dict)):
+            return None
+        listings, written, quoted = value if isinstance(value, list) else [value], _decoded_field, _quoted_listing
+    except (ValueError, RecursionError):
+        listings, written, quoted = _parsed(text), lambda field, raw: raw, _parsed_listing
+        if listings is None:
+            return None
 
-    def children(listing: dict | None) -> list:
-        return ((listing or {}).get("data") or {}).get("children") or []
+    def children(listing) -> list:
+        return _held(_held(listing, "data", dict), "children", list)
 
-    def node(value: dict | None) -> str:
-        post = (value or {}).get("data")
-        if post is None:
-            return "{}"
-        fields = [f'"{k}":{v}' for k, v in post.items() if isinstance(v, str)]
+    def node(value) -> str:
+        post = _held(value, "data", dict)
+        fields = [f'"{k}":{written(k, post[k])}' for k in _FIELDS if k in post]
         return '{"data":{' + ",".join(fields) + "}}"
 
     waiting = [n for listing in listings[:2] for n in children(listing)]
@@ -139,85 +192,57 @@ def _flat(text: str | None) -> tuple[str | None, list[str]] | None:
     while waiting:
         value = waiting.pop()
         nodes.append(node(value))
-        replies = ((value or {}).get("data") or {}).get("replies")
-        if isinstance(replies, dict):
-            waiting.extend(children(replies))
+        replies = _held(value, "data", dict).get("replies")
+        waiting.extend(children(quoted(replies) if isinstance(replies, str) else replies))
     return root, nodes
 
 
-def _documents(spark: SparkSession, path: str, whole_file: bool) -> DataFrame:
-    """Every document with its text, and its first level or, if that is null, all its nodes.
+def _flatten(texts: pa.Array) -> pa.Array:
+    kind = pa.struct([("root", pa.string()), ("nodes", pa.list_(pa.string()))])
+    found = map(_flat, texts.to_pylist())
+    return pa.array([f and {"root": f[0], "nodes": f[1]} for f in found], kind)
 
-    The parser of Spark gives null for JSON of more than 1000 levels, about 200 of replies. Such
-    documents are read a second way, without recursion, into the texts of their nodes.
-    """
+
+def _documents(spark: SparkSession, path: str, whole_file: bool) -> DataFrame:
+    """Every document with its text, and its root and nodes if it is JSON."""
     lines = spark.read.text(path, wholetext=whole_file).where(F.trim("value") != "")
-    parsed = lines.select(
+    # not deterministic for the planner, so that it is not called again by every filter
+    flat = F.arrow_udf(_flatten, _FLAT).asNondeterministic()
+    return lines.select(
         F.col("_metadata.file_path").alias("filename"),
         "value",
-        F.from_json("value", f"array<{_LISTING}>").alias("doc"),
+        flat("value").alias("flat"),
     )
-    # not deterministic for the planner, so that it is not called again by every filter
-    flat = F.udf(_flat, _FLAT).asNondeterministic()
-    return parsed.withColumn("flat", flat(F.when(F.col("doc").isNull(), F.col("value"))))
-
-
-def _top(doc: Column) -> Column:
-    """The nodes of the first level: the root post and the comments on it."""
-    none = F.get(doc, F.lit(0))["data"]["children"]
-    none = F.slice(none, 1, 0)
-    listings = [F.coalesce(F.get(doc, F.lit(i))["data"]["children"], none) for i in range(2)]
-    return F.concat(*listings)
 
 
 def _is_thread() -> Column:
-    any_node = (F.size(_top(F.col("doc"))) > 0) | (F.size("flat.nodes") > 0)
-    return F.coalesce(any_node, F.lit(False))
+    return F.coalesce(F.size("flat.nodes") > 0, F.lit(False))
 
 
 def read_threads(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
-    """Thread documents as ``(filename, doc, flat)``, one per line or per file.
+    """Thread documents as ``(filename, root, nodes)``, one per line or per file.
 
-    ``flat`` has the nodes of those too deep for ``doc``, and is null for the others. Documents that
-    are no thread are left out here and listed by :func:`unreadable_threads`.
+    ``nodes`` has the JSON of every node at any depth, without the replies to it: a document is read
+    once, in the memory of one task, and nothing is written. Documents that are no thread are left
+    out here and listed by :func:`unreadable_threads`.
     """
-    return _documents(spark, path, whole_file).where(_is_thread()).select("filename", "doc", "flat")
+    return _documents(spark, path, whole_file).where(_is_thread()).select("filename", "flat.root", "flat.nodes")
 
 
 def unreadable_threads(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """``filename, length, reason`` of the documents that :func:`read_threads` leaves out."""
-    unread = F.col("doc").isNull() & F.col("flat").isNull()
-    reason = F.when(unread, "no JSON array of listings").otherwise("no posts")
+    reason = F.when(F.col("flat").isNull(), "no JSON array of listings").otherwise("no posts")
     return _documents(spark, path, whole_file).where(~_is_thread()).select(
         "filename", F.length("value").alias("length"), reason.alias("reason")
     )
 
 
 def thread_nodes(threads: DataFrame) -> DataFrame:
-    """One row per node of every thread, at any depth of nesting.
-
-    One level of nesting at a time: the replies of a node are a text until
-    their level is reached, and then become rows of their own, so that no row
-    holds more than one subtree. Every level is written once. Documents too
-    deep for the parser have all their nodes at the first level.
-    """
-    root = F.get(F.get("doc", F.lit(0))["data"]["children"], F.lit(0))["data"]["id"]
-    root = F.coalesce(root, F.from_json("flat.root", _NODE)["data"]["id"])
-    nodes = F.transform("flat.nodes", lambda n: F.from_json(n, _NODE))
-    nodes = F.when(F.col("doc").isNull(), nodes).otherwise(_top(F.col("doc")))
-    level = threads.select("filename", root.alias("root_id"), F.explode(nodes).alias("_n"))
-    levels = []
-    while True:
-        written = materialise(
-            level.select("filename", "root_id", *[F.col("_n.data")[f].alias(f) for f in _FIELDS]),
-            "thread-nodes",
-        )
-        levels.append(written.drop("replies"))
-        answered = written.where(F.col("replies") != "")
-        if answered.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        below = F.from_json("replies", _LISTING)["data"]["children"]
-        level = answered.select("filename", "root_id", F.explode(below).alias("_n"))
+    """One row per node of every thread, at any depth of nesting."""
+    root = F.from_json("root", _NODE)["data"]["id"].alias("root_id")
+    nodes = threads.select("filename", root, F.explode("nodes").alias("_n"))
+    nodes = nodes.select("filename", "root_id", F.from_json("_n", _NODE)["data"].alias("_p"))
+    return nodes.select("filename", "root_id", *[F.col("_p")[f].alias(f) for f in _FIELDS])
 
 
 def is_collapsed(author: str = "author") -> Column:
