@@ -6,11 +6,13 @@ the checks.
 
 from __future__ import annotations
 
+import gzip
 import json
 from functools import lru_cache
 from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -284,6 +286,41 @@ def write_pages(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+#: Packed files, and those of them that are cut off behind the pages of the first block.
+PACKED_FILES, CUT_FILES = 11, (3, 7)
+
+
+def write_packed_pages(spark: SparkSession, sf_dir: str) -> str:
+    """The same pages packed into one compressed file per group of conversations.
+
+    In two files the pages behind the first of each conversation are lost with the end of the file,
+    and one holds a line that is no page.
+    """
+    lines = spark.read.text(write_pages(spark, sf_dir))
+    name = F.get_json_object("value", "$.filename")
+    group = F.regexp_extract(name, r"/raw/c([0-9]+)_", 1).cast("long") % PACKED_FILES
+    block = F.regexp_extract(name, r"_([0-9]+)\.json", 1).cast("long")
+    folder = scratch_path(spark, "packed")
+    packed = lines.select(group.alias("pack"), block.alias("block"), "value").groupBy("pack").applyInArrow(
+        _packed, "pack long, content binary"
+    )
+    # A text is written as it is, whatever its bytes; what follows it is padding of the last member.
+    packed.select("pack", F.col("content").cast("string")).write.partitionBy("pack").option("lineSep", "\0").text(folder)
+    return folder
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    pack = rows.column("pack")[0].as_py()
+    pages = sorted(zip(rows.column("block").to_pylist(), rows.column("value").to_pylist(), strict=True))
+    first = "".join(f"{value}\n" for block, value in pages if block == 0)
+    later = "".join(f"{value}\n" for block, value in pages if block > 0)
+    if pack == 5:
+        later += "<html>busy</html>\n"
+    second = gzip.compress(later.encode(), mtime=0)
+    content = gzip.compress(first.encode(), mtime=0) + (second[:10] if pack in CUT_FILES else second)
+    return pa.table({"pack": [pack], "content": pa.array([content], pa.binary())})
+
+
 PAGE_FILE = "concat('/raw/', conversation_id, '_', turn // 4, '.json.gz')"
 IS_INCLUDE = "case when turn % 4 = 3 then 1 else 0 end"
 

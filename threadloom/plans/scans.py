@@ -13,7 +13,7 @@ from threadloom.operators import ranking, rollups
 from threadloom.plans import fixtures as fx
 from threadloom.plans.registry import query, table
 from threadloom.session import scratch_path
-from threadloom.sources import pages, sinks, survey, tables, threads
+from threadloom.sources import packed, pages, sinks, survey, tables, threads
 
 SPACES = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -37,6 +37,41 @@ def scan_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "unreadable_pages",
+    fx.with_views(
+        f"""select min(page) filter (pack = 5 or block = 0) as first_page,
+                   count(*) filter (pack = 5 or block = 0) as pages_read,
+                   case when pack = 5 then 1 else 0 end::bigint as bad_lines, case when pack <> 5 then 'cut off' end as problem
+            from (select distinct conv_id % {fx.PACKED_FILES} as pack, {fx.PAGE_FILE} as page, turn // 4 as block
+                  from posts_fx) p
+            where pack in (3, 5, 7) group by pack"""
+    ),
+)
+def unreadable_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Files that are cut off or hold a line that is no page, with the first of the pages read."""
+    lines = packed.read_packed(spark, fx.write_packed_pages(spark, sf))
+    name = F.get_json_object("value", "$.filename")
+    first = lines.groupBy("file").agg(F.min(name).alias("first_page"))
+    return packed.unreadable_pages(lines).join(first, "file").select("first_page", "pages_read", "bad_lines", "problem")
+
+
+@query(
+    "scan_packed_pages",
+    fx.with_views(
+        f"""select pid as id, conversation_id, {fx.IS_INCLUDE} as is_include, author as author_id, text,
+                   {fx.CREATED_SQL} as created_at, {fx.PAGE_FILE} as filename
+            from posts_fx where turn < 4 or conv_id % {fx.PACKED_FILES} not in {fx.CUT_FILES}"""
+    ),
+)
+def scan_packed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The posts of packed files, up to the damage of two of them."""
+    lines = packed.read_packed(spark, fx.write_packed_pages(spark, sf))
+    return pages.page_posts(packed.packed_pages(lines)).select(
+        "id", "conversation_id", "is_include", "author_id", "text", "created_at", "filename"
+    )
+
+
 @query(
     "scan_threads",
     fx.with_views(

@@ -10,7 +10,9 @@ from threadloom.functions import text as tx
 
 
 def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Page objects and the file each came from. Unreadable files are left out.
+    """Page objects and the file each came from. Unreadable files are left out, with what they hold.
+
+    :func:`threadloom.sources.packed.read_packed` reads them up to their damage and reports it.
 
     One object per line, any number per file; ``multi_line`` reads objects that
     were written over several lines. Pages packed into larger files carry the
@@ -25,8 +27,9 @@ def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     return with_filename(raw)
 
 
-def with_filename(raw: DataFrame) -> DataFrame:
-    name = F.coalesce("filename", "_metadata.file_path").alias("filename")
+def with_filename(raw: DataFrame, file: str = "_metadata.file_path") -> DataFrame:
+    """The name a page carries, else that of its ``file``."""
+    name = F.coalesce("filename", file).alias("filename")
     return raw.select("data", "includes", "meta", name)
 
 
