@@ -1,6 +1,7 @@
 """Substrings, near-duplicates, decontamination and secrets against plain versions."""
 
 import random
+import time
 
 import brute
 import pytest
@@ -125,6 +126,8 @@ def test_winnowing_keeps_a_share_of_the_pieces(spark):
     text = " ".join(f"w{draw.randrange(10**6)}" for _ in range(5000))
     texts = spark.createDataFrame([(1, text)], "doc long, text string")
     posted = decontam.fingerprints(texts, ["doc"], decontam.WINDOW, decontam.GRAM)
+    assert [r.n_words for r in posted.filter("n_words is not null").collect()] == [5000]
+    posted = posted.filter("n_words is null")
     assert 0.2 < posted.count() / 5000 < 0.4  # two in seven
 
 
@@ -186,3 +189,22 @@ def test_digests_of_the_queries(spark, tmp_path):
         return sum(s[2] == "hex" for s in spans), brute.digest(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans))
 
     assert got == sorted(((doc, *expected(text)) for doc, text in rows), key=str)
+
+
+def test_secrets_of_one_long_text(spark):
+    """Masking takes time in proportion to the text, however many secrets it holds."""
+    rng = random.Random(2)
+    texts = [
+        " ".join(f"é{i} password=abc{i}defg x" + "日本\n" * (i % 50 == 0) for i in range(16_000)),
+        "token=aaaaaaaa" * 3 + "AKIA" + "B" * 40 + "y" * 5000,
+        "a" * 2048 + "password=abcdefgh",
+        "password=" + "q" * 6000 + " z",
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    more = [r for r in secrets.RULES if r.kind not in {k for k, _, _ in brute.SECRET_PATTERNS}]
+    docs = spark.createDataFrame([(i, t, 1, "u", True) for i, t in rows], "doc_id long, text string, row int, key string, gaps boolean")
+    started = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert time.perf_counter() - started < 60
+    assert {i: r.text for i, r in got.items()} == {i: brute.masked(t, more) for i, t in rows}
+    assert (got[0].row, got[0].key, got[0].gaps) == (1, "u", True)

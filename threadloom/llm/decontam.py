@@ -7,7 +7,7 @@ which are compared word by word with the windows of the items.
 
 A window is ``window`` consecutive words of an item; an item of fewer words is one window, and its
 pieces are as long as itself, so that every place of a document is posted for it. That second pass
-over the documents is made only where such items exist.
+over the documents is made only where such items exist. The first one also counts the words.
 
 Defined results: a null text has no words and an item without words no window. An item without an
 id still marks words but is not listed. Rows of one id are judged by their own texts.
@@ -25,8 +25,6 @@ GRAM = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before they are lower-cased.
-_ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def lowered_words(text: Column) -> Column:
@@ -34,10 +32,6 @@ def lowered_words(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_ANY_WORD)), F.lit(0)).cast("long")
-
-
 def _upto(last: Column) -> Column:
     """0 to ``last``; empty if that is negative."""
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
@@ -57,10 +51,16 @@ def _hashed(texts: DataFrame, *keys: str) -> DataFrame:
 
 
 def fingerprints(texts: DataFrame, keys: list[str], window: int, gram: int) -> DataFrame:
-    """``p, f``: places and hashes of the pieces that are minimal in some window."""
-    pieces = _hashed(texts, *keys).select(*keys, _pieces(gram).alias("g"))
+    """``p, f``: places and hashes of the pieces that are minimal in some window.
+
+    Every text has one row more, with its number of words as ``n_words``, which is null otherwise; the
+    ``f`` of that row is only there to spread such rows.
+    """
+    hashed = _hashed(texts, *keys)
+    pieces = hashed.select(*keys, F.size("h").cast("long").alias("n"), _pieces(gram).alias("g"))
+    listed = F.concat("g", F.array(F.xxhash64("n", *keys)))
     # The outer form: for the other one Spark adds a filter that evaluates the pieces again.
-    posted = pieces.select(*keys, "g", F.posexplode_outer("g").alias("p", "f"))
+    posted = pieces.select(*keys, "n", "g", F.posexplode_outer(listed).alias("p", "f"))
     around = window - gram
 
     def reach(sign: int) -> Column:
@@ -71,7 +71,26 @@ def fingerprints(texts: DataFrame, keys: list[str], window: int, gram: int) -> D
             run = F.when(~larger, j - 1).otherwise(run)
         return run
 
-    return posted.filter(reach(-1) + reach(1) >= around).select(*keys, "p", "f")
+    extra = F.col("p") == F.size("g")
+    kept = posted.filter(extra | (reach(-1) + reach(1) >= around))
+    return kept.select(*keys, "p", "f", F.when(extra, F.col("n")).alias("n_words"))
+
+
+def _short_hits(texts: DataFrame, shorter: DataFrame, lengths: list[int], keys: list[str]) -> DataFrame:
+    """``p, len`` of the pieces that are items of fewer words, of all their lengths in one pass."""
+
+    def run(length: int) -> Column:
+        return F.transform(
+            _pieces(length), lambda f, i: F.struct(F.lit(length).alias("len"), i.alias("p"), f.alias("f"))
+        )
+
+    posts = _hashed(texts, *keys).select(*keys, F.explode_outer(F.concat(*map(run, lengths))).alias("x"))
+    words = F.split("win", " ")
+    own = F.coalesce(
+        *[F.when(F.col("len") == n, F.xxhash64(*[F.xxhash64(F.get(words, j)) for j in range(n)])) for n in lengths]
+    )
+    wanted = shorter.select("len", own.alias("f")).distinct()
+    return posts.select(*keys, "x.*").join(wanted, ["len", "f"], "left_semi").select(*keys, "p", "len")
 
 
 def _windows(items: DataFrame, window: int) -> DataFrame:
@@ -104,32 +123,32 @@ def _starts(window: int, gram: int) -> Column:
 
 def occurrences(
     texts: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM
-) -> tuple[DataFrame, DataFrame]:
-    """Windows found (``doc, key, s, len, win``) and the windows of the items (``item, len, win``).
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows found (``doc, key, s, len, win``), those of the items (``item, len, win``), and the texts.
 
-    ``texts`` has ``doc, key, text``, ``items`` has ``item, text``.
+    ``texts`` has ``doc, key, text``, ``items`` has ``item, text``. The last table has ``doc, key,
+    n_words, copies``, a row per text, from the same pass over the texts as the hits.
     """
     windows = materialise(_windows(items, window), "item-windows")
     long = items.filter(F.size(lowered_words(F.col("text"))) >= window)
-    wanted = materialise(
-        fingerprints(long, ["item"], window, gram).select("f").distinct(), "item-fingerprints"
-    )
+    wanted = fingerprints(long, ["item"], window, gram).filter("n_words is null").select("f").distinct()
+    wanted = materialise(wanted.withColumn("hit", F.lit(True)), "item-fingerprints")
     keys = ["doc", "key"]
-    texts = texts.filter("text is not null")
-    hits = fingerprints(texts, keys, window, gram).join(wanted, "f", "left_semi")
-    hits = hits.select(*keys, "p", F.lit(window).alias("len"))
+    posts = fingerprints(texts, keys, window, gram).join(wanted, "f", "left")
+    posts = posts.filter("hit or n_words is not null")
+    place = F.struct("p", F.lit(window).alias("len"))
+    posts = posts.select(*keys, F.when(F.col("n_words").isNull(), place).alias("x"), "n_words")
     shorter = windows.filter(F.col("len") < window)
     # At most window - 1 lengths.
-    for (length,) in sorted(shorter.select("len").distinct().collect()):
-        pieces = _hashed(texts, *keys).select(*keys, F.posexplode_outer(_pieces(length)).alias("p", "f"))
-        whole = F.split("win", " ")
-        own = shorter.filter(F.col("len") == length).select(
-            F.xxhash64(*[F.xxhash64(F.get(whole, j)) for j in range(length)]).alias("f")
-        )
-        found = pieces.join(own.distinct(), "f", "left_semi")
-        hits = hits.unionByName(found.select(*keys, "p", F.lit(length).alias("len")))
-    hits = hits.groupBy(*keys).agg(F.collect_set(F.struct("p", "len")).alias("ps"))
-    hits = materialise(hits, "hits")
+    lengths = sorted(r.len for r in shorter.select("len").distinct().collect())
+    if lengths:
+        more = _short_hits(texts, shorter, lengths, keys).select(*keys, F.struct("p", "len").alias("x"))
+        posts = posts.unionByName(more, allowMissingColumns=True)
+    judged = posts.groupBy(*keys).agg(
+        F.collect_set("x").alias("ps"), F.max("n_words").alias("n_words"), F.count("n_words").alias("copies")
+    )
+    judged = materialise(judged, "hits")
+    hits = judged.filter(F.size("ps") > 0).select(*keys, "ps")
 
     same = texts["doc"].eqNullSafe(hits["doc"]) & (texts["key"] == hits["key"])
     touched = texts.join(hits, same).select(
@@ -139,7 +158,7 @@ def occurrences(
     touched = touched.filter("x is not null")
     around = touched.select(*keys, "w", "x.s", "x.len").select(*keys, "s", "len", _joined().alias("win"))
     found = around.join(windows.select("len", "win").distinct(), ["len", "win"], "left_semi")
-    return materialise(found.distinct(), "occurrences"), windows
+    return materialise(found.distinct(), "occurrences"), windows, judged.select(*keys, "n_words", "copies")
 
 
 def _covered(found: DataFrame) -> DataFrame:
@@ -176,7 +195,7 @@ def contamination(
         F.col(id_col).alias("doc"), F.xxhash64(text).alias("key"), text.alias("text")
     )
     asked = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    found, windows = occurrences(texts, asked, window, gram)
+    found, windows, rows = occurrences(texts, asked, window, gram)
     named = found.select("doc", "key", "len", "win").distinct().join(windows, ["len", "win"])
     named = named.filter("item is not null").select("doc", "key", F.col("item").cast("string")).distinct()
     listed = named.groupBy("doc", "key").agg(F.sort_array(F.collect_list("item")).alias("items"))
@@ -185,7 +204,8 @@ def contamination(
     judged = marked.join(listed, both, "left").select(
         marked["doc"].alias("d"), marked["key"].alias("k"), "n_hit", "items"
     )
-    rows = texts.select("doc", "key", count_words(F.col("text")).alias("n_words"))
+    copies = F.array_repeat(F.lit(True), F.col("copies").cast("int"))
+    rows = rows.select("doc", "key", "n_words", F.explode(copies))
     joined = rows.join(judged, rows["doc"].eqNullSafe(judged["d"]) & (rows["key"] == judged["k"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(

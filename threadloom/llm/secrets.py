@@ -147,6 +147,10 @@ def candidates(index: DataFrame, queries: dict[str, list[Clause]]) -> DataFrame:
     return held.select("doc", "key", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+#: Characters of a text in which a place is sought at once.
+BLOCK = 2048
+
+
 def _matches(text: Column, rule: Rule) -> Column:
     """Characters before, in, and in the judged group of each match."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -230,21 +234,32 @@ def scan(
     return rows.join(found, same, "left").select("doc_id", F.coalesce("spans", none).alias("spans"), "text_key")
 
 
-def _masked(text: Column, spans: Column, mask: str) -> Column:
-    """``text`` with the union of ``spans``, ordered by begin, replaced."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("done"))
+def _merged(spans: DataFrame) -> DataFrame:
+    """``doc, key, gaps, last``: the stretches between the unions of spans, and where the last one ends."""
+    before = Window.partitionBy("doc", "key").orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
+    done = F.coalesce(F.max("end").over(before), F.lit(0))
+    placed = spans.select("doc", "key", "end", F.struct(done.alias("begin"), F.col("begin").alias("end")).alias("gap"))
+    fresh = F.when(F.col("gap.end") >= F.col("gap.begin"), F.col("gap"))
+    return placed.groupBy("doc", "key").agg(
+        F.array_sort(F.collect_list(fresh)).alias("gaps"), F.max("end").alias("last")
+    )
 
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, (state["done"] + 1).cast("int"), (span["begin"] - state["done"]).cast("int"))
-        fresh = span["begin"] >= state["done"]
-        return F.struct(
-            F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"),
-            F.greatest(state["done"], span["end"]).alias("done"),
-        )
 
-    masked = F.aggregate(spans, start, step)
-    rest = F.substring(text, (masked["done"] + 1).cast("int"), F.length(text))
-    return F.concat(masked["out"], rest)
+def _between(begin: Column, end: Column) -> Column:
+    """Characters ``[begin, end)`` of the text whose blocks are ``blocks``.
+
+    A place is sought in its block only, so that many places cost no more than the text is long.
+    """
+    first, last = F.floor(begin / BLOCK), F.floor((end - 1) / BLOCK)
+    at = lambda i: F.get("blocks", i.cast("int"))
+    inside = F.slice("blocks", (first + 2).cast("int"), F.greatest(last - first - 1, F.lit(0)).cast("int"))
+    head = F.substring(at(first), (begin - first * BLOCK + 1).cast("int"), F.lit(BLOCK))
+    tail = F.substring(at(last), F.lit(1), (end - last * BLOCK).cast("int"))
+    return (
+        F.when(end <= begin, F.lit(""))
+        .when(first == last, F.substring(at(first), (begin - first * BLOCK + 1).cast("int"), (end - begin).cast("int")))
+        .otherwise(F.concat(head, F.array_join(inside, ""), tail))
+    )
 
 
 def redact(
@@ -255,13 +270,14 @@ def redact(
     text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with every span replaced; overlapping spans are replaced together."""
-    found = per_text(secret_spans(docs, rules, id_col, text_col), rules).select(
-        F.col("doc").alias("_secret_doc"), F.col("key").alias("_secret_key"), F.col("spans").alias("_spans")
-    )
+    found = _merged(secret_spans(docs, rules, id_col, text_col))
     own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    same = F.col(id_col).eqNullSafe(F.col("_secret_doc")) & (own == F.col("_secret_key"))
-    rows = docs.join(found, same, "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(
-        _masked(F.col(text_col), F.col("_spans"), mask)
-    )
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), own.alias("own"))
+    same = F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("key"))
+    text = F.col("row")[text_col]
+    blocks = F.when(F.col("gaps").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    rows = rows.join(found, same, "left").select("row", "gaps", "last", F.length(text).alias("size"), blocks.alias("blocks"))
+    kept = F.transform("gaps", lambda g: _between(g["begin"], g["end"]))
+    masked = F.concat(F.array_join(kept, mask), F.lit(mask), _between(F.col("last"), F.col("size")))
+    text = F.when(F.col("gaps").isNull(), text).otherwise(masked)
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
