@@ -3,10 +3,13 @@
 import hashlib
 import random
 import re
+from collections import Counter
+from dataclasses import replace
 
 import brute
 import numpy as np
 import public_tokenizers
+import pytest
 import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
@@ -109,6 +112,61 @@ def test_license_wording_differences():
     assert not [f for f in licenses.findings(rewritten, prepared, plain) if f.begin == 0 and f.exact]
 
 
+def plain_best(block, templates):
+    """The license of the template that makes the block smallest, of those that any stretch confirms."""
+    words = licenses._words(block)
+    body = " ".join(words).encode()
+    sized = []
+    for t in templates:
+        data = zstandard.ZstdCompressionDict(" ".join(t.words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        sized.append((len(zstandard.ZstdCompressor(level=9, dict_data=data).compress(body)), t.license, t))
+    alone = len(zstandard.ZstdCompressor(level=9).compress(body))
+    for size, name, t in sorted(sized, key=lambda x: x[:2]):
+        spare = {w: words.count(w) for w in set(t.words)}
+        if size >= alone or sum(max(0, n - spare[w]) for w, n in Counter(t.words).items()) > t.allowed:
+            continue
+        reach = len(t.words) + t.allowed
+        if any(licenses._differences(t, words[at : at + reach]) for at in range(len(words))):
+            return name
+    return None
+
+
+def test_licenses_of_whole_table_against_all_templates(spark):
+    prepared, plain = licenses.prepare(licenses.TEMPLATES), zstandard.ZstdCompressor(level=9)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").select("doc_id", "text").collect()
+    expected = set()
+    for r in rows:
+        for begin, end in licenses.blocks(r.text, prepared):
+            if name := plain_best(r.text[begin:end], prepared):
+                expected.add((r.doc_id, name))
+    got = queries.QUERIES["op1_license_scan"](spark, SF).collect()
+    assert expected and expected <= {(r.doc_id, r.license) for r in got}
+    assert {r.doc_id for r in got} == {doc for doc, _ in expected}
+
+
+def test_the_ranking_by_compression_decides():
+    """Of templates whose wording a block confirms alike, the one that saves most is found."""
+    prepared, plain = licenses.prepare(licenses.TEMPLATES), zstandard.ZstdCompressor(level=9)
+    text = licenses.TEMPLATES["Apache-2.0"][1]
+    body = " ".join(licenses._words(text)).encode()
+    ranked = licenses.ranking(body, prepared, plain)
+    assert ranked[0][1].words == tuple(licenses._words(text)) and len(ranked) > 20
+    assert [s for s, _ in ranked] == sorted((s for s, _ in ranked), reverse=True)
+    whole = licenses.best_template(text, prepared, plain)
+    assert whole.end == len(text) and whole.exact
+
+    class Blind:
+        def compress(self, body):
+            return b""
+
+    blind = [replace(t, compressor=Blind()) for t in prepared]
+    assert licenses.best_template(text, blind, Blind()) is None
+    # The short notice is confirmed as well, and found if its compressor saves more.
+    favoured = [replace(t, compressor=Blind()) if len(t.words) == 7 else t for t in prepared]
+    short = licenses.best_template(text, favoured, plain)
+    assert short.license == "Apache-2.0" and short.end < whole.end
+
+
 def names(text, templates=licenses.TEMPLATES):
     found = licenses.findings(text, licenses.prepare(templates), zstandard.ZstdCompressor(level=9))
     return [(f.license, f.exact) for f in found]
@@ -224,14 +282,17 @@ def test_chat(spark):
     rows = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "a"),
         (2, None, None, None), (None, 3, "assistant", "x"), (2, 5, "[INST]", "é\n"),
-        (3, 0, "assistant", ""), (1, 1, "assistant", "a"),
+        (3, 0, "assistant", ""), (1, 1, "assistant", "a"), (4, 0, "user", "long </s> " * 60_000),
+        (4, 1, "assistant", "x" * 300_000), (4, 2, "assistant", "[INST]\\n" * 30_000),
     ]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     turns = turns.withColumn("ids", F.lit(1)).withColumn("learned", F.lit(1))
     formatted = chat.format_turns(turns, BYTES)
-    got = {r.conv_id: r for r in chat.summaries(chat.read_back(formatted, BYTES)).collect()}
+    got = {r.conv_id: r for r in chat.read_conversations(chat.assemble(formatted), BYTES).collect()}
+    codec = chat.Codec.of(BYTES)
     for conv in {r[0] for r in rows}:
-        own = sorted((-1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c == conv)
+        own = [(-1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c == conv]
+        own.sort(key=lambda turn: (turn[0], codec.turn(*turn[1:])[0]))
         whole = "".join(f"{r}\n{x}\n" for _, r, x in own)
         learned = "".join(x for _, r, x in own if r == "assistant")
         text = "".join(f"<s>{chat.escape(r)}[INST]{chat.escape(x)}[/INST]" for _, r, x in own)
@@ -239,14 +300,26 @@ def test_chat(spark):
         assert (found.n_turns, found.turns_sha256) == (len(own), hashlib.sha256(whole.encode()).hexdigest())
         assert found.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
         assert (found.loss_chars, found.formatted_chars) == (len(learned), len(text))
+        assert found.n_tokens == sum(len(codec.turn(r, x)[0]) for _, r, x in own)
     placed = chat.assemble(formatted).filter("conv_id = 1").toPandas()
     assert (placed.ids.map(len).cumsum() - placed.ids.map(len) == placed.offset).all()
-    codec = chat.Codec.of(BYTES)
     ids = [i for own in placed.ids for i in own]
     masks = placed.sort_values("offset")[["loss_begin", "loss_end"]].to_numpy()
     learned = sorted(codec.coding.decode(ids[a:b]) for a, b in masks if b > a)
     assert learned == sorted([chat.escape("</s>[INST] ok [/INST]"), "a", "a"])
-    assert chat.summaries(chat.read_back(chat.format_turns(turns.limit(0), BYTES), BYTES)).count() == 0
+    nothing = chat.assemble(chat.format_turns(turns.limit(0), BYTES))
+    assert chat.read_conversations(nothing, BYTES).count() == 0
+
+
+def test_a_turn_out_of_place_is_an_error():
+    codec, conversation = chat.Codec.of(BYTES), chat._Conversation(1)
+    ids, begin, end = codec.turn("assistant", "a text")
+    conversation.add(codec, ids, 0, begin, end)
+    with pytest.raises(ValueError):
+        conversation.add(codec, ids, len(ids) + 1, begin, end)
+    # what the mask marks is read at its places, not taken from the text
+    conversation.add(codec, ids, len(ids), len(ids) + begin, len(ids) + end - 1)
+    assert conversation.loss_chars < 2 * len("a text")
 
 
 def _nearest(rows, k=20):
@@ -476,3 +549,30 @@ def test_pipeline(spark, tmp_path):
     assert set(packed.doc_id) == {d for d, _ in after}
     for name in list(stages)[:-1]:
         assert kept[name][1].columns == sample.columns
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """No ids, one id for all, no languages, clashing columns, nothing at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(f"word{i} and" for i in range(60))
+    near = [text + f" end{i}" for i in range(4)]
+    other = "quite another text of some words that nothing else here is like"
+    rows = [(None, t) for t in near] + [(5, t.upper()[:0] + "x " + t) for t in near[:1]] + [(None, other), (7, None), (8, "12"), (8, "")]
+    rows += [(9, f"apart {other[::-1]} {i % 2}") for i in range(4)]
+    docs = spark.createDataFrame([(d, t, None, "s", 1) for d, t in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(r.text for r in stages["language"](spark, docs, SF).collect()) == sorted(
+        t for _, t in rows if t and any(map(str.isalpha, t))
+    )
+    kept = [(r.doc_id, r.text) for r in stages["near_duplicates"](spark, docs, SF).collect()]
+    assert [d for d, t in kept if t and "word1 and" in t] == [5]
+    assert sum(d == 9 for d, _ in kept) == 1 and {(None, other), (7, None), (8, "12"), (8, "")} <= set(kept)
+    alone = docs.filter("doc_id is null")
+    assert stages["near_duplicates"](spark, alone, SF).count() == 2
+    names = ["id", "key", "none", "row", "doc", "gaps", "spans", "group", "_id", "_spans"]
+    wide = docs.withColumns({c: F.lit("own") for c in names})
+    for name in ("language", "near_duplicates", "decontamination", "secret_scan"):
+        out = stages[name](spark, wide, SF)
+        assert out.columns == wide.columns and out.filter(" or ".join(f"{c} <> 'own'" for c in names)).isEmpty()
+        assert stages[name](spark, docs.limit(0), SF).isEmpty()
+    assert stages["packing"](spark, docs.limit(0), SF).isEmpty()

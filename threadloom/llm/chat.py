@@ -10,10 +10,11 @@ character; one that already has backslashes there gets one more, so that reading
 exactly what was added. Other text is not changed.
 
 Turns are encoded one by one wherever they lie. A conversation is then put in order by the shuffle's
-sort and read as a stream, one turn at a time, whatever its length.
+sort, its turns are given their places, and it is read back as a stream, one turn at a time, whatever
+its length or that of its texts, of which one is held.
 
 Defined results: a null role or text is empty; a null turn comes first; turns of one number are in
-the order of role and text. Rows without a conversation id form one conversation without an id.
+the order of their ids. Rows that repeat are turns each. Rows without a conversation id form one conversation without an id.
 """
 
 from __future__ import annotations
@@ -134,96 +135,6 @@ def format_turns(
     return rows.mapInArrow(_encode(vocabulary), schema)
 
 
-def _read(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path)
-        head, tail = codec.marks[1], codec.marks[2]
-        marks = sum(map(len, MARKS[:3]))
-        for batch in batches:
-            rows = []
-            for ids, begin, end in zip(
-                *(batch.column(c).to_pylist() for c in ("ids", "loss_begin", "loss_end")), strict=True
-            ):
-                at, last = ids.index(head), len(ids) - 1
-                if ids[last] != tail:
-                    raise ValueError("a turn without its last mark")
-                role, text = codec.coding.decode(ids[1:at]), codec.coding.decode(ids[at + 1 : last])
-                learned = text if (begin, end) == (at + 1, last) else codec.coding.decode(ids[begin:end])
-                chars = marks + len(role) + len(text)
-                rows.append((unescape(role), unescape(text), unescape(learned), chars))
-            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("conv_id", "turn")),
-                    *(pa.array(c, pa.string()) for c in columns[:3]),
-                    pa.array(columns[3], pa.int64()),
-                    pa.compute.list_value_length(batch.column("ids")).cast(pa.int64()),
-                    *(batch.column(c) for c in ("loss_begin", "loss_end")),
-                ],
-                ["conv_id", "turn", "role", "text", "learned", "chars", "tokens", "loss_begin", "loss_end"],
-            )
-
-    return run
-
-
-def read_back(formatted: DataFrame, vocabulary: str) -> DataFrame:
-    """What the tokens say: role, text and learned text of each turn, characters and tokens."""
-    schema = (
-        "conv_id long, turn long, role string, text string, learned string, chars long, "
-        "tokens long, loss_begin long, loss_end long"
-    )
-    return formatted.mapInArrow(_read(vocabulary), schema)
-
-
-def in_order(turns: DataFrame) -> DataFrame:
-    """Turns of a conversation next to each other, in order, in one partition."""
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-
-
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars",
-             "n_tokens", "loss_spans"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-
-    def batch_of(rows):
-        columns = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    def closed():
-        return (conv, n, whole.hexdigest(), learned_chars, loss.hexdigest(), chars, tokens, spans)
-
-    conv, n, rows = None, 0, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if n and row["conv_id"] != conv:
-                rows.append(closed())
-                n = 0
-            if not n:
-                conv, whole, loss = row["conv_id"], hashlib.sha256(), hashlib.sha256()
-                learned_chars = chars = tokens = spans = 0
-            n += 1
-            whole.update(f"{row['role']}\n{row['text']}\n".encode())
-            loss.update(row["learned"].encode())
-            learned_chars += len(row["learned"])
-            chars += row["chars"]
-            tokens += row["tokens"]
-            spans += row["loss_end"] > row["loss_begin"]
-        if rows:
-            yield batch_of(rows)
-            rows = []
-    if n:
-        yield batch_of([closed()])
-
-
-def summaries(turns: DataFrame) -> DataFrame:
-    """One row per conversation from turns read back: counts and digests."""
-    schema = (
-        "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
-        "formatted_chars long, n_tokens long, loss_spans long"
-    )
-    return in_order(turns).mapInArrow(_summaries, schema)
-
-
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     conv, place, started = None, 0, False
     for batch in batches:
@@ -248,10 +159,85 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def assemble(formatted: DataFrame) -> DataFrame:
-    """Turns in order with the place of their tokens, and of those learned, in the conversation.
-
-    Turns of one number are in the order of their ids here.
-    """
+    """Turns in order with the place of their tokens, and of those learned, in the conversation."""
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids")
     schema = "conv_id long, turn long, ids array<int>, offset long, loss_begin long, loss_end long"
     return ordered.mapInArrow(_placed, schema)
+
+
+class _Conversation:
+    """What the placed tokens of one conversation say, turn by turn."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.n_turns, self.place = conv, 0, 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.loss_chars = self.formatted_chars = self.loss_spans = 0
+
+    def add(self, codec: Codec, ids: list[int], offset: int, begin: int, end: int) -> None:
+        """One turn, whose tokens begin at ``offset``; ``[begin, end)`` are the places learned."""
+        head, tail = codec.marks[1], codec.marks[2]
+        if offset != self.place or ids[0] != codec.marks[0] or ids[-1] != tail:
+            raise ValueError("a turn out of place or without its marks")
+        at, last = ids.index(head), len(ids) - 1
+        role, text = codec.coding.decode(ids[1:at]), codec.coding.decode(ids[at + 1 : last])
+        formatted = "".join([MARKS[0], role, MARKS[1], text, MARKS[2]])
+        begin, end = begin - offset, end - offset
+        learned = text if (begin, end) == (at + 1, last) else codec.text(ids[begin:end])
+        learned = unescape(learned)
+        self.turns.update(f"{unescape(role)}\n{unescape(text)}\n".encode())
+        self.loss.update(learned.encode())
+        self.n_turns += 1
+        self.place += len(ids)
+        self.loss_chars += len(learned)
+        self.loss_spans += end > begin
+        self.formatted_chars += len(formatted)
+
+    def row(self) -> tuple:
+        return (
+            self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(),
+            self.formatted_chars, self.place, self.loss_spans,
+        )
+
+
+_SUMMARY = {
+    "conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(),
+    "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_tokens": pa.int64(), "loss_spans": pa.int64(),
+}
+
+
+def _conversations(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, open_one, closed = Codec.of(path), None, []
+
+        def given() -> pa.RecordBatch:
+            columns = list(zip(*closed, strict=True))
+            arrays = [pa.array(c, k) for c, k in zip(columns, _SUMMARY.values(), strict=True)]
+            closed.clear()
+            return pa.RecordBatch.from_arrays(arrays, list(_SUMMARY))
+
+        for batch in batches:
+            fields = ("conv_id", "ids", "offset", "loss_begin", "loss_end")
+            for conv, *turn in zip(*(batch.column(c).to_pylist() for c in fields), strict=True):
+                if open_one is None or open_one.conv != conv:
+                    if open_one is not None:
+                        closed.append(open_one.row())
+                    open_one = _Conversation(conv)
+                open_one.add(codec, *turn)
+            if closed:
+                yield given()
+        if open_one is not None:
+            closed.append(open_one.row())
+            yield given()
+
+    return run
+
+
+def read_conversations(placed: DataFrame, vocabulary: str) -> DataFrame:
+    """One row per conversation, read back from the tokens of :func:`assemble` in their order.
+
+    ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, loss_spans``:
+    digests of roles and texts, and of what the mask marks, unescaped.
+    """
+    kinds = {pa.int64(): "long", pa.string(): "string"}
+    schema = ", ".join(f"{name} {kinds[kind]}" for name, kind in _SUMMARY.items())
+    return placed.mapInArrow(_conversations(vocabulary), schema)

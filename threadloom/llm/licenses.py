@@ -2,13 +2,14 @@
 
 Words of license texts are cues; those near each other become a block, with as many words on both
 sides as the longest template may reach from one of them. A block is compressed alone and with every
-template that it may hold as a raw zstandard dictionary, which gives how much smaller the dictionary
-makes it, relative to what the template saves on its own text. Templates are confirmed by the
-differences in wording: the words of the template that a stretch of the block lacks and those it has
-between them. Numbers and words that tell licenses apart must agree. Of the confirmed templates the
-one with the most words in agreement is found, then the one with the larger reduction.
-
-Defined results: a null or empty text has no blocks. Repeated rows have the same findings each.
+template as a raw zstandard dictionary, and templates are ranked by the bytes that they save. Down this
+ranking they are confirmed by the differences in wording, the words of the template that a stretch of
+the block lacks and those it has between them, of which few are allowed and none in numbers or words
+that tell licenses apart. The first one that is confirmed is found, and the block searched again
+without it.
+
+Defined results: a null or empty text has no blocks. A text of any length is read block by block. Of
+templates that save as much the first license by name is tried first. Repeated rows have the same findings each.
 """
 
 from __future__ import annotations
@@ -136,8 +137,6 @@ MIN_SHARE = 0.9
 #: Cues within so many characters, or within the reach of the templates, share a block.
 NEAR = 500
 _LEVEL = 9
-#: Words of agreement that one difference outweighs when confirmed templates are compared.
-_DIFFERENCE = 5
 _CUE = re.compile(CUES, re.IGNORECASE)
 _KINDS = {
     "doc_id": pa.int64(),
@@ -191,8 +190,8 @@ class Finding:
     extra: list[str]
     begin: int
     end: int
-    #: Words in agreement, less what the differences outweigh.
-    worth: int
+    #: Bytes that the template saved.
+    saved: int
 
     @property
     def exact(self) -> bool:
@@ -269,26 +268,31 @@ def _confirmed(template: _Template, words: list[str], alike: SequenceMatcher) ->
     return min(found, key=lambda f: f[:3]) if found else None
 
 
+def ranking(body: bytes, templates: list[_Template], plain) -> list[tuple[int, _Template]]:
+    """Bytes that each template saves as the dictionary of ``body``, most first; those that save none are left out.
+
+    Ties are in the order of the licenses.
+    """
+    alone = len(plain.compress(body))
+    saved = [(alone - len(t.compressor.compress(body)), t) for t in templates]
+    return sorted((s for s in saved if s[0] > 0), key=lambda s: (-s[0], s[1].license))
+
+
 def best_template(block: str, templates: list[_Template], plain) -> Finding | None:
-    """The template that explains ``block`` best, if its wording confirms it."""
+    """The template that saves most of those whose wording confirms it."""
     found = list(_WORD.finditer(block))
     words = [m[0].lower() for m in found]
-    counts, confirmed, alike, alone = Counter(words), [], None, 0
-    for template in templates:
+    counts, alike = Counter(words), None
+    for saved, template in ranking(" ".join(words).encode(), templates, plain):
         if _lacks(template, counts):
             continue
         if alike is None:
             alike = SequenceMatcher(None, (), words, autojunk=False)
-            body = " ".join(words).encode()
-            alone = len(plain.compress(body))
-        if not (best := _confirmed(template, words, alike)):
-            continue
-        differences, first, last, missing, extra = best
-        reduction = (alone - len(template.compressor.compress(body))) / template.saves
-        worth = len(template.words) - len(missing) - _DIFFERENCE * differences
-        span = found[first].start(), found[last - 1].end()
-        confirmed.append(Finding(template.license, reduction, missing, extra, *span, worth))
-    return min(confirmed, key=lambda f: (-f.worth, -f.reduction, f.license), default=None)
+        if best := _confirmed(template, words, alike):
+            _, first, last, missing, extra = best
+            span = found[first].start(), found[last - 1].end()
+            return Finding(template.license, saved / template.saves, missing, extra, *span, saved)
+    return None
 
 
 def _back(text: str, at: int, words: int) -> int:
@@ -328,7 +332,7 @@ def blocks(text: str, templates: list[_Template]) -> Iterator[tuple[int, int]]:
 def findings(text: str, templates: list[_Template], plain) -> list[Finding]:
     """All notices of a text; one that is found is blanked before the next is looked for.
 
-    Of findings that overlap, since a block may end within a notice, the one of most worth stays.
+    Of findings that overlap, since a block may end within a notice, the one that saved most stays.
     """
     found: list[Finding] = []
     for begin, end in blocks(text, templates):
@@ -336,7 +340,7 @@ def findings(text: str, templates: list[_Template], plain) -> list[Finding]:
         while _CUE.search(block) and (best := best_template(block, templates, plain)):
             block = block[: best.begin] + " " * (best.end - best.begin) + block[best.end :]
             found.append(replace(best, begin=best.begin + begin, end=best.end + begin))
-    found.sort(key=lambda f: (-f.worth, f.begin, f.end))
+    found.sort(key=lambda f: (-f.saved, f.begin, f.end))
     kept: list[Finding] = []
     for finding in found:
         at = bisect(kept, finding.begin, key=lambda f: f.begin)

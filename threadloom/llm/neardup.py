@@ -273,7 +273,10 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id, kept`` and ``text_key``, the hash of the text."""
+    """Per row: ``doc_id, n_shingles, component_id, kept``, ``text_key``, the hash of the text, and ``group``.
+
+    ``group`` tells components apart, also those without an id; it is null for a row without words.
+    """
     matches = match_bound(percent, coordinates)
     text = F.col(text_col)
     texts = docs.select(
@@ -323,7 +326,7 @@ def near_duplicates(
     named = classes.select("node", "least", *same_set).join(stars, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = named.join(lowest, "label").select(*same_set, "component_id")
+    known = named.join(lowest, "label").select(*same_set, "component_id", F.col("label").alias("group"))
     rows = base.drop("signature").join(known, same_set, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
     rows = rows.select(
@@ -331,8 +334,20 @@ def near_duplicates(
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("key").alias("text_key"),
+        F.when(F.col("n") > 0, F.col("group")).alias("group"),
     )
     alone = F.col("component_id").isNull()
     return rows.withColumn(
         "kept", alone | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+
+
+def one_of_each(found: DataFrame) -> DataFrame:
+    """``doc_id, text_key`` of one row per component of :func:`near_duplicates`, and of each row without words.
+
+    It is the row of the least id, then of the least hash of the text; rows with an id come first.
+    """
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = found.filter("group is not null").groupBy("group").agg(F.min(rank).alias("m"))
+    rest = found.filter("group is null").select("doc_id", "text_key")
+    return first.select("m.doc_id", "m.text_key").unionByName(rest)

@@ -134,8 +134,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id long, turn long, role string, text string",
     )
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    formatted = chat.format_turns(turns.unionByName(spoof), vocabulary)
-    return chat.summaries(chat.read_back(formatted, vocabulary)).drop("n_tokens", "loss_spans")
+    placed = chat.assemble(chat.format_turns(turns.unionByName(spoof), vocabulary))
+    return chat.read_conversations(placed, vocabulary).drop("n_tokens", "loss_spans")
 
 
 @query("op6_url_templates", oracles.URLS)
