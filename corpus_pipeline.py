@@ -25,29 +25,32 @@ def _held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
 
 
-#: What tells rows apart: the id, which may be null, and the hash of the text.
-_KEYS = ["_id", "_null", "_key"]
-
-
 def _with(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id and text are in ``judged``, each once."""
-    key = F.coalesce("text_key", F.lit(0).cast("long"))
-    ids = judged.select(*_key_columns(key)).distinct()
-    rows = docs.select("*", *_key_columns(F.xxhash64("text")))
-    return rows.join(ids, _KEYS, "left_semi").dropDuplicates(_KEYS).select(*docs.columns)
+    """The rows of ``docs`` whose id and text are in ``judged`` (``doc_id, text_key``), each once.
+
+    The id may be null. The rows are held as one struct, so that their columns may have any names.
+    """
+    keys = ["id", "none", "key"]
+    wanted = judged.select(*_keys(F.col("doc_id"), F.col("text_key"))).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_keys(F.col("doc_id"), F.xxhash64("text")))
+    kept = rows.join(wanted, keys, "left_semi").dropDuplicates(keys)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def _key_columns(key: Column) -> list[Column]:
-    doc = F.col("doc_id")
-    return [F.coalesce(doc, F.lit(0)).alias("_id"), doc.isNull().alias("_null"), key.alias("_key")]
+def _keys(doc: Column, text: Column) -> list[Column]:
+    empty = F.lit(0).cast("long")
+    return [F.coalesce(doc, empty).alias("id"), doc.isNull().alias("none"), F.coalesce(text, empty).alias("key")]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language, which becomes their ``lang`` where none is given.
 
-    Documents without letters, and those in which no language stands out, go.
+    Documents without letters, and those in which no language stands out, go. If no document that may
+    be learned from has a language, none can be told apart, and those with letters stay as they are.
     """
     model = langid.train(docs, ~F.coalesce(_held_out(), F.lit(False)))
+    if not model.labels:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = langid.annotate(docs, model)
     known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
     lang = F.coalesce("row.lang", "lang_pred").alias("lang")
@@ -57,8 +60,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the least id."""
-    return _with(docs, neardup.near_duplicates(docs, SHINGLE, PERCENT).filter("kept"))
+    """One document of each group of near-duplicates: the one of the least id, if any has an id."""
+    found = neardup.near_duplicates(docs, SHINGLE, PERCENT)
+    return _with(docs, neardup.one_of_each(found))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
