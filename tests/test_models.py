@@ -97,6 +97,39 @@ def test_new_rows_only_are_processed(spark, tmp_path):
     assert seen == [2, 2] and sorted(r.id for r in out.collect()) == ["1", "2", "3", "4"]
 
 
+def test_a_killed_run_leaves_no_half_batch(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    ids = lambda *values: spark.createDataFrame([(v,) for v in values], "id string")
+    inc.process_new_only(ids("1"), path, "id", lambda rows: rows)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch, pytest.raises(KeyboardInterrupt):
+        patch.setattr(inc, "publish", killed)
+        inc.process_new_only(ids("1", "2", "3"), path, "id", lambda rows: rows)
+    assert [r.id for r in inc.read_batches(spark, path).collect()] == ["1"]
+    out = inc.process_new_only(ids("1", "2", "3"), path, "id", lambda rows: rows)
+    assert sorted(r.id for r in out.collect()) == ["1", "2", "3"] and len(inc.batches(spark, path)) == 2
+
+
+def test_two_runs_at_once_add_every_key_once(spark, tmp_path):
+    path = str(tmp_path / "out")
+    ids = lambda *values: spark.createDataFrame([(v,) for v in values], "id string")
+
+    def named(run):
+        return lambda rows: rows.withColumn("run", F.lit(run))
+
+    def slow(rows):
+        inc.process_new_only(ids("1", "2"), path, "id", named("second"))
+        inc.process_new_only(ids("2", "3"), path, "id", named("third"))
+        return named("first")(rows)
+
+    out = inc.process_new_only(ids("2", "3", "4"), path, "id", slow)
+    assert sorted(map(tuple, out.collect())) == [("1", "second"), ("2", "second"), ("3", "third"), ("4", "first")]
+    assert len(inc.batches(spark, path)) == 3
+
+
 def test_search_resumes_at_the_last_time_or_the_start(spark):
     keywords = spark.createDataFrame([("a",), ("b",)], "keyword string")
     posts = spark.createDataFrame([("a", 50000), ("a", 40000)], "keyword string, epoch long")

@@ -1,30 +1,73 @@
-"""Append-only batches: what is new, and where a keyword's search resumes."""
+"""Append-only batches: what is new, and where a keyword's search resumes.
+
+A batch is written to a hidden folder and becomes visible by one rename to the next number, which only
+one run can take. A run that dies before has changed nothing that is read, and may be repeated; of two
+runs at once the later one takes out what the earlier one has meanwhile added. The rename must not
+replace a folder that exists, as on local disks and HDFS.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.relational import remaining, slot_plan
 
 
+def batches(spark: SparkSession, path: str) -> list[str]:
+    """The folders of the batches that are visible, in their order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch-*")
+    found = pattern.getFileSystem(conf).globStatus(pattern) or []
+    return sorted(str(f.getPath()) for f in found)
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all visible batches."""
+    return spark.read.parquet(*batches(spark, path))
+
+
+def publish(spark: SparkSession, staged: str, path: str, number: int) -> bool:
+    """Make a written batch visible under its number; false if another run has taken that."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source = jvm.org.apache.hadoop.fs.Path(staged)
+    target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch-{number:08d}")
+    system = source.getFileSystem(conf)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.makeQualified(source).toUri(), conf)
+    never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        files.rename(source, target, never)
+    except Py4JJavaError as error:
+        if system.exists(target):
+            return False
+        raise error
+    return True
+
+
 def process_new_only(
     rows: DataFrame, path: str, key: str, process: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
-    """Process the rows whose key is not in the output yet, append, return the whole output."""
+    """Process the rows whose key is not in the output yet, add them as one batch, return the whole output.
+
+    ``process`` keeps the ``key``. Rows that it drops are new again in the next run.
+    """
     spark = rows.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        done = None
-    fresh = rows if done is None else remaining(rows, done, key=key)
-    process(fresh).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    seen = batches(spark, path)
+    fresh = rows if not seen else remaining(rows, spark.read.parquet(*seen).select(key), key=key)
+    added = process(fresh)
+    while True:
+        staged = f"{path.rstrip('/')}/_staged/{uuid.uuid4().hex}"
+        added.write.parquet(staged)
+        if publish(spark, staged, path, len(seen) + 1):
+            return read_batches(spark, path)
+        now = batches(spark, path)
+        others = spark.read.parquet(*now[len(seen) :]).select(key)
+        added, seen = remaining(spark.read.parquet(staged), others, key=key), now
 
 
 def resume_points(posts: DataFrame, at: str = "epoch") -> DataFrame:
