@@ -57,3 +57,47 @@ def test_volume_equals_batch_over_triggers_and_a_restart(spark, tmp_path):
     batch = sorted(map(tuple, streams.volume(rows).collect()))
     assert run() == batch
     assert run() == batch
+
+
+def test_copies_after_any_time_are_dropped_without_state(spark, tmp_path, monkeypatch):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, "pid string, at int").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        arrivals = streams.arriving(spark, source, "pid string, at int", "parquet", maxFilesPerTrigger="1")
+        rows = streams.run_dedup_ever(arrivals, out, state, "pid").collect()
+        return sorted(((r.pid, r.at) for r in rows), key=str)
+
+    arrive(("a", 1), ("a", 1), ("b", 1), (None, 1), (None, 1))
+    assert run() == [("a", 1), ("b", 1), (None, 1), (None, 1)]
+    arrive(("a", 31), ("c", 31), (None, 31))
+    arrive(("c", 400), ("b", 400))
+    expected = [("a", 1), ("b", 1), ("c", 31), (None, 1), (None, 1), (None, 31)]
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(streams, "unseen", killed)
+        try:
+            run()
+        except Exception as error:
+            assert "killed" in str(error)
+    assert run() == expected
+    assert run() == expected
+    assert not (tmp_path / "state" / "state").exists()  # no state store
+
+
+def test_known_keys_are_found_by_a_scan_without_a_shuffle(spark, tmp_path):
+    path = str(tmp_path / "stored")
+    spark.range(1000).selectExpr("id pid", "repeat('x', 100) text").write.parquet(path)
+    batch = str(tmp_path / "batch")
+    spark.range(990, 1010).selectExpr("id pid", "'new' text").write.parquet(batch)
+    new = streams.unseen(spark.read.parquet(batch), spark.read.parquet(path), "pid")
+    assert sorted(r.pid for r in new.collect()) == list(range(1000, 1010))
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    stored = [line for line in plan.splitlines() if "FileScan" in line and "stored" in line]
+    assert stored and all("ReadSchema: struct<pid:bigint>" in line for line in stored)

@@ -95,6 +95,31 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "stream_dedup_ever",
+    """select event_id, event_type as keyword,
+              cast(floor(epoch(ts)) as bigint) + case when user_id % 2 = 0 then 0 else 2592000 end as arrived
+       from events""",
+)
+def stream_dedup_ever(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of even users arrive twice, and all events again 30 days later, in a second run of the stream."""
+    events = table(spark, sf, "events").select(
+        "event_id",
+        F.col("event_type").alias("keyword"),
+        tx.epoch_seconds(F.col("ts")).alias("arrived"),
+        (F.col("user_id") % 2 == 0).alias("early"),
+    )
+    source, out, state = (scratch_path(spark, name) for name in ("arrivals", "posts", "state"))
+    columns = ("event_id", "keyword", "arrived")
+    first = events.where("early").select(*columns)
+    first.union(first).write.parquet(source)
+    arrivals = streams.arriving(spark, source, first.schema, "parquet")
+    streams.run_dedup_ever(arrivals, out, state, "event_id")
+    later = events.withColumn("arrived", F.col("arrived") + 30 * 24 * 3600)
+    later.select(*columns).write.mode("append").parquet(source)
+    return streams.run_dedup_ever(arrivals, out, state, "event_id")
+
+
 @query(
     "stream_volume_6h",
     """select keyword, slot_start, count(*) as n

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from threadloom import schemas
 from threadloom.functions.keywords import Dictionary
 from threadloom.operators import posts as post_ops
+from threadloom.session import discard, materialise
 from threadloom.sources import pages as page_source
 
 
@@ -81,3 +82,47 @@ def run_volume(
     query.awaitTermination()
     parts = rows.sparkSession.read.parquet(out)
     return parts.groupBy(by, "slot_start").agg(F.sum("n").alias("n"))
+
+
+def unseen(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """The rows of a written batch whose key is not stored yet, each key once; rows without a key all stay.
+
+    Only the key column of what is stored is read, and reduced to the keys that came again before
+    anything else is joined. The planner knows the size of the written batch: a small one is broadcast to
+    the stored keys, which are then not shuffled; before a larger one's shuffle they pass a Bloom filter of
+    the batch where the session's runtime filters allow it.
+    """
+    arrived = batch.select(key).where(F.col(key).isNotNull())
+    again = stored.select(key).join(arrived, key, "left_semi")
+    keyed = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+    fresh = keyed.join(again, key, "left_anti").select(*batch.columns)
+    return fresh.unionByName(batch.where(F.col(key).isNull()))
+
+
+def run_dedup_ever(rows: DataFrame, out: str, checkpoint: str, key: str) -> DataFrame:
+    """Add what is available now to a table that has every key once, however long ago it first came.
+
+    The stream has no state: the table itself says what has been seen, so that memory does not grow with
+    time. A trigger writes its own part and compares with the parts before it, hence a trigger that is
+    retried replaces its part and changes no other. ``out`` and ``checkpoint`` belong together.
+    Of rows with one key in one trigger any one stays.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        arrived = materialise(batch, "arrivals")
+        if epoch:
+            stored = batch.sparkSession.read.parquet(out).where(F.col("epoch") < epoch)
+            fresh = unseen(arrived, stored, key)
+        else:
+            fresh = unseen(arrived, arrived.limit(0), key)
+        fresh.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        discard(arrived)
+
+    query = (
+        rows.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return rows.sparkSession.read.parquet(out).select(*rows.columns)
