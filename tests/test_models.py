@@ -1,10 +1,16 @@
+import math
+import uuid
+
+import harness
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from threadloom.operators import incremental as inc
 from threadloom.operators import models
 from threadloom.operators import posts as post_ops
+from threadloom.plans import learning
 
 
 def test_report_equals_hand_computation(spark):
@@ -55,22 +61,112 @@ def test_off_topic_recoding(spark):
     assert [r.final_topic for r in post_ops.recode_off_topic(df).collect()] == ["x"] + ["Off_topic"] * 4
 
 
-def test_classifiers_tell_topics_apart(spark):
+def test_classifiers_tell_topics_apart_and_are_saved(spark, tmp_path):
     kinds = {"war": ["tank", "front"], "vote": ["ballot", "poll"], "none": ["cake", "tree"]}
     rows = [(i, kind, [kinds[kind][i % 2], "common"]) for i in range(90) for kind in [list(kinds)[i % 3]]]
     df = spark.createDataFrame(rows, "id long, kind string, tokens array<string>")
-    weights = models.word_weights(df, "id", features=1 << 10)
+    tokens = df.select("id", "tokens")
     topics = {t: F.col("kind") == t for t in ("war", "vote")}
-    fitted = models.fit_topic_classifiers(df.select("id", "kind"), weights, "id", topics)
-    got = fitted.classify().join(df, "id").collect()
+    fitted = models.fit_topic_classifiers(df.select("id", "kind"), tokens, "id", topics, features=1 << 10)
+    got = fitted.classify(tokens, "id").join(df, "id").collect()
     report = {(r.topic, r.label): r for r in fitted.held_out_report().collect()}
     assert all(report[topic, "accuracy"].f1 > 0.9 for topic in topics)
-    loose = fitted.classify(models.MULTILABEL_THRESHOLD).join(df, "id").collect()
+    loose = fitted.classify(tokens, "id", models.MULTILABEL_THRESHOLD).join(df, "id").collect()
     assert sum(sum(r[t] for t in topics) for r in loose) >= sum(sum(r[t] for t in topics) for r in got)
     assert len(got) == 90
     assert all((r.war, r.vote) == (int(r.kind == "war"), int(r.kind == "vote")) for r in got)
     assert all((r.score_war > 0.8) == bool(r.war) for r in got)
 
+    nothing = spark.createDataFrame([(1, None), (2, [])], tokens.schema)
+    assert len({r.score_war for r in fitted.classify(nothing, "id").collect()}) == 1
+
+    path = str(tmp_path / "saved")
+    fitted.save(path)
+    loaded = models.Trained.load(spark, path)
+    order = lambda rows: sorted(map(tuple, rows.collect()), key=str)
+    assert order(loaded.classify(tokens, "id")) == order(fitted.classify(tokens, "id"))
+    assert order(loaded.held_out_report()) == order(fitted.held_out_report())
+    fitted.save(path)  # what is there stays
+    assert list(models.Trained.load(spark, path).models) == ["war", "vote"]
+    plan = loaded.classify(spark.createDataFrame(rows, df.schema), "id")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+
+
+def test_fitting_stops_when_the_checked_loss_rises(spark, monkeypatch):
+    rows = [(float(i % 2 == 0), int(i % 2 == 0)) for i in range(40)]
+    df = spark.createDataFrame(rows, "x double, label int")
+    vectors = VectorAssembler(inputCols=["x"], outputCol="weights").transform(df)
+    wrong = vectors.withColumn("label", 1 - F.col("label"))
+    assert models.fit_until_worse(vectors, vectors).getRegParam() == models.REGULARISATION[-1]
+    fits = []
+    monkeypatch.setattr(models, "log_loss", lambda rows: fits.append(1) or float(len(fits)))
+    assert models.fit_until_worse(vectors, wrong).getRegParam() == models.REGULARISATION[0]
+    assert len(fits) == 1 + models.PATIENCE
+    monkeypatch.undo()
+    assert models.log_loss(vectors.withColumn("score", F.lit(0.5)).limit(0)) == float("inf")
+
+
+def test_words_of_topics_are_exact(spark):
+    texts = ["apple banana fruit", "banana fruit apple apple", "engine wheel motor", "motor wheel engine"] * 5
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, "", None])], "pid string, text string")
+    counts = models.word_counts(df, ())
+    names = ["apple", "banana", "engine", "fruit", "motor", "wheel"]
+    ids = sorted((r.word_id, r.word, r.n_posts) for r in models.dictionary(counts).collect())
+    assert ids == [(i, w, 10) for i, w in enumerate(names)]
+    model = models.fit_topics(counts, k=2)
+    loads = {r.pid: r.topicDistribution for r in model.transform(counts).select("pid", "topicDistribution").collect()}
+    expected = []
+    for topic in (0, 1):
+        given = dict.fromkeys(names, 0.0)
+        for pid, text in enumerate(texts):
+            for word in text.split():
+                given[word] += loads[str(pid)][topic]
+        expected += [(topic, w, names.index(w), 10, v / sum(given.values())) for w, v in given.items()]
+    rows = models.topic_words(model, counts, top=100).collect()
+    got = sorted((r.topic, r.word, r.word_id, r.n_posts, r.weight) for r in rows)
+    assert [g[:4] for g in got] == [e[:4] for e in sorted(expected)]
+    assert [g[4] for g in got] == pytest.approx([e[4] for e in sorted(expected)])
+    order = [(r.topic, -r.weight, r.word) for r in sorted(rows, key=lambda r: (r.topic, r.rank))]
+    assert order == sorted(order)
+    first = models.topic_words(model, counts, top=2).collect()
+    assert sorted((r.topic, r.rank) for r in first) == [(0, 1), (0, 2), (1, 1), (1, 2)]
+
+
+def test_topics_say_more_than_equally_likely_words(spark):
+    counts = learning.word_counts(spark, f"{harness.DATA}/sf0.001")
+    assert models.fit_topics(counts).logPerplexity(counts) < math.log(models.WORD_CELLS)
+
+
+def test_a_failing_scorer_leaves_marked_rows(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def load():
+        (log / f"load-{uuid.uuid4().hex}").touch()
+        tries = []
+
+        def score(texts):
+            tries.append(1)
+            if texts.str.startswith("done").any():
+                raise AssertionError("scored twice")
+            if len(tries) == 1 or (texts == "bad").any():
+                raise OSError("no answer")
+            return texts.str.len().where(texts != "odd").astype(float)
+
+        return score
+
+    rows = [("done", 0.5), ("abc", None), (None, None), ("bad", None), ("odd", None), ("", float("nan"))]
+    df = spark.createDataFrame(rows, "text string, tox double").coalesce(1)
+    got = {r.text: (r.tox, r.tox_failed) for r in models.score_batches(df, load).collect()}
+    assert got == {
+        "done": (0.5, False), "abc": (3.0, False), None: (None, False),
+        "bad": (None, True), "odd": (None, True), "": (0.0, False),
+    }
+    assert len(list(log.iterdir())) == 1
+    fresh = models.score_batches(df.drop("tox").where("text = 'abc'"), load, retries=1).first()
+    assert (fresh.tox, fresh.tox_failed) == (3.0, False)
+    assert models.score_batches(df.limit(0), load).count() == 0
+
 
 def test_topic_model_is_repeatable(spark):
     texts = ["apple banana fruit", "banana fruit apple", "engine wheel motor", "motor wheel engine"] * 5

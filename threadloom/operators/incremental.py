@@ -11,11 +11,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators.relational import remaining, slot_plan
+from threadloom.session import rename_new
 
 
 def batches(spark: SparkSession, path: str) -> list[str]:
@@ -33,20 +33,7 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 
 def publish(spark: SparkSession, staged: str, path: str, number: int) -> bool:
     """Make a written batch visible under its number; false if another run has taken that."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    source = jvm.org.apache.hadoop.fs.Path(staged)
-    target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch-{number:08d}")
-    system = source.getFileSystem(conf)
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.makeQualified(source).toUri(), conf)
-    never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-    try:
-        files.rename(source, target, never)
-    except Py4JJavaError as error:
-        if system.exists(target):
-            return False
-        raise error
-    return True
+    return rename_new(spark, staged, f"{path.rstrip('/')}/batch-{number:08d}")
 
 
 def process_new_only(

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.operators import sampling
-from threadloom.session import materialise
+from threadloom.operators.ranking import row_positions
+from threadloom.session import materialise, rename_new, scratch_path
 
 # --- Fixed values: model settings and label names ---
 TOPIC_COUNT = 10
@@ -32,6 +37,20 @@ CLASS_LABELS = {
 CODED_TOPICS = ("Childcare/parenting", "Russia/Ukraine war", "US midterm elections")
 # --- end of fixed values ---
 
+#: Passes that the first ones count as. Every pass sees all posts, so that none is held back; with
+#: the learner's own value, meant for small samples, ten passes hardly leave the random start.
+LEARNING_OFFSET = 1.0
+
+#: Words that a topic is described by.
+TOP_WORDS = 20
+
+#: Regularisation of the classifiers, strong to weak, and the fits without a gain that end the search.
+REGULARISATION = (0.1, 0.01, 0.001)
+PATIENCE = 1
+#: What is trained on, what decides when to stop, what is reported; cumulative shares of the first two.
+PARTS = ("train", "check", "test")
+PART_SHARES = (0.8, 0.9)
+
 #: Cells that words are hashed to; no word is left out, and the topic matrix has a known size.
 WORD_CELLS = 1 << 16
 
@@ -46,19 +65,27 @@ def doc_bow(posts: DataFrame, key: str, tokens: Column) -> DataFrame:
 
 
 def word_counts(posts: DataFrame, stop: Iterable[str], text: str = "text") -> DataFrame:
-    """``pid`` and the hashed counts of all its words, written once.
+    """``pid``, all its ``words`` and their hashed ``counts``, written once; a null text has no words.
 
-    The topic model reads its input in every iteration.
+    The topic model reads its input in every iteration, of which only the counts.
     """
-    words = posts.select("pid", tx.simple_tokens(F.col(text), stop).alias("words"))
+    words = posts.select("pid", tx.simple_tokens(F.coalesce(F.col(text), F.lit("")), stop).alias("words"))
     hashed = HashingTF(inputCol="words", outputCol="counts", numFeatures=WORD_CELLS).transform(words)
-    return materialise(hashed.select("pid", "counts"), "counts")
+    return materialise(hashed.select("pid", "words", "counts"), "counts")
 
 
 def fit_topics(counts: DataFrame, k: int = TOPIC_COUNT) -> LDAModel:
     """A topic model of the word counts of all posts, every one of which is used in each pass."""
-    learner = LDA(featuresCol="counts", k=k, seed=SEED, optimizer="online", maxIter=10, subsamplingRate=1.0)
-    return learner.fit(counts)
+    learner = LDA(
+        featuresCol="counts",
+        k=k,
+        seed=SEED,
+        optimizer="online",
+        maxIter=10,
+        subsamplingRate=1.0,
+        learningOffset=LEARNING_OFFSET,
+    )
+    return learner.fit(counts.select("counts"))
 
 
 def topic_loadings(model: LDAModel, counts: DataFrame) -> DataFrame:
@@ -73,6 +100,41 @@ def topic_loadings(model: LDAModel, counts: DataFrame) -> DataFrame:
     )
 
 
+def dictionary(counts: DataFrame) -> DataFrame:
+    """Every word once: ``word``, ``n_posts`` with it, and its ``word_id`` from 0, most frequent first."""
+    words = counts.select(F.explode(F.array_distinct("words")).alias("word"))
+    known = words.groupBy("word").agg(F.count("*").alias("n_posts"))
+    placed = row_positions(known.withColumn("_rare", -F.col("n_posts")), ["_rare", "word"], "_position")
+    return placed.select("word", "n_posts", (F.col("_position") - 1).alias("word_id"))
+
+
+def topic_words(model: LDAModel, counts: DataFrame, top: int = TOP_WORDS) -> DataFrame:
+    """The ``top`` words of every topic: ``topic, rank, word, word_id, n_posts, weight``.
+
+    A word's weight is its share of all words that the loadings give to the topic. Words are counted
+    themselves and not by the cells that the model hashes them to, so that no two share a count. A post's
+    words and its loadings stand in one row: nothing is joined but the dictionary, to the chosen words.
+    """
+    loaded = model.transform(counts).select("words", vector_to_array("topicDistribution").alias("_t"))
+    topics = range(model.getK())
+    given = (
+        loaded.select(F.explode("words").alias("word"), "_t")
+        .groupBy("word")
+        .agg(*[F.sum(F.col("_t")[i]).alias(f"_{i}") for i in topics])
+    )
+    given = materialise(given, "given")  # read by the totals and by the ranks
+    totals = given.agg(*[F.sum(f"_{i}").alias(f"_all{i}") for i in topics]).first()
+    long = given.select(
+        "word",
+        F.posexplode(F.array(*[F.col(f"_{i}") / F.lit(totals[f"_all{i}"] or 1.0) for i in topics])).alias(
+            "topic", "weight"
+        ),
+    )
+    best = W.partitionBy("topic").orderBy(F.desc("weight"), "word")
+    chosen = long.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return chosen.join(dictionary(counts), "word").select("topic", "rank", "word", "word_id", "n_posts", "weight")
+
+
 def score_missing(posts: DataFrame, scorer: Callable[[Column], Column], score: str = "tox", text: str = "text") -> DataFrame:
     """Fill missing scores and keep the present ones; texts that cannot be scored stay null.
 
@@ -86,6 +148,52 @@ def score_missing(posts: DataFrame, scorer: Callable[[Column], Column], score: s
     return posts.where(~missing).unionByName(scored)
 
 
+def score_batches(
+    posts: DataFrame,
+    load: Callable[[], Callable[[pd.Series], pd.Series]],
+    score: str = "tox",
+    text: str = "text",
+    retries: int = 2,
+) -> DataFrame:
+    """:func:`score_missing` by a model that every task loads once; adds ``<score>_failed``.
+
+    ``load`` gives a function from a batch of texts to their scores. A batch on which it raises is tried
+    ``retries`` times more, then text by text; a text on which it still raises, or that gets no finite
+    score, has a null score and is marked as failed, so that a run goes on and its failures can be
+    counted and scored again. A null text is not scored and is no failure. Present scores are not read.
+    """
+
+    def attempt(model: Callable, texts: pd.Series, tries: int) -> pd.Series | None:
+        for _ in range(tries):
+            try:
+                got = pd.Series(list(model(texts)), index=texts.index, dtype="float64")
+            except Exception:  # a scorer may raise anything
+                continue
+            return got
+        return None
+
+    @F.pandas_udf("score double, failed boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for texts in batches:
+            present = texts.dropna()
+            got = attempt(model, present, 1 + retries) if len(present) else present.astype("float64")
+            if got is None:
+                alone = [attempt(model, present.iloc[i : i + 1], 1) for i in range(len(present))]
+                got = pd.Series([float("nan") if a is None else a.iloc[0] for a in alone], present.index)
+            got = got.where(np.isfinite(got)).reindex(texts.index)
+            failed = got.isna() & texts.notna()
+            yield pd.DataFrame({"score": got.astype(object).where(got.notna(), None), "failed": failed})
+
+    failed = f"{score}_failed"
+    if score not in posts.columns:
+        posts = posts.withColumn(score, F.lit(None).cast("double"))
+    missing = F.col(score).isNull() | F.isnan(score)
+    scored = posts.where(missing).withColumn("_scored", run(F.col(text)))
+    scored = scored.withColumns({score: F.col("_scored.score"), failed: F.col("_scored.failed")}).drop("_scored")
+    return posts.where(~missing).withColumn(failed, F.lit(False)).unionByName(scored)
+
+
 def lexicon_scorer(lexicon: Iterable[str]) -> Callable[[Column], Column]:
     """Share of a text's words that are in a word list; null for a text without words."""
     words = [w.lower() for w in lexicon]
@@ -114,26 +222,34 @@ def label_binary(labeled: DataFrame, value: str, topic: str = "final_topic") ->
     return labeled.withColumns({"on_topic": hit.cast("int"), "not_topic": (~hit).cast("int")})
 
 
-def word_weights(rows: DataFrame, key: str, tokens: str = "tokens", features: int = 1 << 15) -> DataFrame:
-    """``key`` and its weighted single-word counts, written once for all classifiers."""
-    hashed = HashingTF(inputCol=tokens, outputCol="counts", numFeatures=features).transform(rows)
-    counts = materialise(hashed.select(key, "counts"), "counts")
-    weighted = IDF(inputCol="counts", outputCol="weights").fit(counts).transform(counts)
-    return materialise(weighted.select(key, "weights"), "weights")
+def fit_word_weights(rows: DataFrame, tokens: str = "tokens", features: int = 1 << 15) -> PipelineModel:
+    """What turns words into weighted counts ``weights``; the weights come from all rows, in one pass."""
+    return Pipeline(
+        stages=[
+            HashingTF(inputCol=tokens, outputCol="counts", numFeatures=features),
+            IDF(inputCol="counts", outputCol="weights"),
+        ]
+    ).fit(_with_tokens(rows, tokens))
+
+
+def _with_tokens(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
+    return rows.withColumn(tokens, F.coalesce(F.col(tokens), F.array().cast("array<string>")))
 
 
 @dataclass(frozen=True)
 class Trained:
-    """Binary classifiers by topic, the rows they can score, and their held-out examples."""
+    """Word weights, binary classifiers by topic, and their held-out examples."""
 
-    key: str
-    weights: DataFrame
+    words: PipelineModel
     models: dict[str, LogisticRegressionModel]
-    held_out: dict[str, DataFrame]
+    held_out: DataFrame
+
+    def classify(self, rows: DataFrame, key: str, limit: float = SCORE_THRESHOLD) -> DataFrame:
+        """``key``, the score of every topic, and 1 where a score exceeds the limit; one pass, no shuffle.
 
-    def classify(self, limit: float = SCORE_THRESHOLD) -> DataFrame:
-        """``key``, the score of every topic, and 1 where a score exceeds the limit."""
-        scored = self.weights
+        Rows of null ``tokens`` are scored as rows without words.
+        """
+        scored = self.words.transform(_with_tokens(rows)).select(key, "weights")
         for topic, model in self.models.items():
             scored = _scored(model, scored, f"score_{topic}")
         return threshold_label(
@@ -144,36 +260,84 @@ class Trained:
         """:func:`class_report` of every topic's classifier on its held-out examples."""
         reports = []
         for topic, model in self.models.items():
-            rows = _scored(model, self.held_out[topic], "score")
+            rows = _scored(model, self.held_out.where(F.col("topic") == topic), "score")
             guessed = rows.withColumn("predicted", (F.col("score") > limit).cast("int"))
             report = class_report(guessed, "label", "predicted")
             reports.append(report.select(F.lit(topic).alias("topic"), "*"))
         return reduce(DataFrame.unionByName, reports)
 
+    def save(self, path: str) -> None:
+        """Write everything below a folder, which becomes visible at once; one that is there stays."""
+        spark = self.held_out.sparkSession
+        staged = scratch_path(spark, "trained")
+        self.words.save(f"{staged}/words")
+        for number, model in enumerate(self.models.values()):
+            model.save(f"{staged}/model-{number}")
+        named = spark.createDataFrame(list(enumerate(self.models)), "number int, topic string")
+        named.coalesce(1).write.parquet(f"{staged}/topics")
+        self.held_out.write.parquet(f"{staged}/held-out")
+        rename_new(spark, staged, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Trained:
+        """What :meth:`save` has written, in this or another session."""
+        topics = spark.read.parquet(f"{path}/topics").orderBy("number").collect()  # one row per classifier
+        models = {t.topic: LogisticRegressionModel.load(f"{path}/model-{t.number}") for t in topics}
+        return cls(PipelineModel.load(f"{path}/words"), models, spark.read.parquet(f"{path}/held-out"))
+
 
 def _scored(model: LogisticRegressionModel, rows: DataFrame, score: str) -> DataFrame:
     scored = model.transform(rows).withColumn(score, vector_to_array("probability")[1])
     return scored.drop("rawPrediction", "probability", "prediction")
 
 
+def log_loss(rows: DataFrame, score: str = "score", label: str = "label") -> float:
+    """Mean negative log likelihood of the labels; infinite without rows."""
+    right = F.when(F.col(label) == 1, F.col(score)).otherwise(1 - F.col(score))
+    mean = rows.agg(F.avg(-F.log(F.greatest(right, F.lit(1e-15))))).first()[0]
+    return float("inf") if mean is None else mean
+
+
+def fit_until_worse(train: DataFrame, check: DataFrame, patience: int = PATIENCE) -> LogisticRegressionModel:
+    """The classifier that does best on ``check``, from strong to weak regularisation.
+
+    Stops after ``patience`` fits in a row without a gain. Without rows to check, the first one stays.
+    """
+    best, least, worse = None, float("inf"), 0
+    for strength in REGULARISATION:
+        model = LogisticRegression(featuresCol="weights", maxIter=20, regParam=strength).fit(train)
+        loss = log_loss(_scored(model, check, "score"))
+        if best is None or loss < least:
+            best, least, worse = model, loss, 0
+        else:
+            worse += 1
+            if worse == patience:
+                break
+    return best
+
+
 def fit_topic_classifiers(
-    labeled: DataFrame, weights: DataFrame, key: str, topics: dict[str, Column]
+    labeled: DataFrame, rows: DataFrame, key: str, topics: dict[str, Column], features: int = 1 << 15
 ) -> Trained:
     """One binary classifier per topic, trained on the larger part of a balanced sample.
 
-    ``topics`` gives the condition under which a labelled row is on the topic.
-    The examples of a topic are written once with their part.
+    ``topics`` gives the condition under which a labelled row is on the topic, ``rows`` the ``key`` and
+    ``tokens`` of every row. Half of what is not trained on decides when to stop, the other half is held
+    out. Only labelled rows have their weighted counts written, and a topic's examples with their part.
     """
-    fitted, held_out = {}, {}
+    words = fit_word_weights(rows, features=features)
+    known = _with_tokens(rows.join(labeled.select(key).distinct(), key))
+    told = materialise(words.transform(known).select(key, "weights"), "told")
+    fitted, held_out = {}, []
     for topic, on_topic in topics.items():
         balanced = sampling.balance_classes(labeled.select(key, on_topic.alias("yes")), key, "yes")
-        parts = sampling.split_sets(balanced, key)
+        parts = sampling.split_sets(balanced, key, PART_SHARES, PARTS)
         label = F.col("yes").cast("int").alias("label")
-        examples = materialise(parts.join(weights, key).select("weights", label, "part"), "examples")
-        learner = LogisticRegression(featuresCol="weights", maxIter=20, regParam=0.01)
-        fitted[topic] = learner.fit(examples.where(F.col("part") == "train"))
-        held_out[topic] = examples.where(F.col("part") == "test")
-    return Trained(key, weights, fitted, held_out)
+        examples = materialise(parts.join(told, key).select("weights", label, "part"), "examples")
+        fitted[topic] = fit_until_worse(*[examples.where(F.col("part") == part) for part in PARTS[:2]])
+        kept = examples.where(F.col("part") == PARTS[2])
+        held_out.append(kept.select(F.lit(topic).alias("topic"), "weights", "label"))
+    return Trained(words, fitted, reduce(DataFrame.unionByName, held_out))
 
 
 def threshold_label(rows: DataFrame, scores: dict[str, str], limit: float = SCORE_THRESHOLD) -> DataFrame:

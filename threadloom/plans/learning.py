@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import LDAModel, LocalLDAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +15,37 @@ from threadloom.plans.registry import query, table
 from threadloom.plans.scans import clean_sql
 from threadloom.plans.tables import CODED, coded_conversations
 from threadloom.plans.texts import STOP
+from threadloom.session import artefact_path, exists, rename_new, scratch_path
 
 LEXICON, LEXICON_SQL = fx.LEXICON, fx.LEXICON_SQL
 
 
+def word_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.word_counts(fx.raw_posts(spark, sf).select("pid", "text"), STOP)
+
+
+def topic_model(spark: SparkSession, sf: str, counts: DataFrame) -> LDAModel:
+    """The topic model of the posts, fitted once and saved; later queries and sessions load it."""
+    settings = (ops.TOPIC_COUNT, ops.WORD_CELLS, ops.SEED, ops.LEARNING_OFFSET, sorted(STOP))
+    path = artefact_path(spark, "topics", [fx.raw_posts(spark, sf)], *settings)
+    if not exists(spark, path):
+        staged = scratch_path(spark, "topics")
+        ops.fit_topics(counts).save(staged)
+        rename_new(spark, staged, path)
+    return LocalLDAModel.load(path)
+
+
 @query("lda_topics")
 def lda_topics(spark: SparkSession, sf: str) -> DataFrame:
-    posts = fx.raw_posts(spark, sf).select("pid", "text")
-    counts = ops.word_counts(posts, STOP)
-    return ops.topic_loadings(ops.fit_topics(counts), counts)
+    counts = word_counts(spark, sf)
+    return ops.topic_loadings(topic_model(spark, sf, counts), counts)
+
+
+@query("topic_words")
+def topic_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The words that describe each topic, named exactly."""
+    counts = word_counts(spark, sf)
+    return ops.topic_words(topic_model(spark, sf, counts), counts)
 
 
 @query(
@@ -37,6 +60,34 @@ def score_missing(spark: SparkSession, sf: str) -> DataFrame:
     return ops.score_missing(posts, ops.lexicon_scorer(LEXICON)).select("pid", "tox")
 
 
+def flaky_lexicon():
+    """A scorer that does not take texts of a length divisible by seven."""
+    words = set(LEXICON)
+
+    def score(texts):
+        if (texts.str.len() % 7 == 0).any():
+            raise ValueError("refused")
+        found = texts.str.lower().str.split()
+        return found.map(lambda ws: sum(w in words for w in ws) / len(ws) if ws else 0.0)
+
+    return score
+
+
+@query(
+    "score_batches",
+    fx.with_views(
+        f"""select pid, coalesce(tox, case when length(text) % 7 <> 0 then
+                       coalesce(1e0 * len(list_filter(words, lambda w: list_contains([{LEXICON_SQL}], w))) / nullif(len(words), 0), 0e0) end) as tox,
+                   tox is null and text is not null and length(text) % 7 = 0 as tox_failed
+            from (select pid, tox, text, list_filter(string_split({clean_sql('lower(text)')}, ' '), lambda w: w <> '') as words from posts_fx) t"""
+    ),
+)
+def score_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing scores by a model that is loaded once per task and fails on some texts."""
+    posts = fx.raw_posts(spark, sf).select("pid", "text", "tox")
+    return ops.score_batches(posts, flaky_lexicon, retries=1).drop("text")
+
+
 FINAL_TOPIC = """
 labeled as (select pid, case when final_topic is null or final_topic in ('Not sure', 'discuss') or russia + midterms + childcare = 0
                              then 'Off_topic' else final_topic end as final_topic
@@ -64,25 +115,32 @@ def label_onehot(spark: SparkSession, sf: str) -> DataFrame:
     return ops.label_binary(ops.label_onehot(labeled), "Russia/Ukraine war")
 
 
-def trained(spark: SparkSession, sf: str) -> ops.Trained:
-    """One classifier per label over all documents, trained on a balanced 80%."""
+def tokens(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents").select("doc_id", "text")
-    tokens = documents.select("doc_id", tx.classifier_tokens(F.col("text"), STOP).alias("tokens"))
-    weights = ops.word_weights(tokens, "doc_id")
-    topics = {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
-    return ops.fit_topic_classifiers(table(spark, sf, "labels"), weights, "doc_id", topics)
+    return documents.select("doc_id", tx.classifier_tokens(F.col("text"), STOP).alias("tokens"))
+
+
+def trained(spark: SparkSession, sf: str) -> ops.Trained:
+    """One classifier per label, trained on a balanced 80%, fitted once and saved; later ones load it."""
+    labels = table(spark, sf, "labels")
+    inputs = [table(spark, sf, "documents"), labels]
+    path = artefact_path(spark, "classifiers", inputs, ops.REGULARISATION, ops.PATIENCE, ops.PART_SHARES, sorted(STOP))
+    if not exists(spark, path):
+        topics = {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+        ops.fit_topic_classifiers(labels, tokens(spark, sf), "doc_id", topics).save(path)
+    return ops.Trained.load(spark, path)
 
 
 @query("classify_topic")
 def classify_topic(spark: SparkSession, sf: str) -> DataFrame:
     """Every document scored and thresholded as by exclusive classifiers."""
-    return trained(spark, sf).classify()
+    return trained(spark, sf).classify(tokens(spark, sf), "doc_id")
 
 
 @query("classify_multilabel")
 def classify_multilabel(spark: SparkSession, sf: str) -> DataFrame:
     """The same as independent labels, any number of which a document may have."""
-    return trained(spark, sf).classify(ops.MULTILABEL_THRESHOLD)
+    return trained(spark, sf).classify(tokens(spark, sf), "doc_id", ops.MULTILABEL_THRESHOLD)
 
 
 @query("classify_report")

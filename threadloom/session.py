@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 import weakref
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
@@ -80,6 +82,43 @@ def discard(written: DataFrame) -> None:
     folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def rename_new(spark: SparkSession, staged: str, path: str) -> bool:
+    """Make a written folder visible under a new name at once; false if that name is taken."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
+    system = source.getFileSystem(conf)
+    system.mkdirs(target.getParent())
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.makeQualified(source).toUri(), conf)
+    never = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    never[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        files.rename(source, target, never)
+    except Py4JJavaError as error:
+        if system.exists(target):
+            return False
+        raise error
+    return True
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def artefact_path(spark: SparkSession, label: str, inputs: list[DataFrame], *settings: object) -> str:
+    """Where what is derived from the files of ``inputs`` under ``settings`` is kept between sessions.
+
+    Another path as soon as a file's name, length or time of writing differs.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    digest = hashlib.sha256(repr(settings).encode())
+    for name in sorted(name for rows in inputs for name in rows.inputFiles()):
+        file = jvm.org.apache.hadoop.fs.Path(name)
+        status = file.getFileSystem(conf).getFileStatus(file)
+        digest.update(f"{name}:{status.getLen()}:{status.getModificationTime()}\n".encode())
+    return f"{shared_root(spark).rstrip('/')}/threadloom/artefacts/{label}-{digest.hexdigest()[:32]}"
+
+
 def materialise_counting(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict]:
     """:func:`materialise`, with aggregates over the written rows."""
     written = materialise(df, label)
