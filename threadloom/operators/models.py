@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import IDF, HashingTF
@@ -222,16 +222,6 @@ def label_binary(labeled: DataFrame, value: str, topic: str = "final_topic") ->
     return labeled.withColumns({"on_topic": hit.cast("int"), "not_topic": (~hit).cast("int")})
 
 
-def fit_word_weights(rows: DataFrame, tokens: str = "tokens", features: int = 1 << 15) -> PipelineModel:
-    """What turns words into weighted counts ``weights``; the weights come from all rows, in one pass."""
-    return Pipeline(
-        stages=[
-            HashingTF(inputCol=tokens, outputCol="counts", numFeatures=features),
-            IDF(inputCol="counts", outputCol="weights"),
-        ]
-    ).fit(_with_tokens(rows, tokens))
-
-
 def _with_tokens(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     return rows.withColumn(tokens, F.coalesce(F.col(tokens), F.array().cast("array<string>")))
 
@@ -323,11 +313,15 @@ def fit_topic_classifiers(
 
     ``topics`` gives the condition under which a labelled row is on the topic, ``rows`` the ``key`` and
     ``tokens`` of every row. Half of what is not trained on decides when to stop, the other half is held
-    out. Only labelled rows have their weighted counts written, and a topic's examples with their part.
+    out. The hashed words of all rows, which give the words' weights, are written once; so are the weighted
+    ones of labelled rows, and a topic's examples with their part.
     """
-    words = fit_word_weights(rows, features=features)
-    known = _with_tokens(rows.join(labeled.select(key).distinct(), key))
-    told = materialise(words.transform(known).select(key, "weights"), "told")
+    hasher = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features)
+    counts = materialise(hasher.transform(_with_tokens(rows)).select(key, "counts"), "counts")
+    weigher = IDF(inputCol="counts", outputCol="weights").fit(counts)
+    words = PipelineModel([hasher, weigher])
+    known = counts.join(labeled.select(key).distinct(), key)
+    told = materialise(weigher.transform(known).select(key, "weights"), "told")
     fitted, held_out = {}, []
     for topic, on_topic in topics.items():
         balanced = sampling.balance_classes(labeled.select(key, on_topic.alias("yes")), key, "yes")

@@ -25,7 +25,7 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def topic_model(spark: SparkSession, sf: str, counts: DataFrame) -> LDAModel:
-    """The topic model of the posts, fitted once and saved; later queries and sessions load it."""
+    """The topic model of the posts, fitted once per application and saved; later queries load it."""
     settings = (ops.TOPIC_COUNT, ops.WORD_CELLS, ops.SEED, ops.LEARNING_OFFSET, sorted(STOP))
     path = artefact_path(spark, "topics", [fx.raw_posts(spark, sf)], *settings)
     if not exists(spark, path):
@@ -121,7 +121,7 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trained(spark: SparkSession, sf: str) -> ops.Trained:
-    """One classifier per label, trained on a balanced 80%, fitted once and saved; later ones load it."""
+    """One classifier per label, trained on a balanced 80%, fitted once per application and saved."""
     labels = table(spark, sf, "labels")
     inputs = [table(spark, sf, "documents"), labels]
     path = artefact_path(spark, "classifiers", inputs, ops.REGULARISATION, ops.PATIENCE, ops.PART_SHARES, sorted(STOP))

@@ -106,9 +106,10 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def artefact_path(spark: SparkSession, label: str, inputs: list[DataFrame], *settings: object) -> str:
-    """Where what is derived from the files of ``inputs`` under ``settings`` is kept between sessions.
+    """Where one application keeps what is derived from the files of ``inputs`` under ``settings``.
 
-    Another path as soon as a file's name, length or time of writing differs.
+    Another path as soon as a file's name, length or time of writing differs. The application is part of
+    it, so that nothing made by other code is taken up; models to be kept are saved under a name of choice.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     digest = hashlib.sha256(repr(settings).encode())
@@ -116,7 +117,8 @@ def artefact_path(spark: SparkSession, label: str, inputs: list[DataFrame], *set
         file = jvm.org.apache.hadoop.fs.Path(name)
         status = file.getFileSystem(conf).getFileStatus(file)
         digest.update(f"{name}:{status.getLen()}:{status.getModificationTime()}\n".encode())
-    return f"{shared_root(spark).rstrip('/')}/threadloom/artefacts/{label}-{digest.hexdigest()[:32]}"
+    own = f"{shared_root(spark).rstrip('/')}/threadloom/{spark.sparkContext.applicationId}"
+    return f"{own}/artefacts/{label}-{digest.hexdigest()[:32]}"
 
 
 def materialise_counting(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict]:
