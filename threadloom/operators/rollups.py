@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType
 from threadloom import schemas
 from threadloom.functions.keywords import split_topics
 from threadloom.operators import graph
-from threadloom.session import materialise
+from threadloom.session import materialise, materialise_buckets
 
 LOADINGS = tuple(f"t{i}" for i in range(10))
 CONVERSATION = "conversation_id"
@@ -352,7 +352,7 @@ def post_rollup(posts: DataFrame) -> DataFrame:
     )
 
 
-def convo_stats(posts: DataFrame, loadings: DataFrame, order: str) -> DataFrame:
+def convo_stats(posts: DataFrame, loadings: DataFrame, order: str, buckets: int | None = None) -> DataFrame:
     """One row per conversation: spread, toxicity, reply network, users and topics.
 
     ``posts`` has the post columns with ``tox`` and ``topics``, serialised or an
@@ -361,10 +361,16 @@ def convo_stats(posts: DataFrame, loadings: DataFrame, order: str) -> DataFrame:
     gets a row, with or without loadings and links. Every part is reduced to
     one row per conversation before parts are joined, all on the same key. The
     columns that several parts read are written once, and so are the links.
+    With ``buckets``, the posts are a stored table dealt by conversation into as
+    many; then they are not written again, the links are dealt alike, and no
+    post or link is moved to reduce it.
     """
-    columns = [CONVERSATION, "pid", "parent_id", "author", "tox", "topics", order]
-    posts = materialise(posts.select(*dict.fromkeys(columns)), "posts")
-    edges = materialise(graph.reply_edges(posts), "edges")
+    if buckets:
+        edges = materialise_buckets(graph.reply_edges(posts), "edges", CONVERSATION, buckets)
+    else:
+        columns = [CONVERSATION, "pid", "parent_id", "author", "tox", "topics", order]
+        posts = materialise(posts.select(*dict.fromkeys(columns)), "posts")
+        edges = materialise(graph.reply_edges(posts), "edges")
     depth, irregular = graph.reply_walks(edges)
     links = (
         graph.network_summary(edges)

@@ -16,7 +16,7 @@ from threadloom.plans.registry import query, table
 from threadloom.plans.scans import PAIRS, clean_sql
 from threadloom.plans.tables import coded_conversations
 from threadloom.session import scratch_path
-from threadloom.sources import pages, sinks
+from threadloom.sources import dealt, pages
 
 EXPLODED = """
 exploded as (select pid, conversation_id, turn, pos, trim(parts[pos]) as topic
@@ -406,9 +406,24 @@ def pipeline_stats(spark: SparkSession, sf: str) -> DataFrame:
     table = post_ops.project_page_posts(read, fx.dictionary(spark)).drop("tox")
     scored = models.score_missing(table, models.lexicon_scorer(fx.LEXICON))
     path = scratch_path(spark, "posts")
-    sinks.write_posts(post_ops.conform(scored), path)
-    stored = spark.read.schema(schemas.POSTS).parquet(path)
-    return ops.convo_stats(stored, fx.loadings(spark, sf), "created_at")
+    dealt.write_dealt(post_ops.conform(scored), path)
+    stored = dealt.read_dealt(spark, path, schemas.POSTS)
+    loadings = fx.loadings(spark, sf)
+    return stored.per_conversation(lambda posts, n: ops.convo_stats(posts, loadings, "created_at", n))
+
+
+@query(
+    "dealt_stats",
+    fx.with_views("select * from stats_fx", *views_over("posts_scored", SCORED), recursive=True),
+)
+def dealt_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship over a table dealt by conversation, with the larger conversations kept apart."""
+    posts = models.score_missing(fx.posts(spark, sf).drop("tox"), models.lexicon_scorer(fx.LEXICON))
+    path = scratch_path(spark, "posts")
+    dealt.write_dealt(posts, path, buckets=8, large=6)
+    stored = dealt.read_dealt(spark, path, posts.schema)
+    loadings = fx.loadings(spark, sf)
+    return stored.per_conversation(lambda own, n: ops.convo_stats(own, loadings, "turn", n))
 
 
 @query(

@@ -9,6 +9,7 @@ import weakref
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _local_roots: dict[str, str] = {}
 _written: dict[int, tuple[weakref.ref, str]] = {}
@@ -72,6 +73,40 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return written
 
 
+def write_buckets(df: DataFrame, path: str, key: str, buckets: int, order: tuple[str, ...] = ()) -> None:
+    """Write ``df`` dealt by the hash of ``key``, one sorted file a bucket; nothing is moved that is dealt so already."""
+    spark, name = df.sparkSession, _table_name()
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key, *order)
+    try:
+        writer.option("path", path).format("parquet").saveAsTable(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def read_buckets(spark: SparkSession, path: str, schema: StructType, key: str, buckets: int) -> DataFrame:
+    """The table of :func:`write_buckets`; the planner knows how it is dealt."""
+    name, quoted = _table_name(), path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"create table {name} ({schema.toDDL()}) using parquet"
+        f" clustered by (`{key}`) into {buckets} buckets location '{quoted}'"
+    )
+    try:
+        return spark.table(name)
+    finally:  # the files stay, and the rows read know them
+        spark.sql(f"drop table if exists {name}")
+
+
+def _table_name() -> str:
+    return f"threadloom_{uuid.uuid4().hex}"
+
+
+def materialise_buckets(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """:func:`materialise`, dealt by ``key``, so that grouping and joining on it moves no rows."""
+    path = scratch_path(df.sparkSession, label)
+    write_buckets(df, path, key, buckets)
+    return read_buckets(df.sparkSession, path, df.schema, key, buckets)
+
+
 def discard(written: DataFrame) -> None:
     """Delete a table of :func:`materialise` that nothing reads any more; others are left alone."""
     reference, path = _written.pop(id(written), (None, None))
