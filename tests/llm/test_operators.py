@@ -322,7 +322,7 @@ def test_a_turn_out_of_place_is_an_error():
     assert conversation.loss_chars < 2 * len("a text")
 
 
-def _nearest(rows, k=20):
+def _nearest(rows, k=20, step=20):
     usable = [
         (i, np.array(v, float))
         for i, v in rows
@@ -330,7 +330,7 @@ def _nearest(rows, k=20):
     ]
     matrix, ids = np.array([v for _, v in usable]), np.array([i for i, _ in usable])
     result = []
-    for query in sorted({int(i) for i in ids if i % 20 == 0}):
+    for query in sorted({int(i) for i in ids if i % step == 0}):
         own = min((list(v) for i, v in usable if i == query))
         score = np.zeros(len(ids))
         for d, x in enumerate(own):
@@ -349,6 +349,21 @@ def test_nearest_vectors(spark):
     assert len(found & true) / len(true) > 0.99
 
 
+def test_nearest_over_groups_and_shards(spark, monkeypatch):
+    """Queries of one task that meet a block in two parts, then several groups, each with several shards."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 64))
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=64) / 3]) for i in range(2400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9)
+    true = {(q, v) for q, _, v, _ in _nearest(rows, 20, 4)}
+    for group_bytes, shard_blocks in ((1 << 24, 32), (100_000, 2)):
+        monkeypatch.setattr(neighbours, "GROUP_BYTES", group_bytes)
+        monkeypatch.setattr(neighbours, "SHARD_BLOCKS", shard_blocks)
+        got = neighbours.nearest(vectors, F.col("vec_id") % 4 == 0).collect()
+        assert len(got) == len(true) == 600 * 20
+        assert len({(r.query_id, r.vec_id) for r in got} & true) / len(true) > 0.99
+
+
 def test_nearest_of_a_repeated_query_row(spark):
     rows = [(0, [1.0, 2.0])] * 15 + [(i, [1.0, 2.0]) for i in range(1, 61)] + [(70, [2.0, -1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)

@@ -6,7 +6,10 @@ the vector, its length and the agreement of its code with itself, and the estima
 error bound. Blocks of codes stream past a group of queries, which keep their best vectors so far.
 Those whose upper bound reaches the k-th best known are chosen and ranked by their inner products.
 
-Every query meets every block of codes. Of equal vectors in one block, the ``k + 1`` of least id are
+Every query meets every block of codes: one task lets a shard of the blocks stream past a group of
+queries. Groups are as large as a task may hold, since each costs one copy of all blocks, and more
+tasks than groups and shards are made by more shards, since each costs a copy of the queries only.
+Of equal vectors in one block, the ``k + 1`` of least id are
 kept, since no other can be in a result. The centre is the mean of a sample of
 :data:`SAMPLE_VALUES` numbers at most; every vector is coded. The inner products returned are summed
 in the order of coordinates.
@@ -31,12 +34,14 @@ K = 20
 #: Standard errors that a bound allows for.
 BOUND = 2.5
 SAMPLE_VALUES = 1 << 20
-#: Bytes of vectors in one block of candidates, and in one of queries, about four of which are a group.
+#: Bytes of vectors in one block of candidates, and in one of queries.
 BLOCK_BYTES = 1 << 20
 QUERY_BYTES = 1 << 16
-GROUP_BLOCKS = 4
+#: Bytes of queries that meet a block at once, and that one task holds.
+TOGETHER_BYTES = 1 << 18
+GROUP_BYTES = 1 << 24
 #: Blocks that one task lets stream past a group of queries.
-SHARD_BLOCKS = 4096
+SHARD_BLOCKS = 32
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -186,31 +191,35 @@ _BLOCK_KINDS = {"vectors": "<f8", "ids": "<i8", "codes": "u1", "lengths": "<f8",
 
 def _search(dim: int, centre: np.ndarray, k: int):
     """Rows come by group and shard: first the queries, then the blocks of codes."""
+    together = max(1, TOGETHER_BYTES // (8 * dim))
     width = {"vectors": dim, "codes": -(-dim // 8)}
 
     def read(row: dict, name: str, kind: str) -> np.ndarray:
         found = np.frombuffer(row[name], kind)
         return found.reshape(-1, width[name]) if name in width else found
 
+    def searches(asked: list[tuple[np.ndarray, np.ndarray]]) -> list[Search]:
+        queries, ids = (np.concatenate(x) for x in zip(*asked, strict=True))
+        starts = range(0, len(ids), together)
+        return [Search(queries[i : i + together], ids[i : i + together], centre, k) for i in starts]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, asked, search = None, [], None
+        group, asked, held = None, [], []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 if group != (row["group"], row["shard"]):
-                    if search is not None:
-                        yield search.results()
-                    group, asked, search = (row["group"], row["shard"]), [], None
+                    yield from (search.results() for search in held)
+                    group, asked, held = (row["group"], row["shard"]), [], []
                 if row["place"] == 0:
                     asked.append((read(row, "vectors", "<f8"), read(row, "ids", "<i8")))
                     continue
-                if search is None and asked:
-                    queries, ids = (np.concatenate(x) for x in zip(*asked, strict=True))
-                    search = Search(queries, ids, centre, k)
-                if search is not None:
-                    search.meet(**{name: read(row, name, kind) for name, kind in _BLOCK_KINDS.items()})
-        if search is not None:
-            yield search.results()
+                if asked:
+                    held, asked = searches(asked), []
+                block = {name: read(row, name, kind) for name, kind in _BLOCK_KINDS.items()}
+                for search in held:
+                    search.meet(**block)
+        yield from (search.results() for search in held)
 
     return run
 
@@ -243,11 +252,12 @@ def nearest(
     blocks, seen = materialise_counting(
         own.select("id", "v").mapInArrow(_encode(dim, centre, k), schema), "codes", n=F.count("*")
     )
-    shards = -(-max(1, seen["n"]) // SHARD_BLOCKS)
     asked = own.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
     asked = asked.mapInArrow(_gather(dim), "ids binary, vectors binary")
-    asked, counted = materialise_counting(asked, "queries", n=F.count("*"))
-    groups = -(-max(1, counted["n"]) // GROUP_BLOCKS)
+    asked, counted = materialise_counting(asked, "queries", n=F.sum(F.length("vectors")))
+    groups = -(-max(1, counted["n"] or 0) // GROUP_BYTES)
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-seen["n"] // SHARD_BLOCKS), min(seen["n"], -(-tasks // groups)))
 
     def dealt(n: int) -> Column:
         return F.pmod(F.xxhash64("ids", "vectors"), F.lit(n)).cast("int")
@@ -257,7 +267,8 @@ def nearest(
 
     first = asked.select("*", F.lit(0).alias("place"), dealt(groups).alias("group"), every(shards).alias("shard"))
     later = blocks.select("*", F.lit(1).alias("place"), every(groups).alias("group"), dealt(shards).alias("shard"))
-    met = first.unionByName(later, allowMissingColumns=True).repartition("group", "shard")
+    met = first.unionByName(later, allowMissingColumns=True)
+    met = met.repartitionById(groups * shards, F.col("group") * shards + F.col("shard"))
     met = met.sortWithinPartitions("group", "shard", "place")
     found = met.select("group", "shard", "place", *_BLOCK_KINDS).mapInArrow(
         _search(dim, centre, k), "query_id long, vec_id long, score double"
