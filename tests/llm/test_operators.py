@@ -1,6 +1,7 @@
 """Languages, licenses, packing, chat, vectors, urls and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -472,6 +473,15 @@ def plain_templates(paths):
             return 0
         return 1 if re.fullmatch(r"[0-9]+(\.[a-z]+)?", segments[at]) else 2 if re.search("[0-9]", segments[at]) else 3
 
+    def differ(one, other):
+        """Twice the log of the likelihood ratio, by expected counts."""
+        total = 0.0
+        for a, b in ((one[:4], other[:4]), (one[4:], other[4:])):
+            both = sum(a) + sum(b)
+            for side in (a, b):
+                total += sum(x * math.log(x * both / (sum(side) * (y + z))) for x, y, z in zip(side, a, b) if x)
+        return round(2e6 * total)
+
     for depth in range(max(map(len, split.values()))):
         nodes = {}
         for key, segments in split.items():
@@ -481,16 +491,30 @@ def plain_templates(paths):
         for (_, before), branches in nodes.items():
             under = sum(map(len, branches.values()))
             wild = len(branches) >= urls.WILD_CHILDREN and len(branches) * 2 >= under
-            least, profiles = {}, {}
-            for child, keys in sorted(branches.items()):
+            counts, pools, cells = {}, {}, {}
+            for child, keys in branches.items():
                 forms = [form(split[k], depth + 1) for k in keys]
                 bad, good = (sum(paths[k] == v for k in keys) for v in ("block", "allow"))
+                counts[child] = [*(forms.count(f) for f in range(4)), bad, good]
                 shares = [int(forms.count(f) * 4 / len(keys) + 0.5) for f in range(4)]
-                profiles[child] = (*shares, int((bad + 1) / (bad + good + 2) * 3))
+                rejects = int((bad + 1) / (bad + good + 4) > 0.5)
+                cell = ",".join(map(str, (*shares, int((bad + 1) / (bad + good + 2) * 3), rejects)))
+                cells[child] = cell
                 if len(keys) >= urls.MERGE_PATHS:
-                    least.setdefault(profiles[child], child)
+                    pool = pools.setdefault(cell, [0] * 6)
+                    pools[cell] = [x + y for x, y in zip(pool, counts[child])]
+            leaders = []
+            for cell in sorted(pools, key=lambda c: (-sum(pools[c][:4]), c)):
+                if all(known[-1] != cell[-1] or differ(pools[cell], pools[known]) > urls.DIFFERENT for known in leaders):
+                    leaders.append(cell)
+            lead, least = {}, {}
+            for child, keys in sorted(branches.items()):
+                near = [(differ(counts[child], pools[c]), i) for i, c in enumerate(leaders) if c[-1] == cells[child][-1]]
+                if len(keys) >= urls.MERGE_PATHS and near and min(near)[0] <= urls.DIFFERENT:
+                    lead[child] = min(near)[1]
+                    least.setdefault(lead[child], child)
             for child, keys in branches.items():
-                merged = least.get(profiles[child], child) if len(keys) >= urls.MERGE_PATHS else child
+                merged = least[lead[child]] if child in lead else child
                 for key in keys:
                     prefix[key] = before + "/" + ("*" if wild else merged)
     return prefix
@@ -519,6 +543,18 @@ def test_templates_of_deep_paths(spark):
         assert r.verdict == (paths[r.host, r.path] or ("block" if share > 0.5 else "allow"))
 
 
+def test_branches_are_merged_by_counts(spark):
+    """Shares of one in eight and a little more are alike for 16 paths, and unlike 3,000 of other forms."""
+    rows = [f"http://h.com/a/{i if i < 2 else 'w' + 'x' * i}" for i in range(16)]
+    rows += [f"http://h.com/b/{i if i < 3 else 'w' + 'x' * i}" for i in range(18)]
+    rows += [f"http://h.com/c/{i}" for i in range(3000)]
+    rows += [f"http://big.com/{c}/{i if i % share == 0 else 'w' + 'x' * i}" for c, share in (("a", 2), ("b", 3)) for i in range(900)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    below = {(r.host, r.path.split("/")[1]): r.template.split("/")[1] for r in urls.judge(pages).collect()}
+    assert {k: v for k, v in below.items() if k[0] == "h.com"} == {("h.com", "a"): "a", ("h.com", "b"): "a", ("h.com", "c"): "c"}
+    assert (below["big.com", "a"], below["big.com", "b"]) == ("a", "b")
+
+
 def test_branches_are_judged_apart_below_four_segments(spark):
     rules = tuple(urls.UrlRule("block", f"shop.com/a/b/c/d/spam/{i}") for i in range(1, 10))
     rows = [(i, f"http://shop.com/a/b/c/d/spam/{i}") for i in range(1, 40)]

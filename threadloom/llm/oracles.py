@@ -129,6 +129,21 @@ def _form_sql(segment: str) -> str:
     )
 
 
+def _difference_sql(one: str, other: str) -> str:
+    """The G statistic of two sets of counts, in millionths."""
+
+    def log_sum(counts: list[str]) -> str:
+        total = " + ".join(counts)
+        terms = [f"case when {x} > 0 then ({x})::double * ln(({x})::double) else 0e0 end" for x in (*counts, total)]
+        return f"({' + '.join(terms[:-1])} - {terms[-1]})"
+
+    parts = []
+    for table in (["n_end", "n_number", "n_mixed", "n_word"], ["bad", "good"]):
+        a, b = [f"{one}.{c}" for c in table], [f"{other}.{c}" for c in table]
+        parts.append(f"{log_sum(a)} + {log_sum(b)} - {log_sum([f'({x} + {y})' for x, y in zip(a, b)])}")
+    return f"cast(round(({parts[0]} + {parts[1]}) * 2e6) as bigint)"
+
+
 def _level_sql(n: int) -> str:
     """The views that add segment ``n + 1`` to every template."""
     here, below = f"segments[{n + 1}]", f"segments[{n + 2}]"
@@ -136,6 +151,8 @@ def _level_sql(n: int) -> str:
     forms = ("end", "number", "mixed", "word")
     counts = ", ".join(f"count(*) filter (below = '{f}') as n_{f}" for f in forms)
     shares = ", ".join(f"cast(round(n_{f} * 4e0 / paths) as integer)" for f in forms)
+    sums = ", ".join(f"cast(sum({c}) as bigint) as {c}" for c in ("n_end", "n_number", "n_mixed", "n_word", "bad", "good"))
+    pool = ", ".join(f"'{c}': {c}" for c in ("least", "alike", "rejects", "n_end", "n_number", "n_mixed", "n_word", "bad", "good"))
     return f"""
 rows{n} as (select *, case when {here} is null then ''
                  when regexp_matches({here}, '[0-9]') then regexp_replace({hexed}, '[0-9]+', '{{n}}', 'g') else {here} end as child,
@@ -143,14 +160,26 @@ rows{n} as (select *, case when {here} is null then ''
 branches{n} as (select host, prefix, child, count(*) as paths, sum(bad) as bad, sum(good) as good, {counts}
                 from rows{n} group by host, prefix, child),
 parents{n} as (select host, prefix, count(*) as children, sum(paths) as under from branches{n} where child <> '' group by host, prefix),
-profiled{n} as (select b.*, coalesce(children >= {urls.WILD_CHILDREN} and children * 2 >= under, false) as wild,
-                       case when paths >= {urls.MERGE_PATHS} and child <> ''
-                            then concat_ws(',', {shares}, cast(floor((bad + 1) * 3e0 / (bad + good + 2)) as integer)) end as alike
-                from branches{n} b left join parents{n} using (host, prefix)),
-merged{n} as (select host, prefix, alike, min(child) as least from profiled{n} where alike is not null group by 1, 2, 3),
+nodes{n} as (select b.*, (bad + {urls.PRIOR * urls.PRIOR_WEIGHT}e0) / (bad + good + {urls.PRIOR_WEIGHT}e0) > {urls.LIMIT}e0 as rejects,
+                     coalesce(children >= {urls.WILD_CHILDREN} and children * 2 >= under, false) as wild
+             from branches{n} b left join parents{n} using (host, prefix)),
+profiled{n} as (select *, case when not wild and paths >= {urls.MERGE_PATHS} and child <> ''
+                               then concat_ws(',', {shares}, cast(floor((bad + 1) * 3e0 / (bad + good + 2)) as integer), rejects::integer) end as alike
+                from nodes{n}),
+pools{n} as (select host, prefix, alike, rejects, cast(-sum(paths) as bigint) as least, {sums} from profiled{n} where alike is not null group by host, prefix, alike, rejects),
+leaders{n} as (select host, prefix, list_reduce(list([{{{pool}}}] order by least, alike),
+                      lambda known, e: case when len(list_filter(known, lambda x: x.rejects = e[1].rejects and {_difference_sql("x", "e[1]")} <= {urls.DIFFERENT})) > 0
+                                            then known else list_concat(known, e) end) as leaders
+               from pools{n} group by host, prefix),
+measured{n} as (select p.host, p.prefix, p.child, {_difference_sql("x", "p")} as g, x.least as least, x.alike as lead
+                from profiled{n} p join (select host, prefix, unnest(leaders) as x from leaders{n}) l using (host, prefix)
+                where p.alike is not null and p.rejects = x.rejects),
+led{n} as (select host, prefix, child, arg_min(lead, (g, least, lead)) as lead from measured{n}
+           where g <= {urls.DIFFERENT} group by host, prefix, child),
+merged{n} as (select host, prefix, lead, min(child) as least from led{n} group by 1, 2, 3),
 names{n} as (select p.host, p.prefix, p.child,
                     case when child = '' then '' when wild then '/*' else concat('/', coalesce(least, child)) end as name
-             from profiled{n} p left join merged{n} m on m.host = p.host and m.prefix = p.prefix and m.alike = p.alike),
+             from profiled{n} p left join led{n} using (host, prefix, child) left join merged{n} using (host, prefix, lead)),
 state{n + 1} as (select host, path, ruled, bad, good, segments, concat(prefix, name) as prefix
                  from rows{n} join names{n} using (host, prefix, child))"""
 

@@ -3,9 +3,13 @@
 Listed rules judge the urls they fit, and these verdicts label the rest. Per host the paths form a
 tree of segments, built level by level. A segment is generalised by its form first: digits and long
 hexadecimal runs are placeholders. Below a node with many different segments, few of which come
-again, the segments are a wildcard. Other branches of a node are merged if they are alike: the same
-shares, in quarters, of each form of the segments below, and the same third of labelled purity. A
-template, a host with the generalised segments of a path, is rejected if the smoothed share of block
+again, the segments are a wildcard. Other branches of a node are merged if a G-test on their counts
+finds no difference at 5%, neither between the forms of the segments below nor between their labels:
+branches are pooled by rounded shares, the pools that differ from all larger ones lead, and a branch
+joins the leader it differs from least, or none. So branches of few paths are merged by likeness, and
+those of many only if they are equal for all that their counts tell. Branches whose own labels reject
+them are never merged with others, so that one without labels is not rejected for a neighbour's. A node has a few hundred pools at
+most, whatever its size; equal differences go to the larger leader. A template, a host with the generalised segments of a path, is rejected if the smoothed share of block
 among its labelled urls is above a limit. Paths of any number of segments are judged whole.
 
 Paths are counted before they are grouped, so that a host with a third of all urls costs one row
@@ -33,6 +37,9 @@ DEPTH = 4
 WILD_CHILDREN = 8
 #: Paths that a branch must have to be merged with others.
 MERGE_PATHS = 4
+#: Forms and labels together have four degrees of freedom; the difference beyond which a G-test at 5%
+#: calls two branches different, in millionths, since it is rounded to be the same everywhere.
+DIFFERENT = 9_487_729
 #: Share of block in an unlabelled template, and the number of urls that this prior counts as.
 PRIOR, PRIOR_WEIGHT = 0.25, 4.0
 LIMIT = 0.5
@@ -98,6 +105,63 @@ def _form(segment: Column) -> Column:
     )
 
 
+def _smoothed(bad: Column, good: Column) -> Column:
+    """The share of block among labelled urls, with the prior."""
+    return (bad + PRIOR * PRIOR_WEIGHT) / (bad + good + PRIOR_WEIGHT)
+
+
+def _log_sum(counts: list[Column]) -> Column:
+    """The sum of ``x ln x`` over counts, less that of their total."""
+
+    def term(x: Column) -> Column:
+        return F.when(x > 0, x * F.log(x)).otherwise(0.0)
+
+    return reduce(Column.__add__, map(term, counts)) - term(reduce(Column.__add__, counts))
+
+
+def _difference(one: Column, other: Column) -> Column:
+    """The G statistic of two structs of counts, forms and labels added up, in millionths."""
+    parts = []
+    for table in ([f"n_{form}" for form in _FORMS], ["bad", "good"]):
+        a, b = ([side.getField(name).cast("double") for name in table] for side in (one, other))
+        both = [x + y for x, y in zip(a, b, strict=True)]
+        # their totals, a table of two cells, make up the rest of the statistic
+        parts.append(_log_sum(a) + _log_sum(b) - _log_sum(both))
+    return F.round((parts[0] + parts[1]) * 2e6).cast("long")
+
+
+def _merges(leader: Column, other: Column) -> Column:
+    return (leader["rejects"] == other["rejects"]) & (_difference(leader, other) <= DIFFERENT)
+
+
+def _leaders(branches: DataFrame, node: list[str]) -> DataFrame:
+    """The pools of each node that differ from all larger ones."""
+    counts = [*[f"n_{form}" for form in _FORMS], "bad", "good"]
+    pools = branches.filter("alike is not null").groupBy(*node, "alike", "rejects")
+    pools = pools.agg((-F.sum("paths")).alias("least"), *[F.sum(c).alias(c) for c in counts])
+    listed = pools.groupBy(*node).agg(
+        F.array_sort(F.collect_list(F.struct("least", "alike", "rejects", *counts))).alias("pools")
+    )
+
+    def add(leaders: Column, pool: Column) -> Column:
+        known = F.exists(leaders, lambda leader: _merges(leader, pool))
+        return F.when(known, leaders).otherwise(F.concat(leaders, F.array(pool)))
+
+    none = F.filter("pools", lambda _: F.lit(False))
+    return listed.select(*node, F.aggregate("pools", none, add).alias("leaders"))
+
+
+def _led_by() -> Column:
+    """The leader that a branch of ``leaders`` differs from least, or null."""
+    own = F.struct("rejects", *[f"n_{form}" for form in _FORMS], "bad", "good")
+    measured = F.transform(
+        F.filter("leaders", lambda leader: _merges(leader, own)),
+        lambda leader: F.struct(_difference(leader, own).alias("g"), leader["least"], leader["alike"]),
+    )
+    near = F.array_min(measured)
+    return F.when(F.col("alike").isNotNull(), near["alike"])
+
+
 def _level(state: DataFrame, depth: int) -> DataFrame:
     """The state with one more segment of every template."""
     here = F.get("segments", F.lit(depth))
@@ -113,18 +177,22 @@ def _level(state: DataFrame, depth: int) -> DataFrame:
     parents = branches.filter("child <> ''").groupBy(*node).agg(
         F.count("*").alias("children"), F.sum("paths").alias("under")
     )
+    rejects = _smoothed(F.col("bad"), F.col("good")) > LIMIT
     purity = (F.col("bad") + 1) / (F.col("bad") + F.col("good") + 2)
     profile = F.concat_ws(
         ",",
         *[F.round(F.col(f"n_{form}") * 4 / F.col("paths")).cast("int").cast("string") for form in _FORMS],
         F.floor(purity * 3).cast("string"),
+        rejects.cast("int").cast("string"),
     )
     branches = branches.join(parents, node, "left").withColumn("profile", profile)
     wild = (F.col("children") >= WILD_CHILDREN) & (F.col("children") * 2 >= F.col("under"))
-    alike = F.when((F.col("paths") >= MERGE_PATHS) & (F.col("child") != ""), F.col("profile"))
-    branches = branches.withColumn("wild", F.coalesce(wild, F.lit(False))).withColumn("alike", alike)
-    merged = branches.filter("alike is not null").groupBy(*node, "alike").agg(F.min("child").alias("least"))
-    named = branches.join(merged, [*node, "alike"], "left")
+    branches = branches.withColumn("wild", F.coalesce(wild, F.lit(False))).withColumn("rejects", rejects)
+    merges = ~F.col("wild") & (F.col("paths") >= MERGE_PATHS) & (F.col("child") != "")
+    branches = branches.withColumn("alike", F.when(merges, F.col("profile")))
+    led = branches.join(_leaders(branches, node), node, "left").withColumn("lead", _led_by()).drop("leaders")
+    merged = led.filter("lead is not null").groupBy(*node, "lead").agg(F.min("child").alias("least"))
+    named = led.join(merged, [*node, "lead"], "left")
     name = (
         F.when(F.col("child") == "", "")
         .when(F.col("wild"), "/*")
@@ -178,8 +246,8 @@ def judge(
     ]
     paths = rows.groupBy("host", "path").agg(F.first("ruled").alias("ruled"), *label)
     known = templates(paths)
-    smoothed = (F.sum("bad") + PRIOR * PRIOR_WEIGHT) / (F.sum("bad") + F.sum("good") + PRIOR_WEIGHT)
-    leaves = known.groupBy("host", "template").agg((smoothed > LIMIT).alias("rejected"))
+    rejected = _smoothed(F.sum("bad"), F.sum("good")) > LIMIT
+    leaves = known.groupBy("host", "template").agg(rejected.alias("rejected"))
     judged = known.join(leaves, ["host", "template"]).select("host", "path", "template", "rejected")
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), "block").otherwise("allow"))
     return rows.join(judged, ["host", "path"]).select(
