@@ -77,6 +77,14 @@ def test_words_of_a_mixed_text(spark):
     assert {r.lang_pred for r in langid.identify(found, untaught).collect()} == {"und"}
 
 
+def test_languages_as_probable_go_by_name(spark):
+    model = langid.Model.new(["aa", "bb", "cc", "dd"])
+    texts = spark.createDataFrame([(1, "one"), (2, "one two three " * 3000)], "doc_id long, text string")
+    got = langid.identify(texts, model).collect()
+    assert [(r.lang_pred, round(r.score, 9), len(r.spans)) for r in got] == [("aa", 0.25, 1)] * 2
+    assert {s.lang for r in got for s in r.spans} == {"aa"}
+
+
 def test_licenses(spark):
     prose = " of the and onhe re" * 80
     texts = {

@@ -14,7 +14,8 @@ Texts are cut into blocks of words. The product of a block's transition matrices
 across it, so a long text needs no long loop; results are those of one pass over the whole text.
 
 Defined results: the language of a null text, and of one without letters, is ``und``, its score 0.
-Without labelled texts every text is ``und``. Rows of one id are judged by their own texts.
+Of languages that are as probable the first by name is taken, for words and texts alike. Without
+labelled texts every text is ``und``. Rows of one id are judged by their own texts.
 """
 
 from __future__ import annotations
