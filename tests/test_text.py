@@ -1,3 +1,4 @@
+import random
 import string
 
 import pytest
@@ -45,6 +46,25 @@ def test_edges_are_cut_but_not_cores(spark):
     assert one(spark, " ".join(words), lambda c: tx.classifier_tokens(c, [])) == ["well-known"] * 3
 
 
+def test_tokens_found_in_one_pass_are_those_cut_step_by_step(spark):
+    def by_steps(text, stop):
+        bare = F.trim(F.regexp_replace(F.lower(text), tx.MENTION, ""))
+        unlinked = tx.clean_whitespace(F.regexp_replace(bare, tx.LINK, " "))
+        apart = F.regexp_replace(unlinked, r"(?<![^ ])\p{Punct}+|\p{Punct}+(?![^ ])", " $0 ")
+        long_enough = F.filter(F.split(apart, " +"), lambda t: F.length(t) >= tx.MIN_TOKEN_LENGTH)
+        return F.filter(long_enough, lambda t: ~t.isin(stop) & (F.instr(F.lit(tx.PUNCTUATION), t) == 0))
+
+    pieces = list("aabB1é_'-.,!\"@/:\\]^[&~ \t\n\x0b\x1c\x1f\x00\x85\xa0\u1680\u2003\u2028\u3000\u200b\u180e。»İΣ😀")
+    pieces += ["that", "word", "http://a.b/c", "https://", "@you", "()*+", "!\"#$%", "-----", string.punctuation]
+    chance = random.Random(7)
+    texts = ["".join(chance.choices(pieces, k=chance.randrange(60))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "", None]], "x string").repartition(8)
+    both = rows.select(tx.classifier_tokens(F.col("x"), ["that"]).alias("got"), by_steps(F.col("x"), ["that"]).alias("due"))
+    assert both.where("got <=> due").count() == len(texts) + 2 and both.where("size(got) > 1").count() > 1000
+    plan = rows.select(tx.classifier_tokens(F.col("x"), []).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") == 3 and "split(" not in plan
+
+
 def test_simple_tokens(spark):
     value = "Élan naïve_x _skip a 12 ab3cd über-groß " + "z" * 16 + " " + "y" * 15
     got = one(spark, value, lambda c: tx.simple_tokens(c, ["groß"]))
