@@ -106,6 +106,23 @@ def test_fitting_stops_when_the_checked_loss_rises(spark, monkeypatch):
     assert models.log_loss(vectors.withColumn("score", F.lit(0.5)).limit(0)) == float("inf")
 
 
+def test_texts_are_cut_into_words_once_for_fit_and_scores(spark, tmp_path, monkeypatch):
+    sf = str(tmp_path / "sf")  # own paths, so that nothing is there yet
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{harness.DATA}/sf0.001/{name}.parquet").write.parquet(f"{sf}/{name}.parquet")
+    cut, tokens = [], learning.tokens
+    monkeypatch.setattr(learning, "tokens", lambda *given: cut.append(1) or tokens(*given))
+    order = lambda rows: sorted(map(tuple, rows.collect()))
+    exclusive, loose = learning.classify_topic(spark, sf), learning.classify_multilabel(spark, sf)
+    assert learning.classify_report(spark, sf).count() > 0
+    assert len(cut) == 1
+    for scored, limit in ((exclusive, models.SCORE_THRESHOLD), (loose, models.MULTILABEL_THRESHOLD)):
+        plan = scored._jdf.queryExecution().toString()
+        assert "regexp" not in plan and "Exchange" not in plan
+        direct = learning.trained(spark, sf).classify(tokens(spark, sf), "doc_id", limit)
+        assert scored.columns == direct.columns and order(scored) == order(direct)
+
+
 def test_words_of_topics_are_exact(spark):
     texts = ["apple banana fruit", "banana fruit apple apple", "engine wheel motor", "motor wheel engine"] * 5
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, "", None])], "pid string, text string")

@@ -53,6 +53,8 @@ PART_SHARES = (0.8, 0.9)
 
 #: Cells that words are hashed to; no word is left out, and the topic matrix has a known size.
 WORD_CELLS = 1 << 16
+#: The same for the classifiers.
+CLASSIFIER_CELLS = 1 << 15
 
 
 def doc_bow(posts: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -226,6 +228,19 @@ def _with_tokens(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     return rows.withColumn(tokens, F.coalesce(F.col(tokens), F.array().cast("array<string>")))
 
 
+def _hasher(features: int) -> HashingTF:
+    return HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features)
+
+
+def hashed_words(rows: DataFrame, key: str, features: int = CLASSIFIER_CELLS) -> DataFrame:
+    """``key`` and the hashed ``counts`` of its ``tokens``; null tokens are no words.
+
+    Once written, they stand for the tokens in :func:`fit_topic_classifiers` and :meth:`Trained.classify`,
+    so that texts are cut into words once. Both need the same number of cells.
+    """
+    return _hasher(features).transform(_with_tokens(rows)).select(key, "counts")
+
+
 @dataclass(frozen=True)
 class Trained:
     """Word weights, binary classifiers by topic, and their held-out examples."""
@@ -237,9 +252,13 @@ class Trained:
     def classify(self, rows: DataFrame, key: str, limit: float = SCORE_THRESHOLD) -> DataFrame:
         """``key``, the score of every topic, and 1 where a score exceeds the limit; one pass, no shuffle.
 
-        Rows of null ``tokens`` are scored as rows without words.
+        Rows of null ``tokens`` are scored as rows without words. Rows may have ``counts`` by
+        :func:`hashed_words` instead of tokens.
         """
-        scored = self.words.transform(_with_tokens(rows)).select(key, "weights")
+        if "counts" in rows.columns:
+            scored = self.words.stages[-1].transform(rows).select(key, "weights")
+        else:
+            scored = self.words.transform(_with_tokens(rows)).select(key, "weights")
         for topic, model in self.models.items():
             scored = _scored(model, scored, f"score_{topic}")
         return threshold_label(
@@ -307,31 +326,35 @@ def fit_until_worse(train: DataFrame, check: DataFrame, patience: int = PATIENCE
 
 
 def fit_topic_classifiers(
-    labeled: DataFrame, rows: DataFrame, key: str, topics: dict[str, Column], features: int = 1 << 15
+    labeled: DataFrame, rows: DataFrame, key: str, topics: dict[str, Column], features: int = CLASSIFIER_CELLS
 ) -> Trained:
     """One binary classifier per topic, trained on the larger part of a balanced sample.
 
     ``topics`` gives the condition under which a labelled row is on the topic, ``rows`` the ``key`` and
-    ``tokens`` of every row. Half of what is not trained on decides when to stop, the other half is held
-    out. The hashed words of all rows, which give the words' weights, are written once; so are the weighted
-    ones of labelled rows, and a topic's examples with their part.
+    ``tokens`` of every row, or their ``counts`` as written from :func:`hashed_words`. Half of what is not
+    trained on decides when to stop, the other half is held out. The hashed words of all rows, which give
+    the words' weights, are written once unless they are given; so are the weighted ones of labelled rows,
+    and a topic's examples with their part.
     """
-    hasher = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features)
-    counts = materialise(hasher.transform(_with_tokens(rows)).select(key, "counts"), "counts")
+    given = "counts" in rows.columns
+    counts = rows.select(key, "counts") if given else materialise(hashed_words(rows, key, features), "counts")
     weigher = IDF(inputCol="counts", outputCol="weights").fit(counts)
-    words = PipelineModel([hasher, weigher])
+    words = PipelineModel([_hasher(features), weigher])
     known = counts.join(labeled.select(key).distinct(), key)
     told = materialise(weigher.transform(known).select(key, "weights"), "told")
-    fitted, held_out = {}, []
-    for topic, on_topic in topics.items():
-        balanced = sampling.balance_classes(labeled.select(key, on_topic.alias("yes")), key, "yes")
+
+    def fit(topic: str) -> tuple[LogisticRegressionModel, DataFrame]:
+        balanced = sampling.balance_classes(labeled.select(key, topics[topic].alias("yes")), key, "yes")
         parts = sampling.split_sets(balanced, key, PART_SHARES, PARTS)
         label = F.col("yes").cast("int").alias("label")
         examples = materialise(parts.join(told, key).select("weights", label, "part"), "examples")
-        fitted[topic] = fit_until_worse(*[examples.where(F.col("part") == part) for part in PARTS[:2]])
+        model = fit_until_worse(*[examples.where(F.col("part") == part) for part in PARTS[:2]])
         kept = examples.where(F.col("part") == PARTS[2])
-        held_out.append(kept.select(F.lit(topic).alias("topic"), "weights", "label"))
-    return Trained(words, fitted, reduce(DataFrame.unionByName, held_out))
+        return model, kept.select(F.lit(topic).alias("topic"), "weights", "label")
+
+    fitted = [fit(topic) for topic in topics]
+    models = {topic: model for topic, (model, _) in zip(topics, fitted)}
+    return Trained(words, models, reduce(DataFrame.unionByName, [kept for _, kept in fitted]))
 
 
 def threshold_label(rows: DataFrame, scores: dict[str, str], limit: float = SCORE_THRESHOLD) -> DataFrame:

@@ -120,6 +120,16 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return documents.select("doc_id", tx.classifier_tokens(F.col("text"), STOP).alias("tokens"))
 
 
+def hashed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The hashed words of every document, written once per application; fits and scores read them."""
+    path = artefact_path(spark, "words", [table(spark, sf, "documents")], ops.CLASSIFIER_CELLS, sorted(STOP))
+    if not exists(spark, path):
+        staged = scratch_path(spark, "words")
+        ops.hashed_words(tokens(spark, sf), "doc_id").write.parquet(staged)
+        rename_new(spark, staged, path)
+    return spark.read.parquet(path)
+
+
 def trained(spark: SparkSession, sf: str) -> ops.Trained:
     """One classifier per label, trained on a balanced 80%, fitted once per application and saved."""
     labels = table(spark, sf, "labels")
@@ -127,20 +137,20 @@ def trained(spark: SparkSession, sf: str) -> ops.Trained:
     path = artefact_path(spark, "classifiers", inputs, ops.REGULARISATION, ops.PATIENCE, ops.PART_SHARES, sorted(STOP))
     if not exists(spark, path):
         topics = {"poor": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
-        ops.fit_topic_classifiers(labels, tokens(spark, sf), "doc_id", topics).save(path)
+        ops.fit_topic_classifiers(labels, hashed_documents(spark, sf), "doc_id", topics).save(path)
     return ops.Trained.load(spark, path)
 
 
 @query("classify_topic")
 def classify_topic(spark: SparkSession, sf: str) -> DataFrame:
     """Every document scored and thresholded as by exclusive classifiers."""
-    return trained(spark, sf).classify(tokens(spark, sf), "doc_id")
+    return trained(spark, sf).classify(hashed_documents(spark, sf), "doc_id")
 
 
 @query("classify_multilabel")
 def classify_multilabel(spark: SparkSession, sf: str) -> DataFrame:
     """The same as independent labels, any number of which a document may have."""
-    return trained(spark, sf).classify(tokens(spark, sf), "doc_id", ops.MULTILABEL_THRESHOLD)
+    return trained(spark, sf).classify(hashed_documents(spark, sf), "doc_id", ops.MULTILABEL_THRESHOLD)
 
 
 @query("classify_report")
