@@ -1,4 +1,5 @@
 import math
+import threading
 import uuid
 
 import harness
@@ -123,6 +124,17 @@ def test_texts_are_cut_into_words_once_for_fit_and_scores(spark, tmp_path, monke
         assert scored.columns == direct.columns and order(scored) == order(direct)
 
 
+def test_topics_are_fitted_side_by_side(spark, monkeypatch):
+    rows = [(str(i), ["war" if i % 2 else "vote"], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, tokens array<string>, kind int")
+    topics = {"war": F.col("kind") == 1, "vote": F.col("kind") == 0}
+    both, fit = threading.Barrier(2, timeout=120), models.fit_until_worse
+    monkeypatch.setattr(models, "fit_until_worse", lambda *parts: both.wait() + 1 and fit(*parts))
+    fitted = models.fit_topic_classifiers(df.select("id", "kind"), df, "id", topics, features=1 << 10)
+    assert list(fitted.models) == ["war", "vote"]
+    assert {r.id: (r.war, r.vote) for r in fitted.classify(df, "id", 0.5).collect()}["1"] == (1, 0)
+
+
 def test_words_of_topics_are_exact(spark):
     texts = ["apple banana fruit", "banana fruit apple apple", "engine wheel motor", "motor wheel engine"] * 5
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate([*texts, "", None])], "pid string, text string")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import LDA, LDAModel
@@ -47,6 +49,8 @@ TOP_WORDS = 20
 #: Regularisation of the classifiers, strong to weak, and the fits without a gain that end the search.
 REGULARISATION = (0.1, 0.01, 0.001)
 PATIENCE = 1
+#: Topics whose classifiers are fitted side by side.
+FITS_AT_ONCE = 4
 #: What is trained on, what decides when to stop, what is reported; cumulative shares of the first two.
 PARTS = ("train", "check", "test")
 PART_SHARES = (0.8, 0.9)
@@ -334,7 +338,8 @@ def fit_topic_classifiers(
     ``tokens`` of every row, or their ``counts`` as written from :func:`hashed_words`. Half of what is not
     trained on decides when to stop, the other half is held out. The hashed words of all rows, which give
     the words' weights, are written once unless they are given; so are the weighted ones of labelled rows,
-    and a topic's examples with their part.
+    and a topic's examples with their part. Topics are fitted side by side, since the many short jobs of
+    one leave most cores idle.
     """
     given = "counts" in rows.columns
     counts = rows.select(key, "counts") if given else materialise(hashed_words(rows, key, features), "counts")
@@ -352,7 +357,8 @@ def fit_topic_classifiers(
         kept = examples.where(F.col("part") == PARTS[2])
         return model, kept.select(F.lit(topic).alias("topic"), "weights", "label")
 
-    fitted = [fit(topic) for topic in topics]
+    with ThreadPool(min(len(topics), FITS_AT_ONCE)) as pool:
+        fitted = pool.map(inheritable_thread_target(labeled.sparkSession)(fit), topics)
     models = {topic: model for topic, (model, _) in zip(topics, fitted)}
     return Trained(words, models, reduce(DataFrame.unionByName, [kept for _, kept in fitted]))
 
